@@ -73,6 +73,12 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return int(r or 0)
 
 
+def _framer(base: Window):
+    def frame(lo: int | None = None, hi: int | None = None):
+        return base if lo is None else base.rowsBetween(lo, hi)
+    return frame
+
+
 def bounded_frames(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int,
                    columns: Callable[[Callable[[int, int], Window]], dict[str, Column]],
                    pos_col: str | None = None, block_rows: int = BLOCK_ROWS,
@@ -81,18 +87,19 @@ def bounded_frames(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
 
     ``columns(frame)`` returns ``{name: expression}``; ``frame(lo, hi)`` gives the
     window spec ``rowsBetween(lo, hi)`` (``lo >= -(n-1)``, ``hi <= 0``) for whichever
-    partitioning is chosen. If ``pos_col`` is given the 1-based position is kept.
+    partitioning is chosen, and ``frame()`` the unframed ordered spec (for ``lag``
+    with offset < n). If ``pos_col`` is given the 1-based position is kept.
     """
     keys = list(keys)
-    if n < 1:
-        raise ValueError("n must be >= 1")
+    if n < 1 or block_rows < n - 1:
+        raise ValueError("need n >= 1 and block_rows >= n - 1")
     split = force_blocks or largest_group(df, keys) > block_rows
     if not split:
         base = Window.partitionBy(*keys).orderBy(*_cols(order))
         out = df
         if pos_col:
             out = out.withColumn(pos_col, F.row_number().over(base).cast("long"))
-        exprs = columns(lambda lo, hi: base.rowsBetween(lo, hi))
+        exprs = columns(_framer(base))
         return out.select("*", *[e.alias(k) for k, e in exprs.items()])
 
     p = pos_col or "_pos"
@@ -104,7 +111,7 @@ def bounded_frames(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     spread = (pos.withColumn("_home", blk)
               .withColumn("_blk", F.explode(copies)))
     base = Window.partitionBy(*keys, "_blk").orderBy(p)
-    exprs = columns(lambda lo, hi: base.rowsBetween(lo, hi))
+    exprs = columns(_framer(base))
     out = (spread.select("*", *[e.alias(k) for k, e in exprs.items()])
            .filter(F.col("_blk") == F.col("_home"))
            .drop("_blk", "_home"))
