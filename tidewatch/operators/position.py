@@ -9,7 +9,10 @@ task is the job. The helpers here avoid it:
   bounds; each task numbers its slice locally, a tiny per-(slice, key) count table
   gives the offsets, and the offsets are joined back (broadcast only when the table
   was counted and found small, else a shuffle join on (slice, key), whose groups are
-  bounded by one slice).
+  bounded by one slice). Range bounds are re-sampled every time a range exchange
+  runs, so the sliced rows are written once with a reliable ``checkpoint()`` (to the
+  shared ``spark.checkpoint.dir``) and both the counts and the join read that copy;
+  it also cuts the lineage, so a lost executor re-reads files instead of re-sampling.
 * ``bounded_frames`` evaluates row-frame window expressions of at most ``n`` rows per
   key. If the largest key is small it is a normal keyed window. Otherwise each key is
   cut into position blocks, the last ``n-1`` rows of every block are copied into the
@@ -26,6 +29,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.session import checkpoint_dir
+
 # Largest count table we broadcast (rows); above it the join shuffles.
 BROADCAST_ROWS = 200_000
 # Default rows per window group when a key is split into blocks.
@@ -53,6 +58,8 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
               .withColumn("_slice", F.spark_partition_id())
               .withColumn("_local", F.monotonically_increasing_id()
                           - F.shiftleft(F.col("_slice").cast("long"), _LOCAL_BITS)))
+    checkpoint_dir(df.sparkSession)
+    ranged = ranged.checkpoint(eager=True)
     counts = (ranged.groupBy("_slice", *keys)
               .agg(F.min("_local").alias("_first"), F.count(F.lit(1)).alias("_n")))
     w = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

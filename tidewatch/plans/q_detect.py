@@ -1,3 +1,313 @@
-"""q_detect queries."""
+"""Detector queries: histories (W1-W5), detectors (D1-D9) and scoreboards."""
 
-from tidewatch.plans.catalog import register  # noqa: F401
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from tidewatch import fixed
+from tidewatch.functions.scalars import normal_cdf_expr
+from tidewatch.operators import history, labels, score
+from tidewatch.operators.detect import univariate as U
+from tidewatch.operators.detect import vector as V
+from tidewatch.plans import sqlparts as S
+from tidewatch.plans.catalog import register
+from tidewatch.plans.inputs import LINE_ORDER, LINE_VECTOR, rounded, sensor_events, table
+
+ORDER = ["ts", "event_id"]
+W_USER = "PARTITION BY user_id ORDER BY ts, event_id"
+W_TYPE = "PARTITION BY event_type ORDER BY ts, event_id"
+
+
+def _events(spark, sf):
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
+
+
+def _rows(frame: str, lo: int, hi: int) -> str:
+    def b(x):
+        return "CURRENT ROW" if x == 0 else (f"{-x} PRECEDING" if x < 0 else f"{x} FOLLOWING")
+    return f"({frame} ROWS BETWEEN {b(lo)} AND {b(hi)})"
+
+
+# --- W1 - W5 -----------------------------------------------------------------------
+
+@register("history10", f"""
+SELECT * FROM (SELECT event_id, user_id, list(value) OVER {_rows(W_USER, -9, 0)} AS history FROM events)
+WHERE len(history) = 10""")
+def history10(spark, sf):
+    """Last 10 values per user, only once 10 exist."""
+    return history.last_n(_events(spark, sf), ["user_id"], ORDER, "value", 10).select("event_id", "user_id", "history")
+
+
+@register("rolling_shift", f"""
+SELECT event_id, user_id, value, round(avg(value) OVER {_rows(W_USER, -9, 0)}, 6) AS rolling_mean,
+       round(abs(value - avg(value) OVER {_rows(W_USER, -9, 0)}), 6) AS shift,
+       count(*) OVER {_rows(W_USER, -9, 0)} = 10 AS full
+FROM events""")
+def rolling_shift(spark, sf):
+    """Rolling mean of the last 10 values and the current value's distance from it."""
+    out = history.rolling_shift(_events(spark, sf), ["user_id"], ORDER, "value", 10)
+    return rounded(out.select("event_id", "user_id", "value", "rolling_mean", "shift", "full"))
+
+
+@register("rolling_max", f"""
+SELECT event_id, user_id, max(value) OVER {_rows(W_USER, -9, 0)} AS rolling_max FROM events""")
+def rolling_max(spark, sf):
+    """Maximum over the last 10 values."""
+    out = history.rolling_max(_events(spark, sf), ["user_id"], ORDER, "value", 10)
+    return rounded(out.select("event_id", "user_id", "rolling_max"))
+
+
+@register("half_windows", f"""
+SELECT * FROM (SELECT event_id, event_type, list(value) OVER {_rows(W_TYPE, -199, -100)} AS older,
+                      list(value) OVER {_rows(W_TYPE, -99, 0)} AS recent FROM events)
+WHERE len(older) = 100 AND len(recent) = 100""")
+def half_windows(spark, sf):
+    """Older 100 and newest 100 of the last 200 values per event type."""
+    out = history.half_windows(_events(spark, sf), ["event_type"], ORDER, "value", 200, 100)
+    return out.select("event_id", "event_type", "older", "recent")
+
+
+@register("count_blocks", f"""
+SELECT l_suppkey, block, count(*) AS n, round(avg(l_quantity), 6) AS avg_quantity,
+       round(max(l_extendedprice), 6) AS max_price
+FROM (SELECT *, floor((row_number() OVER (PARTITION BY l_suppkey ORDER BY {', '.join(LINE_ORDER)}) - 1) / 50) AS block
+      FROM lineitem)
+GROUP BY l_suppkey, block""")
+def count_blocks(spark, sf):
+    """Tumbling blocks of 50 records per supplier, summarised per block."""
+    li = table(spark, sf, "lineitem")
+    b = history.count_blocks(li, ["l_suppkey"], LINE_ORDER, 50)
+    return rounded(b.groupBy("l_suppkey", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("l_quantity").alias("avg_quantity"),
+        F.max("l_extendedprice").alias("max_price")))
+
+
+# --- D1 CUSUM ------------------------------------------------------------------------
+
+def cusum_sql(part: str, k: float = 1.0, h: float = 5.0, n: int = 10, extra: str = "") -> str:
+    frame = f"({part} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"""
+SELECT event_id, user_id, ts, value, round(c, 6) AS cusum, c > {h} AS alarm {extra} FROM (
+  SELECT *, list_reduce(hist, lambda acc, v: greatest(0.0::DOUBLE, acc + v - m - {k}), 0.0::DOUBLE) AS c
+  FROM (SELECT *, list(value) OVER {frame} AS hist, avg(value) OVER {frame} AS m FROM events)
+  WHERE len(hist) = {n})"""
+
+
+@register("cusum", cusum_sql(W_USER))
+def cusum_q(spark, sf):
+    """Windowed CUSUM (history 10, k 1.0, h 5) per user."""
+    out = U.cusum(_events(spark, sf), ["user_id"], ORDER, "value", 10, 1.0, 5.0)
+    return rounded(out.select("event_id", "user_id", "ts", "value", "cusum", "alarm"))
+
+
+@register("cusum_unkeyed", cusum_sql("ORDER BY ts, event_id", 20.0, 100.0))
+def cusum_unkeyed_q(spark, sf):
+    """B-2 + D1: the whole table as one series, cut into position blocks with a halo
+    so no task holds the series (blocks of 2,500 rows here)."""
+    out = U.cusum(_events(spark, sf), [], ORDER, "value", 10, 20.0, 100.0, block_rows=2500, force_blocks=True)
+    return rounded(out.select("event_id", "user_id", "ts", "value", "cusum", "alarm"))
+
+
+# --- D2 CvM ---------------------------------------------------------------------------
+
+def cvm_sql(standardise: bool, alpha: float = 0.05, min_shift: float = 10.0, n: int = 10) -> str:
+    frame = _rows(W_USER, -(n - 1), 0)
+    z = "coalesce(CASE WHEN sd = 0 THEN NULL ELSE (v - m) / sd END, 0.0)" if standardise else "v"
+    crit = fixed.CVM_CRITICAL[alpha]
+    return f"""
+SELECT event_id, user_id, value, round(w2, 6) AS cvm_w2, round(abs(value - m), 6) AS shift,
+       (w2 - {0.4 / n!r} + {0.6 / (n * n)!r}) * {1.0 + 1.0 / n!r} > {crit} AS rejected,
+       (w2 - {0.4 / n!r} + {0.6 / (n * n)!r}) * {1.0 + 1.0 / n!r} > {crit} AND abs(value - m) > {min_shift} AS alarm
+FROM (SELECT *, 1.0 / (12 * {n}) + list_sum(list_transform(list_sort(hist), lambda v, i:
+          pow((2 * i - 1) / (2.0 * {n}) - {normal_cdf_expr(z)}, 2))) AS w2
+      FROM (SELECT *, list(value) OVER {frame} AS hist, avg(value) OVER {frame} AS m,
+                   stddev_samp(value) OVER {frame} AS sd FROM events)
+      WHERE len(hist) = {n})"""
+
+
+@register("cvm", cvm_sql(False))
+def cvm_q(spark, sf):
+    """Cramer-von Mises on raw values (parity: gate by |shift| > 10)."""
+    out = U.cvm(_events(spark, sf), ["user_id"], ORDER, "value", 10, 0.05, 10.0)
+    return rounded(out.select("event_id", "user_id", "value", "cvm_w2", "shift", "rejected", "alarm"))
+
+
+@register("cvm_standardised", cvm_sql(True))
+def cvm_std_q(spark, sf):
+    """D2 on standardised histories (the discriminating form)."""
+    out = U.cvm(_events(spark, sf), ["user_id"], ORDER, "value", 10, 0.05, 10.0, standardise=True)
+    return rounded(out.select("event_id", "user_id", "value", "cvm_w2", "shift", "rejected", "alarm"))
+
+
+# --- D3 KSWIN (no reset) -------------------------------------------------------------------
+
+def kswin_sql(src: str, alpha: float = 1e-4, window: int = 200, stat: int = 100) -> str:
+    k = U.ks_critical_count(stat, alpha)
+    older = _rows(W_TYPE, -(window - 1), -stat)
+    recent = _rows(W_TYPE, -(stat - 1), 0)
+    return f"""
+SELECT event_id, event_type, value, d AS ks_count, round(d / {float(stat)}, 6) AS ks_d,
+       d >= {k} AND d / {float(stat)} > 0.1 AS alarm
+FROM (SELECT *, list_max(list_transform(list_concat(older, recent), lambda v:
+          abs(len(list_filter(older, lambda a: a <= v)) - len(list_filter(recent, lambda b: b <= v))))) AS d
+      FROM (SELECT *, list(value) OVER {older} AS older, list(value) OVER {recent} AS recent FROM ({src}))
+      WHERE len(older) = {window - stat} AND len(recent) = {stat})"""
+
+
+@register("kswin_noreset", kswin_sql("SELECT * FROM events", 0.01))
+def kswin_q(spark, sf):
+    """D3 (no reset): KS of older 100 vs newest 100 of the last 200 per event type, alpha 0.01."""
+    out = U.kswin(_events(spark, sf), ["event_type"], ORDER, "value", 200, 100, 0.01)
+    return rounded(out.select("event_id", "event_type", "value", "ks_count", "ks_d", "alarm"))
+
+
+@register("kswin_warmup", kswin_sql(f"""
+SELECT * FROM (SELECT *, row_number() OVER ({W_TYPE}) AS wpos FROM events) WHERE wpos <> 1000""", 1e-4)
+          .replace("WHERE len(older)", "WHERE wpos > 1000 AND len(older)"))
+def kswin_warmup_q(spark, sf):
+    """D3 with the reference's warm-up (999 rows fill the window, row 1000 skipped), alpha 1e-4."""
+    out = U.kswin(_events(spark, sf), ["event_type"], ORDER, "value", 200, 100, 1e-4, warmup=1000)
+    return rounded(out.select("event_id", "event_type", "value", "ks_count", "ks_d", "alarm"))
+
+
+# --- D5b Page-Hinkley ------------------------------------------------------------------------
+
+@register("page_hinkley", f"""
+WITH a AS (SELECT *, value - sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)
+                  / count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 0.005 AS dev
+           FROM events),
+b AS (SELECT *, sum(dev) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS ph_m FROM a),
+c AS (SELECT *, min(ph_m) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS ph_min FROM b)
+SELECT event_id, user_id, round(ph_m, 6) AS ph_m, round(ph_m - ph_min, 6) AS ph_stat,
+       CASE WHEN ph_m - ph_min > 50.0 THEN 'drift' WHEN ph_m - ph_min > 25.0 THEN 'warning' ELSE 'none' END AS state
+FROM c""")
+def page_hinkley_q(spark, sf):
+    """Page-Hinkley statistic and state per user (delta 0.005, lambda 50, warning at half)."""
+    out = U.page_hinkley(_events(spark, sf), ["user_id"], ORDER, "value", 0.005, 50.0, 0.5)
+    return rounded(out.select("event_id", "user_id", "ph_m", "ph_stat", "state"))
+
+
+# --- D7 density ratio, D8 nearest neighbour ---------------------------------------------------
+
+def _lse_duck(sample: str, x: str, h: float) -> str:
+    a = f"list_transform({sample}, lambda s: -(({x}) - s) * (({x}) - s) / {2.0 * h * h!r})"
+    return f"(list_max({a}) + ln(list_sum(list_transform({a}, lambda t: exp(t - list_max({a}))))))"
+
+
+def _ldr_duck(prev: str, cur: str, h: float) -> str:
+    d = f"list_transform({cur}, lambda x: {_lse_duck(cur, 'x', h)} - {_lse_duck(prev, 'x', h)})"
+    return f"(list_max({d}) + ln(list_sum(list_transform({d}, lambda t: exp(t - list_max({d}))))) - ln(len({cur})))"
+
+
+@register("density_ratio", f"""
+WITH s AS ({S.SENSOR}),
+p AS (SELECT *, [value, CAST(k AS DOUBLE)] AS cur,
+             lag([value, CAST(k AS DOUBLE)]) OVER ({W_USER}) AS prev FROM s),
+r AS (SELECT *, {_ldr_duck('prev', 'cur', 0.2)} AS log_rdr FROM p WHERE prev IS NOT NULL)
+SELECT event_id, user_id, round(log_rdr, 6) AS log_rdr, round(log_rdr_max, 6) AS log_rdr_max,
+       log_rdr_max > {math.log(1.5)!r} AS alarm
+FROM (SELECT *, max(log_rdr) OVER {_rows(W_USER, -9, 0)} AS log_rdr_max FROM r)""")
+def density_ratio_q(spark, sf):
+    """Gaussian-KDE relative density ratio of consecutive records (value, k), h 0.2,
+    alarm when the largest of the last 10 ratios exceeds 1.5."""
+    out = V.density_ratio(sensor_events(spark, sf), ["user_id"], ORDER, ["value", "k"], 0.2, 10, 1.5)
+    return rounded(out.select("event_id", "user_id", "log_rdr", "log_rdr_max", "alarm"))
+
+
+_LW = f"PARTITION BY l_suppkey ORDER BY {', '.join(LINE_ORDER)}"
+
+
+@register("nn_distance", f"""
+WITH p AS (SELECT *, [{', '.join(LINE_VECTOR)}] AS cur, lag([{', '.join(LINE_VECTOR)}]) OVER ({_LW}) AS prev
+           FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_suppkey,
+       round(list_avg(list_transform(cur, lambda x: list_sort(list_transform(prev, lambda q: abs(x - q)))[2])), 6) AS avg_nn
+FROM p WHERE prev IS NOT NULL""")
+def nn_distance_q(spark, sf):
+    """Mean 2nd-nearest distance of each feature to the previous record's features,
+    over lineitem 4-vectors per supplier."""
+    li = table(spark, sf, "lineitem")
+    out = V.nn_distance(li, ["l_suppkey"], LINE_ORDER, LINE_VECTOR, 2)
+    return rounded(out.select("l_orderkey", "l_linenumber", "l_suppkey", "avg_nn"))
+
+
+# --- D9 / A8 / A9 / O1: attribution and scoreboards -------------------------------------------
+
+def _labelled_events(spark, sf):
+    ev = labels.truncate_time(_events(spark, sf), "ts", out="ts_s")
+    return labels.label_intervals(ev, "ts_s", labels.interval_table(spark))
+
+
+def scoreboard_sql(alarms_sql: str, algorithm: str) -> str:
+    cols = []
+    for i, _, _ in fixed.EVENT_INTERVALS:
+        cols.append(f"coalesce(max(CASE WHEN lab = 'attack' AND iid = {i} THEN 1 END), 0) AS \"attack{i}-detected\"")
+        cols.append(f"coalesce(min(CASE WHEN lab = 'attack' AND iid = {i} AND delay > 0 THEN delay END), 0.0)"
+                    f" AS \"attack{i}-delay\"")
+    return f"""
+SELECT '{algorithm}' AS algorithm, count(CASE WHEN lab = 'attack' THEN 1 END) AS detections,
+       count(CASE WHEN lab IS DISTINCT FROM 'attack' THEN 1 END) AS "false-alarms", {', '.join(cols)}
+FROM (SELECT a.*, iv.interval_id AS iid, CAST(epoch(a.ts_s) - epoch(iv.start) AS DOUBLE) AS delay
+      FROM (SELECT *, date_trunc('second', ts) AS ts_s, {S.label_case("date_trunc('second', ts)")} AS lab
+            FROM ({alarms_sql}) WHERE alarm) a
+      LEFT JOIN ({S.intervals_cte().split(' AS ', 1)[1]}) iv ON a.ts_s BETWEEN iv.start AND iv."end")"""
+
+
+def _cusum_board(spark, sf):
+    al = U.cusum(_labelled_events(spark, sf), ["user_id"], ORDER, "value", 10, 20.0, 100.0)
+    return score.scoreboard(al.filter("alarm"), "ts_s", "attack_label", labels.interval_table(spark), "cusum",
+                            row_key=["event_id"])
+
+
+def _cvm_board(spark, sf):
+    al = U.cvm(_labelled_events(spark, sf), ["user_id"], ORDER, "value", 10, 0.05, 60.0)
+    return score.scoreboard(al.filter("alarm"), "ts_s", "attack_label", labels.interval_table(spark), "cvm",
+                            row_key=["event_id"])
+
+
+def _kswin_board(spark, sf):
+    al = U.kswin(_labelled_events(spark, sf), ["event_type"], ORDER, "value", 200, 100, 0.01)
+    return score.scoreboard(al.filter("alarm"), "ts_s", "attack_label", labels.interval_table(spark), "ks-win",
+                            row_key=["event_id"])
+
+
+_CUSUM_BOARD_SQL = scoreboard_sql(cusum_sql(W_USER, 20.0, 100.0), "cusum")
+_CVM_BOARD_SQL = scoreboard_sql(cvm_sql(False, 0.05, 60.0).replace("SELECT event_id, user_id, value,",
+                                                                  "SELECT event_id, user_id, ts, value,", 1), "cvm")
+_KSWIN_BOARD_SQL = scoreboard_sql(kswin_sql("SELECT * FROM events", 0.01).replace(
+    "SELECT event_id, event_type, value,", "SELECT event_id, event_type, ts, value,", 1), "ks-win")
+
+
+@register("attribute_alarms", f"""
+SELECT event_id, iv.interval_id, CAST(epoch(a.ts_s) - epoch(iv.start) AS DOUBLE) AS delay
+FROM (SELECT *, date_trunc('second', ts) AS ts_s FROM ({cusum_sql(W_USER, 20.0, 100.0)}) WHERE alarm) a
+LEFT JOIN ({S.intervals_cte().split(' AS ', 1)[1]}) iv ON a.ts_s BETWEEN iv.start AND iv."end\"""")
+def attribute_alarms_q(spark, sf):
+    """CUSUM (k 20, h 100) alarms attributed to intervals with delay in seconds."""
+    al = U.cusum(_labelled_events(spark, sf), ["user_id"], ORDER, "value", 10, 20.0, 100.0).filter("alarm")
+    return score.attribute(al, "ts_s", labels.interval_table(spark), ["event_id"]).select(
+        "event_id", "interval_id", "delay")
+
+
+@register("scoreboard_cusum", _CUSUM_BOARD_SQL)
+def scoreboard_cusum_q(spark, sf):
+    """CUSUM scoreboard (detections, false alarms, per-interval flag and delay)."""
+    return _cusum_board(spark, sf)
+
+
+_SUMMARY_SQL = f"""
+SELECT *, {' + '.join(f'"attack{i}-detected"' for i, _, _ in fixed.EVENT_INTERVALS)} AS "attacks-detected",
+       round(CASE WHEN ({' + '.join(f'"attack{i}-detected"' for i, _, _ in fixed.EVENT_INTERVALS)}) = 0 THEN NULL
+            ELSE ({' + '.join(f'"attack{i}-delay"' for i, _, _ in fixed.EVENT_INTERVALS)})
+                 / ({' + '.join(f'"attack{i}-detected"' for i, _, _ in fixed.EVENT_INTERVALS)}) END, 6) AS "average-delay"
+FROM ({_CUSUM_BOARD_SQL} UNION ALL {_CVM_BOARD_SQL} UNION ALL {_KSWIN_BOARD_SQL})"""
+
+
+@register("score_summary", _SUMMARY_SQL)
+def score_summary_q(spark, sf):
+    """A9 + O1: scoreboards of three detectors on events, attacks detected and average
+    delay, ordered by attacks detected."""
+    boards = _cusum_board(spark, sf).unionByName(_cvm_board(spark, sf)).unionByName(_kswin_board(spark, sf))
+    return rounded(score.rank_scores(score.summarise_scores(boards)))
