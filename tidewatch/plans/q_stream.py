@@ -1,3 +1,103 @@
-"""q_stream queries."""
+"""Streaming queries: each runs a checkpointed Structured Streaming query over the events
+table as a file stream (``availableNow``) and returns the sink table it wrote."""
 
-from tidewatch.plans.catalog import register  # noqa: F401
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewatch.operators import labels, stats
+from tidewatch.plans import sqlparts as S
+from tidewatch.plans.catalog import register
+from tidewatch.plans.inputs import SENSOR_COLS, rounded
+from tidewatch.plans.q_core import _WINDOW_SQL
+from tidewatch.plans.q_detect import W_USER, cusum_sql
+from tidewatch.sources.records import decode_json
+from tidewatch.streaming import io as SIO
+from tidewatch.streaming import stateful as ST
+
+
+def _event_stream(spark, sf, max_files: int | None = None, n_files: int = 1):
+    src = f"{sf}/events.parquet"
+    schema = spark.read.parquet(src).schema
+    if n_files > 1:
+        src = SIO.staged_copy(spark, spark.read.parquet(src), f"events-{abs(hash(sf))}", "ts", n_files)
+    raw = SIO.read_stream(spark, "parquet", src, schema, max_per_trigger=max_files)
+    return decode_json(raw, "props", "k INT", keep=["event_id", "ts", "user_id", "event_type", "value"])
+
+
+def _stream_window_stats(spark, sf, mode: str):
+    ev = labels.truncate_time(_event_stream(spark, sf), "ts")
+    ev = labels.label_intervals(ev, "ts", labels.interval_table(spark))
+    ev = ev.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
+    agg = stats.window_stats(ev, "ts", SENSOR_COLS, ["attack_label"], "10 minutes", "5 minutes", flatten=False)
+    run = SIO.new_run(spark, f"window-stats-{mode}")
+    if mode == "complete":
+        q = SIO.write_complete(agg, f"{run}/out", f"{run}/ckpt")
+    else:
+        q = SIO.write_stream(agg, "parquet", f"{run}/out", f"{run}/ckpt", mode="append")
+    SIO.await_all([q])
+    out = spark.read.parquet(f"{run}/out")
+    out = out.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
+                     F.col("window.end").cast("timestamp_ntz").alias("window_end"),
+                     *[c for c in out.columns if c != "window"])
+    return rounded(out)
+
+
+@register("window_stats_stream", _WINDOW_SQL)
+def window_stats_stream_q(spark, sf):
+    """S1 + S4 + T1 + T2 + T3: the sliding-window statistics as a stream with a 10-minute
+    watermark in complete mode (all state kept, same result as batch)."""
+    return _stream_window_stats(spark, sf, "complete")
+
+
+@register("window_stats_append", f"""
+SELECT * FROM ({_WINDOW_SQL})
+WHERE window_end <= (SELECT max(date_trunc('second', ts)) FROM events) - INTERVAL 10 MINUTE""")
+def window_stats_append_q(spark, sf):
+    """Append mode: a window is emitted once the watermark (max event time - 10 min)
+    passes its end, so state stays bounded; windows still open at the end are held back."""
+    return _stream_window_stats(spark, sf, "append")
+
+
+@register("cusum_stream", f"""
+SELECT user_id, event_id, value, cusum, alarm FROM ({cusum_sql(W_USER)})""")
+def cusum_stream_q(spark, sf):
+    """T6 + T4: CUSUM per user over a stream, history kept in the state store
+    (4 time-ordered files, one per micro-batch)."""
+    ev = _event_stream(spark, sf, max_files=1, n_files=4)
+    det = ST.cusum_stream(ev, ["user_id"], ["ts", "event_id"], "value", "event_id", 10, 1.0, 5.0)
+    run = SIO.new_run(spark, "cusum")
+    SIO.await_all([SIO.write_stream(det, "parquet", f"{run}/out", f"{run}/ckpt")])
+    return rounded(spark.read.parquet(f"{run}/out"))
+
+
+@register("kswin_stream")
+def kswin_stream_q(spark, sf):
+    """T6 + D3 with reset: KSWIN per event type over a stream (window 200, stat 100,
+    alpha 0.01); after an alarm the window restarts from its newest 100 values."""
+    ev = _event_stream(spark, sf, max_files=1, n_files=4)
+    det = ST.kswin_stream(ev, ["event_type"], ["ts", "event_id"], "value", "event_id", 200, 100, 0.01)
+    run = SIO.new_run(spark, "kswin")
+    SIO.await_all([SIO.write_stream(det, "parquet", f"{run}/out", f"{run}/ckpt")])
+    return rounded(spark.read.parquet(f"{run}/out"))
+
+
+@register("drift_points_stream", f"""
+WITH s AS ({S.SENSOR}),
+p AS (SELECT *, [value, CAST(k AS DOUBLE)] AS cur, lag([value, CAST(k AS DOUBLE)]) OVER ({W_USER}) AS prev FROM s)
+SELECT user_id, event_id, ts,
+       round(list_avg(list_transform(cur, lambda x: list_sort(list_transform(prev, lambda q: abs(x - q)))[2])), 6) AS avg_nn,
+       false AS drift_detected, 0.0 AS kl_divergence
+FROM p WHERE prev IS NOT NULL""")
+def drift_points_stream_q(spark, sf):
+    """S11 + S13 + T5: drift points per record (nearest-neighbour distance to the previous
+    record, divergence, flag) from a rate-limited stream (one file per trigger), run
+    beside a second query on the same source; both are awaited."""
+    ev = _event_stream(spark, sf, max_files=1, n_files=4)
+    det = ST.nn_stream(ev, ["user_id"], ["ts", "event_id"], ["value", "k"], "event_id", "ts")
+    run = SIO.new_run(spark, "drift")
+    q1 = SIO.write_batches(det, f"{run}/out", f"{run}/ckpt")
+    counts = ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    q2 = SIO.write_complete(counts, f"{run}/counts", f"{run}/ckpt2")
+    SIO.await_all([q1, q2])
+    return rounded(spark.read.parquet(f"{run}/out"))

@@ -12,6 +12,8 @@ def build_session(master: str | None = None, app: str = "tidewatch",
                   shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     """Local/test session. On a cluster, use the session the platform gives you."""
     cpus = os.environ.get("BENCH_CPUS", "8")
+    # pandas in Python workers warns on every empty state batch; keep logs readable.
+    os.environ.setdefault("PYTHONWARNINGS", "ignore::FutureWarning")
     b = (SparkSession.builder
          .master(master or f"local[{cpus}]")
          .appName(app)
