@@ -38,19 +38,20 @@ def density_ratio(df: DataFrame, keys: Sequence[str], order: Sequence[str], xs:
     when the largest ratio among the last ``n`` records exceeds ``limit``.
 
     Output ``log_rdr`` (this record), ``log_rdr_max`` (last n) and ``alarm``; rows from
-    the second record of each series on. One window pass of n+1 rows.
+    the second record of each series on. Three window stages on one sort: previous
+    record, its ratio, rolling max.
     """
     feats = F.array(*[F.col(f"`{c}`").cast("double") for c in xs])
-    res = bounded_frames(df, keys, order, n + 1,
-                         lambda fr: {"_h": F.collect_list(feats).over(fr(-n, 0))})
-    res = res.filter(F.size("_h") >= 2)
-    ratios = F.expr(f"transform(sequence(1, size(_h) - 1), j -> "
-                    f"{log_density_ratio_expr('_h[j - 1]', '_h[j]', h)})")
-    return (res.withColumn("_r", ratios)
-            .withColumn("log_rdr", F.element_at("_r", -1))
-            .withColumn("log_rdr_max", F.array_max("_r"))
+    stages = [
+        lambda fr: {"_cur": feats, "_prev": F.lag(feats, 1).over(fr())},
+        lambda fr: {"log_rdr": F.when(F.col("_prev").isNotNull(),
+                                      F.expr(log_density_ratio_expr("_prev", "_cur", h)))},
+        lambda fr: {"log_rdr_max": F.max("log_rdr").over(fr(-(n - 1), 0))},
+    ]
+    res = bounded_frames(df, keys, order, n + 1, stages)
+    return (res.filter(F.col("_prev").isNotNull())
             .withColumn("alarm", F.col("log_rdr_max") > F.lit(math.log(limit)))
-            .drop("_h", "_r"))
+            .drop("_cur", "_prev"))
 
 
 def nn_distance(df: DataFrame, keys: Sequence[str], order: Sequence[str], xs: Sequence[str],

@@ -72,12 +72,37 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     return out
 
 
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int, int]:
+    """(largest group, total rows, number of groups) in one aggregate pass."""
+    if not keys:
+        n = df.count()
+        return n, n, 1
+    r = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count"), F.count(F.lit(1))).first()
+    return int(r[0] or 0), int(r[1] or 0), int(r[2] or 0)
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Row count of the biggest key group (0 for an empty table)."""
-    if not keys:
-        return df.count()
-    r = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return int(r or 0)
+    return group_sizes(df, keys)[0]
+
+
+# Groups below this size are never split (splitting costs a range shuffle + checkpoint).
+MIN_SPLIT_ROWS = 10_000
+
+
+def choose_block_rows(df: DataFrame, keys: Sequence[str], reach: int, block_rows: int = BLOCK_ROWS) -> int | None:
+    """Block size for splitting series, or None to keep one window group per key.
+
+    Split when a key exceeds ``block_rows`` (hot key), or when there are fewer keys than
+    cores and a key is large, so that the work spreads over the cluster; blocks never get
+    smaller than ``MIN_SPLIT_ROWS`` or 4x the frame reach (halo overhead <= 25 %).
+    """
+    biggest, total, groups = group_sizes(df, keys)
+    par = df.sparkSession.sparkContext.defaultParallelism
+    target = min(block_rows, max(MIN_SPLIT_ROWS, 4 * reach, total // max(1, 2 * par)))
+    if biggest > block_rows or (groups < par and biggest > max(target, MIN_SPLIT_ROWS)):
+        return target
+    return None
 
 
 def _framer(base: Window):
@@ -87,41 +112,47 @@ def _framer(base: Window):
 
 
 def bounded_frames(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int,
-                   columns: Callable[[Callable[[int, int], Window]], dict[str, Column]],
-                   pos_col: str | None = None, block_rows: int = BLOCK_ROWS,
+                   columns, pos_col: str | None = None, block_rows: int = BLOCK_ROWS,
                    force_blocks: bool = False) -> DataFrame:
     """Evaluate window expressions whose frames reach at most ``n-1`` rows back.
 
     ``columns(frame)`` returns ``{name: expression}``; ``frame(lo, hi)`` gives the
     window spec ``rowsBetween(lo, hi)`` (``lo >= -(n-1)``, ``hi <= 0``) for whichever
     partitioning is chosen, and ``frame()`` the unframed ordered spec (for ``lag``
-    with offset < n). If ``pos_col`` is given the 1-based position is kept.
+    with offset < n). ``columns`` may also be a list of such stages applied in turn
+    (a later stage may use earlier outputs); all stages share one window spec, so
+    Spark sorts once, and ``n - 1`` must cover the summed reach of the stages.
+    If ``pos_col`` is given the 1-based position is kept.
     """
     keys = list(keys)
-    if n < 1 or block_rows < n - 1:
-        raise ValueError("need n >= 1 and block_rows >= n - 1")
-    split = force_blocks or largest_group(df, keys) > block_rows
-    if not split:
+    stages = columns if isinstance(columns, (list, tuple)) else [columns]
+    if n < 1:
+        raise ValueError("n must be >= 1")
+    chosen = block_rows if force_blocks else choose_block_rows(df, keys, n, block_rows)
+    if chosen is None:
         base = Window.partitionBy(*keys).orderBy(*_cols(order))
         out = df
         if pos_col:
             out = out.withColumn(pos_col, F.row_number().over(base).cast("long"))
-        exprs = columns(_framer(base))
-        return out.select("*", *[e.alias(k) for k, e in exprs.items()])
+        for st in stages:
+            exprs = st(_framer(base))
+            out = out.select("*", *[e.alias(k) for k, e in exprs.items()])
+        return out
 
+    block_rows = max(chosen, n - 1)
     p = pos_col or "_pos"
     pos = with_position(df, keys, order, p)
     halo = n - 1
     blk = F.floor((F.col(p) - 1) / block_rows)
     in_tail = ((F.col(p) - 1) % block_rows) >= (block_rows - halo) if halo > 0 else F.lit(False)
     copies = F.when(in_tail, F.array(blk, blk + 1)).otherwise(F.array(blk))
-    spread = (pos.withColumn("_home", blk)
-              .withColumn("_blk", F.explode(copies)))
+    out = (pos.withColumn("_home", blk)
+           .withColumn("_blk", F.explode(copies)))
     base = Window.partitionBy(*keys, "_blk").orderBy(p)
-    exprs = columns(_framer(base))
-    out = (spread.select("*", *[e.alias(k) for k, e in exprs.items()])
-           .filter(F.col("_blk") == F.col("_home"))
-           .drop("_blk", "_home"))
+    for st in stages:
+        exprs = st(_framer(base))
+        out = out.select("*", *[e.alias(k) for k, e in exprs.items()])
+    out = out.filter(F.col("_blk") == F.col("_home")).drop("_blk", "_home")
     if not pos_col:
         out = out.drop(p)
     return out
