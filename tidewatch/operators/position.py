@@ -68,7 +68,7 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
         offsets = F.broadcast(offsets)
     out = (ranged.join(offsets, ["_slice", *keys])
            .withColumn(pos_col, F.col("_offset") + F.col("_local") - F.col("_first") + 1)
-           .drop("_slice", "_local", "_first", "_offset"))
+           .select(*[F.col(f"`{c}`") for c in df.columns], pos_col))
     return out
 
 
