@@ -107,7 +107,7 @@ _KS_FOLD = """aggregate(
 
 def kswin(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, window: int = 200,
           stat: int = 100, alpha: float = 1e-4, warmup: int = 0, min_stat: float = 0.1,
-          method: str = "arrow") -> DataFrame:
+          method: str = "arrow", pos_col: str | None = None) -> DataFrame:
     """D3 without reset: two-sample KS test of the older ``window-stat`` values against
     the newest ``stat`` values of the last ``window`` (requires window = 2 * stat).
 
@@ -126,7 +126,7 @@ def kswin(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, wind
         src = with_position(df, keys, order, "_wpos").filter(F.col("_wpos") != warmup)
     res = bounded_frames(src, keys, order, window, lambda fr: {
         "older": F.collect_list(F.col(x)).over(fr(-(window - 1), -stat)),
-        "recent": F.collect_list(F.col(x)).over(fr(-(stat - 1), 0))})
+        "recent": F.collect_list(F.col(x)).over(fr(-(stat - 1), 0))}, pos_col=pos_col)
     res = res.filter((F.size("older") == window - stat) & (F.size("recent") == stat))
     if warmup > 0:
         res = res.filter(F.col("_wpos") > warmup).drop("_wpos")

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.position import with_position
+from tidewatch.operators.position import BROADCAST_ROWS, with_position
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -105,3 +105,27 @@ def table_info(df: DataFrame) -> DataFrame:
                       F.lit("numeric" if types[c] in NUMERIC else "text").alias("kind")) for c in df.columns]
     return one.select("__rows", F.explode(F.array(*items)).alias("r")).select(
         F.col("__rows").alias("rows"), "r.*")
+
+
+def keyed_quantile(df: DataFrame, keys: Sequence[str], col: str, p: float, out: str = "threshold") -> DataFrame:
+    """Exact linearly interpolated ``p``-quantile of ``col`` per key: one row per key.
+
+    Values are numbered within each key by the hot-key-safe range numbering; only the
+    two rows around the target rank of each key survive to the final aggregate.
+    """
+    keys = list(keys)
+    vals = df.select(*keys, q(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    pos = with_position(vals, keys, ["_v"], "_p")
+    if keys:
+        sizes = pos.groupBy(*keys).agg(F.max("_p").alias("_n"))
+        # one row per key: broadcast only after counting it
+        ranked = pos.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, keys)
+    else:
+        ranked = pos.withColumn("_n", F.lit(pos.agg(F.max("_p")).first()[0]))
+    h = (F.col("_n") - 1) * F.lit(p)
+    ranked = ranked.withColumn("_lo", F.floor(h) + 1).withColumn("_hi", F.ceil(h) + 1).withColumn(
+        "_frac", h - F.floor(h))
+    near = ranked.filter((F.col("_p") == F.col("_lo")) | (F.col("_p") == F.col("_hi")))
+    vlo = F.max(F.when(F.col("_p") == F.col("_lo"), F.col("_v")))
+    vhi = F.max(F.when(F.col("_p") == F.col("_hi"), F.col("_v")))
+    return near.groupBy(*keys).agg((vlo + F.max("_frac") * (vhi - vlo)).alias(out))

@@ -311,3 +311,25 @@ def score_summary_q(spark, sf):
     delay, ordered by attacks detected."""
     boards = _cusum_board(spark, sf).unionByName(_cvm_board(spark, sf)).unionByName(_kswin_board(spark, sf))
     return rounded(score.rank_scores(score.summarise_scores(boards)))
+
+
+# --- D3 with reset, D6 quantile filter --------------------------------------------------------
+
+@register("kswin_reset")
+def kswin_reset_q(spark, sf):
+    """D3 with reset (batch): no-reset candidates in parallel, then the greedy alarm chain
+    by pointer doubling; equals the sequential stream form (kswin_stream)."""
+    from tidewatch.operators.detect.reset import kswin_reset
+    out = kswin_reset(_events(spark, sf), ["event_type"], ORDER, "value", 200, 100, 0.01)
+    return rounded(out.select("event_type", "event_id", "value", "ks_count", "ks_d", "alarm"))
+
+
+@register("quantile_filter", """
+SELECT e.event_id, e.event_type, e.value, round(t.threshold, 6) AS threshold, e.value >= t.threshold AS alarm
+FROM events e JOIN (SELECT event_type, quantile_cont(value, 0.995) AS threshold FROM events GROUP BY 1) t
+USING (event_type)""")
+def quantile_filter_q(spark, sf):
+    """D6 (filter part): score >= the exact 0.995 quantile of the scores of its series."""
+    from tidewatch.operators.detect.ocsvm import quantile_filter
+    out = quantile_filter(_events(spark, sf), ["event_type"], "value", 0.995)
+    return rounded(out.select("event_id", "event_type", "value", "threshold", "alarm"))
