@@ -333,3 +333,69 @@ def quantile_filter_q(spark, sf):
     from tidewatch.operators.detect.ocsvm import quantile_filter
     out = quantile_filter(_events(spark, sf), ["event_type"], "value", 0.995)
     return rounded(out.select("event_id", "event_type", "value", "threshold", "alarm"))
+
+
+# --- D4 kdq-tree -------------------------------------------------------------------------
+
+KDQ = dict(window=100, max_count=20, max_depth=40)
+
+
+def _kdq_sql(window: int, max_count: int, max_depth: int) -> str:
+    depth = max_depth
+    from tidewatch.operators.detect.kdq import levels, splits_per_axis
+    xs = LINE_VECTOR
+    m = splits_per_axis(len(xs), depth)
+    qs = ", ".join(
+        f"CAST(CASE WHEN hi{i} - lo{i} <= 0 THEN 0 ELSE least(greatest(floor((CAST({c} AS DOUBLE) - lo{i}) / "
+        f"(hi{i} - lo{i}) * {float(2 ** m[i])!r}), 0), {2 ** m[i] - 1}) END AS BIGINT) AS q{i}"
+        for i, c in enumerate(xs))
+    code = " + ".join(f"(((q{ax} >> {m[ax] - 1 - k}) & 1) << {depth - 1 - lev})" for lev, ax, k in levels(len(xs), depth))
+    box = ", ".join(f"min(CAST({c} AS DOUBLE)) AS lo{i}, max(CAST({c} AS DOUBLE)) AS hi{i}" for i, c in enumerate(xs))
+    return f"""
+WITH b AS (SELECT l_suppkey, {', '.join(xs)}, row_number() OVER ({_LW}) AS pos,
+                  floor((row_number() OVER ({_LW}) - 1) / {window}) AS block FROM lineitem),
+fb AS (SELECT l_suppkey, block FROM b GROUP BY 1, 2 HAVING count(*) = {window}),
+bf AS (SELECT b.* FROM b JOIN fb USING (l_suppkey, block)),
+box AS (SELECT l_suppkey, {box} FROM bf WHERE block = 0 GROUP BY 1),
+q AS (SELECT bf.l_suppkey, bf.block, bf.pos, {qs} FROM bf JOIN box USING (l_suppkey)),
+c AS (SELECT l_suppkey, block, pos, CAST({code} AS BIGINT) AS code FROM q),
+pref AS (SELECT l_suppkey, r.l, code >> ({depth} - r.l) AS p, count(*) AS cnt
+         FROM c CROSS JOIN range(0, {depth}) r(l) WHERE block = 0 GROUP BY 1, 2, 3),
+split AS (SELECT l_suppkey, l, p FROM pref WHERE cnt > {max_count}),
+lv AS (SELECT c.l_suppkey, c.block, c.pos, c.code, count(s.p) AS depth
+       FROM c CROSS JOIN range(0, {depth}) r(l)
+       LEFT JOIN split s ON s.l_suppkey = c.l_suppkey AND s.l = r.l AND s.p = (c.code >> ({depth} - r.l))
+       GROUP BY 1, 2, 3, 4),
+cnt AS (SELECT l_suppkey, block, depth AS l, code >> ({depth} - depth) AS p, count(*) AS n FROM lv GROUP BY 1, 2, 3, 4),
+kids AS (SELECT l_suppkey, l + 1 AS l, p * 2 + u.b AS p FROM split CROSS JOIN (VALUES (0), (1)) u(b)),
+leaves AS (SELECT * FROM kids EXCEPT SELECT * FROM split
+           UNION ALL SELECT l_suppkey, 0, 0 FROM box WHERE l_suppkey NOT IN (SELECT l_suppkey FROM split WHERE l = 0)),
+nl AS (SELECT l_suppkey, count(*) AS nleaf FROM leaves GROUP BY 1),
+grid AS (SELECT lf.l_suppkey, fb.block, lf.l, lf.p FROM leaves lf JOIN fb USING (l_suppkey) WHERE fb.block > 0),
+g AS (SELECT grid.*, coalesce(r.n, 0) AS cr, coalesce(t.n, 0) AS ct FROM grid
+      LEFT JOIN cnt r ON r.l_suppkey = grid.l_suppkey AND r.block = 0 AND r.l = grid.l AND r.p = grid.p
+      LEFT JOIN cnt t ON t.l_suppkey = grid.l_suppkey AND t.block = grid.block AND t.l = grid.l AND t.p = grid.p),
+pp AS (SELECT g.*, (cr + 0.5) / (sum(cr) OVER (PARTITION BY g.l_suppkey, block) + nleaf / 2.0) AS pr,
+              (ct + 0.5) / (sum(ct) OVER (PARTITION BY g.l_suppkey, block) + nleaf / 2.0) AS pt
+       FROM g JOIN nl USING (l_suppkey))
+SELECT l_suppkey, CAST(block AS BIGINT) AS block, round(sum(pr * ln(pr / pt)), 6) AS kl FROM pp GROUP BY 1, 2"""
+
+
+@register("kdq_divergence", _kdq_sql(**KDQ))
+def kdq_divergence_q(spark, sf):
+    """D4 core: kdq-tree on each supplier's first block of 100 lineitem 4-vectors (leaf
+    bound 20), KL divergence of every later full block from it."""
+    from tidewatch.operators.detect.kdq import kdq_tree
+    li = table(spark, sf, "lineitem")
+    out = kdq_tree(li, ["l_suppkey"], LINE_ORDER, LINE_VECTOR, with_threshold=False, **KDQ)
+    return rounded(out.select("l_suppkey", F.col("block").cast("long").alias("block"), "kl"))
+
+
+@register("kdq_tree")
+def kdq_tree_q(spark, sf):
+    """Kdq-tree divergence with a 500-resample bootstrap threshold (alpha 0.05, seed 1)
+    and the drift state per supplier block."""
+    from tidewatch.operators.detect.kdq import kdq_tree
+    li = table(spark, sf, "lineitem")
+    out = kdq_tree(li, ["l_suppkey"], LINE_ORDER, LINE_VECTOR, alpha=0.05, boot=500, seed=1, **KDQ)
+    return rounded(out.select("l_suppkey", "block", "kl", "threshold", "drift", "state"))
