@@ -23,3 +23,19 @@ def quantile_filter(df: DataFrame, keys: Sequence[str], score: str, q: float = 0
     else:
         out = df.withColumn("threshold", F.lit(thr.first()["threshold"]))
     return out.withColumn("alarm", F.col(score) >= F.col("threshold"))
+
+
+def one_class_svm(df: DataFrame, keys: Sequence[str], xs: Sequence[str], nu: float = 0.1, q: float = 0.995,
+                  steps: int = 30, scale: bool = True) -> DataFrame:
+    """Fit a linear one-class SVM per key on all its rows (full batch), score every
+    row (rho - w.x) and alarm on scores at or above the key's exact ``q`` quantile.
+    Features are standardised first (M4) unless ``scale=False``."""
+    from tidewatch.operators.detect.ocsvm_fit import fit_one_class_svm, svm_scores
+    from tidewatch.operators.ml import standard_scale
+    src = standard_scale(df, xs, suffix="__s") if scale else df
+    feats = [f"{c}__s" for c in xs] if scale else list(xs)
+    params = fit_one_class_svm(src, keys, feats, nu, steps)
+    scored = svm_scores(src, params, keys, feats)
+    if scale:
+        scored = scored.drop(*feats)
+    return quantile_filter(scored, keys, "score", q)

@@ -399,3 +399,34 @@ def kdq_tree_q(spark, sf):
     li = table(spark, sf, "lineitem")
     out = kdq_tree(li, ["l_suppkey"], LINE_ORDER, LINE_VECTOR, alpha=0.05, boot=500, seed=1, **KDQ)
     return rounded(out.select("l_suppkey", "block", "kl", "threshold", "drift", "state"))
+
+
+# --- D5 PCA-CD, D6 one-class SVM -------------------------------------------------------
+
+@register("pca_cd")
+def pca_cd_q(spark, sf):
+    """PCA change detection per supplier (blocks of 50 lineitem 4-vectors, KL,
+    Page-Hinkley delta 0.1 over the per-block divergence)."""
+    from tidewatch.operators.detect.pca import pca_cd
+    out = pca_cd(table(spark, sf, "lineitem"), ["l_suppkey"], LINE_ORDER, LINE_VECTOR, window=50, delta=0.1)
+    return rounded(out)
+
+
+@register("one_class_svm")
+def one_class_svm_q(spark, sf):
+    """Linear one-class SVM (nu 0.1) per supplier on scaled lineitem 4-vectors,
+    alarms above the 0.995 quantile of the supplier's scores."""
+    from tidewatch.operators.detect.ocsvm import one_class_svm
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", *LINE_VECTOR)
+    out = one_class_svm(li, ["l_suppkey"], LINE_VECTOR, nu=0.1, q=0.995)
+    return rounded(out.select("l_orderkey", "l_linenumber", "l_suppkey", "score", "threshold", "alarm"))
+
+
+@register("save_read_results", _CUSUM_BOARD_SQL)
+def save_read_results_q(spark, sf):
+    """The CUSUM scoreboard appended to a CSV results table and read back by schema."""
+    from tidewatch.sources.points import read_results, save_results, shared_path
+    import uuid
+    path = shared_path(spark, f"results-{uuid.uuid4().hex[:12]}")
+    save_results(_cusum_board(spark, sf), path)
+    return read_results(spark, path)

@@ -101,3 +101,14 @@ def drift_points_stream_q(spark, sf):
     q2 = SIO.write_complete(counts, f"{run}/counts", f"{run}/ckpt2")
     SIO.await_all([q1, q2])
     return rounded(spark.read.parquet(f"{run}/out"))
+
+
+@register("cvm_stream")
+def cvm_stream_q(spark, sf):
+    """Cramer-von Mises per user over a stream (exact erf in the state function;
+    compare with the batch `cvm` query, which uses the 1.5e-7 polynomial)."""
+    ev = _event_stream(spark, sf, max_files=1, n_files=4)
+    det = ST.cvm_stream(ev, ["user_id"], ["ts", "event_id"], "value", "event_id", 10, 0.461, 10.0)
+    run = SIO.new_run(spark, "cvm")
+    SIO.await_all([SIO.write_stream(det, "parquet", f"{run}/out", f"{run}/ckpt")])
+    return rounded(spark.read.parquet(f"{run}/out"))

@@ -135,3 +135,34 @@ def nn_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], xs: Sequ
         yield pd.DataFrame(rows, columns=[*keys, id_col, time_col, "avg_nn", "drift_detected", "kl_divergence"])
 
     return _run(df, keys, fn, out_schema, "prev array<double>")
+
+
+def cvm_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, id_col: str,
+               n: int = 10, crit: float = 0.461, min_shift: float = 10.0) -> DataFrame:
+    """D2 over a stream (raw values against N(0,1), Stephens' modified statistic, gated by
+    |x - mean(history)| > min_shift); same rows as the batch form on in-order input."""
+    from math import erf, sqrt
+    key_types = dict(df.dtypes)
+    out_schema = ", ".join([f"`{c}` {key_types[c]}" for c in keys] +
+                           [f"`{id_col}` {key_types[id_col]}", f"`{x}` double", "cvm_w2 double",
+                            "shift double", "alarm boolean"])
+
+    def fn(key, pdfs, state):
+        pdf = _sorted_batches(pdfs, order)
+        hist = list(state.get[0]) if state.exists else []
+        rows = []
+        if len(pdf):
+            for rid, v in zip(pdf[id_col].to_numpy(), pdf[x].astype(float).to_numpy()):
+                hist = (hist + [float(v)])[-n:]
+                if len(hist) == n:
+                    srt = sorted(hist)
+                    w2 = 1.0 / (12 * n) + sum(((2 * i + 1) / (2.0 * n) - 0.5 * (1 + erf(u / sqrt(2)))) ** 2
+                                              for i, u in enumerate(srt))
+                    m = sum(hist) / n
+                    wstar = (w2 - 0.4 / n + 0.6 / (n * n)) * (1 + 1.0 / n)
+                    shift = abs(float(v) - m)
+                    rows.append((*key, rid, float(v), w2, shift, bool(wstar > crit and shift > min_shift)))
+            state.update((hist[-(n - 1):] if n > 1 else [],))
+        yield pd.DataFrame(rows, columns=[*keys, id_col, x, "cvm_w2", "shift", "alarm"])
+
+    return _run(df, keys, fn, out_schema, "hist array<double>")
