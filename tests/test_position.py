@@ -15,7 +15,7 @@ def _events(spark):
 def test_position_matches_row_number_keyed_and_unkeyed(spark):
     ev = _events(spark)
     for keys in ([], ["user_id"]):
-        p = with_position(ev, keys, ["ts", "event_id"], "pos")
+        p = with_position(ev, keys, ["ts", "event_id"], "pos", force_range=True)
         ref = ev.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("ts", "event_id")))
         j = p.join(ref.select("event_id", "rn"), "event_id")
         assert j.count() == ev.count()

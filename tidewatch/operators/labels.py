@@ -17,11 +17,23 @@ BUCKET_SECONDS = 86_400
 
 def interval_table(spark: SparkSession, rows: Sequence[tuple] = fixed.EVENT_INTERVALS) -> DataFrame:
     """(interval_id INT, start TIMESTAMP_NTZ, end TIMESTAMP_NTZ) from literal rows."""
-    df = spark.createDataFrame([(int(i), s, e) for i, s, e in rows],
-                               "interval_id INT, start_s STRING, end_s STRING")
-    return df.select("interval_id",
-                     F.to_timestamp_ntz("start_s").alias("start"),
-                     F.to_timestamp_ntz("end_s").alias("end"))
+    rows = [(int(i), s, e) for i, s, e in rows]
+    df = spark.createDataFrame(rows, "interval_id INT, start_s STRING, end_s STRING")
+    out = df.select("interval_id",
+                    F.to_timestamp_ntz("start_s").alias("start"),
+                    F.to_timestamp_ntz("end_s").alias("end"))
+    # literal rows are known on the driver: keep them so no job is needed to inspect them
+    out._tw_literal = sorted(rows, key=lambda r: (r[1], r[0]))
+    return out
+
+
+def _literal(iv: DataFrame):
+    return getattr(iv, "_tw_literal", None)
+
+
+def _count(iv: DataFrame) -> int:
+    lit = _literal(iv)
+    return len(lit) if lit is not None else iv.count()
 
 
 def truncate_time(df: DataFrame, col: str, unit: str = "second", out: str | None = None) -> DataFrame:
@@ -39,6 +51,9 @@ def _bucketed(iv: DataFrame) -> DataFrame:
 def _disjoint(iv: DataFrame) -> bool:
     """True if no two intervals share a point. Overlapping intervals share a time
     bucket, so the check runs per bucket (distributed, no global sort)."""
+    lit = _literal(iv)
+    if lit is not None:
+        return all(lit[i][1] > lit[i - 1][2] for i in range(1, len(lit)))
     w = (Window.partitionBy("_bkt").orderBy("start", "interval_id")
          .rowsBetween(Window.unboundedPreceding, -1))
     prev_end = F.max("end").over(w)
@@ -72,7 +87,7 @@ def interval_match(df: DataFrame, time_col: str, intervals: DataFrame,
     de-duplication is needed; overlapping tables need ``row_key`` (unique per row)
     and pay one aggregation on it.
     """
-    n = intervals.count()
+    n = _count(intervals)
     small = n <= BROADCAST_INTERVALS
     joined = _matches(df, time_col, intervals, small)
     if not _disjoint(intervals):
@@ -96,12 +111,16 @@ def label_intervals(df: DataFrame, time_col: str, intervals: DataFrame, label_co
                     hit: str = fixed.HIT_LABEL, miss: str = fixed.MISS_LABEL,
                     row_key: Sequence[str] | None = None) -> DataFrame:
     """``hit`` if the time lies in any closed interval, else ``miss`` (NULL time -> miss)."""
-    if intervals.count() <= 16:
+    if _count(intervals) <= 16:
         # A handful of intervals: a CASE chain keeps the scan map-only and codegen'd.
         conds = None
-        for r in intervals.select("start", "end").collect():
-            lo = F.lit(r["start"].isoformat(sep=" ")).cast("timestamp_ntz")
-            hi = F.lit(r["end"].isoformat(sep=" ")).cast("timestamp_ntz")
+        lit = _literal(intervals)
+        bounds = ([(s, e) for _, s, e in lit] if lit is not None else
+                  [(r["start"].isoformat(sep=" "), r["end"].isoformat(sep=" "))
+                   for r in intervals.select("start", "end").collect()])
+        for start, end in bounds:
+            lo = F.lit(start).cast("timestamp_ntz")
+            hi = F.lit(end).cast("timestamp_ntz")
             c = F.col(time_col).between(lo, hi)
             conds = c if conds is None else (conds | c)
         lab = F.when(conds, F.lit(hit)).otherwise(F.lit(miss)) if conds is not None else F.lit(miss)

@@ -48,9 +48,17 @@ def _shuffle_partitions(df: DataFrame) -> int:
 
 
 def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                  pos_col: str = "pos", num_slices: int | None = None) -> DataFrame:
-    """Add ``pos_col`` = 1-based record number within ``keys`` in ``order``."""
+                  pos_col: str = "pos", num_slices: int | None = None, force_range: bool = False) -> DataFrame:
+    """Add ``pos_col`` = 1-based record number within ``keys`` in ``order``.
+
+    When no key holds more than ``BLOCK_ROWS`` rows (one cheap aggregate to find out)
+    a keyed ``row_number`` is used: every window group is bounded. Otherwise, or with
+    ``force_range``, the range-sliced numbering below spreads the hot keys.
+    """
     keys = list(keys)
+    if not force_range and num_slices is None and largest_group(df, keys) <= BLOCK_ROWS:
+        w = Window.partitionBy(*keys).orderBy(*_cols(order))
+        return df.withColumn(pos_col, F.row_number().over(w).cast("long"))
     n = num_slices or _shuffle_partitions(df)
     sort_cols = _cols(keys) + _cols(order)
     ranged = (df.repartitionByRange(n, *sort_cols)
@@ -141,7 +149,7 @@ def bounded_frames(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
 
     block_rows = max(chosen, n - 1)
     p = pos_col or "_pos"
-    pos = with_position(df, keys, order, p)
+    pos = with_position(df, keys, order, p, force_range=force_blocks)
     halo = n - 1
     blk = F.floor((F.col(p) - 1) / block_rows)
     in_tail = ((F.col(p) - 1) % block_rows) >= (block_rows - halo) if halo > 0 else F.lit(False)

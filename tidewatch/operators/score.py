@@ -23,7 +23,9 @@ def scoreboard(alarms: DataFrame, time_col: str, label_col: str, intervals: Data
     (0 doubles as "unset", so delay 0 is never recorded), else 0. One global
     aggregate with map-side partials; interval ids come from the (small) interval table.
     """
-    ids = [r[0] for r in intervals.select("interval_id").orderBy("interval_id").collect()]
+    lit = getattr(intervals, "_tw_literal", None)
+    ids = (sorted(r[0] for r in lit) if lit is not None else
+           [r[0] for r in intervals.select("interval_id").orderBy("interval_id").collect()])
     m = attribute(alarms, time_col, intervals, row_key)
     is_hit = F.col(label_col) == F.lit(hit)
     aggs = [F.count(F.when(is_hit, 1)).alias("detections"),
