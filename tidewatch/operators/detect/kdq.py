@@ -29,9 +29,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark import StorageLevel
 
-from tidewatch.operators.history import count_blocks
+from tidewatch.operators.history import full_blocks
 from tidewatch.operators.position import BROADCAST_ROWS
 
 COARSE_LEVELS = 8
@@ -71,11 +70,12 @@ def with_cell_code(df: DataFrame, xs: Sequence[str], max_depth: int, out: str =
     return df.withColumn(out, F.expr(" | ".join(terms))).drop(*[f"_q{i}" for i in range(d)])
 
 
-def _kl_from_counts(ref: np.ndarray, test: np.ndarray) -> float:
-    leaves = len(ref)
-    pr = (ref + 0.5) / (ref.sum() + leaves / 2.0)
-    pt = (test + 0.5) / (test.sum() + leaves / 2.0)
-    return float(np.sum(pr * np.log(pr / pt)))
+def _kl_rows(ref: np.ndarray, test: np.ndarray) -> np.ndarray:
+    """KL with +0.5 smoothing for each row pair of two (samples x leaves) count matrices."""
+    leaves = ref.shape[-1]
+    pr = (ref + 0.5) / (ref.sum(axis=-1, keepdims=True) + leaves / 2.0)
+    pt = (test + 0.5) / (test.sum(axis=-1, keepdims=True) + leaves / 2.0)
+    return np.sum(pr * np.log(pr / pt), axis=-1)
 
 
 def bootstrap_thresholds(leaf_ref: DataFrame, keys: Sequence[str], window: int, boot: int, alpha: float,
@@ -92,7 +92,7 @@ def bootstrap_thresholds(leaf_ref: DataFrame, keys: Sequence[str], window: int,
         rng = np.random.default_rng(seed)
         a = rng.multinomial(window, p, size=boot).astype(float)
         b = rng.multinomial(window, p, size=boot).astype(float)
-        kls = [_kl_from_counts(a[i], b[i]) for i in range(boot)]
+        kls = _kl_rows(a, b)
         row = {k: [pdf[k].iloc[0]] for k in keys}
         row["threshold"] = [float(np.quantile(kls, 1 - alpha))]
         return pd.DataFrame(row)
@@ -109,17 +109,13 @@ def kdq_tree(df: DataFrame, keys: Sequence[str], order: Sequence[str], xs: Seque
     d = len(xs)
     depth = max_depth or min(60, 10 * d)
     coarse = min(COARSE_LEVELS, depth)
-    blk = count_blocks(df.select(*keys, *order, *[c for c in xs if c not in order]), keys, order, window)
-    full = blk.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("_bn")).filter(F.col("_bn") == window)
-    box = (blk.filter(F.col("block") == 0).join(full.filter(F.col("block") == 0).select(*keys), keys)
-           .groupBy(*keys)
+    blk = full_blocks(df.select(*keys, *order, *[c for c in xs if c not in order]), keys, order, window)
+    box = (blk.filter(F.col("block") == 0).groupBy(*keys)
            .agg(*[F.min(F.col(f"`{c}`").cast("double")).alias(f"_lo{i}") for i, c in enumerate(xs)],
                 *[F.max(F.col(f"`{c}`").cast("double")).alias(f"_hi{i}") for i, c in enumerate(xs)]))
     nkeys = box.count()
     boxb = F.broadcast(box) if nkeys <= BROADCAST_ROWS else box
-    coded = with_cell_code(blk.join(full.drop("_bn"), [*keys, "block"]).join(boxb, keys), xs, depth)
-    # used by the tree build and by the leaf assignment: keep one copy
-    coded = coded.select(*keys, "block", "_code").persist(StorageLevel.MEMORY_AND_DISK)
+    coded = with_cell_code(blk.join(boxb, keys), xs, depth).select(*keys, "block", "_code")
 
     # split nodes from the reference block: cells at level l < depth holding > max_count rows
     ref = coded.filter(F.col("block") == 0)

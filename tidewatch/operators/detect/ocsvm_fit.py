@@ -17,7 +17,7 @@ from tidewatch.operators.position import BROADCAST_ROWS
 
 
 def fit_one_class_svm(train: DataFrame, keys: Sequence[str], xs: Sequence[str], nu: float = 0.1,
-                      steps: int = 30, lr: float = 0.5, checkpoint_every: int = 5) -> DataFrame:
+                      steps: int = 30, lr: float = 0.5, checkpoint_every: int = 1) -> DataFrame:
     """(keys, w_<i>, rho) after ``steps`` sub-gradient steps (step size lr / sqrt(t))."""
     keys = list(keys)
     d = len(xs)

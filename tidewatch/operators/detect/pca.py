@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.detect.univariate import page_hinkley
-from tidewatch.operators.history import count_blocks
+from tidewatch.operators.history import full_blocks
 from tidewatch.operators.position import BROADCAST_ROWS
 
 
@@ -71,9 +71,8 @@ def pca_cd(df: DataFrame, keys: Sequence[str], order: Sequence[str], xs: Sequenc
     statistic and state. Only full blocks are scored."""
     keys = list(keys)
     d = len(xs)
-    blk = count_blocks(df.select(*keys, *order, *[c for c in xs if c not in order]), keys, order, window)
-    full = blk.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("_bn")).filter(F.col("_bn") == window)
-    rows = blk.join(full.drop("_bn"), [*keys, "block"]).select(*keys, "block", *xs)
+    blk = full_blocks(df.select(*keys, *order, *[c for c in xs if c not in order]), keys, order, window)
+    rows = blk.select(*keys, "block", *xs)
     comps = reference_components(rows.filter(F.col("block") == 0), keys, xs, var_kept).checkpoint(eager=True)
     proj = rows.join(_maybe_broadcast(comps), keys).withColumn(
         "_z", sum((F.col(f"`{c}`").cast("double") - F.col(f"mean_{i}")) * F.col(f"w_{i}")

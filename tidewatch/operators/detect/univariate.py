@@ -16,7 +16,7 @@ from tidewatch import fixed
 from tidewatch.functions.scalars import normal_cdf_expr
 from tidewatch.functions.vectorized import ks_count
 from tidewatch.operators.history import running
-from tidewatch.operators.position import bounded_frames
+from tidewatch.operators.position import BLOCK_ROWS, bounded_frames, largest_group
 
 
 # --- D1 CUSUM ---------------------------------------------------------------------
@@ -146,11 +146,11 @@ def page_hinkley(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: st
 
     Three running scans (sum, sum, min); each is hot-key safe via ``running``.
     """
-    a = running(df, keys, order, {"_cs": ("sum", F.col(x)), "_cn": ("sum", F.lit(1))},
-                force_blocks=force_blocks)
+    split = force_blocks or largest_group(df, keys) > BLOCK_ROWS  # one size check for all three scans
+    a = running(df, keys, order, {"_cs": ("sum", F.col(x)), "_cn": ("sum", F.lit(1))}, blocks=split)
     a = a.withColumn("_dev", F.col(x) - F.col("_cs") / F.col("_cn") - F.lit(delta))
-    b = running(a, keys, order, {"ph_m": ("sum", F.col("_dev"))}, force_blocks=force_blocks)
-    c = running(b, keys, order, {"ph_min": ("min", F.col("ph_m"))}, force_blocks=force_blocks)
+    b = running(a, keys, order, {"ph_m": ("sum", F.col("_dev"))}, blocks=split)
+    c = running(b, keys, order, {"ph_min": ("min", F.col("ph_m"))}, blocks=split)
     gap = F.col("ph_m") - F.col("ph_min")
     state = F.when(gap > lam, "drift").when(gap > warn * lam, "warning").otherwise("none")
     return c.withColumn("ph_stat", gap).withColumn("state", state).drop("_cs", "_cn", "_dev")

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.position import BLOCK_ROWS, bounded_frames, largest_group, with_position
+from tidewatch.operators.position import BLOCK_ROWS, BROADCAST_ROWS, bounded_frames, largest_group, with_position
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
@@ -63,6 +63,25 @@ def count_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: in
     return pos.withColumn(block_col, F.floor((F.col(pos_col) - 1) / n))
 
 
+def full_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
+                block_col: str = "block") -> DataFrame:
+    """W5 restricted to complete blocks of exactly ``n`` records (the trailing partial
+    block of each series is left out). Block completeness comes from the per-key row
+    count (a partial aggregate, no sort), joined back; the numbered rows are persisted
+    because detectors read them several times."""
+    from pyspark import StorageLevel
+    keys = list(keys)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")) if keys else None
+    blk = count_blocks(df, keys, order, n, "_bpos", block_col)
+    if keys:
+        small = sizes.count() <= BROADCAST_ROWS
+        blk = blk.join(F.broadcast(sizes) if small else sizes, keys)
+    else:
+        blk = blk.withColumn("_rows", F.lit(df.count()))
+    blk = blk.filter(F.col(block_col) < F.floor(F.col("_rows") / n)).drop("_rows", "_bpos")
+    return blk.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 # --- running (unbounded-preceding) scans ---------------------------------------------
 
 _OPS = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -70,16 +89,18 @@ _COMBINE = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest}
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], exprs: dict[str, tuple[str, Column]],
-            block_rows: int = BLOCK_ROWS, force_blocks: bool = False) -> DataFrame:
+            block_rows: int = BLOCK_ROWS, force_blocks: bool = False, blocks: bool | None = None) -> DataFrame:
     """Running aggregates from the first row of the series to the current row.
 
     ``exprs``: ``{out: (op, column)}`` with op in sum/min/max. A small series uses one
     keyed window. A large one is numbered (hot-key-safe), cut into blocks, and
     scanned in two levels: per-block totals, an exclusive prefix over the (few) blocks
-    of a key, joined back to the within-block running value.
+    of a key, joined back to the within-block running value. ``blocks`` lets a caller
+    that already knows the group sizes skip the check.
     """
     keys = list(keys)
-    if not force_blocks and largest_group(df, keys) <= block_rows:
+    split = force_blocks or (blocks if blocks is not None else largest_group(df, keys) > block_rows)
+    if not split:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[_OPS[op](c).over(w).alias(k) for k, (op, c) in exprs.items()])
     pos = with_position(df, keys, order, "_rpos").withColumn("_rblk", F.floor((F.col("_rpos") - 1) / block_rows))

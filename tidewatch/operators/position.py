@@ -51,12 +51,13 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
                   pos_col: str = "pos", num_slices: int | None = None, force_range: bool = False) -> DataFrame:
     """Add ``pos_col`` = 1-based record number within ``keys`` in ``order``.
 
-    When no key holds more than ``BLOCK_ROWS`` rows (one cheap aggregate to find out)
-    a keyed ``row_number`` is used: every window group is bounded. Otherwise, or with
-    ``force_range``, the range-sliced numbering below spreads the hot keys.
+    When there are keys and none holds more than ``BLOCK_ROWS`` rows (one cheap
+    aggregate to find out) a keyed ``row_number`` is used: every window group is
+    bounded. Otherwise (hot key, or one un-keyed series), or with ``force_range``, the
+    range-sliced numbering below spreads the work over all tasks.
     """
     keys = list(keys)
-    if not force_range and num_slices is None and largest_group(df, keys) <= BLOCK_ROWS:
+    if keys and not force_range and num_slices is None and largest_group(df, keys) <= BLOCK_ROWS:
         w = Window.partitionBy(*keys).orderBy(*_cols(order))
         return df.withColumn(pos_col, F.row_number().over(w).cast("long"))
     n = num_slices or _shuffle_partitions(df)
