@@ -47,16 +47,21 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], prefix: str
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """A2 (numeric): per column count, mean, std (sample), min, 25/50/75 % (exact, linear
-    interpolation) and max, as one row per column."""
-    out = None
-    for c in cols:
-        v = F.col("_v")
-        basic = [F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-                 F.min(v).alias("min"), F.max(v).alias("max")]
-        qs = exact_quantiles(df, c, [0.25, 0.5, 0.75], "p", basic)
-        row = qs.select(F.lit(c).alias("column_name"), "count", "mean", "std", "min", "p25", "p50", "p75", "max")
-        out = row if out is None else out.unionByName(row)
-    return out
+    interpolation) and max, as one row per column.
+
+    All columns go through one pass: the table is unpivoted to (column_name, value),
+    the moments are one grouped aggregate, and the quartiles one keyed exact-quantile
+    computation (numbering per column, hot-key safe), joined on column_name.
+    """
+    items = [F.struct(F.lit(c).alias("column_name"), q(c).cast("double").alias("_v")) for c in cols]
+    long = df.select(F.explode(F.array(*items)).alias("_r")).select("_r.*").filter(F.col("_v").isNotNull())
+    v = F.col("_v")
+    moments = long.groupBy("column_name").agg(
+        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+        F.min(v).alias("min"), F.max(v).alias("max"))
+    quart = keyed_quantiles(long, ["column_name"], "_v", [0.25, 0.5, 0.75], "p")
+    return moments.join(quart, "column_name").select(
+        "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def describe_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -107,12 +112,11 @@ def table_info(df: DataFrame) -> DataFrame:
         F.col("__rows").alias("rows"), "r.*")
 
 
-def keyed_quantile(df: DataFrame, keys: Sequence[str], col: str, p: float, out: str = "threshold") -> DataFrame:
-    """Exact linearly interpolated ``p``-quantile of ``col`` per key: one row per key.
-
-    Values are numbered within each key by the hot-key-safe range numbering; only the
-    two rows around the target rank of each key survive to the final aggregate.
-    """
+def keyed_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float],
+                    prefix: str = "q") -> DataFrame:
+    """Exact linearly interpolated quantiles of ``col`` per key (one row per key, one
+    column ``<prefix><100p>`` per probability). Values are numbered within each key by
+    the hot-key-safe numbering; only rows at the target ranks reach the final aggregate."""
     keys = list(keys)
     vals = df.select(*keys, q(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     pos = with_position(vals, keys, ["_v"], "_p")
@@ -122,10 +126,20 @@ def keyed_quantile(df: DataFrame, keys: Sequence[str], col: str, p: float, out:
         ranked = pos.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, keys)
     else:
         ranked = pos.withColumn("_n", F.lit(pos.agg(F.max("_p")).first()[0]))
-    h = (F.col("_n") - 1) * F.lit(p)
-    ranked = ranked.withColumn("_lo", F.floor(h) + 1).withColumn("_hi", F.ceil(h) + 1).withColumn(
-        "_frac", h - F.floor(h))
-    near = ranked.filter((F.col("_p") == F.col("_lo")) | (F.col("_p") == F.col("_hi")))
-    vlo = F.max(F.when(F.col("_p") == F.col("_lo"), F.col("_v")))
-    vhi = F.max(F.when(F.col("_p") == F.col("_hi"), F.col("_v")))
-    return near.groupBy(*keys).agg((vlo + F.max("_frac") * (vhi - vlo)).alias(out))
+    near = None
+    aggs = []
+    for p in probs:
+        h = (F.col("_n") - 1) * F.lit(p)
+        lo, hi, frac = F.floor(h) + 1, F.ceil(h) + 1, h - F.floor(h)
+        hit = (F.col("_p") == lo) | (F.col("_p") == hi)
+        near = hit if near is None else (near | hit)
+        vlo = F.max(F.when(F.col("_p") == lo, F.col("_v")))
+        vhi = F.max(F.when(F.col("_p") == hi, F.col("_v")))
+        aggs.append((vlo + F.max(frac) * (vhi - vlo)).alias(f"{prefix}{int(round(p * 100))}"))
+    return ranked.filter(near).groupBy(*keys).agg(*aggs)
+
+
+def keyed_quantile(df: DataFrame, keys: Sequence[str], col: str, p: float, out: str = "threshold") -> DataFrame:
+    """Exact linearly interpolated ``p``-quantile of ``col`` per key: one row per key."""
+    res = keyed_quantiles(df, keys, col, [p], "_q")
+    return res.withColumnRenamed(f"_q{int(round(p * 100))}", out)
