@@ -51,3 +51,18 @@ def test_running_blocked_equals_window(spark):
     b = history.running(ev, ["user_id"], ["ts", "event_id"], spec, block_rows=11, force_blocks=True)
     j = a.alias("a").join(b.alias("b"), "event_id")
     assert j.filter((F.abs(F.col("a.s") - F.col("b.s")) > 1e-6) | (F.col("a.mn") != F.col("b.mn"))).count() == 0
+
+
+def test_interval_match_bucketed_path_equals_broadcast(spark):
+    import tidewatch.operators.labels as L
+    ev = _events(spark).withColumn("ts", F.date_trunc("second", "ts"))
+    iv = L.interval_table(spark)
+    a = L.interval_match(ev, "ts", iv, row_key=["event_id"])
+    old = L.BROADCAST_INTERVALS
+    try:
+        L.BROADCAST_INTERVALS = 0  # force the bucketed equi-join
+        b = L.interval_match(ev, "ts", iv, row_key=["event_id"])
+        assert "BroadcastNestedLoopJoin" not in b._jdf.queryExecution().executedPlan().toString()
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    finally:
+        L.BROADCAST_INTERVALS = old

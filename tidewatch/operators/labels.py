@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tidewatch import fixed
 
-# Interval tables up to this many rows are broadcast (size checked by count()).
-BROADCAST_INTERVALS = 100_000
+# Interval tables up to this many rows are matched by a broadcast nested-loop range join
+# (rows x intervals comparisons, so kept small); larger ones by a bucketed equi-join.
+BROADCAST_INTERVALS = 64
 # Bucket width for the equi-join fallback on large interval tables.
 BUCKET_SECONDS = 86_400
 

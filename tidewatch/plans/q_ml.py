@@ -63,9 +63,10 @@ def decision_tree_q(spark, sf):
     split = ml.ordered_split(li, LINE_ORDER, train_fraction=TRAIN_FRACTION)
     pred = ml.decision_tree(split.filter("split = 'train'"), split.filter("split = 'test'"),
                             LINE_VECTOR, "l_returnflag", max_depth=10, seed=0)
+    pred = pred.select("l_returnflag", "prediction").persist()
     cm = ml.confusion_matrix(pred, "l_returnflag", "prediction", ["A", "N", "R"])
-    acc = ml.accuracy(pred, "l_returnflag", "prediction").select("accuracy")
-    return rounded(cm.join(acc.hint("broadcast"), how="left"))
+    acc = ml.accuracy(pred, "l_returnflag", "prediction").first()["accuracy"]
+    return rounded(cm.withColumn("accuracy", F.lit(acc)))
 
 
 @register("random_split")
