@@ -64,3 +64,32 @@ def nn_distance(df: DataFrame, keys: Sequence[str], order: Sequence[str], xs: Se
     per = F.expr(f"transform(_h[1], x -> try_element_at(array_sort(transform(_h[0], p -> abs(x - p))), {kth}))")
     avg = F.aggregate(per, F.lit(0.0), lambda a, v: a + v) / F.size(per)
     return res.withColumn("avg_nn", avg).drop("_h")
+
+
+def block_histogram_kl(df: DataFrame, keys: Sequence[str], order: Sequence[str], score: str, m: int = 50,
+                       bins: int = 10, limit: float = 1e-5) -> DataFrame:
+    """D8 drift points with a usable divergence: the score series (e.g. ``avg_nn``) of
+    each key is cut into complete blocks of ``m`` records; each block's histogram
+    (``bins`` equal-width bins over the key's score range) is compared with the previous
+    block's by KL (+0.5 smoothing); drift when KL > ``limit``.
+
+    Only bins non-empty in one of the two blocks contribute (empty in both gives 0), so
+    the work follows the data: a full outer join of consecutive block histograms.
+    """
+    from tidewatch.operators.history import full_blocks
+    keys = list(keys)
+    blk = full_blocks(df.select(*keys, *order, *([score] if score not in order else [])), keys, order, m)
+    rng = blk.groupBy(*keys).agg(F.min(score).alias("_mn"), F.max(score).alias("_mx"))
+    span = F.col("_mx") - F.col("_mn")
+    b = F.when(span <= 0, F.lit(0)).otherwise(
+        F.least(F.greatest(F.floor((F.col(score) - F.col("_mn")) / span * bins), F.lit(0)), F.lit(bins - 1)))
+    hist = (blk.join(rng, keys).withColumn("_bin", b.cast("int"))
+            .groupBy(*keys, "block", "_bin").agg(F.count(F.lit(1)).alias("_c")))
+    prev = hist.select(*keys, (F.col("block") + 1).alias("block"), "_bin", F.col("_c").alias("_cp"))
+    both = hist.join(prev, [*keys, "block", "_bin"], "full_outer").fillna(0, ["_c", "_cp"])
+    z = m + bins / 2.0
+    pp, pc = (F.col("_cp") + 0.5) / z, (F.col("_c") + 0.5) / z
+    blocks = blk.select(*keys, "block").distinct()
+    kl = (both.groupBy(*keys, "block").agg(F.sum(pp * F.log(pp / pc)).alias("kl_divergence"))
+          .join(blocks.filter(F.col("block") > 0), [*keys, "block"]))
+    return kl.withColumn("drift_detected", F.col("kl_divergence") > F.lit(limit))

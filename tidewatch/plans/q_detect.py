@@ -430,3 +430,40 @@ def save_read_results_q(spark, sf):
     path = shared_path(spark, f"results-{uuid.uuid4().hex[:12]}")
     save_results(_cusum_board(spark, sf), path)
     return read_results(spark, path)
+
+
+def _nn_kl_sql(m: int = 50, bins: int = 10, limit: float = 0.5) -> str:
+    return f"""
+WITH p AS (SELECT *, [{', '.join(LINE_VECTOR)}] AS cur, lag([{', '.join(LINE_VECTOR)}]) OVER ({_LW}) AS prev,
+                  row_number() OVER ({_LW}) AS rn FROM lineitem),
+s AS (SELECT l_suppkey, rn - 1 AS pos,
+             list_avg(list_transform(cur, lambda x: list_sort(list_transform(prev, lambda q: abs(x - q)))[2])) AS avg_nn
+      FROM p WHERE prev IS NOT NULL),
+n AS (SELECT l_suppkey, count(*) AS cnt FROM s GROUP BY 1),
+b AS (SELECT s.l_suppkey, floor((pos - 1) / {m}) AS block, avg_nn FROM s JOIN n USING (l_suppkey)
+      WHERE floor((pos - 1) / {m}) < floor(cnt / {m})),
+r AS (SELECT l_suppkey, min(avg_nn) AS mn, max(avg_nn) AS mx FROM b GROUP BY 1),
+h AS (SELECT b.l_suppkey, block,
+             CAST(CASE WHEN mx - mn <= 0 THEN 0 ELSE least(greatest(floor((avg_nn - mn) / (mx - mn) * {bins}), 0), {bins - 1}) END AS INTEGER) AS bin,
+             count(*) AS c
+      FROM b JOIN r USING (l_suppkey) GROUP BY 1, 2, 3),
+blocks AS (SELECT DISTINCT l_suppkey, block FROM b),
+g AS (SELECT k.l_suppkey, k.block, u.bin FROM blocks k CROSS JOIN range(0, {bins}) u(bin) WHERE k.block > 0),
+kl AS (SELECT g.l_suppkey, g.block,
+              sum(((coalesce(hp.c, 0) + 0.5) / {m + bins / 2.0}) *
+                  ln(((coalesce(hp.c, 0) + 0.5) / {m + bins / 2.0}) / ((coalesce(hc.c, 0) + 0.5) / {m + bins / 2.0}))) AS kl
+       FROM g LEFT JOIN h hc ON hc.l_suppkey = g.l_suppkey AND hc.block = g.block AND hc.bin = g.bin
+              LEFT JOIN h hp ON hp.l_suppkey = g.l_suppkey AND hp.block = g.block - 1 AND hp.bin = g.bin
+       GROUP BY 1, 2)
+SELECT l_suppkey, CAST(block AS BIGINT) AS block, round(kl, 6) AS kl_divergence, kl > {limit} AS drift_detected FROM kl"""
+
+
+@register("nn_block_kl", _nn_kl_sql())
+def nn_block_kl_q(spark, sf):
+    """D8 with a non-degenerate divergence: KL between histograms of the mean
+    2nd-nearest distance in consecutive blocks of 50 records per supplier."""
+    li = table(spark, sf, "lineitem")
+    nn = V.nn_distance(li, ["l_suppkey"], LINE_ORDER, LINE_VECTOR, 2)
+    out = V.block_histogram_kl(nn, ["l_suppkey"], LINE_ORDER, "avg_nn", 50, 10, 0.5)
+    return rounded(out.select("l_suppkey", F.col("block").cast("long").alias("block"), "kl_divergence",
+                              "drift_detected"))
