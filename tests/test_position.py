@@ -66,3 +66,20 @@ def test_interval_match_bucketed_path_equals_broadcast(spark):
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     finally:
         L.BROADCAST_INTERVALS = old
+
+
+def test_hot_key_is_spread_and_detectors_agree(spark):
+    """One key holding a third of the rows: the range numbering puts it in several
+    slices, and block/halo detectors equal the plain keyed window."""
+    from tidewatch.operators.detect import univariate as U
+    ev = _events(spark)
+    hot = ev.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(-1)).otherwise(F.col("user_id")))
+    sliced = (hot.repartitionByRange(8, "user_id", "ts", "event_id")
+              .withColumn("_s", F.spark_partition_id()).filter("user_id = -1")
+              .select("_s").distinct().count())
+    assert sliced > 1
+    c = U.cusum(hot, ["user_id"], ["ts", "event_id"], "value", 10, 1.0, 5.0)
+    d = U.cusum(hot, ["user_id"], ["ts", "event_id"], "value", 10, 1.0, 5.0, block_rows=500, force_blocks=True)
+    j = c.alias("c").join(d.alias("d"), "event_id")
+    assert j.count() == c.count() == d.count()
+    assert j.filter((F.abs(F.col("c.cusum") - F.col("d.cusum")) > 1e-9) | (F.col("c.alarm") != F.col("d.alarm"))).count() == 0

@@ -112,3 +112,17 @@ def cvm_stream_q(spark, sf):
     run = SIO.new_run(spark, "cvm")
     SIO.await_all([SIO.write_stream(det, "parquet", f"{run}/out", f"{run}/ckpt")])
     return rounded(spark.read.parquet(f"{run}/out"))
+
+
+@register("upsert_stream", f"""
+SELECT ts, arg_max(event_id, event_id) AS event_id, arg_max(value, event_id) AS value,
+       arg_max(k, event_id) AS k
+FROM (SELECT date_trunc('second', ts) AS ts, event_id, value, k FROM ({S.SENSOR})) GROUP BY ts""")
+def upsert_stream_q(spark, sf):
+    """S9 as a stream: per truncated second the latest event wins, merged micro-batch by
+    micro-batch into a day-partitioned table (4 files, one per trigger)."""
+    ev = labels.truncate_time(_event_stream(spark, sf, max_files=1, n_files=4), "ts")
+    ev = ev.select("ts", "event_id", "value", "k", F.to_date("ts").alias("day"))
+    run = SIO.new_run(spark, "upsert")
+    SIO.await_all([SIO.upsert_stream(ev, ["ts"], "event_id", f"{run}/out", f"{run}/ckpt", "day")])
+    return rounded(spark.read.parquet(f"{run}/out").select("ts", "event_id", "value", "k"))
