@@ -101,10 +101,8 @@ def interval_match(df: DataFrame, time_col: str, intervals: DataFrame,
                   .select(*df.columns, F.col("_m._iid").alias("_iid"), F.col("_m._ivs").alias("_ivs")))
     out = joined.withColumn(id_col, F.col("_iid"))
     if since_col:
-        out = out.withColumn(
-            since_col,
-            (F.unix_timestamp(F.col(time_col).cast("timestamp"))
-             - F.unix_timestamp(F.col("_ivs").cast("timestamp"))).cast("double"))
+        # difference of wall-clock values: independent of the session time zone
+        out = out.withColumn(since_col, F.timestamp_diff("SECOND", F.col("_ivs"), F.col(time_col)).cast("double"))
     return out.drop("_iid", "_ivs", "_ive")
 
 
