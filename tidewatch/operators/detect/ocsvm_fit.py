@@ -2,7 +2,8 @@
 
 minimise 1/2 |w|^2 - rho + 1/(nu n) sum_i max(0, rho - w.x_i) per key. Each step is
 one grouped aggregate over the training rows with the current (w, rho) joined in; the
-parameter table (one row per key) is checkpointed every few steps, so lineage stays short.
+parameter table (one row per key) is checkpointed every step, so lineage stays flat
+(chaining cached tables instead makes plan strings grow with every step).
 Score = rho - w.x (large = unusual).
 """
 
@@ -17,7 +18,7 @@ from tidewatch.operators.position import BROADCAST_ROWS
 
 
 def fit_one_class_svm(train: DataFrame, keys: Sequence[str], xs: Sequence[str], nu: float = 0.1,
-                      steps: int = 30, lr: float = 0.5, checkpoint_every: int = 1) -> DataFrame:
+                      steps: int = 30, lr: float = 0.5) -> DataFrame:
     """(keys, w_<i>, rho) after ``steps`` sub-gradient steps (step size lr / sqrt(t))."""
     keys = list(keys)
     d = len(xs)
@@ -39,9 +40,7 @@ def fit_one_class_svm(train: DataFrame, keys: Sequence[str], xs: Sequence[str],
         upd = [(F.col(f"w_{i}") - step * (F.col(f"w_{i}") - scale * F.col(f"_vx{i}") / F.col("_n"))).alias(f"w_{i}")
                for i in range(d)]
         rho = (F.col("rho") - step * (F.lit(-1.0) + scale * F.col("_v") / F.col("_n"))).alias("rho")
-        params = g.select(*keys, *upd, rho)
-        if t % checkpoint_every == 0 or t == steps:
-            params = params.checkpoint(eager=True)
+        params = g.select(*keys, *upd, rho).checkpoint(eager=True)
     return params
 
 

@@ -11,8 +11,8 @@ The chain is found by pointer doubling, all as joins on (key, position):
   next(c) = first candidate at or after c + gap (a reverse running min, hot-key safe),
   J_0 = next, J_{i+1} = J_i o J_i, S_0 = {first candidate per key},
   S_{i+1} = S_i u J_i(S_i)   (S_i holds the first 2^i links of every chain).
-It stops when S stops growing: O(log(chain length)) rounds, each a join on tables no
-larger than the candidate set; every round is checkpointed to cut lineage.
+O(log(chain length)) rounds, bounded before starting, each a join on tables no larger
+than the candidate set; every round is checkpointed to cut lineage.
 """
 
 from __future__ import annotations
@@ -26,13 +26,15 @@ from tidewatch.operators.history import running
 from tidewatch.session import checkpoint_dir
 
 
-def greedy_gap_chain(series: DataFrame, keys: Sequence[str], pos_col: str, cand_col: str, gap: int,
-                     max_rounds: int = 64) -> DataFrame:
+def greedy_gap_chain(series: DataFrame, keys: Sequence[str], pos_col: str, cand_col: str, gap: int) -> DataFrame:
     """(keys, pos) of the greedy chain of candidates with consecutive links >= ``gap`` apart.
 
     ``series`` holds every testable position (contiguous per key) with a boolean
-    ``cand_col``.
+    ``cand_col``. S_i holds exactly the first 2^i links, and J_i(S_i) the next 2^i, so
+    the union needs no de-duplication; the number of rounds is bounded up front by the
+    longest possible chain (positions per key / gap), so no round needs a count.
     """
+    import math
     keys = list(keys)
     checkpoint_dir(series.sparkSession)
     nc = running(series.select(*keys, pos_col, cand_col), keys, [F.col(pos_col).desc()],
@@ -41,16 +43,14 @@ def greedy_gap_chain(series: DataFrame, keys: Sequence[str], pos_col: str, cand_
     cands = series.filter(F.col(cand_col)).select(*keys, F.col(pos_col).alias("_c"))
     jump = cands.join(lookup, [*keys, "_c"], "left").checkpoint(eager=True)
     chain = cands.groupBy(*keys).agg(F.min("_c").alias("_c")).checkpoint(eager=True)
-    size = chain.count()
-    for _ in range(max_rounds):
+    span = jump.groupBy(*keys).agg((F.max("_c") - F.min("_c")).alias("_s")).agg(F.max("_s")).first()[0] or 0
+    rounds = max(0, math.ceil(math.log2(span // gap + 1))) + 1
+    for i in range(rounds):
         step = chain.join(jump, [*keys, "_c"]).filter(F.col("_nxt").isNotNull()).select(
             *keys, F.col("_nxt").alias("_c"))
-        grown = chain.unionByName(step).distinct().checkpoint(eager=True)
-        new_size = grown.count()
-        chain = grown
-        if new_size == size:
+        chain = chain.unionByName(step).checkpoint(eager=True)
+        if i == rounds - 1:
             break
-        size = new_size
         a, b = jump.alias("a"), jump.alias("b")
         cond = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a._nxt") == F.col("b._c")]
         jump = (a.join(b, cond, "left")
@@ -64,6 +64,9 @@ def apply_reset(tested: DataFrame, keys: Sequence[str], pos_col: str, gap: int,
     """Turn no-reset test results into reset semantics: keep rows still tested after
     earlier real alarms (none in the previous ``gap - 1`` rows) and flag real alarms."""
     keys = list(keys)
+    # the no-reset test results are read four times below: materialise them once
+    checkpoint_dir(tested.sparkSession)
+    tested = tested.checkpoint(eager=True)
     chain = greedy_gap_chain(tested, keys, pos_col, cand_col, gap).withColumn("_real", F.lit(True))
     marked = tested.join(chain, [*keys, pos_col], "left").withColumn("_real", F.coalesce("_real", F.lit(False)))
     last = running(marked, keys, [pos_col], {"_last": ("max", F.when(F.col("_real"), F.col(pos_col)))})
