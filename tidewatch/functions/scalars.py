@@ -34,3 +34,14 @@ def normal_cdf(c: Column | str) -> Column:
     t = 1.0 / (1.0 + fixed.ERF_P * F.abs(z))
     poly = t * (a1 + t * (a2 + t * (a3 + t * (a4 + t * a5))))
     return 0.5 * (1.0 + F.signum(z) * (1.0 - poly * F.exp(-z * z)))
+
+
+def normal_cdf_py(x: float) -> float:
+    """The same polynomial CDF in plain Python (for per-key stream state functions)."""
+    import math
+    a1, a2, a3, a4, a5 = fixed.ERF_A
+    z = x / math.sqrt(2.0)
+    t = 1.0 / (1.0 + fixed.ERF_P * abs(z))
+    poly = t * (a1 + t * (a2 + t * (a3 + t * (a4 + t * a5))))
+    erf = math.copysign(1.0, z) * (1.0 - poly * math.exp(-z * z)) if z != 0 else 0.0
+    return 0.5 * (1.0 + erf)

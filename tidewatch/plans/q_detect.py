@@ -32,12 +32,29 @@ def _rows(frame: str, lo: int, hi: int) -> str:
 
 # --- W1 - W5 -----------------------------------------------------------------------
 
+def _list_summary_sql(col: str, name: str) -> str:
+    return (f"len({col}) AS {name}_n, round(list_sum({col}), 6) AS {name}_sum, {col}[1] AS {name}_first, "
+            f"{col}[len({col})] AS {name}_last, "
+            f"round(list_sum(list_transform({col}, lambda x, i: x * i)), 6) AS {name}_wsum")
+
+
+def _array_summary(col: str, name: str) -> list:
+    """Order-sensitive scalar summary of an array column (engines disagree on how arrays
+    are handed back, so results are compared on these)."""
+    c = F.col(col)
+    return [F.size(c).alias(f"{name}_n"), F.aggregate(c, F.lit(0.0), lambda a, x: a + x).alias(f"{name}_sum"),
+            F.element_at(c, 1).alias(f"{name}_first"), F.element_at(c, -1).alias(f"{name}_last"),
+            F.expr(f"aggregate(transform({col}, (x, i) -> x * (i + 1)), 0D, (a, y) -> a + y)").alias(f"{name}_wsum")]
+
+
 @register("history10", f"""
-SELECT * FROM (SELECT event_id, user_id, list(value) OVER {_rows(W_USER, -9, 0)} AS history FROM events)
+SELECT event_id, user_id, {_list_summary_sql("history", "history")}
+FROM (SELECT event_id, user_id, list(value) OVER {_rows(W_USER, -9, 0)} AS history FROM events)
 WHERE len(history) = 10""")
 def history10(spark, sf):
-    """Last 10 values per user, only once 10 exist."""
-    return history.last_n(_events(spark, sf), ["user_id"], ORDER, "value", 10).select("event_id", "user_id", "history")
+    """Last 10 values per user, only once 10 exist (compared by order-sensitive summary)."""
+    h = history.last_n(_events(spark, sf), ["user_id"], ORDER, "value", 10)
+    return rounded(h.select("event_id", "user_id", *_array_summary("history", "history")))
 
 
 @register("rolling_shift", f"""
@@ -60,13 +77,15 @@ def rolling_max(spark, sf):
 
 
 @register("half_windows", f"""
-SELECT * FROM (SELECT event_id, event_type, list(value) OVER {_rows(W_TYPE, -199, -100)} AS older,
-                      list(value) OVER {_rows(W_TYPE, -99, 0)} AS recent FROM events)
+SELECT event_id, event_type, {_list_summary_sql("older", "older")}, {_list_summary_sql("recent", "recent")}
+FROM (SELECT event_id, event_type, list(value) OVER {_rows(W_TYPE, -199, -100)} AS older,
+             list(value) OVER {_rows(W_TYPE, -99, 0)} AS recent FROM events)
 WHERE len(older) = 100 AND len(recent) = 100""")
 def half_windows(spark, sf):
     """Older 100 and newest 100 of the last 200 values per event type."""
     out = history.half_windows(_events(spark, sf), ["event_type"], ORDER, "value", 200, 100)
-    return out.select("event_id", "event_type", "older", "recent")
+    return rounded(out.select("event_id", "event_type", *_array_summary("older", "older"),
+                              *_array_summary("recent", "recent")))
 
 
 @register("count_blocks", f"""
@@ -315,7 +334,28 @@ def score_summary_q(spark, sf):
 
 # --- D3 with reset, D6 quantile filter --------------------------------------------------------
 
-@register("kswin_reset")
+def kswin_reset_sql(alpha: float = 0.01, window: int = 200, stat: int = 100) -> str:
+    """Reset semantics in SQL: the greedy alarm chain as a recursive CTE (each link the
+    first no-reset alarm at least window-stat records after the previous one)."""
+    gap = window - stat
+    base = kswin_sql(f"SELECT *, row_number() OVER ({W_TYPE}) AS pos FROM events", alpha, window, stat)
+    base = base.replace("SELECT event_id, event_type, value, d AS ks_count",
+                        "SELECT event_id, event_type, value, pos, d AS ks_count", 1)
+    return f"""
+WITH RECURSIVE t AS ({base}),
+c AS (SELECT event_type, pos FROM t WHERE alarm),
+chain(event_type, pos) AS (
+  SELECT event_type, min(pos) FROM c GROUP BY event_type
+  UNION ALL
+  SELECT ch.event_type, (SELECT min(c.pos) FROM c WHERE c.event_type = ch.event_type AND c.pos >= ch.pos + {gap})
+  FROM chain ch WHERE ch.pos IS NOT NULL)
+SELECT t.event_type, t.event_id, t.value, t.ks_count, t.ks_d, ch.pos IS NOT NULL AS alarm
+FROM t LEFT JOIN chain ch ON ch.event_type = t.event_type AND ch.pos = t.pos
+WHERE ch.pos IS NOT NULL OR NOT EXISTS (SELECT 1 FROM chain a WHERE a.event_type = t.event_type
+                                        AND a.pos < t.pos AND t.pos - a.pos < {gap})"""
+
+
+@register("kswin_reset", kswin_reset_sql(0.01))
 def kswin_reset_q(spark, sf):
     """D3 with reset (batch): no-reset candidates in parallel, then the greedy alarm chain
     by pointer doubling; equals the sequential stream form (kswin_stream)."""

@@ -10,7 +10,7 @@ from tidewatch.plans import sqlparts as S
 from tidewatch.plans.catalog import register
 from tidewatch.plans.inputs import SENSOR_COLS, rounded
 from tidewatch.plans.q_core import _WINDOW_SQL
-from tidewatch.plans.q_detect import W_USER, cusum_sql
+from tidewatch.plans.q_detect import W_USER, cusum_sql, cvm_sql, kswin_reset_sql
 from tidewatch.sources.records import decode_json
 from tidewatch.streaming import io as SIO
 from tidewatch.streaming import stateful as ST
@@ -71,7 +71,7 @@ def cusum_stream_q(spark, sf):
     return rounded(spark.read.parquet(f"{run}/out"))
 
 
-@register("kswin_stream")
+@register("kswin_stream", kswin_reset_sql(0.01))
 def kswin_stream_q(spark, sf):
     """T6 + D3 with reset: KSWIN per event type over a stream (window 200, stat 100,
     alpha 0.01); after an alarm the window restarts from its newest 100 values."""
@@ -87,7 +87,7 @@ WITH s AS ({S.SENSOR}),
 p AS (SELECT *, [value, CAST(k AS DOUBLE)] AS cur, lag([value, CAST(k AS DOUBLE)]) OVER ({W_USER}) AS prev FROM s)
 SELECT user_id, event_id, ts,
        round(list_avg(list_transform(cur, lambda x: list_sort(list_transform(prev, lambda q: abs(x - q)))[2])), 6) AS avg_nn,
-       false AS drift_detected, 0.0 AS kl_divergence
+       false AS drift_detected, CAST(0.0 AS DOUBLE) AS kl_divergence
 FROM p WHERE prev IS NOT NULL""")
 def drift_points_stream_q(spark, sf):
     """S11 + S13 + T5: drift points per record (nearest-neighbour distance to the previous
@@ -103,10 +103,11 @@ def drift_points_stream_q(spark, sf):
     return rounded(spark.read.parquet(f"{run}/out"))
 
 
-@register("cvm_stream")
+@register("cvm_stream", f"""
+SELECT user_id, event_id, value, cvm_w2, shift, alarm FROM ({cvm_sql(False)})""")
 def cvm_stream_q(spark, sf):
-    """Cramer-von Mises per user over a stream (exact erf in the state function;
-    compare with the batch `cvm` query, which uses the 1.5e-7 polynomial)."""
+    """Cramer-von Mises per user over a stream; same normal CDF polynomial as the
+    batch form, so the batch oracle applies."""
     ev = _event_stream(spark, sf, max_files=1, n_files=4)
     det = ST.cvm_stream(ev, ["user_id"], ["ts", "event_id"], "value", "event_id", 10, 0.461, 10.0)
     run = SIO.new_run(spark, "cvm")

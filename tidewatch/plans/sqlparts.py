@@ -27,7 +27,7 @@ def stat_select(cols: list[str], per_hour: float = 6.0) -> str:
         parts += [f"count({c}) AS {c}_count", f"round(avg({c}), 6) AS {c}_mean",
                   f"min({c}) AS {c}_min", f"max({c}) AS {c}_max",
                   f"round(stddev_samp({c}), 6) AS {c}_stddev",
-                  f"round(count({c}) * {per_hour}, 6) AS {c}_rate",
+                  f"round(CAST(count({c}) AS DOUBLE) * {per_hour}, 6) AS {c}_rate",
                   f"round(avg({c}), 6) AS {c}_avg_10min"]
     return ", ".join(parts)
 

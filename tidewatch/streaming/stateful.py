@@ -141,7 +141,7 @@ def cvm_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str,
                n: int = 10, crit: float = 0.461, min_shift: float = 10.0) -> DataFrame:
     """D2 over a stream (raw values against N(0,1), Stephens' modified statistic, gated by
     |x - mean(history)| > min_shift); same rows as the batch form on in-order input."""
-    from math import erf, sqrt
+    from tidewatch.functions.scalars import normal_cdf_py
     key_types = dict(df.dtypes)
     out_schema = ", ".join([f"`{c}` {key_types[c]}" for c in keys] +
                            [f"`{id_col}` {key_types[id_col]}", f"`{x}` double", "cvm_w2 double",
@@ -156,7 +156,7 @@ def cvm_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str,
                 hist = (hist + [float(v)])[-n:]
                 if len(hist) == n:
                     srt = sorted(hist)
-                    w2 = 1.0 / (12 * n) + sum(((2 * i + 1) / (2.0 * n) - 0.5 * (1 + erf(u / sqrt(2)))) ** 2
+                    w2 = 1.0 / (12 * n) + sum(((2 * i + 1) / (2.0 * n) - normal_cdf_py(u)) ** 2
                                               for i, u in enumerate(srt))
                     m = sum(hist) / n
                     wstar = (w2 - 0.4 / n + 0.6 / (n * n)) * (1 + 1.0 / n)
