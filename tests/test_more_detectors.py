@@ -78,3 +78,24 @@ def test_stream_restarts_from_checkpoint(spark):
     got = spark.read.parquet(out)
     assert first == 21 and got.count() == 51
     assert got.select("t").distinct().count() == 51
+
+
+def test_kdq_reset_moves_reference_to_last_drift(spark):
+    df = planted(spark, n=900, change_at=400)
+    rows = kdq_tree(df, ["key"], ["t"], ["x0", "x1", "x2"], window=100, max_count=10, boot=200,
+                    reset=True).collect()
+    by_key = {}
+    for r in rows:
+        by_key.setdefault(r.key, []).append(r)
+    for key, rs in by_key.items():
+        rs.sort(key=lambda r: r.block)
+        assert [r.block for r in rs] == list(range(1, 9))
+        last = 0
+        for r in rs:
+            assert r.ref_block == last
+            if r.drift:
+                last = r.block
+    a = {r.block: r for r in by_key["a"]}
+    assert a[4].drift and a[4].ref_block == 0
+    assert all(a[b].ref_block >= 4 for b in range(5, 9))
+    assert not any(a[b].drift for b in range(5, 9) if a[b].ref_block == 4 and b == 5)

@@ -100,25 +100,23 @@ def bootstrap_thresholds(leaf_ref: DataFrame, keys: Sequence[str], window: int,
     return leaf_ref.groupBy(*keys).applyInPandas(fn, schema)
 
 
-def kdq_tree(df: DataFrame, keys: Sequence[str], order: Sequence[str], xs: Sequence[str], window: int = 1000,
-             alpha: float = 0.05, boot: int = 500, max_count: int = 100, max_depth: int | None = None,
-             seed: int = 1, with_threshold: bool = True) -> DataFrame:
-    """Per (key, block >= 1) the KL divergence from the reference block, the
-    bootstrap threshold and the drift flag. Only full blocks are compared."""
-    keys = list(keys)
-    d = len(xs)
-    depth = max_depth or min(60, 10 * d)
+def _score_against(blk: DataFrame, refs: DataFrame, keys: list[str], xs: Sequence[str], window: int,
+                   alpha: float, boot: int, max_count: int, depth: int, seed: int,
+                   with_threshold: bool) -> DataFrame:
+    """KL of every block after each key's reference block ``_ref`` (one tree per key)."""
     coarse = min(COARSE_LEVELS, depth)
-    blk = full_blocks(df.select(*keys, *order, *[c for c in xs if c not in order]), keys, order, window)
-    box = (blk.filter(F.col("block") == 0).groupBy(*keys)
+    nkeys = refs.count()
+    refs = F.broadcast(refs) if nkeys <= BROADCAST_ROWS else refs
+    rel = blk.join(refs, keys).filter(F.col("block") >= F.col("_ref"))
+    is_ref = F.col("block") == F.col("_ref")
+    box = (rel.filter(is_ref).groupBy(*keys)
            .agg(*[F.min(F.col(f"`{c}`").cast("double")).alias(f"_lo{i}") for i, c in enumerate(xs)],
                 *[F.max(F.col(f"`{c}`").cast("double")).alias(f"_hi{i}") for i, c in enumerate(xs)]))
-    nkeys = box.count()
     boxb = F.broadcast(box) if nkeys <= BROADCAST_ROWS else box
-    coded = with_cell_code(blk.join(boxb, keys), xs, depth).select(*keys, "block", "_code")
+    coded = with_cell_code(rel.join(boxb, keys), xs, depth).select(*keys, "block", "_ref", "_code")
 
     # split nodes from the reference block: cells at level l < depth holding > max_count rows
-    ref = coded.filter(F.col("block") == 0)
+    ref = coded.filter(is_ref)
     lv = F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("_l")
     pref = (ref.select(*keys, "_code", lv)
             .withColumn("_p", F.expr(f"shiftright(_code, {depth} - _l)"))
@@ -147,29 +145,64 @@ def kdq_tree(df: DataFrame, keys: Sequence[str], order: Sequence[str], xs: Seque
     rows = coded.withColumn("_b", F.shiftright(F.col("_code"), depth - coarse))
     cond = [F.col(k) == F.col(f"_k_{k}") for k in keys] + [
         F.col("_b") == F.col("_lb"), F.col("_code") >= F.col("_lo"), F.col("_code") < F.col("_hi")]
-    assigned = rows.join(lbj, cond).select(*keys, "block", F.col("_ll").alias("_l"), F.col("_lp").alias("_p"))
-    counts = assigned.groupBy(*keys, "block", "_l", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    assigned = rows.join(lbj, cond).select(*keys, "block", "_ref", F.col("_ll").alias("_l"),
+                                           F.col("_lp").alias("_p"))
+    counts = assigned.groupBy(*keys, "block", "_ref", "_l", "_p").agg(F.count(F.lit(1)).alias("_n"))
 
     # reference distribution over all leaves (empty leaves included, +0.5 smoothing)
-    ref_counts = counts.filter(F.col("block") == 0).select(*keys, "_l", "_p", F.col("_n").alias("ref_count"))
+    ref_counts = counts.filter(is_ref).select(*keys, "_l", "_p", F.col("_n").alias("ref_count"))
     leaf_ref = leaves.select(*keys, "_l", "_p").join(ref_counts, [*keys, "_l", "_p"], "left").fillna(
         0, ["ref_count"])
     nl = leaf_ref.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nleaves"), F.sum("ref_count").alias("_nref"))
     pr = leaf_ref.join(nl, keys).withColumn(
         "_pr", (F.col("ref_count") + 0.5) / (F.col("_nref") + F.col("_nleaves") / 2.0)).checkpoint(eager=True)
     h_ref = pr.groupBy(*keys).agg(F.sum(F.col("_pr") * F.log(F.col("_pr"))).alias("_href"))
-    test = counts.filter(F.col("block") > 0).join(pr.select(*keys, "_l", "_p", "_pr"), [*keys, "_l", "_p"])
+    test = counts.filter(~is_ref).join(pr.select(*keys, "_l", "_p", "_pr"), [*keys, "_l", "_p"])
     log_half = math.log(0.5)
-    part = test.groupBy(*keys, "block").agg(
+    part = test.groupBy(*keys, "block", "_ref").agg(
         F.sum(F.col("_pr") * (F.log(F.col("_n") + 0.5) - F.lit(log_half))).alias("_s"),
         F.sum("_n").alias("_nt"))
     kl = (part.join(h_ref, keys).join(nl, keys)
           .withColumn("kl", F.col("_href") - (F.col("_s") + F.lit(log_half)
                                              - F.log(F.col("_nt") + F.col("_nleaves") / 2.0)))
-          .select(*keys, "block", "kl"))
+          .select(*keys, "block", F.col("_ref").alias("ref_block"), "kl"))
     if not with_threshold:
         return kl
     thr = bootstrap_thresholds(leaf_ref, keys, window, boot, alpha, seed)
     return (kl.join(thr, keys, "left")
             .withColumn("drift", F.col("kl") > F.col("threshold"))
             .withColumn("state", F.when(F.col("drift"), "drift").otherwise("none")))
+
+
+def kdq_tree(df: DataFrame, keys: Sequence[str], order: Sequence[str], xs: Sequence[str], window: int = 1000,
+             alpha: float = 0.05, boot: int = 500, max_count: int = 100, max_depth: int | None = None,
+             seed: int = 1, with_threshold: bool = True, reset: bool = False) -> DataFrame:
+    """Per (key, block) after the reference: KL divergence from the reference block,
+    the bootstrap threshold and the drift flag. Only full blocks are compared.
+
+    ``reset=True`` replaces the reference by the drifting block after each drift. That
+    decision is sequential within a key (the next tree depends on it), so it runs in
+    rounds, all keys in parallel: each round scores every later block of every
+    still-active key against its current reference and keeps the blocks up to the first
+    drift, which becomes the next reference. Rounds = the most drifts of any key + 1.
+    """
+    keys = list(keys)
+    depth = max_depth or min(60, 10 * len(xs))
+    blk = full_blocks(df.select(*keys, *order, *[c for c in xs if c not in order]), keys, order, window)
+    refs = blk.select(*keys).distinct().withColumn("_ref", F.lit(0).cast("long"))
+    if not reset or not with_threshold:
+        return _score_against(blk, refs, keys, xs, window, alpha, boot, max_count, depth, seed, with_threshold)
+    refs = refs.checkpoint(eager=True)
+    parts = []
+    while refs.count() > 0:
+        scored = _score_against(blk, refs, keys, xs, window, alpha, boot, max_count, depth, seed, True)
+        scored = scored.checkpoint(eager=True)
+        first = scored.filter("drift").groupBy(*keys).agg(F.min("block").alias("_first"))
+        kept = (scored.join(first, keys, "left")
+                .filter(F.col("_first").isNull() | (F.col("block") <= F.col("_first"))).drop("_first"))
+        parts.append(kept.checkpoint(eager=True))
+        refs = first.select(*keys, F.col("_first").cast("long").alias("_ref")).checkpoint(eager=True)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

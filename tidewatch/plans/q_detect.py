@@ -433,12 +433,12 @@ def kdq_divergence_q(spark, sf):
 
 @register("kdq_tree")
 def kdq_tree_q(spark, sf):
-    """Kdq-tree divergence with a 500-resample bootstrap threshold (alpha 0.05, seed 1)
-    and the drift state per supplier block."""
+    """Kdq-tree divergence with a 500-resample bootstrap threshold (alpha 0.05, seed 1),
+    drift state per supplier block, and the reference replaced after each drift."""
     from tidewatch.operators.detect.kdq import kdq_tree
     li = table(spark, sf, "lineitem")
-    out = kdq_tree(li, ["l_suppkey"], LINE_ORDER, LINE_VECTOR, alpha=0.05, boot=500, seed=1, **KDQ)
-    return rounded(out.select("l_suppkey", "block", "kl", "threshold", "drift", "state"))
+    out = kdq_tree(li, ["l_suppkey"], LINE_ORDER, LINE_VECTOR, alpha=0.05, boot=500, seed=1, reset=True, **KDQ)
+    return rounded(out.select("l_suppkey", "block", "ref_block", "kl", "threshold", "drift", "state"))
 
 
 # --- D5 PCA-CD, D6 one-class SVM -------------------------------------------------------
