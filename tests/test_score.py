@@ -27,3 +27,12 @@ def test_summary_of_published_rows(spark):
     assert got["cvm"] == (1, pytest.approx(168.0))
     order = [r["algorithm"] for r in score.rank_scores(score.summarise_scores(df), "average-delay", False).collect()]
     assert order[0] == "one-class-svm" and order[-1] == "ks-win"
+
+
+def test_cluster_settings_scale_with_input():
+    from tidewatch.session import cluster_settings
+    small = cluster_settings(10 * 2 ** 30, total_cores=64)
+    big = cluster_settings(100 * 2 ** 40, total_cores=4000)
+    assert int(small["spark.sql.shuffle.partitions"]) >= 192
+    assert int(big["spark.sql.shuffle.partitions"]) > 500_000 // 2
+    assert int(big["spark.sql.files.maxPartitionBytes"]) <= 256 * 2 ** 20

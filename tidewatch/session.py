@@ -49,3 +49,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
+
+
+def cluster_settings(input_bytes: int, total_cores: int, executor_memory_gb: float = 16.0,
+                     cores_per_executor: int = 4) -> dict[str, str]:
+    """Settings for a cluster run sized from the input volume, to pass to the builder or
+    ``spark.conf.set`` (this module never changes a running cluster on its own).
+
+    * input splits of at most 256 MB, fewer when a task's memory share is small;
+    * shuffle partitions so each holds ~200 MB before AQE coalescing, at least 3 waves
+      of tasks, so sorts and window buffers fit and spill rarely;
+    * AQE coalescing to 256 MB targets and skew-join splitting (5x median, > 512 MB);
+    * RocksDB state store for streaming state that outgrows executor heaps.
+    """
+    mb = 1024 * 1024
+    per_task_mem = executor_memory_gb * 1024 * mb / max(1, cores_per_executor)
+    split = int(min(256 * mb, max(32 * mb, per_task_mem / 8)))
+    shuffle = max(3 * total_cores, int(input_bytes / (200 * mb)))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(split),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * mb),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * mb),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * mb),
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.session.timeZone": "UTC",
+    }
