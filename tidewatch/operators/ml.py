@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,4 +108,4 @@ def l1_select(train: DataFrame, features: Sequence[str], label: str, c: float =
 
 
 __all__ = ["ordered_split", "random_split", "standard_scale", "accuracy", "confusion_matrix",
-           "decision_tree", "l1_select", "vector_to_array"]
+           "decision_tree", "l1_select"]

@@ -4,7 +4,6 @@ column (or per class) comes back."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -19,32 +18,6 @@ def q(c: str):
     return F.col(f"`{c}`")
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], prefix: str = "q",
-                    extra: Sequence = ()) -> DataFrame:
-    """Exact linearly interpolated quantiles of ``col`` (NULLs ignored), one row.
-
-    The column is range-partitioned and numbered (``with_position``), so no task ever
-    holds the whole column; then only the rows at the 2 ranks per probability are kept.
-    ``extra`` aggregates over the non-NULL values (column ``_v``) go in the same pass.
-    """
-    vals = df.select(q(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    pos = with_position(vals, [], ["_v"], "_p")
-    n = pos.agg(F.max("_p")).first()[0] or 0
-    aggs = list(extra)
-    for p in probs:
-        name = f"{prefix}{int(round(p * 100))}"
-        if n == 0:
-            aggs.append(F.lit(None).cast("double").alias(name))
-            continue
-        h = (n - 1) * p
-        lo, hi = math.floor(h) + 1, math.ceil(h) + 1
-        frac = h - math.floor(h)
-        vlo = F.max(F.when(F.col("_p") == lo, F.col("_v")))
-        vhi = F.max(F.when(F.col("_p") == hi, F.col("_v")))
-        aggs.append((vlo + F.lit(frac) * (vhi - vlo)).alias(name))
-    return pos.agg(*aggs)
-
-
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """A2 (numeric): per column count, mean, std (sample), min, 25/50/75 % (exact, linear
     interpolation) and max, as one row per column.
