@@ -168,7 +168,8 @@ def _score_against(blk: DataFrame, refs: DataFrame, keys: list[str], xs: Sequenc
           .select(*keys, "block", F.col("_ref").alias("ref_block"), "kl"))
     if not with_threshold:
         return kl
-    thr = bootstrap_thresholds(leaf_ref, keys, window, boot, alpha, seed)
+    # the checkpointed leaf table already holds the reference counts: no recomputation
+    thr = bootstrap_thresholds(pr.select(*keys, "_l", "_p", "ref_count"), keys, window, boot, alpha, seed)
     return (kl.join(thr, keys, "left")
             .withColumn("drift", F.col("kl") > F.col("threshold"))
             .withColumn("state", F.when(F.col("drift"), "drift").otherwise("none")))
