@@ -99,3 +99,20 @@ def test_kdq_reset_moves_reference_to_last_drift(spark):
     assert a[4].drift and a[4].ref_block == 0
     assert all(a[b].ref_block >= 4 for b in range(5, 9))
     assert not any(a[b].drift for b in range(5, 9) if a[b].ref_block == 4 and b == 5)
+
+
+def test_pca_reset_restarts_after_drift(spark):
+    df = planted(spark, n=900, change_at=400)
+    rows = pca_cd(df, ["key"], ["t"], ["x0", "x1", "x2"], window=50, delta=0.1, lam=1.0, reset=True).collect()
+    by_key = {}
+    for r in rows:
+        by_key.setdefault(r.key, []).append(r)
+    for key, rs in by_key.items():
+        rs.sort(key=lambda r: r.block)
+        assert [r.block for r in rs] == list(range(1, 18))
+        last = 0
+        for r in rs:
+            assert r.ref_block == last
+            if r.state == "drift":
+                last = r.block
+    assert any(r.state == "drift" for r in by_key["a"])

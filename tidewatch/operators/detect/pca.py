@@ -64,40 +64,67 @@ def reference_components(ref: DataFrame, keys: Sequence[str], xs: Sequence[str],
     return mom.groupBy(*keys).applyInPandas(eig, schema)
 
 
-def pca_cd(df: DataFrame, keys: Sequence[str], order: Sequence[str], xs: Sequence[str], window: int = 50,
-           delta: float = 0.1, lam: float = 1.0, warn: float = 0.5, bins: int = 10,
-           var_kept: float = 0.99) -> DataFrame:
-    """Per (key, block >= 1): divergence (max KL over components), Page-Hinkley
-    statistic and state. Only full blocks are scored."""
-    keys = list(keys)
-    d = len(xs)
-    blk = full_blocks(df.select(*keys, *order, *[c for c in xs if c not in order]), keys, order, window)
-    rows = blk.select(*keys, "block", *xs)
-    comps = reference_components(rows.filter(F.col("block") == 0), keys, xs, var_kept).checkpoint(eager=True)
+def _pca_round(blk: DataFrame, refs: DataFrame, keys: list[str], xs: Sequence[str], window: int, delta: float,
+               lam: float, warn: float, bins: int, var_kept: float) -> DataFrame:
+    """Divergence + Page-Hinkley for every block after each key's reference ``_ref``."""
+    rel = blk.join(_maybe_broadcast(refs), keys).filter(F.col("block") >= F.col("_ref"))
+    rows = rel.select(*keys, "block", "_ref", *xs)
+    is_ref = F.col("block") == F.col("_ref")
+    comps = reference_components(rows.filter(is_ref), keys, xs, var_kept).checkpoint(eager=True)
     proj = rows.join(_maybe_broadcast(comps), keys).withColumn(
         "_z", sum((F.col(f"`{c}`").cast("double") - F.col(f"mean_{i}")) * F.col(f"w_{i}")
-                  for i, c in enumerate(xs))).select(*keys, "block", "comp", "_z")
-    rng = (proj.filter(F.col("block") == 0).groupBy(*keys, "comp")
+                  for i, c in enumerate(xs))).select(*keys, "block", "_ref", "comp", "_z")
+    rng = (proj.filter(is_ref).groupBy(*keys, "comp")
            .agg(F.min("_z").alias("_zmin"), F.max("_z").alias("_zmax")).checkpoint(eager=True))
     span = F.col("_zmax") - F.col("_zmin")
     b = F.when(span <= 0, F.lit(0)).otherwise(
         F.least(F.greatest(F.floor((F.col("_z") - F.col("_zmin")) / span * bins), F.lit(0)), F.lit(bins - 1)))
     hist = (proj.join(_maybe_broadcast(rng), [*keys, "comp"]).withColumn("_bin", b.cast("int"))
-            .groupBy(*keys, "block", "comp", "_bin").agg(F.count(F.lit(1)).alias("_c")))
+            .groupBy(*keys, "block", "_ref", "comp", "_bin").agg(F.count(F.lit(1)).alias("_c")))
     # KL(ref || test) with +0.5 smoothing; both blocks hold ``window`` rows, so with
     # z = window + bins/2: KL = sum_b pr log pr - sum_{b: c>0} pr (log(c+.5) - log .5) - log(.5/z).
     # Only non-empty test bins are touched: no blocks x bins grid.
     z = window + bins / 2.0
-    ref = hist.filter(F.col("block") == 0).select(*keys, "comp", "_bin", F.col("_c").alias("_cr"))
+    ref = hist.filter(is_ref).select(*keys, "comp", "_bin", F.col("_c").alias("_cr"))
     allbins = rng.select(*keys, "comp").withColumn("_bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     prob = (allbins.join(ref, [*keys, "comp", "_bin"], "left").fillna(0, ["_cr"])
             .withColumn("_pr", (F.col("_cr") + 0.5) / z).checkpoint(eager=True))
     ent = prob.groupBy(*keys, "comp").agg(F.sum(F.col("_pr") * F.log("_pr")).alias("_h"))
-    part = (hist.filter(F.col("block") > 0).join(prob.select(*keys, "comp", "_bin", "_pr"), [*keys, "comp", "_bin"])
-            .groupBy(*keys, "block", "comp")
+    part = (hist.filter(~is_ref).join(prob.select(*keys, "comp", "_bin", "_pr"), [*keys, "comp", "_bin"])
+            .groupBy(*keys, "block", "_ref", "comp")
             .agg(F.sum(F.col("_pr") * (F.log(F.col("_c") + 0.5) - F.lit(float(np.log(0.5))))).alias("_s")))
     kl = part.join(ent, [*keys, "comp"]).withColumn(
         "_kl", F.col("_h") - F.col("_s") - F.lit(float(np.log(0.5 / z))))
-    div = kl.groupBy(*keys, "block").agg(F.max("_kl").alias("divergence"))
+    div = kl.groupBy(*keys, "block", "_ref").agg(F.max("_kl").alias("divergence"))
     ph = page_hinkley(div, keys, ["block"], "divergence", delta=delta, lam=lam, warn=warn)
-    return ph.select(*keys, "block", "divergence", "ph_stat", "state")
+    return ph.select(*keys, "block", F.col("_ref").alias("ref_block"), "divergence", "ph_stat", "state")
+
+
+def pca_cd(df: DataFrame, keys: Sequence[str], order: Sequence[str], xs: Sequence[str], window: int = 50,
+           delta: float = 0.1, lam: float = 1.0, warn: float = 0.5, bins: int = 10,
+           var_kept: float = 0.99, reset: bool = False) -> DataFrame:
+    """Per (key, block) after the reference: divergence (max KL over components),
+    Page-Hinkley statistic and state. Only full blocks are scored.
+
+    ``reset=True``: after a 'drift' state the drifting block becomes the reference and
+    Page-Hinkley restarts; sequential within a key, so it runs in rounds that are
+    parallel across keys (rounds = most drifts of any key + 1).
+    """
+    keys = list(keys)
+    blk = full_blocks(df.select(*keys, *order, *[c for c in xs if c not in order]), keys, order, window)
+    refs = blk.select(*keys).distinct().withColumn("_ref", F.lit(0).cast("long"))
+    if not reset:
+        return _pca_round(blk, refs, keys, xs, window, delta, lam, warn, bins, var_kept)
+    refs = refs.checkpoint(eager=True)
+    parts = []
+    while refs.count() > 0:
+        scored = _pca_round(blk, refs, keys, xs, window, delta, lam, warn, bins, var_kept).checkpoint(eager=True)
+        first = scored.filter(F.col("state") == "drift").groupBy(*keys).agg(F.min("block").alias("_first"))
+        kept = (scored.join(first, keys, "left")
+                .filter(F.col("_first").isNull() | (F.col("block") <= F.col("_first"))).drop("_first"))
+        parts.append(kept.checkpoint(eager=True))
+        refs = first.select(*keys, F.col("_first").cast("long").alias("_ref")).checkpoint(eager=True)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

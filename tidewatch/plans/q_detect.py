@@ -446,9 +446,10 @@ def kdq_tree_q(spark, sf):
 @register("pca_cd")
 def pca_cd_q(spark, sf):
     """PCA change detection per supplier (blocks of 50 lineitem 4-vectors, KL,
-    Page-Hinkley delta 0.1 over the per-block divergence)."""
+    Page-Hinkley delta 0.1 over the per-block divergence, reference reset after drift)."""
     from tidewatch.operators.detect.pca import pca_cd
-    out = pca_cd(table(spark, sf, "lineitem"), ["l_suppkey"], LINE_ORDER, LINE_VECTOR, window=50, delta=0.1)
+    out = pca_cd(table(spark, sf, "lineitem"), ["l_suppkey"], LINE_ORDER, LINE_VECTOR, window=50, delta=0.1,
+                 reset=True)
     return rounded(out)
 
 
