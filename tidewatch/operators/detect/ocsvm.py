@@ -39,3 +39,25 @@ def one_class_svm(df: DataFrame, keys: Sequence[str], xs: Sequence[str], nu: flo
     if scale:
         scored = scored.drop(*feats)
     return quantile_filter(scored, keys, "score", q)
+
+
+def fit_scorer(train: DataFrame, keys: Sequence[str], xs: Sequence[str], nu: float = 0.1, q: float = 0.995,
+               steps: int = 30) -> DataFrame:
+    """D6 model table for streams: per key (w, rho) and the ``q`` quantile of the training
+    scores. Small (one row per key); a stream is scored by a stream-static join."""
+    from tidewatch.operators.detect.ocsvm_fit import fit_one_class_svm, svm_scores
+    keys = list(keys)
+    params = fit_one_class_svm(train, keys, xs, nu, steps)
+    thr = keyed_quantile(svm_scores(train, params, keys, xs), keys, "score", q, "threshold")
+    return params.join(thr, keys).checkpoint(eager=True)
+
+
+def score_stream(stream: DataFrame, model: DataFrame, keys: Sequence[str], xs: Sequence[str]) -> DataFrame:
+    """Score a streaming DataFrame with a fitted model table (stream-static join; the
+    model is re-read each micro-batch, so a refit written to its location is picked up)."""
+    keys = list(keys)
+    dot = sum(F.col(f"`{c}`").cast("double") * F.col(f"w_{i}") for i, c in enumerate(xs))
+    scored = stream.join(F.broadcast(model) if model.count() <= BROADCAST_ROWS else model, keys)
+    return (scored.withColumn("score", F.col("rho") - dot)
+            .withColumn("alarm", F.col("score") >= F.col("threshold"))
+            .drop(*[f"w_{i}" for i in range(len(xs))], "rho"))

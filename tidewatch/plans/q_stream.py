@@ -127,3 +127,22 @@ def upsert_stream_q(spark, sf):
     run = SIO.new_run(spark, "upsert")
     SIO.await_all([SIO.upsert_stream(ev, ["ts"], "event_id", f"{run}/out", f"{run}/ckpt", "day")])
     return rounded(spark.read.parquet(f"{run}/out").select("ts", "event_id", "value", "k"))
+
+
+@register("one_class_svm_stream")
+def one_class_svm_stream_q(spark, sf):
+    """D6 streaming form: per-supplier linear one-class SVM fitted in batch (unscaled
+    lineitem 4-vectors), then a lineitem file stream scored by a stream-static join with
+    the model table (w, rho, 0.995 threshold)."""
+    from tidewatch.operators.detect.ocsvm import fit_scorer, score_stream
+    from tidewatch.plans.inputs import LINE_VECTOR
+    src = f"{sf}/lineitem.parquet"
+    li = spark.read.parquet(src).select("l_orderkey", "l_linenumber", "l_suppkey", *LINE_VECTOR)
+    model = fit_scorer(li, ["l_suppkey"], LINE_VECTOR, nu=0.1, q=0.995)
+    stream = SIO.read_stream(spark, "parquet", src, spark.read.parquet(src).schema).select(
+        "l_orderkey", "l_linenumber", "l_suppkey", *LINE_VECTOR)
+    det = score_stream(stream, model, ["l_suppkey"], LINE_VECTOR)
+    run = SIO.new_run(spark, "ocsvm")
+    SIO.await_all([SIO.write_stream(det.select("l_orderkey", "l_linenumber", "l_suppkey", "score", "threshold",
+                                                "alarm"), "parquet", f"{run}/out", f"{run}/ckpt")])
+    return rounded(spark.read.parquet(f"{run}/out"))
