@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark import StorageLevel
 
 from tidewatch.operators.position import BROADCAST_ROWS
 
@@ -23,6 +24,9 @@ def fit_one_class_svm(train: DataFrame, keys: Sequence[str], xs: Sequence[str],
     keys = list(keys)
     d = len(xs)
     x = [F.col(f"`{c}`").cast("double") for c in xs]
+    # every step reads the training columns again: keep them cached during the fit, as
+    # Spark ML's iterative estimators do with their input (unpersisted before returning)
+    train = train.select(*keys, *xs).persist(StorageLevel.MEMORY_AND_DISK)
     params = train.select(*keys).distinct().select(
         *keys, *[F.lit(0.0).alias(f"w_{i}") for i in range(d)], F.lit(1.0).alias("rho")).checkpoint(eager=True)
     nkeys = params.count()
@@ -41,6 +45,7 @@ def fit_one_class_svm(train: DataFrame, keys: Sequence[str], xs: Sequence[str],
                for i in range(d)]
         rho = (F.col("rho") - step * (F.lit(-1.0) + scale * F.col("_v") / F.col("_n"))).alias("rho")
         params = g.select(*keys, *upd, rho).checkpoint(eager=True)
+    train.unpersist()
     return params
 
 
