@@ -38,8 +38,10 @@ def _count(iv: DataFrame) -> int:
 
 
 def truncate_time(df: DataFrame, col: str, unit: str = "second", out: str | None = None) -> DataFrame:
-    """Truncate a timestamp column to ``unit``."""
-    return df.withColumn(out or col, F.date_trunc(unit, F.col(col)))
+    """Truncate a timestamp column to ``unit``, keeping its type (a TIMESTAMP_NTZ
+    stays time-zone free; ``date_trunc`` alone would return a session-zone TIMESTAMP)."""
+    dtype = dict(df.dtypes)[col]
+    return df.withColumn(out or col, F.date_trunc(unit, F.col(col)).cast(dtype))
 
 
 def _bucketed(iv: DataFrame) -> DataFrame:
