@@ -117,12 +117,15 @@ def _score_against(blk: DataFrame, refs: DataFrame, keys: list[str], xs: Sequenc
 
     # split nodes from the reference block: cells at level l < depth holding > max_count rows
     ref = coded.filter(is_ref)
-    lv = F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("_l")
+    # reference counts of every prefix cell, levels 0..depth (the leaves' reference counts
+    # are read from here, so the reference rows are never joined to the leaves)
+    lv = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("_l")
     pref = (ref.select(*keys, "_code", lv)
             .withColumn("_p", F.expr(f"shiftright(_code, {depth} - _l)"))
-            .groupBy(*keys, "_l", "_p").agg(F.count(F.lit(1)).alias("_c")))
+            .groupBy(*keys, "_l", "_p").agg(F.count(F.lit(1)).alias("_c"))).checkpoint(eager=True)
     # small tables (bounded by keys x tree size) are checkpointed: lineage and plans stay short
-    split = pref.filter(F.col("_c") > max_count).select(*keys, "_l", "_p").checkpoint(eager=True)
+    split = (pref.filter((F.col("_c") > max_count) & (F.col("_l") < depth))
+             .select(*keys, "_l", "_p").checkpoint(eager=True))
 
     # leaves: root if not split, else children of split nodes that are not split
     kids = split.select(*keys, (F.col("_l") + 1).alias("_l"),
@@ -145,12 +148,12 @@ def _score_against(blk: DataFrame, refs: DataFrame, keys: list[str], xs: Sequenc
     rows = coded.withColumn("_b", F.shiftright(F.col("_code"), depth - coarse))
     cond = [F.col(k) == F.col(f"_k_{k}") for k in keys] + [
         F.col("_b") == F.col("_lb"), F.col("_code") >= F.col("_lo"), F.col("_code") < F.col("_hi")]
-    assigned = rows.join(lbj, cond).select(*keys, "block", "_ref", F.col("_ll").alias("_l"),
-                                           F.col("_lp").alias("_p"))
+    assigned = rows.filter(~is_ref).join(lbj, cond).select(*keys, "block", "_ref", F.col("_ll").alias("_l"),
+                                                           F.col("_lp").alias("_p"))
     counts = assigned.groupBy(*keys, "block", "_ref", "_l", "_p").agg(F.count(F.lit(1)).alias("_n"))
 
     # reference distribution over all leaves (empty leaves included, +0.5 smoothing)
-    ref_counts = counts.filter(is_ref).select(*keys, "_l", "_p", F.col("_n").alias("ref_count"))
+    ref_counts = pref.select(*keys, "_l", "_p", F.col("_c").alias("ref_count"))
     leaf_ref = leaves.select(*keys, "_l", "_p").join(ref_counts, [*keys, "_l", "_p"], "left").fillna(
         0, ["ref_count"])
     nl = leaf_ref.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nleaves"), F.sum("ref_count").alias("_nref"))
