@@ -4,6 +4,6 @@ Every public operator is a plain function ``DataFrame -> DataFrame`` (usable via
 ``df.transform``); nothing holds a global session.
 """
 
-from tidewatch.session import build_session, checkpoint_dir
+from tidewatch.session import build_session, checkpoint_dir, cluster_settings
 
-__all__ = ["build_session", "checkpoint_dir"]
+__all__ = ["build_session", "checkpoint_dir", "cluster_settings"]
