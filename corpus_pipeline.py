@@ -1,8 +1,83 @@
-"""Corpus pipeline over ``documents``."""
+"""Corpus pipeline over ``documents``: toxicity filter, SimHash near-duplicates, secret
+redaction, mixing to target weights, SentencePiece encoding.
 
-STAGES = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir), works on every row it is given and returns a
+DataFrame that is written as Parquet and reread for the next one. All but the last return
+the columns of documents.
 
+* toxicity: rows whose score reaches the threshold go; clean rows stay as they are.
+* simhash: of each group of near-duplicates the row with the smallest doc_id stays. Rows
+  with a null doc_id belong to no group and stay; of rows that repeat a doc_id one stays.
+* secrets: every secret is replaced by a mask, n_chars follows; no row goes.
+* mixing: all rows stay; the rows are written in the order of the mixture, so the files
+  read one after the other are the mixed stream.
+* pieces: doc_id, n_pieces, piece_ids, round_trip of every row.
 
-def run(spark, sf_dir):
-    raise ValueError("no stages yet")
+Null and empty texts, repeated rows, empty tables and extra columns are handled by the
+operators as their docstrings say; extra columns of the input end with the first stage.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewatch.llm import mixing, pieces, secretscan, simhash, toxicity
+from tidewatch.llm.common import DOCUMENT_COLUMNS, cut, read, shared_dir
+
+TOXIC_FROM = 0.3
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*DOCUMENT_COLUMNS)
+    model = toxicity.fitted_model(docs, read(spark, sf_dir, "labels"))
+    scored = docs.withColumn("score", toxicity.score_column(spark, model))
+    return scored.where(F.col("score") < TOXIC_FROM).drop("score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*DOCUMENT_COLUMNS)
+    found = cut(simhash.near_duplicates(docs).groupBy("doc_id").agg(
+        F.min("component_id").alias("component_id"), F.count("*").alias("n")).where("doc_id is not null"))
+    kept = docs.join(found.where("doc_id <> component_id or n > 1").select("doc_id"), "doc_id", "left_anti")
+    repeated = docs.join(found.where("doc_id = component_id and n > 1").select("doc_id"), "doc_id", "left_semi")
+    return kept.unionByName(repeated.dropDuplicates(["doc_id"])).select(*DOCUMENT_COLUMNS)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secretscan.redact(docs.select(*DOCUMENT_COLUMNS))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(docs.select(*DOCUMENT_COLUMNS))
+    return mixed.orderBy("slot", "in_block").select(*DOCUMENT_COLUMNS)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encode(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash", drop_near_duplicates),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+    ("pieces", encode_pieces),
+]
+
+ORACLE_SQL = None  # a trained classifier and hashed fingerprints have no SQL
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over ``documents``."""
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = read(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        out.write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return docs

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import simhash, tokencount
+from tidewatch.llm import mixing, pieces, secretscan, simhash, tokencount, toxicity
 
 QUERIES = {
+    "op2_mix_sources": mixing.op2_mix_sources,
     "op3_token_counts": tokencount.op3_token_counts,
     "op4_simhash": simhash.op4_simhash,
+    "op6_pieces": pieces.op6_pieces,
+    "op8_secrets": secretscan.op8_secrets,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_mix_sources": mixing.ORACLE_SQL}
