@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import mixing, pieces, secretscan, simhash, tokencount, toxicity
+from tidewatch.llm import embeddings, mixing, pieces, secretscan, simhash, tokencount, topk, toxicity
 
 QUERIES = {
+    "op1_topk_search": topk.op1_topk_search,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_token_counts": tokencount.op3_token_counts,
     "op4_simhash": simhash.op4_simhash,
+    "op5_embeddings": embeddings.op5_embeddings,
     "op6_pieces": pieces.op6_pieces,
     "op8_secrets": secretscan.op8_secrets,
     "op9_toxicity": toxicity.op9_toxicity,
 }
 
-ORACLE_SQL = {"op2_mix_sources": mixing.ORACLE_SQL}
+ORACLE_SQL = {"op1_topk_search": topk.ORACLE_SQL, "op2_mix_sources": mixing.ORACLE_SQL}
