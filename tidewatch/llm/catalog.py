@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import embeddings, mixing, pieces, secretscan, simhash, tokencount, topk, toxicity
+from tidewatch.llm import embeddings, mixing, pieces, secretscan, simhash, substrings, tokencount, topk, toxicity
 
 QUERIES = {
     "op1_topk_search": topk.op1_topk_search,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_pieces": pieces.op6_pieces,
     "op8_secrets": secretscan.op8_secrets,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_suffix_dedup": substrings.op10_suffix_dedup,
 }
 
 ORACLE_SQL = {"op1_topk_search": topk.ORACLE_SQL, "op2_mix_sources": mixing.ORACLE_SQL}
