@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import embeddings, mixing, pieces, secretscan, simhash, substrings, tokencount, topk, toxicity
+from tidewatch.llm import embeddings, mixing, passages, pieces, secretscan, simhash, substrings, tokencount, topk, toxicity
 
 QUERIES = {
     "op1_topk_search": topk.op1_topk_search,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op5_embeddings": embeddings.op5_embeddings,
     "op6_pieces": pieces.op6_pieces,
+    "op7_passages": passages.op7_passages,
     "op8_secrets": secretscan.op8_secrets,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_suffix_dedup": substrings.op10_suffix_dedup,
