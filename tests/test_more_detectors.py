@@ -50,7 +50,7 @@ def test_pca_cd_divergence_peaks_after_change(spark):
 
 def test_one_class_svm_alarm_share(spark):
     df = planted(spark).withColumn("rid", F.monotonically_increasing_id())
-    out = one_class_svm(df, ["key"], ["x0", "x1", "x2"], nu=0.1, q=0.99, steps=20)
+    out = one_class_svm(df, ["key"], ["x0", "x1", "x2"], nu=0.1, q=0.99)
     share = out.agg(F.avg(F.col("alarm").cast("double"))).first()[0]
     assert 0.005 <= share <= 0.03
 

@@ -26,30 +26,28 @@ def quantile_filter(df: DataFrame, keys: Sequence[str], score: str, q: float = 0
 
 
 def one_class_svm(df: DataFrame, keys: Sequence[str], xs: Sequence[str], nu: float = 0.1, q: float = 0.995,
-                  steps: int = 30, scale: bool = True) -> DataFrame:
-    """Fit a linear one-class SVM per key on all its rows (full batch), score every
-    row (rho - w.x) and alarm on scores at or above the key's exact ``q`` quantile.
-    Features are standardised first (M4) unless ``scale=False``."""
+                  fit_on: DataFrame | None = None) -> DataFrame:
+    """Fit a linear one-class SVM per key (on ``fit_on`` if given, e.g. earlier rows, so
+    that neither the model nor the threshold sees the rows it judges; else on all rows),
+    score every row (rho - w.x) and alarm on scores at or above the key's exact ``q``
+    quantile of the fitted rows' scores."""
     from tidewatch.operators.detect.ocsvm_fit import fit_one_class_svm, svm_scores
-    from tidewatch.operators.ml import standard_scale
-    src = standard_scale(df, xs, suffix="__s") if scale else df
-    feats = [f"{c}__s" for c in xs] if scale else list(xs)
-    params = fit_one_class_svm(src, keys, feats, nu, steps)
-    scored = svm_scores(src, params, keys, feats)
-    if scale:
-        scored = scored.drop(*feats)
-    return quantile_filter(scored, keys, "score", q)
-
-
-def fit_scorer(train: DataFrame, keys: Sequence[str], xs: Sequence[str], nu: float = 0.1, q: float = 0.995,
-               steps: int = 30) -> DataFrame:
+    train = fit_on if fit_on is not None else df
+    params = fit_one_class_svm(train, keys, xs, nu).checkpoint(eager=True)
+    scored = svm_scores(df, params, keys, xs)
+    fitted = svm_scores(fit_on, params, keys, xs) if fit_on is not None else None
+    return quantile_filter(scored, keys, "score", q, fitted)
+
+
+def fit_scorer(train: DataFrame, keys: Sequence[str], xs: Sequence[str], nu: float = 0.1,
+               q: float = 0.995) -> DataFrame:
     """D6 model table for streams: per key (w, rho) and the ``q`` quantile of the training
     scores. Small (one row per key); a stream is scored by a stream-static join."""
     from tidewatch.operators.detect.ocsvm_fit import fit_one_class_svm, svm_scores
     keys = list(keys)
-    params = fit_one_class_svm(train, keys, xs, nu, steps)
+    params = fit_one_class_svm(train, keys, xs, nu).checkpoint(eager=True)
     thr = keyed_quantile(svm_scores(train, params, keys, xs), keys, "score", q, "threshold")
-    return params.join(thr, keys).checkpoint(eager=True)
+    return params.drop("gap").join(thr, keys).checkpoint(eager=True)
 
 
 def score_stream(stream: DataFrame, model: DataFrame, keys: Sequence[str], xs: Sequence[str]) -> DataFrame:

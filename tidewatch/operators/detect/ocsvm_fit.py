@@ -1,59 +1,139 @@
-"""Linear one-class SVM fitted by full-batch sub-gradient descent (D6 scorer).
+"""Linear one-class SVM fitted per key, with a convergence test (D6 scorer).
 
-minimise 1/2 |w|^2 - rho + 1/(nu n) sum_i max(0, rho - w.x_i) per key. Each step is
-one grouped aggregate over the training rows with the current (w, rho) joined in; the
-parameter table (one row per key) is checkpointed every step, so lineage stays flat
-(chaining cached tables instead makes plan strings grow with every step).
-Score = rho - w.x (large = unusual).
+minimise 1/2 |w|^2 - rho + 1/(nu n) sum_i max(0, rho - w.x_i). For a given w the best rho
+is the nu-quantile of w.x, and the gradient is w - v, v being the mean of the nu share of
+rows with the smallest w.x: the problem is the point of smallest norm in the hull of all
+such means. Frank-Wolfe steps with exact line search move w towards v until the duality
+gap w.(w - v) is at most ``tol`` |w|^2.
+
+Features are divided by their standard deviation, never centred: the model separates the
+data from the origin, so centred data have no solution but w = 0. Score = rho - w.x (large
+= unusual); about a ``nu`` share of the training rows scores above 0.
+
+Keys of up to ``GROUP_ROWS`` rows are fitted each in one task; larger ones by the same
+steps as grouped aggregates over all tasks, with the parameter table checkpointed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark import StorageLevel
 
 from tidewatch.operators.position import BROADCAST_ROWS
 
+GROUP_ROWS = 500_000
+STEPS = 2_000           # no fit needed as many so far; the gap that is left is returned
+TOLERANCE = 1e-3
+SPREAD_STEPS = 60       # steps of a key that is fitted over all tasks
 
-def fit_one_class_svm(train: DataFrame, keys: Sequence[str], xs: Sequence[str], nu: float = 0.1,
-                      steps: int = 30, lr: float = 0.5) -> DataFrame:
-    """(keys, w_<i>, rho) after ``steps`` sub-gradient steps (step size lr / sqrt(t))."""
-    keys = list(keys)
+
+def worst_mean(x: np.ndarray, w: np.ndarray, share: float) -> tuple[np.ndarray, float]:
+    """(mean of the ``share`` rows with the smallest w.x, the last of them in part; their
+    largest w.x)."""
+    dots = x @ w
+    whole = min(int(share), len(x) - 1)
+    order = np.argpartition(dots, whole)
+    part = share - whole
+    total = x[order[:whole]].sum(axis=0) + part * x[order[whole]]
+    return total / share, float(dots[order[whole]])
+
+
+def fit_rows(x: np.ndarray, nu: float, steps: int = STEPS, tol: float = TOLERANCE):
+    """(w, rho, relative duality gap) of the rows of ``x``."""
+    scale = x.std(axis=0)
+    scale[scale == 0] = 1.0
+    z = x / scale
+    share = min(max(nu * len(z), 1.0), float(len(z)))
+    w, gap = z.mean(axis=0), 1.0
+    for _ in range(steps):
+        v, rho = worst_mean(z, w, share)
+        norm = float(w @ w)
+        gap = float(w @ (w - v)) / norm if norm > 0 else 0.0
+        if gap <= tol:
+            break
+        step = w - v
+        w = w - min(1.0, float(w @ step) / float(step @ step)) * step
+    _, rho = worst_mean(z, w, share)
+    return w / scale, rho, gap
+
+
+def _fit_groups(train: DataFrame, keys: list[str], xs: Sequence[str], nu: float, steps: int, tol: float) -> DataFrame:
+    types = dict(train.dtypes)
+    names = [f"w_{i}" for i in range(len(xs))]
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + [f"{n} double" for n in [*names, "rho", "gap"]])
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        w, rho, gap = fit_rows(pdf[list(xs)].to_numpy(dtype=float), nu, steps, tol)
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), *w.tolist(), rho, gap]], columns=[*keys, *names, "rho", "gap"])
+
+    return train.groupBy(*keys).applyInPandas(fn, schema)
+
+
+def _fit_spread(train: DataFrame, keys: list[str], xs: Sequence[str], nu: float, steps: int, tol: float) -> DataFrame:
+    """The same steps for keys too large for one task: two grouped aggregates a step."""
     d = len(xs)
-    x = [F.col(f"`{c}`").cast("double") for c in xs]
-    # every step reads the training columns again: keep them cached during the fit, as
-    # Spark ML's iterative estimators do with their input (unpersisted before returning)
-    train = train.select(*keys, *xs).persist(StorageLevel.MEMORY_AND_DISK)
-    params = train.select(*keys).distinct().select(
-        *keys, *[F.lit(0.0).alias(f"w_{i}") for i in range(d)], F.lit(1.0).alias("rho")).checkpoint(eager=True)
-    nkeys = params.count()
-    for t in range(1, steps + 1):
-        p = F.broadcast(params) if nkeys <= BROADCAST_ROWS else params
-        j = train.join(p, keys) if keys else train.join(p)
-        dot = sum(x[i] * F.col(f"w_{i}") for i in range(d))
-        viol = (dot < F.col("rho")).cast("double")
-        g = j.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("_n"), F.sum(viol).alias("_v"),
-            *[F.sum(viol * x[i]).alias(f"_vx{i}") for i in range(d)],
-            *[F.first(f"w_{i}").alias(f"w_{i}") for i in range(d)], F.first("rho").alias("rho"))
-        step = lr / (t ** 0.5)
-        scale = 1.0 / nu
-        upd = [(F.col(f"w_{i}") - step * (F.col(f"w_{i}") - scale * F.col(f"_vx{i}") / F.col("_n"))).alias(f"w_{i}")
-               for i in range(d)]
-        rho = (F.col("rho") - step * (F.lit(-1.0) + scale * F.col("_v") / F.col("_n"))).alias("rho")
-        params = g.select(*keys, *upd, rho).checkpoint(eager=True)
+    col = [F.col(f"`{c}`") for c in xs]
+    params = train.groupBy(*keys).agg(
+        *[F.when(F.stddev_pop(c) > 0, F.stddev_pop(c)).otherwise(F.lit(1.0)).alias(f"s_{i}") for i, c in enumerate(col)],
+        *[F.avg(c).alias(f"w_{i}") for i, c in enumerate(col)])
+    params = params.select(*keys, *[f"s_{i}" for i in range(d)], *[(F.col(f"w_{i}") / F.col(f"s_{i}")).alias(f"w_{i}")
+                                                                   for i in range(d)], F.lit(1.0).alias("gap"))
+    params = params.checkpoint(eager=True)
+    train = train.persist(StorageLevel.DISK_ONLY)
+    dot = sum(col[i] / F.col(f"s_{i}") * F.col(f"w_{i}") for i in range(d))
+
+    def joined(p):
+        return train.join(F.broadcast(p), keys) if keys else train.join(F.broadcast(p))  # one row per large key
+
+    for _ in range(min(steps, SPREAD_STEPS)):
+        rho = joined(params).groupBy(*keys).agg(F.percentile_approx(dot, nu, 100_000).alias("rho"))
+        with_rho = (params.join(rho, keys) if keys else params.join(F.broadcast(rho)))
+        v = (joined(with_rho).where(dot <= F.col("rho")).groupBy(*keys)
+             .agg(*[F.avg(col[i] / F.col(f"s_{i}")).alias(f"v_{i}") for i in range(d)]))
+        both = (with_rho.join(v, keys) if keys else with_rho.join(F.broadcast(v)))
+        norm = sum(F.col(f"w_{i}") * F.col(f"w_{i}") for i in range(d))
+        down = sum(F.col(f"w_{i}") * (F.col(f"w_{i}") - F.col(f"v_{i}")) for i in range(d))
+        size = sum((F.col(f"w_{i}") - F.col(f"v_{i}")) * (F.col(f"w_{i}") - F.col(f"v_{i}")) for i in range(d))
+        both = both.withColumn("gap", F.when(norm > 0, down / norm).otherwise(F.lit(0.0))).withColumn(
+            "_g", F.when(F.col("gap") <= tol, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.try_divide(down, size))))
+        params = both.select(*keys, *[f"s_{i}" for i in range(d)],
+                             *[(F.col(f"w_{i}") - F.coalesce("_g", F.lit(0.0)) * (F.col(f"w_{i}") - F.col(f"v_{i}")))
+                               .alias(f"w_{i}") for i in range(d)], "gap").checkpoint(eager=True)
+        if params.where(F.col("gap") > tol).limit(1).count() == 0:
+            break
+    rho = joined(params).groupBy(*keys).agg(F.percentile_approx(dot, nu, 100_000).alias("rho")).checkpoint(eager=True)
     train.unpersist()
-    return params
+    out = params.join(rho, keys) if keys else params.join(F.broadcast(rho))
+    return out.select(*keys, *[(F.col(f"w_{i}") / F.col(f"s_{i}")).alias(f"w_{i}") for i in range(d)], "rho", "gap")
+
+
+def fit_one_class_svm(train: DataFrame, keys: Sequence[str], xs: Sequence[str], nu: float = 0.1,
+                      steps: int = STEPS, tol: float = TOLERANCE) -> DataFrame:
+    """(keys, w_<i>, rho, gap): one linear model per key in the units of ``xs``; ``gap`` is
+    the relative duality gap that is left (at most ``tol`` where it converged). Rows with a
+    NULL feature are not fitted."""
+    keys = list(keys)
+    whole = train.select(*keys, *[F.col(f"`{c}`").cast("double").alias(c) for c in xs]).dropna(subset=list(xs))
+    if not keys:
+        return _fit_spread(whole, keys, xs, nu, steps, tol)
+    sizes = whole.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > GROUP_ROWS).select(*keys)
+    if sizes.limit(1).count() == 0:
+        return _fit_groups(whole, keys, xs, nu, steps, tol)
+    large = sizes.checkpoint(eager=True)
+    return _fit_groups(whole.join(large, keys, "left_anti"), keys, xs, nu, steps, tol).unionByName(
+        _fit_spread(whole.join(large, keys, "left_semi"), keys, xs, nu, steps, tol))
 
 
 def svm_scores(df: DataFrame, params: DataFrame, keys: Sequence[str], xs: Sequence[str],
                out: str = "score") -> DataFrame:
     keys = list(keys)
-    small = params.count() <= BROADCAST_ROWS
-    p = F.broadcast(params) if small else params
-    j = df.join(p, keys) if keys else df.join(p)
+    params = params.checkpoint(eager=True)  # one row per key
+    p = F.broadcast(params) if params.count() <= BROADCAST_ROWS else params
+    j = df.join(p, keys) if keys else df.join(F.broadcast(params))
     dot = sum(F.col(f"`{c}`").cast("double") * F.col(f"w_{i}") for i, c in enumerate(xs))
-    return j.withColumn(out, F.col("rho") - dot).drop(*[f"w_{i}" for i in range(len(xs))], "rho")
+    return j.withColumn(out, F.col("rho") - dot).drop(*[f"w_{i}" for i in range(len(xs))], "rho", "gap")

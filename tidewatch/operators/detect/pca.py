@@ -2,7 +2,7 @@
 
 Per key: tumbling blocks of ``window`` records; block 0 is the reference. Principal
 components of the reference block (enough to explain ``var_kept`` of its variance)
-come from its covariance, which is one aggregate (sums of x_i and x_i x_j per key);
+come from its covariance, which is one aggregate (``covar_pop``, merge-safe at any offset);
 only that d x d matrix per key reaches Python (``applyInPandas`` over one row per key)
 for the eigen-decomposition. Every row is projected on its key's components by column
 arithmetic; per (block, component) an equal-width histogram over the reference range
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.detect.univariate import page_hinkley
+from tidewatch.operators.detect.univariate import page_hinkley_of_values
 from tidewatch.operators.history import full_blocks
 from tidewatch.operators.position import BROADCAST_ROWS
 
@@ -33,35 +33,35 @@ def reference_components(ref: DataFrame, keys: Sequence[str], xs: Sequence[str],
     keys = list(keys)
     d = len(xs)
     x = [F.col(f"`{c}`").cast("double") for c in xs]
-    sums = [F.count(F.lit(1)).alias("_n")] + [F.sum(x[i]).alias(f"_s{i}") for i in range(d)]
-    sums += [F.sum(x[i] * x[j]).alias(f"_s{i}_{j}") for i in range(d) for j in range(i, d)]
+    sums = [F.avg(x[i]).alias(f"_m{i}") for i in range(d)]
+    sums += [F.covar_pop(x[i], x[j]).alias(f"_c{i}_{j}") for i in range(d) for j in range(i, d)]
     mom = ref.groupBy(*keys).agg(*sums)
     key_types = dict(mom.dtypes)
     schema = ", ".join([f"`{k}` {key_types[k]}" for k in keys] + ["comp int"] +
                        [f"mean_{i} double" for i in range(d)] + [f"w_{i} double" for i in range(d)])
 
-    def eig(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, r in pdf.iterrows():
-            n = float(r["_n"])
-            mu = np.array([r[f"_s{i}"] / n for i in range(d)])
-            c = np.zeros((d, d))
+    def eig(batches):
+        cols = [*keys, "comp"] + [f"mean_{i}" for i in range(d)] + [f"w_{i}" for i in range(d)]
+        for pdf in batches:  # one row per key: all matrices of a batch are decomposed together
+            c = np.zeros((len(pdf), d, d))
             for i in range(d):
                 for j in range(i, d):
-                    c[i, j] = c[j, i] = r[f"_s{i}_{j}"] / n - mu[i] * mu[j]
+                    c[:, i, j] = c[:, j, i] = pdf[f"_c{i}_{j}"]
             vals, vecs = np.linalg.eigh(c)
-            order = np.argsort(vals)[::-1]
-            vals, vecs = np.clip(vals[order], 0, None), vecs[:, order]
-            total = vals.sum()
-            k = d if total <= 0 else int(np.searchsorted(np.cumsum(vals) / total, var_kept - 1e-12) + 1)
-            for comp in range(min(k, d)):
-                v = vecs[:, comp]
-                v = v if v[np.argmax(np.abs(v))] >= 0 else -v  # deterministic sign
-                out.append([*(r[kk] for kk in keys), comp, *mu.tolist(), *v.tolist()])
-        cols = [*keys, "comp"] + [f"mean_{i}" for i in range(d)] + [f"w_{i}" for i in range(d)]
-        return pd.DataFrame(out, columns=cols)
-
-    return mom.groupBy(*keys).applyInPandas(eig, schema)
+            vals, vecs = np.clip(vals[:, ::-1], 0, None), vecs[:, :, ::-1]
+            out = []
+            means = pdf[[f"_m{i}" for i in range(d)]].to_numpy()
+            for at in range(len(pdf)):
+                key = [pdf[k].iloc[at] for k in keys]
+                total = vals[at].sum()
+                k = d if total <= 0 else int(np.searchsorted(np.cumsum(vals[at]) / total, var_kept - 1e-12) + 1)
+                for comp in range(min(k, d)):
+                    v = vecs[at, :, comp]
+                    v = v if v[np.argmax(np.abs(v))] >= 0 else -v  # deterministic sign
+                    out.append([*key, comp, *means[at].tolist(), *v.tolist()])
+            yield pd.DataFrame(out, columns=cols)
+
+    return mom.mapInPandas(eig, schema)
 
 
 def _pca_round(blk: DataFrame, refs: DataFrame, keys: list[str], xs: Sequence[str], window: int, delta: float,
@@ -95,8 +95,9 @@ def _pca_round(blk: DataFrame, refs: DataFrame, keys: list[str], xs: Sequence[st
             .agg(F.sum(F.col("_pr") * (F.log(F.col("_c") + 0.5) - F.lit(float(np.log(0.5))))).alias("_s")))
     kl = part.join(ent, [*keys, "comp"]).withColumn(
         "_kl", F.col("_h") - F.col("_s") - F.lit(float(np.log(0.5 / z))))
-    div = kl.groupBy(*keys, "block", "_ref").agg(F.max("_kl").alias("divergence"))
-    ph = page_hinkley(div, keys, ["block"], "divergence", delta=delta, lam=lam, warn=warn)
+    # written once: Page-Hinkley counts the table before it scans it
+    div = kl.groupBy(*keys, "block", "_ref").agg(F.max("_kl").alias("divergence")).checkpoint(eager=True)
+    ph = page_hinkley_of_values(div, keys, ["block"], "divergence", delta=delta, lam=lam, warn=warn)
     return ph.select(*keys, "block", F.col("_ref").alias("ref_block"), "divergence", "ph_stat", "state")
 
 

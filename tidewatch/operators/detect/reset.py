@@ -81,6 +81,13 @@ def apply_reset(tested: DataFrame, keys: Sequence[str], pos_col: str, gap: int,
 def kswin_reset(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, window: int = 200,
                 stat: int = 100, alpha: float = 1e-4, warmup: int = 0, min_stat: float = 0.1) -> DataFrame:
     """D3 with the reference's reset: alarm rows and the rows still tested around them."""
-    from tidewatch.operators.detect.univariate import kswin
-    tested = kswin(df, keys, order, x, window, stat, alpha, warmup, min_stat, pos_col="_kpos")
-    return apply_reset(tested, keys, "_kpos", window - stat).drop("_kpos")
+    from tidewatch.operators.detect.univariate import kswin_of_values
+    from tidewatch.operators.history import nulls_apart
+    if window != 2 * stat:
+        raise ValueError("exact test implemented for window = 2 * stat")
+
+    def detect(rows: DataFrame) -> DataFrame:
+        tested = kswin_of_values(rows, keys, order, x, window, stat, alpha, warmup, min_stat, pos_col="_kpos")
+        return apply_reset(tested, keys, "_kpos", window - stat).drop("_kpos")
+
+    return nulls_apart(df, x, detect)

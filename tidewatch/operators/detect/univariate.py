@@ -2,6 +2,9 @@
 
 Each detector is one window pass (``bounded_frames``) plus array higher-order
 functions evaluated inside whole-stage code generation; no Python runs per row.
+
+NULL rule (batch and streams): histories and positions are made of the non-NULL values;
+a row whose value is NULL is kept, with NULL results, and changes no other row's result.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 from tidewatch import fixed
 from tidewatch.functions.scalars import normal_cdf_expr
 from tidewatch.functions.vectorized import ks_count
-from tidewatch.operators.history import running
+from tidewatch.operators.history import nulls_apart, running
 from tidewatch.operators.position import BLOCK_ROWS, bounded_frames, largest_group
 
 
@@ -28,13 +31,16 @@ def cusum(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, n: i
     m = mean(history); S = fold(max(0, S + v - m - k)) from S=0; alarm when S > h.
     Only rows with a full history are returned.
     """
-    res = bounded_frames(df, keys, order, n, lambda fr: {
-        "_hist": F.collect_list(F.col(x)).over(fr(-(n - 1), 0)),
-        "_m": F.avg(F.col(x)).over(fr(-(n - 1), 0))}, **frame_opts)
-    res = res.filter(F.size("_hist") == n)
-    s = F.expr(f"aggregate(_hist, CAST(0.0 AS DOUBLE), (acc, v) -> greatest(CAST(0.0 AS DOUBLE), acc + v - _m - {float(k)!r}))")
-    return (res.withColumn("cusum", s).withColumn("alarm", F.col("cusum") > F.lit(float(h)))
-            .drop("_hist", "_m"))
+    def detect(rows: DataFrame) -> DataFrame:
+        res = bounded_frames(rows, keys, order, n, lambda fr: {
+            "_hist": F.collect_list(F.col(x)).over(fr(-(n - 1), 0)),
+            "_m": F.avg(F.col(x)).over(fr(-(n - 1), 0))}, **frame_opts)
+        res = res.filter(F.size("_hist") == n)
+        s = F.expr(f"aggregate(_hist, CAST(0.0 AS DOUBLE), (acc, v) -> greatest(CAST(0.0 AS DOUBLE), acc + v - _m - {float(k)!r}))")
+        return (res.withColumn("cusum", s).withColumn("alarm", F.col("cusum") > F.lit(float(h)))
+                .drop("_hist", "_m"))
+
+    return nulls_apart(df, x, detect)
 
 
 # --- D2 Cramer-von Mises ------------------------------------------------------------
@@ -54,6 +60,11 @@ def cvm(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, n: int
     W* = (W2 - 0.4/n + 0.6/n^2)(1 + 1/n) against its critical value at ``alpha``.
     Alarm when rejected and |x - mean(history)| > ``min_shift``.
     """
+    return nulls_apart(df, x, lambda rows: _cvm(rows, keys, order, x, n, alpha, min_shift, standardise))
+
+
+def _cvm(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, n: int, alpha: float,
+         min_shift: float, standardise: bool) -> DataFrame:
     res = bounded_frames(df, keys, order, n, lambda fr: {
         "_hist": F.collect_list(F.col(x)).over(fr(-(n - 1), 0)),
         "_m": F.avg(F.col(x)).over(fr(-(n - 1), 0)),
@@ -119,6 +130,14 @@ def kswin(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, wind
     """
     if window != 2 * stat:
         raise ValueError("exact test implemented for window = 2 * stat")
+    return nulls_apart(df, x, lambda rows: kswin_of_values(rows, keys, order, x, window, stat, alpha, warmup, min_stat,
+                                                           method, pos_col))
+
+
+def kswin_of_values(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, window: int, stat: int,
+                    alpha: float, warmup: int, min_stat: float, method: str = "arrow",
+                    pos_col: str | None = None) -> DataFrame:
+    """``kswin`` on rows without NULL values."""
     kcrit = ks_critical_count(stat, alpha)
     src = df
     if warmup > 0:
@@ -146,6 +165,12 @@ def page_hinkley(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: st
 
     Three running scans (sum, sum, min); each is hot-key safe via ``running``.
     """
+    return nulls_apart(df, x, lambda rows: page_hinkley_of_values(rows, keys, order, x, delta, lam, warn, force_blocks))
+
+
+def page_hinkley_of_values(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, delta: float = 0.005,
+                           lam: float = 50.0, warn: float = 0.5, force_blocks: bool = False) -> DataFrame:
+    """``page_hinkley`` on rows without NULL values."""
     split = force_blocks or largest_group(df, keys) > BLOCK_ROWS  # one size check for all three scans
     a = running(df, keys, order, {"_cs": ("sum", F.col(x)), "_cn": ("sum", F.lit(1))}, blocks=split)
     a = a.withColumn("_dev", F.col(x) - F.col("_cs") / F.col("_cn") - F.lit(delta))

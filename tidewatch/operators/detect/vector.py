@@ -15,21 +15,26 @@ from pyspark.sql import functions as F
 from tidewatch.operators.position import bounded_frames
 
 
+def _log_sum_exp(array: str, t: str = "t") -> str:
+    """log sum exp over ``array``, each element seen once: the fold keeps the largest
+    element so far and the sum of the others relative to it."""
+    return (f"aggregate({array}, named_struct('m', CAST('-Infinity' AS DOUBLE), 's', CAST(0.0 AS DOUBLE)), "
+            f"(acc, {t}) -> IF({t} > acc.m, named_struct('m', {t}, 's', acc.s * exp(acc.m - {t}) + 1.0), "
+            f"named_struct('m', acc.m, 's', acc.s + exp({t} - acc.m))), acc -> acc.m + ln(acc.s))")
+
+
 def _lse(sample: str, x: str, h: float) -> str:
     """log sum_s exp(-(x-s)^2 / (2h^2)) over array ``sample`` (stable)."""
-    a = f"transform({sample}, s -> -(({x}) - s) * (({x}) - s) / {2.0 * h * h!r})"
-    return (f"(array_max({a}) + ln(aggregate({a}, CAST(0.0 AS DOUBLE), "
-            f"(acc, t) -> acc + exp(t - array_max({a})))))")
+    return _log_sum_exp(f"transform({sample}, s -> -(({x}) - s) * (({x}) - s) / {2.0 * h * h!r})", "u")
 
 
 def log_density_ratio_expr(prev: str, cur: str, h: float) -> str:
     """log of mean_i p_cur(x_i) / p_prev(x_i) over x_i in ``cur`` (Gaussian KDE, bandwidth h).
 
     Kernel normalisers cancel because both samples have the same size; the mean of
-    ratios is taken in log space, so nothing overflows or divides by zero."""
+    ratios is taken in log space, so nothing overflows or divides by zero. O(d^2)."""
     d = f"transform({cur}, x -> {_lse(cur, 'x', h)} - {_lse(prev, 'x', h)})"
-    return (f"(array_max({d}) + ln(aggregate({d}, CAST(0.0 AS DOUBLE), "
-            f"(acc, t) -> acc + exp(t - array_max({d})))) - ln(size({cur})))")
+    return f"({_log_sum_exp(d)} - ln(size({cur})))"
 
 
 def density_ratio(df: DataFrame, keys: Sequence[str], order: Sequence[str], xs: Sequence[str],

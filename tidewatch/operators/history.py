@@ -21,13 +21,28 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols
                           lambda fr: {f"{prefix}{c}": F.lag(F.col(c), 1).over(fr()) for c in cols})
 
 
+def nulls_apart(df: DataFrame, x: str, detect) -> DataFrame:
+    """``detect`` on the rows whose ``x`` is not NULL, and the other rows with NULL in the
+    columns that it adds: NULLs take no place in a history and no row is lost."""
+    if not df.schema[x].nullable:
+        return detect(df)
+    out = detect(df.filter(F.col(f"`{x}`").isNotNull()))
+    added = [F.lit(None).cast(t).alias(c) for c, t in out.dtypes if c not in df.columns]
+    rest = df.filter(F.col(f"`{x}`").isNull()).select("*", *added)
+    return out.unionByName(rest.select(*[F.col(f"`{c}`") for c in out.columns]))
+
+
 def last_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, n: int,
            out: str = "history", full_only: bool = True) -> DataFrame:
-    """The last ``n`` values including the current one, oldest first; with
-    ``full_only`` only rows that already have ``n`` values are kept."""
-    res = bounded_frames(df, keys, order, n,
-                         lambda fr: {out: F.collect_list(F.col(x)).over(fr(-(n - 1), 0))})
-    return res.filter(F.size(out) == n) if full_only else res
+    """The last ``n`` non-NULL values including the current one, oldest first; with
+    ``full_only`` only rows that already have ``n`` values are kept (and NULL rows, with a
+    NULL history)."""
+    def detect(rows: DataFrame) -> DataFrame:
+        res = bounded_frames(rows, keys, order, n,
+                             lambda fr: {out: F.collect_list(F.col(x)).over(fr(-(n - 1), 0))})
+        return res.filter(F.size(out) == n) if full_only else res
+
+    return nulls_apart(df, x, detect)
 
 
 def rolling_shift(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, n: int = 10) -> DataFrame:
@@ -47,13 +62,17 @@ def rolling_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], score:
 
 def half_windows(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, window: int = 200,
                  stat: int = 100, full_only: bool = True) -> DataFrame:
-    """Of the last ``window`` values, the older ``window-stat`` and the newest ``stat``."""
-    res = bounded_frames(df, keys, order, window, lambda fr: {
-        "older": F.collect_list(F.col(x)).over(fr(-(window - 1), -stat)),
-        "recent": F.collect_list(F.col(x)).over(fr(-(stat - 1), 0))})
-    if full_only:
-        res = res.filter((F.size("older") == window - stat) & (F.size("recent") == stat))
-    return res
+    """Of the last ``window`` non-NULL values, the older ``window-stat`` and the newest
+    ``stat`` (NULL rows are kept with NULL halves)."""
+    def detect(rows: DataFrame) -> DataFrame:
+        res = bounded_frames(rows, keys, order, window, lambda fr: {
+            "older": F.collect_list(F.col(x)).over(fr(-(window - 1), -stat)),
+            "recent": F.collect_list(F.col(x)).over(fr(-(stat - 1), 0))})
+        if full_only:
+            res = res.filter((F.size("older") == window - stat) & (F.size("recent") == stat))
+        return res
+
+    return nulls_apart(df, x, detect)
 
 
 def count_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,

@@ -110,7 +110,7 @@ def interval_match(df: DataFrame, time_col: str, intervals: DataFrame,
 
 def label_intervals(df: DataFrame, time_col: str, intervals: DataFrame, label_col: str = "attack_label",
                     hit: str = fixed.HIT_LABEL, miss: str = fixed.MISS_LABEL,
-                    row_key: Sequence[str] | None = None) -> DataFrame:
+                    ) -> DataFrame:
     """``hit`` if the time lies in any closed interval, else ``miss`` (NULL time -> miss)."""
     if _count(intervals) <= 16:
         # A handful of intervals: a CASE chain keeps the scan map-only and codegen'd.
@@ -126,6 +126,16 @@ def label_intervals(df: DataFrame, time_col: str, intervals: DataFrame, label_co
             conds = c if conds is None else (conds | c)
         lab = F.when(conds, F.lit(hit)).otherwise(F.lit(miss)) if conds is not None else F.lit(miss)
         return df.withColumn(label_col, lab)
-    m = interval_match(df, time_col, intervals, "_iv", None, row_key)
-    return (m.withColumn(label_col, F.when(F.col("_iv").isNotNull(), F.lit(hit)).otherwise(F.lit(miss)))
-            .drop("_iv"))
+    # More intervals, overlapping or not: a label only asks whether a match exists, so a
+    # semi join gives the hits and an anti join the rest (no choice among matches).
+    t = F.col(time_col)
+    if _count(intervals) <= BROADCAST_INTERVALS:
+        rows, iv = df, F.broadcast(intervals.select(F.col("start").alias("_ivs"), F.col("end").alias("_ive")))
+        cond = t.between(F.col("_ivs"), F.col("_ive"))
+    else:
+        iv = _bucketed(intervals).select(F.col("start").alias("_ivs"), F.col("end").alias("_ive"), "_bkt")
+        rows = df.withColumn("_rbkt", F.floor(F.unix_timestamp(t.cast("timestamp")) / F.lit(BUCKET_SECONDS)))
+        cond = (F.col("_rbkt") == F.col("_bkt")) & t.between(F.col("_ivs"), F.col("_ive"))
+    hits = rows.join(iv, cond, "left_semi").withColumn(label_col, F.lit(hit))
+    rest = rows.join(iv, cond, "left_anti").withColumn(label_col, F.lit(miss))
+    return hits.unionByName(rest).drop("_rbkt")

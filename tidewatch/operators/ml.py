@@ -7,12 +7,15 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.position import with_position
 
 
+MAX_CLASSES = 1_000  # columns that a confusion matrix makes of its own accord
+
+
 def q(c: str):
     return F.col(f"`{c}`")
 
@@ -26,21 +29,24 @@ def ordered_split(df: DataFrame, order: Sequence[str], n_train: int | None = Non
     if n_train is None:
         if train_fraction is None:
             raise ValueError("give n_train or train_fraction")
-        if keys:
-            tot = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-            limit = F.floor(tot * F.lit(train_fraction))
+        if keys:  # sizes by a grouped count (map-side partials), not by a window over whole keys
+            sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tot"))
+            pos = pos.join(sizes, list(keys))
+            limit = F.floor(F.col("_tot") * F.lit(train_fraction))
         else:
             limit = F.lit(int(df.count() * train_fraction))
     else:
         limit = F.lit(int(n_train))
-    return pos.withColumn(split_col, F.when(F.col("_pos") <= limit, "train").otherwise("test")).drop("_pos")
+    return pos.withColumn(split_col, F.when(F.col("_pos") <= limit, "train").otherwise("test")).drop("_pos", "_tot")
 
 
 def random_split(df: DataFrame, id_cols: Sequence[str], train_percent: int = 80, seed: int = 0,
                  split_col: str = "split") -> DataFrame:
-    """M3: hash split on the row id: stable under repartitioning and re-execution
-    (unlike ``randomSplit``, whose result depends on partition layout)."""
-    h = F.pmod(F.xxhash64(*[q(c) for c in id_cols], F.lit(seed)), F.lit(100))
+    """M3: hash split on the row id (md5 of ``id|...|seed``, so any engine can repeat it):
+    stable under repartitioning and re-execution (unlike ``randomSplit``, whose result
+    depends on partition layout)."""
+    text = F.concat_ws("|", *[q(c).cast("string") for c in id_cols], F.lit(str(seed)))
+    h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % 100
     return df.withColumn(split_col, F.when(h < train_percent, "train").otherwise("test"))
 
 
@@ -68,7 +74,10 @@ def accuracy(df: DataFrame, label: str, pred: str) -> DataFrame:
 def confusion_matrix(df: DataFrame, label: str, pred: str, classes: Sequence | None = None) -> DataFrame:
     """rows = true class, one column per predicted class (sorted), counts (0 if none)."""
     if classes is None:
-        classes = sorted(r[0] for r in df.select(q(label)).union(df.select(q(pred))).distinct().collect())
+        found = df.select(q(label).alias("c")).union(df.select(q(pred))).distinct().limit(MAX_CLASSES + 1).collect()
+        if len(found) > MAX_CLASSES:
+            raise ValueError(f"more than {MAX_CLASSES} classes: give the classes that should become columns")
+        classes = sorted(r[0] for r in found if r[0] is not None)
     g = df.groupBy(q(label).alias(label)).pivot(pred, list(classes)).count()
     return g.select(q(label), *[F.coalesce(q(str(c)), F.lit(0)).alias(f"pred_{c}") for c in classes])
 
@@ -76,8 +85,9 @@ def confusion_matrix(df: DataFrame, label: str, pred: str, classes: Sequence | N
 def decision_tree(train: DataFrame, test: DataFrame, features: Sequence[str], label: str,
                   max_depth: int = 30, seed: int = 0, max_bins: int = 64) -> DataFrame:
     """M2: label indexed in alphabetical order, features assembled, Gini decision tree
-    (Spark trains it as distributed histogram aggregation). Returns test rows with
-    ``label``, ``prediction`` (original label values)."""
+    (Spark trains it as distributed histogram aggregation). ``max_depth`` is Spark's limit
+    of 30 levels; ``max_bins`` is the number of split candidates per feature. Returns test
+    rows with ``label``, ``prediction`` (original label values)."""
     idx = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="keep")
     vec = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep")
     tree = DecisionTreeClassifier(featuresCol="_x", labelCol="_y", impurity="gini", maxDepth=max_depth,

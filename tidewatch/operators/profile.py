@@ -9,7 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.position import BROADCAST_ROWS, with_position
+from tidewatch.operators.history import running
+from tidewatch.operators.position import BROADCAST_ROWS
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -88,28 +89,27 @@ def table_info(df: DataFrame) -> DataFrame:
 def keyed_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float],
                     prefix: str = "q") -> DataFrame:
     """Exact linearly interpolated quantiles of ``col`` per key (one row per key, one
-    column ``<prefix><100p>`` per probability). Values are numbered within each key by
-    the hot-key-safe numbering; only rows at the target ranks reach the final aggregate."""
+    column ``<prefix><100p>`` per probability). Rows are first counted per (key, value)
+    with map-side partials, so a value that most rows share is one row; the running count
+    over the distinct values (hot-key safe) then gives the value at each rank."""
     keys = list(keys)
-    vals = df.select(*keys, q(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    pos = with_position(vals, keys, ["_v"], "_p")
+    counted = (df.select(*keys, q(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+               .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    sizes = counted.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    upto = running(counted, keys, ["_v"], {"_upto": ("sum", F.col("_c"))})
     if keys:
-        sizes = pos.groupBy(*keys).agg(F.max("_p").alias("_n"))
         # one row per key: broadcast only after counting it
-        ranked = pos.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, keys)
+        ranked = upto.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, keys)
     else:
-        ranked = pos.withColumn("_n", F.lit(pos.agg(F.max("_p")).first()[0]))
-    near = None
+        ranked = upto.withColumn("_n", F.lit(sizes.first()[0]))
     aggs = []
     for p in probs:
         h = (F.col("_n") - 1) * F.lit(p)
         lo, hi, frac = F.floor(h) + 1, F.ceil(h) + 1, h - F.floor(h)
-        hit = (F.col("_p") == lo) | (F.col("_p") == hi)
-        near = hit if near is None else (near | hit)
-        vlo = F.max(F.when(F.col("_p") == lo, F.col("_v")))
-        vhi = F.max(F.when(F.col("_p") == hi, F.col("_v")))
+        vlo = F.min(F.when(F.col("_upto") >= lo, F.col("_v")))
+        vhi = F.min(F.when(F.col("_upto") >= hi, F.col("_v")))
         aggs.append((vlo + F.max(frac) * (vhi - vlo)).alias(f"{prefix}{int(round(p * 100))}"))
-    return ranked.filter(near).groupBy(*keys).agg(*aggs)
+    return ranked.groupBy(*keys).agg(*aggs)
 
 
 def keyed_quantile(df: DataFrame, keys: Sequence[str], col: str, p: float, out: str = "threshold") -> DataFrame:

@@ -63,11 +63,14 @@ def decode_json_q(spark, sf):
     return sensor_events(spark, sf).select("event_id", "ts", "k")
 
 
-@register("encode_json", f"""
+ENCODE_SQL = f"""
 WITH l AS (SELECT event_id, date_trunc('second', ts) AS ts, value, k, {S.label_case("date_trunc('second', ts)")} AS attack_label
            FROM ({S.SENSOR}))
 SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS key, CAST(ts AS TIMESTAMP) AS timestamp,
-       value, k, attack_label FROM l""")
+       value, k, attack_label FROM l"""
+
+
+@register("encode_json", ENCODE_SQL)
 def encode_json_q(spark, sf):
     """S3: (key, JSON value) preprocessed records, parsed back to check the round trip."""
     from tidewatch.sources.records import decode_json, encode_json

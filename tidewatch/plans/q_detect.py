@@ -129,6 +129,21 @@ def cusum_unkeyed_q(spark, sf):
     return rounded(out.select("event_id", "user_id", "ts", "value", "cusum", "alarm"))
 
 
+NULLED = "CASE WHEN event_id % 17 = 3 THEN NULL ELSE value END"
+
+
+@register("cusum_nulls", f"""
+SELECT event_id, user_id, value, cusum, alarm FROM (
+  {cusum_sql(W_USER).replace("FROM events", "FROM events WHERE event_id % 17 <> 3")})
+UNION ALL SELECT event_id, user_id, NULL, NULL, NULL FROM events WHERE event_id % 17 = 3""")
+def cusum_nulls_q(spark, sf):
+    """D1 on a sensor that goes missing: NULL values take no place in the history and their
+    rows come out with NULL results."""
+    ev = _events(spark, sf).withColumn("value", F.expr(NULLED))
+    out = U.cusum(ev, ["user_id"], ORDER, "value", 10, 1.0, 5.0)
+    return rounded(out.select("event_id", "user_id", "value", "cusum", "alarm"))
+
+
 # --- D2 CvM ---------------------------------------------------------------------------
 
 def cvm_sql(standardise: bool, alpha: float = 0.05, min_shift: float = 10.0, n: int = 10) -> str:
@@ -470,7 +485,7 @@ def save_read_results_q(spark, sf):
     import uuid
     path = shared_path(spark, f"results-{uuid.uuid4().hex[:12]}")
     save_results(_cusum_board(spark, sf), path)
-    return read_results(spark, path)
+    return read_results(spark, path, [i for i, _, _ in fixed.EVENT_INTERVALS])
 
 
 def _nn_kl_sql(m: int = 50, bins: int = 10, limit: float = 0.5) -> str:

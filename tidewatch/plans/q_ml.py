@@ -62,18 +62,20 @@ def decision_tree_q(spark, sf):
     li = table(spark, sf, "lineitem")
     split = ml.ordered_split(li, LINE_ORDER, train_fraction=TRAIN_FRACTION)
     pred = ml.decision_tree(split.filter("split = 'train'"), split.filter("split = 'test'"),
-                            LINE_VECTOR, "l_returnflag", max_depth=10, seed=0)
-    pred = pred.select("l_returnflag", "prediction").persist()
+                            LINE_VECTOR, "l_returnflag", seed=0)
+    pred = pred.select("l_returnflag", "prediction").checkpoint(eager=True)
     cm = ml.confusion_matrix(pred, "l_returnflag", "prediction", ["A", "N", "R"])
     acc = ml.accuracy(pred, "l_returnflag", "prediction").first()["accuracy"]
     return rounded(cm.withColumn("accuracy", F.lit(acc)))
 
 
-@register("random_split")
+@register("random_split", """
+SELECT vec_id, CASE WHEN CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR) || '|0'), 1, 8) AS BIGINT) % 100 < 80
+                    THEN 'train' ELSE 'test' END AS split FROM embeddings""")
 def random_split_q(spark, sf):
-    """M3: 80/20 hash split of embeddings on vec_id (seed 0); rows per split."""
+    """M3: 80/20 hash split of embeddings on vec_id (seed 0), row by row."""
     emb = table(spark, sf, "embeddings")
-    return ml.random_split(emb, ["vec_id"], 80, 0).groupBy("split").count()
+    return ml.random_split(emb, ["vec_id"], 80, 0).select("vec_id", "split")
 
 
 @register("l1_select")
@@ -81,7 +83,9 @@ def l1_select_q(spark, sf):
     """M3 + M4 + M5 + M6: scale embedding dimensions on the train split, fit an
     L1 logistic regression (C 0.5), keep features with non-zero coefficients."""
     emb = table(spark, sf, "embeddings")
-    dim = len(emb.select("embedding").first()[0])
+    low, dim = emb.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if low != dim:
+        raise ValueError(f"embeddings of {low} to {dim} dimensions")
     feats = [f"e{i}" for i in range(dim)]
     wide = emb.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(feats)])
     split = ml.random_split(wide, ["vec_id"], 80, 0)

@@ -9,7 +9,7 @@ from tidewatch.operators import labels, stats
 from tidewatch.plans import sqlparts as S
 from tidewatch.plans.catalog import register
 from tidewatch.plans.inputs import SENSOR_COLS, rounded
-from tidewatch.plans.q_core import _WINDOW_SQL
+from tidewatch.plans.q_core import _WINDOW_SQL, ENCODE_SQL
 from tidewatch.plans.q_detect import W_USER, cusum_sql, cvm_sql, kswin_reset_sql
 from tidewatch.sources.records import decode_json
 from tidewatch.streaming import io as SIO
@@ -20,7 +20,7 @@ def _event_stream(spark, sf, max_files: int | None = None, n_files: int = 1):
     src = f"{sf}/events.parquet"
     schema = spark.read.parquet(src).schema
     if n_files > 1:
-        src = SIO.staged_copy(spark, spark.read.parquet(src), f"events-{abs(hash(sf))}", "ts", n_files)
+        src = SIO.staged_copy(spark, spark.read.parquet(src), "events", "ts", n_files)
     raw = SIO.read_stream(spark, "parquet", src, schema, max_per_trigger=max_files)
     return decode_json(raw, "props", "k INT", keep=["event_id", "ts", "user_id", "event_type", "value"])
 
@@ -100,7 +100,7 @@ def drift_points_stream_q(spark, sf):
     counts = ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
     q2 = SIO.write_complete(counts, f"{run}/counts", f"{run}/ckpt2")
     SIO.await_all([q1, q2])
-    return rounded(spark.read.parquet(f"{run}/out"))
+    return rounded(spark.read.parquet(f"{run}/out").drop("epoch"))
 
 
 @register("cvm_stream", f"""
@@ -129,6 +129,48 @@ def upsert_stream_q(spark, sf):
     return rounded(spark.read.parquet(f"{run}/out").select("ts", "event_id", "value", "k"))
 
 
+def _published(spark, sf):
+    """S1 + S2 + P2 + P3 + S3 + T4 + T5: key/value records are streamed from files, decoded,
+    keyed by time, truncated, labelled and published as key/value records by a checkpointed
+    query, while a second query on the same source keeps windowed statistics. Returns the
+    two sinks."""
+    from tidewatch.plans.inputs import sensor_events
+    from tidewatch.sources.records import encode_json, key_time, publish_table
+    ev = sensor_events(spark, sf)
+    src = publish_table(ev, "ts", ["value", "k"]).withColumn("ts", key_time(F.col("key")))
+    path = SIO.staged_copy(spark, src, "records", "ts", 4)
+    raw = SIO.read_stream(spark, "parquet", path, "key STRING, value STRING", max_per_trigger=1)
+    rec = decode_json(raw, "value", "value DOUBLE, k INT", key_col="key", key_as="ts")
+    rec = labels.truncate_time(rec.withColumn("ts", key_time(F.col("ts"))), "ts")
+    rec = labels.label_intervals(rec, "ts", labels.interval_table(spark))
+    run = SIO.new_run(spark, "publish")
+    out = encode_json(rec, "ts", ["value", "k", "attack_label"])
+    timed = rec.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
+    agg = stats.window_stats(timed, "ts", SENSOR_COLS, ["attack_label"], "10 minutes", "5 minutes", flatten=False)
+    SIO.await_all([SIO.write_stream(out, "json", f"{run}/records", f"{run}/ckpt"),
+                   SIO.write_complete(agg, f"{run}/stats", f"{run}/ckpt2")])
+    return f"{run}/records", f"{run}/stats"
+
+
+@register("publish_stream", ENCODE_SQL)
+def publish_stream_q(spark, sf):
+    """The published records of the preprocessing stream, read back from its files."""
+    records, _ = _published(spark, sf)
+    back = decode_json(spark.read.schema("key STRING, value STRING").json(records), "value",
+                       "ts STRING, value DOUBLE, k INT, attack_label STRING", keep=["key"])
+    return rounded(back.select("key", F.to_timestamp_ntz("ts").alias("timestamp"), "value", "k", "attack_label"))
+
+
+@register("publish_stream_stats", _WINDOW_SQL)
+def publish_stream_stats_q(spark, sf):
+    """The windowed statistics that the second query of the preprocessing stream keeps."""
+    _, kept = _published(spark, sf)
+    out = spark.read.parquet(kept)
+    return rounded(out.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
+                              F.col("window.end").cast("timestamp_ntz").alias("window_end"),
+                              *[c for c in out.columns if c != "window"]))
+
+
 @register("one_class_svm_stream")
 def one_class_svm_stream_q(spark, sf):
     """D6 streaming form: per-supplier linear one-class SVM fitted in batch (unscaled

@@ -40,12 +40,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
     On a cluster this is whatever ``spark.checkpoint.dir`` names (it must be a
-    shared file system). Only when nothing is configured (local tests) do we
-    make a scratch folder of our own.
+    shared file system). Only when nothing is configured and the master is local (tests)
+    do we make a scratch folder of our own: on a cluster it would scatter checkpoints over
+    machines, so that is an error.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="tidewatch-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():

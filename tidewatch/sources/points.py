@@ -60,14 +60,18 @@ def shared_path(spark, name: str) -> str:
 
 def save_selected(df: DataFrame, time_col: str, cols: Sequence[str], label_col: str, name: str,
                   path: str | None = None) -> DataFrame:
-    """Write (time, *cols, label) as Parquet and read it back."""
-    path = path or shared_path(df.sparkSession, name)
+    """Write (time, *cols, label) as Parquet and read it back. Without ``path`` each
+    call writes to a folder of its own under the shared location."""
+    import uuid
+    path = path or shared_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
     df.select(time_col, *cols, label_col).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-RESULT_SCHEMA = ("algorithm STRING, detections BIGINT, `false-alarms` BIGINT, "
-                 + ", ".join(f"`attack{i}-detected` INT, `attack{i}-delay` DOUBLE" for i in range(1, 7)))
+def result_schema(ids: Sequence[int]) -> str:
+    """Schema of a results table for the intervals with these ids."""
+    return ("algorithm STRING, detections BIGINT, `false-alarms` BIGINT, "
+            + ", ".join(f"`attack{i}-detected` INT, `attack{i}-delay` DOUBLE" for i in ids))
 
 
 def save_results(df: DataFrame, path: str) -> None:
@@ -75,5 +79,7 @@ def save_results(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
 
 
-def read_results(spark, path: str) -> DataFrame:
-    return spark.read.option("header", True).schema(RESULT_SCHEMA).csv(path)
+def read_results(spark, path: str, ids: Sequence[int]) -> DataFrame:
+    """The results table of a board over the intervals ``ids``; a file whose header has
+    other columns is an error, not a misread."""
+    return (spark.read.option("header", True).option("enforceSchema", False).schema(result_schema(ids)).csv(path))

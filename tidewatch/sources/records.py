@@ -26,6 +26,12 @@ def decode_json(df: DataFrame, value_col: str, schema: StructType | str,
                                                          "_data.*")
 
 
+def key_time(key: Column) -> Column:
+    """Record time from a text key: ``yyyy-MM-dd HH:mm:ss``, with a ``T`` and a fraction
+    if any (ISO forms); a zone suffix is left out of account, other text gives NULL."""
+    return key.try_cast("timestamp_ntz")
+
+
 def encode_json(df: DataFrame, time_col: str, cols: Sequence[str],
                 time_format: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:
     """S3: (key, value) records; key = formatted time, value = JSON of time + ``cols``.

@@ -8,7 +8,6 @@ connector jar is not part of this environment).
 
 from __future__ import annotations
 
-import glob
 import os
 import uuid
 from collections.abc import Callable, Sequence
@@ -19,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tidewatch.session import checkpoint_dir
+from tidewatch.sources import paths
 
 
 def kafka_source_options(servers: str, topic: str, starting: str = "earliest",
@@ -35,10 +35,10 @@ def kafka_sink_options(servers: str, topic: str) -> dict[str, str]:
     return {"kafka.bootstrap.servers": servers, "topic": topic}
 
 
-def file_source_path(path: str) -> str:
+def file_source_path(spark: SparkSession, path: str) -> str:
     """A single file is streamed through a glob on its last character (a file stream
     needs a directory or a pattern)."""
-    if os.path.isfile(path) and not glob.has_magic(path):
+    if not any(c in path for c in "*?[{") and paths.is_file(spark, path):
         return f"{path[:-1]}[{path[-1]}]"
     return path
 
@@ -56,7 +56,7 @@ def read_stream(spark: SparkSession, fmt: str, path_or_topic: str, schema: Struc
         r = r.schema(schema)
     if max_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_per_trigger))
-    return r.options(**(options or {})).load(file_source_path(path_or_topic))
+    return r.options(**(options or {})).load(file_source_path(spark, path_or_topic))
 
 
 def stream_folder(spark: SparkSession, name: str) -> str:
@@ -95,39 +95,46 @@ def write_complete(df: DataFrame, target: str, checkpoint: str, available_now: b
 def write_batches(df: DataFrame, target: str, checkpoint: str, mode: str = "append",
                   fn: Callable[[DataFrame, int], DataFrame] | None = None,
                   available_now: bool = True) -> StreamingQuery:
-    """Append each micro-batch (optionally transformed) to a Parquet table."""
+    """Write each micro-batch (optionally transformed) to a Parquet table, in a folder
+    of its own (partition column ``epoch``): a micro-batch that is run again after a
+    failure replaces its rows instead of repeating them."""
     def sink(batch: DataFrame, epoch_id: int) -> None:
         out = fn(batch, epoch_id) if fn else batch
-        out.write.mode("append").parquet(target)
+        out.write.mode("overwrite").parquet(f"{target}/epoch={epoch_id}")
 
     w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(sink)
     w = w.trigger(availableNow=True) if available_now else w
     return w.start()
 
 
-def await_all(queries: Sequence[StreamingQuery], timeout_s: int = 600) -> None:
-    """T5: wait for every query (each started on its own), failing loudly on errors."""
+def await_all(queries: Sequence[StreamingQuery], timeout_s: int | None = None) -> None:
+    """T5: wait for every query (each started on its own). A failed query raises, and so
+    does one that is still running after ``timeout_s`` seconds (default: wait as long as
+    it takes): its sink must not be read as if it were complete."""
     for q in queries:
-        q.awaitTermination(timeout_s)
+        ended = q.awaitTermination() if timeout_s is None else q.awaitTermination(timeout_s)
         if q.exception() is not None:
             raise RuntimeError(str(q.exception()))
+        if ended is False:
+            raise TimeoutError(f"stream {q.name or q.id} has not ended after {timeout_s} s")
 
 
 def staged_copy(spark: SparkSession, src: DataFrame, name: str, time_col: str, n_files: int) -> str:
-    """Write ``src`` once as ``n_files`` Parquet files in time order, one job per time
-    range so file ages follow event time (a file stream reads oldest first)."""
-    path = stream_folder(spark, f"source-{name}-{n_files}")
-    if os.path.isdir(path) and len(glob.glob(os.path.join(path, "*.parquet"))) >= n_files:
-        return path
+    """Write ``src`` to a new folder as ``n_files`` Parquet files in time order, one job per
+    time range so file ages follow event time (a file stream reads oldest first). Rows
+    without a time go to the first file."""
+    path = new_run(spark, f"source-{name}-{n_files}")
     t = F.unix_micros(F.col(time_col).cast("timestamp")).cast("double")
     bounds = src.select(F.min(t), F.max(t)).first()
-    lo, hi = float(bounds[0]), float(bounds[1])
+    lo, hi = float(bounds[0] or 0), float(bounds[1] or 0)
     step = (hi - lo) / n_files
     for i in range(n_files):
         a = lo + i * step
-        cond = (t >= F.lit(a)) if i == 0 else (t > F.lit(a))
+        cond = F.lit(True) if i == 0 else (t > F.lit(a))
         if i < n_files - 1:
             cond = cond & (t <= F.lit(a + step))
+        if i == 0:
+            cond = cond | t.isNull()
         src.filter(cond).coalesce(1).write.mode("append").parquet(path)
     return path
 
@@ -148,9 +155,10 @@ def upsert_stream(df: DataFrame, keys: Sequence[str], version_col: str, target:
     def sink(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         latest = upsert_latest(batch, keys, version_col)
-        if os.path.isdir(target) and glob.glob(os.path.join(target, f"{partition_col}=*")):
-            parts = [r[0] for r in latest.select(partition_col).distinct().collect()]  # touched partitions
-            old = spark.read.parquet(target).filter(F.col(partition_col).isin(parts))
+        if paths.has_children(spark, target, f"{partition_col}="):
+            # only the partitions that this batch touches (a join on the partition column prunes the scan)
+            touched = latest.select(partition_col).distinct()
+            old = spark.read.parquet(target).join(touched, partition_col, "left_semi")
             latest = upsert_latest(old.unionByName(latest), keys, version_col)
         merged = latest.checkpoint(eager=True)
         (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -6,7 +6,8 @@ history-based detectors keep their bounded history in Spark's state store via
 the state, each micro-batch's rows of that key are sorted by the order columns and
 scored with numpy, and the new tail is stored. State per key is bounded by the window,
 not by the stream. Rows of a key that arrive in a later batch than newer rows are
-appended in arrival order, as a record-at-a-time consumer would.
+appended in arrival order, as a record-at-a-time consumer would. Values that are NULL take
+no place in a history; their rows come out with NULL results, as in the batch forms.
 """
 
 from __future__ import annotations
@@ -28,6 +29,21 @@ def _sorted_batches(pdfs, order: Sequence[str]) -> pd.DataFrame:
     return pd.concat(frames, ignore_index=True).sort_values(list(order), kind="mergesort")
 
 
+def _values(pdf: pd.DataFrame, x: str, id_col: str):
+    """(values, ids) of the rows with a value, and the ids of the rows without one."""
+    v = pdf[x].astype(float).to_numpy()
+    ids, known = pdf[id_col].to_numpy(), pdf[x].notna().to_numpy()
+    return v[known], ids[known], ids[~known]
+
+
+def _histories(hist: list[float], vals: np.ndarray, n: int) -> np.ndarray:
+    """The last ``n`` values at each new value that has so many (one row each)."""
+    both = np.concatenate([np.array(hist, dtype=float), vals])
+    if len(both) < n:
+        return np.zeros((0, n))
+    return np.lib.stride_tricks.sliding_window_view(both, n)[-min(len(vals), len(both) - n + 1):]
+
+
 def _run(df: DataFrame, keys: Sequence[str], fn, out_schema: str, state_schema: str) -> DataFrame:
     return df.groupBy(*keys).applyInPandasWithState(fn, out_schema, state_schema, "append",
                                                     GroupStateTimeout.NoTimeout)
@@ -43,21 +59,18 @@ def cusum_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: st
     def fn(key, pdfs, state):
         pdf = _sorted_batches(pdfs, order)
         hist = list(state.get[0]) if state.exists else []
-        rows = []
+        out = []
         if len(pdf):
-            vals = pdf[x].astype(float).to_numpy()
-            ids = pdf[id_col].to_numpy()
-            for i, v in enumerate(vals):
-                hist.append(float(v))
-                hist = hist[-n:]
-                if len(hist) == n:
-                    m = sum(hist) / n
-                    s = 0.0
-                    for u in hist:
-                        s = max(0.0, s + u - m - k)
-                    rows.append((*key, ids[i], float(v), s, s > h))
-            state.update((hist[-(n - 1):] if n > 1 else [],))
-        yield pd.DataFrame(rows, columns=[*keys, id_col, x, "cusum", "alarm"])
+            vals, ids, without = _values(pdf, x, id_col)
+            w = _histories(hist, vals, n)
+            m, s = w.mean(axis=1), np.zeros(len(w))
+            for j in range(n):  # the fold of all histories at once
+                s = np.maximum(0.0, s + w[:, j] - m - k)
+            first = len(vals) - len(w)
+            out = [(*key, i, float(v), float(c), bool(c > h)) for i, v, c in zip(ids[first:], vals[first:], s)]
+            out += [(*key, i, None, None, None) for i in without]
+            state.update(((hist + vals.tolist())[-(n - 1):] if n > 1 else [],))
+        yield pd.DataFrame(out, columns=[*keys, id_col, x, "cusum", "alarm"])
 
     return _run(df, keys, fn, out_schema, "hist array<double>")
 
@@ -86,7 +99,9 @@ def kswin_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: st
         win, seen = (list(state.get[0]), int(state.get[1])) if state.exists else ([], 0)
         rows = []
         if len(pdf):
-            for rid, v in zip(pdf[id_col].to_numpy(), pdf[x].astype(float).to_numpy()):
+            vals, ids, without = _values(pdf, x, id_col)
+            rows += [(*key, i, None, None, None, None) for i in without]
+            for rid, v in zip(ids, vals):
                 seen += 1
                 if warmup > 0 and seen == warmup:
                     continue
@@ -152,17 +167,18 @@ def cvm_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str,
         hist = list(state.get[0]) if state.exists else []
         rows = []
         if len(pdf):
-            for rid, v in zip(pdf[id_col].to_numpy(), pdf[x].astype(float).to_numpy()):
-                hist = (hist + [float(v)])[-n:]
-                if len(hist) == n:
-                    srt = sorted(hist)
-                    w2 = 1.0 / (12 * n) + sum(((2 * i + 1) / (2.0 * n) - normal_cdf_py(u)) ** 2
-                                              for i, u in enumerate(srt))
-                    m = sum(hist) / n
-                    wstar = (w2 - 0.4 / n + 0.6 / (n * n)) * (1 + 1.0 / n)
-                    shift = abs(float(v) - m)
-                    rows.append((*key, rid, float(v), w2, shift, bool(wstar > crit and shift > min_shift)))
-            state.update((hist[-(n - 1):] if n > 1 else [],))
+            vals, ids, without = _values(pdf, x, id_col)
+            w = _histories(hist, vals, n)
+            first = len(vals) - len(w)
+            cdf = dict(zip(np.unique(w), map(normal_cdf_py, np.unique(w).tolist())))
+            p = np.array([cdf[u] for u in np.sort(w, axis=1).ravel().tolist()]).reshape(w.shape)
+            w2 = 1.0 / (12 * n) + (((2 * np.arange(n) + 1) / (2.0 * n) - p) ** 2).sum(axis=1)
+            wstar = (w2 - 0.4 / n + 0.6 / (n * n)) * (1 + 1.0 / n)
+            shift = np.abs(vals[first:] - w.mean(axis=1))
+            rows = [(*key, i, float(v), float(c), float(d), bool(e > crit and d > min_shift))
+                    for i, v, c, d, e in zip(ids[first:], vals[first:], w2, shift, wstar)]
+            rows += [(*key, i, None, None, None, None) for i in without]
+            state.update(((hist + vals.tolist())[-(n - 1):] if n > 1 else [],))
         yield pd.DataFrame(rows, columns=[*keys, id_col, x, "cvm_w2", "shift", "alarm"])
 
     return _run(df, keys, fn, out_schema, "hist array<double>")
