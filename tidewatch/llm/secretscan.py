@@ -4,7 +4,7 @@ The patterns give the base spans. The method adds spans of kind ``markov``: long
 key characters that a model of random strings explains better than a model of ordinary
 identifiers, as long as they touch no base span. Both models are first-order character
 chains fitted on labelled strings: label 1 are seeded random strings and the values of
-base spans, label 0 the other words of the fitting sample.
+base spans, label 0 the other words of the fitting sample and identifiers made of them.
 
 Rules for special rows: a null or empty text has no spans; repeated rows and rows with a
 null doc_id are returned like any other; extra columns are ignored by the scan and kept
@@ -33,7 +33,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = len(ALPHABET) + 1  # the last symbol is the start of a string
 CODE = {c: i for i, c in enumerate(ALPHABET)}
 FIT_DOCUMENTS = 4_000     # about so many documents are the fitting sample
-MIN_RATIO = 12.0          # log-likelihood ratio of a reported run
+BACKOFF = 8.0             # weight of the single character in a transition's estimate
+MIN_RATIO = 12.0          # log-likelihood ratio of a reported run, and at least 1 a character
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -55,12 +56,24 @@ def random_strings(count: int = 4_000, seed: int = 7) -> list[str]:
 
 
 def add_transitions(counts, strings) -> None:
-    """Add the character transitions of the strings to a SIZE x SIZE table."""
+    """Add the character transitions of the strings (of ALPHABET) to a SIZE x SIZE table."""
     import numpy as np
 
-    for s in strings:
-        codes = [SIZE - 1, *map(CODE.__getitem__, s)]
-        np.add.at(counts, (codes[:-1], codes[1:]), 1)
+    lookup = np.full(256, SIZE - 1, dtype=np.int64)
+    lookup[np.frombuffer(ALPHABET.encode(), dtype=np.uint8)] = np.arange(SIZE - 1)
+    codes = lookup[np.frombuffer("\n".join(["", *strings]).encode(), dtype=np.uint8)]
+    a, b = codes[:-1], codes[1:]
+    inside = b < SIZE - 1
+    counts += np.bincount(a[inside] * SIZE + b[inside], minlength=SIZE * SIZE).reshape(SIZE, SIZE)
+
+
+def identifiers(words: list[str]) -> list[str]:
+    """The words, and the usual identifiers that are made of them: camel case, snake case,
+    paths, numbered names. Long words with digits are what the scan judges: they have no label."""
+    words = [w for w in words if len(w) < 16 or not any(map(str.isdigit, w))]
+    pairs = list(zip(words[::2], words[1::2]))
+    return [*words, *(f"{a}{b.capitalize()}" for a, b in pairs), *(f"{a}_{b}" for a, b in pairs),
+            *(f"{a}-{b}/{a}{len(b)}" for a, b in pairs)]
 
 
 def fit(docs: DataFrame, text_col: str = "text", fit_documents: int = FIT_DOCUMENTS):
@@ -86,10 +99,10 @@ def fit(docs: DataFrame, text_col: str = "text", fit_documents: int = FIT_DOCUME
                 spans, at = base_spans(t), 0
                 for start, _, end in spans:
                     if start >= at:
-                        add_transitions(tables[0], plain.findall(t[at:start]))
+                        add_transitions(tables[0], identifiers(plain.findall(t[at:start])))
                     add_transitions(tables[1], plain.findall(t[start:end].split("=")[-1].split(":")[-1]))
                     at = max(at, end)
-                add_transitions(tables[0], plain.findall(t[at:]))
+                add_transitions(tables[0], identifiers(plain.findall(t[at:])))
         label, a, b = np.nonzero(tables)
         yield pd.DataFrame({"label": label, "a": a, "b": b, "n": tables[label, a, b]})
 
@@ -99,8 +112,9 @@ def fit(docs: DataFrame, text_col: str = "text", fit_documents: int = FIT_DOCUME
     for r in counted:
         tables[r.label, r.a, r.b] = r.n
     add_transitions(tables[1], random_strings())
-    tables += 0.5
-    logs = np.log(tables / tables.sum(axis=2, keepdims=True))
+    single = tables.sum(axis=1, keepdims=True) + 0.5  # rarely seen contexts fall back on the character alone
+    single /= single.sum(axis=2, keepdims=True)
+    logs = np.log((tables + BACKOFF * single) / (tables.sum(axis=2, keepdims=True) + BACKOFF))
     return logs[1] - logs[0]
 
 
@@ -118,7 +132,7 @@ def all_spans(text: str | None, table) -> tuple[list, list]:
     added = []
     for m in RUNS.finditer(text):
         run, start, end = m.group(), m.start(), m.end()
-        if len(set(run)) < 6 or not any(map(str.isdigit, run)) or ratio(run, table) < MIN_RATIO:
+        if len(set(run)) < 6 or not any(map(str.isdigit, run)) or ratio(run, table) < max(MIN_RATIO, len(run)):
             continue
         if all(e <= start or s >= end for s, _, e in base):
             added.append((start, 3, end))
