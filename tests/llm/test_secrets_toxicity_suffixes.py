@@ -1,0 +1,205 @@
+"""op8, op9, op10 and the pipeline against brute force and planted cases."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from tests.conftest import SF_SMALL
+from tests.llm.helpers import EDGES, SCHEMA, edges, empty
+from tidewatch.llm import secretscan, substrings, suffixes, toxicity
+from tidewatch.llm.common import DOCUMENT_COLUMNS
+
+KEY = "Zx81kQp07LmT4vWc9Rb2"
+
+
+def naive(text):
+    """The base patterns as they are stated, failing matches dropped afterwards."""
+    word = "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
+    out = []
+    for m in re.finditer(rf"""({word})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m.group(2)) >= 6:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 24]
+    return sorted(out)
+
+
+def test_base_spans_equal_the_stated_patterns():
+    rnd = random.Random(1)
+    bits = ["password", "PassWD", "secret", "token", "api_key", "APIKEY", "ſecret", "toKen", "=", ":", " ", "'", '"', "AKIA",
+            "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", "abc", "secret=token=", "==", "short", "é", "\n"]
+    for _ in range(3_000):
+        t = "".join(rnd.choices(bits, k=rnd.randint(1, 14)))
+        assert secretscan.base_spans(t) == naive(t), t
+
+
+def test_scan_digests_and_added_spans(spark):
+    docs = [(1, f"plain words then {KEY} and more"), (2, "password = hunter2222 x"), (3, "ordinaryidentifiername and another_long_identifier_1"),
+            (4, None), (5, "")] + [(10 + i, f"just some ordinary prose with variable_name_{i} and other words " * 20) for i in range(50)]
+    df = spark.createDataFrame(docs, "doc_id BIGINT, text STRING")
+    rows = {r.doc_id: r for r in secretscan.scan(df).collect()}
+    assert rows[1].spans == f"markov:17:{17 + len(KEY)}" and rows[1].n_markov == 1
+    assert rows[2].spans == "assign:0:21" and rows[2].base_sha256 == hashlib.sha256(b"assign:0:21").hexdigest()
+    assert rows[3].spans == "" and rows[4].spans == "" and rows[5].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert all(rows[10 + i].spans == "" for i in range(50))
+    out = {r.doc_id: r.text for r in secretscan.redact(df).collect()}
+    assert out[1] == "plain words then [SECRET] and more" and out[2] == "[SECRET] x" and out[4] is None and out[10] == docs[5][1]
+
+
+def test_secret_edges(spark):
+    df = edges(spark)
+    assert secretscan.scan(df).count() == len(EDGES) and secretscan.scan(empty(spark)).count() == 0
+    assert sorted(secretscan.redact(df).columns) == sorted(df.columns)
+
+
+def toxic_rows(n=600, seed=3):
+    rnd = random.Random(seed)
+    clean = [f"{a}{b}" for a in ("lor", "dan", "mir", "vel", "tor") for b in ("em", "ish", "ing", "ado", "un", "eka")]
+    bad = ["grobak", "snivvel", "plonkard"]
+    docs, labels = [], []
+    for i in range(n):
+        words = rnd.choices(clean, k=rnd.randint(5, 300))
+        toxic = i % 5 == 0
+        if toxic:
+            word = rnd.choice(bad)
+            if i % 10 == 0:  # a misspelling
+                word += rnd.choice(["z", "ss", "er", "o"])
+            words[rnd.randrange(len(words))] = word
+        docs.append((i, " ".join(words), "en", "s", 1))
+        labels.append((i, 1, int(toxic)))
+    return docs, labels
+
+
+def test_toxic_words_and_their_misspellings_are_caught(spark):
+    docs, labels = toxic_rows()
+    out = toxicity.toxicity(spark.createDataFrame(docs, SCHEMA),
+                            spark.createDataFrame(labels, "doc_id BIGINT, quality INT, toxic INT")).collect()
+    truth = {i: t for i, _, t in labels}
+    held = [r for r in out if r.held_out]
+    assert len(held) > 80 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in out)
+    hits = sum(r.predicted for r in held if truth[r.doc_id])
+    assert hits >= 0.9 * sum(truth[r.doc_id] for r in held)
+    assert sum(r.predicted for r in held if not truth[r.doc_id]) <= 0.03 * len(held)
+
+
+def test_held_out_labels_are_not_read(spark):
+    import zlib
+    docs, labels = toxic_rows(200)
+    flipped = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 4 == 2 else t) for i, q, t in labels]
+    d = spark.createDataFrame(docs, SCHEMA)
+    a, b = (toxicity.fitted_model(d, spark.createDataFrame(x, "doc_id BIGINT, quality INT, toxic INT")) for x in (labels, flipped))
+    assert np.array_equal(a.gram, b.gram) and (a.bias, a.scale, a.shift) == (b.bias, b.scale, b.shift)
+
+
+def test_toxicity_edges(spark):
+    schema = "doc_id BIGINT, quality INT, toxic INT"
+    for labels in ([], [(1, 1, 0)], [(1, 1, None), (4, 0, 1)], [(4, 1, 1), (4, 1, 0), (7, 1, 0), (9, 0, 1), (None, 1, 1)]):
+        rows = toxicity.toxicity(edges(spark), spark.createDataFrame(labels, schema)).collect()
+        assert len(rows) == len(EDGES) and all(0 <= r.score <= 1 for r in rows)
+    assert toxicity.toxicity(empty(spark), empty(spark, schema)).count() == 0
+
+
+def test_suffix_arrays_and_common_prefixes():
+    rnd = random.Random(1)
+    for k in range(150):
+        strings = [bytes(rnd.choices(b"ab" if k % 2 else b"abc\x00\xff", k=rnd.randint(1, 80))) for _ in range(rnd.randint(1, 12))]
+        s, _, rest = suffixes.joined(strings)
+        sa = suffixes.suffix_array(s)
+        text = s.tolist()
+        assert sorted(sa.tolist()) == list(range(len(s)))
+        shared = suffixes.common_prefixes(s, sa, rest)
+        for a, b in zip(sa.tolist(), sa.tolist()[1:]):
+            assert text[a:a + 50] <= text[b:b + 50]
+            n = 0
+            while n < min(rest[a], rest[b], 56) and text[a + n] == text[b + n]:
+                n += 1
+            assert shared[b] == n
+
+
+def slow_dedup(rows, length=50):
+    out, seen = {}, {}
+    for i, t in sorted(((i, (t or "").encode()) for i, t in rows), key=lambda x: x[0]):
+        gone = bytearray(len(t))
+        for s in range(len(t) - length + 1):
+            if seen.get(t[s:s + length], i) < i:
+                gone[s:s + length] = b"\1" * length
+        for s in range(len(t) - length + 1):
+            seen.setdefault(t[s:s + length], i)
+        kept = bytes(c for c, g in zip(t, gone) if not g)
+        spans = sum(1 for k in range(len(t)) if gone[k] and (k == 0 or not gone[k - 1]))
+        out[i] = (len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def overlapping_texts(seed=2, n=120):
+    rnd = random.Random(seed)
+    pool = ["".join(rnd.choices("abcd é中", k=rnd.randint(20, 120))) for _ in range(25)]
+    return [(i, "".join(rnd.choices(pool, k=rnd.randint(0, 8)))) for i in range(n)] + [(n, "ab" * 400), (n + 1, "ab" * 300), (n + 2, "a" * 49)]
+
+
+@pytest.mark.parametrize("frequent", [20_000, 2])
+def test_substring_dedup_equals_brute_force(spark, monkeypatch, frequent):
+    monkeypatch.setattr(substrings, "FREQUENT", frequent)  # 2: every shared anchor is split up
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 2_000)
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 5_000)
+    rows = overlapping_texts()
+    out = substrings.dedup(spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == slow_dedup(rows)
+
+
+def test_anchors_do_not_depend_on_slices(monkeypatch):
+    rnd = random.Random(4)
+    data = np.frombuffer("".join(rnd.choices("abc ", k=5_000)).encode(), dtype=np.uint8)
+    ends = np.array([700, 720, 2_400, 5_000])
+
+    def by_string():
+        first, n, h = substrings.anchors(data, ends)
+        return {int(s) + k: int(x) for s, c, x in zip(first, n, h) for k in range(c)}
+
+    whole = by_string()
+    monkeypatch.setattr(substrings, "SLICE", 333)
+    assert by_string() == whole
+    starts = np.concatenate([[0], ends[:-1]])
+    assert set(whole) == {s for a, b in zip(starts.tolist(), ends.tolist()) for s in range(a, b - 49)}
+
+
+def test_substring_edges(spark):
+    rows = substrings.dedup(edges(spark)).collect()
+    assert len(rows) == len(EDGES)
+    by_id = {r.doc_id: r for r in rows}
+    assert by_id[8].n_removed == by_id[8].n_bytes and by_id[8].n_spans == 1 and by_id[7].n_removed == 0
+    assert by_id[1].n_bytes == 0 and by_id[9].n_removed == 0
+    assert by_id[None].n_bytes == 5
+    assert substrings.dedup(empty(spark)).count() == 0
+
+
+def test_pipeline_stages_keep_the_columns_of_documents(spark):
+    docs = edges(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF_SMALL)
+        assert docs.columns == DOCUMENT_COLUMNS, name
+    kept = {r.doc_id for r in docs.collect()}
+    assert {1, 4, None}.issubset(kept) and not kept & {2, 3, 5, 8}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty(spark), SF_SMALL).count() == 0, name
+
+
+def test_pipeline_equals_its_parts(spark):
+    """run() against the operators' own results, applied one after the other by hand."""
+    from tidewatch.llm import pieces, simhash
+    from tidewatch.llm.common import read
+
+    docs = read(spark, SF_SMALL, "documents")
+    verdict = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, read(spark, SF_SMALL, "labels")).collect()}
+    left = docs.where(docs.doc_id.isin([i for i, p in verdict.items() if not p]))
+    keep = [r.doc_id for r in simhash.near_duplicates(left).collect() if r.doc_id == r.component_id]
+    clean = secretscan.redact(left.where(left.doc_id.isin(keep)))
+    want = {r.doc_id: list(r.piece_ids) for r in pieces.encode(clean).collect()}
+    got = {r.doc_id: list(r.piece_ids) for r in corpus_pipeline.run(spark, SF_SMALL).collect()}
+    assert got == want and 0 < len(got) < docs.count()
+    mixed = corpus_pipeline.mix_sources(spark, clean, SF_SMALL)
+    assert sorted(r.doc_id for r in mixed.collect()) == sorted(keep)
