@@ -28,21 +28,21 @@ def _alarms(spark, times):
 
 def test_interval_ends_inclusive_and_labels(spark):
     iv = labels.interval_table(spark)
-    df = _alarms(spark, [("2024-01-08 07:08:46", ""), ("2024-01-08 19:10:31", ""), ("2024-01-08 19:10:32", ""),
-                         ("2024-01-08 07:08:45", "")])
+    df = _alarms(spark, [("2024-01-03 06:00:00", ""), ("2024-01-03 12:30:00", ""), ("2024-01-03 12:30:01", ""),
+                         ("2024-01-03 05:59:59", "")])
     got = {r.event_id: r.attack_label for r in labels.label_intervals(df, "ts", iv).collect()}
     assert got == {0: "attack", 1: "attack", 2: "normal", 3: "normal"}
     m = {r.event_id: (r.interval_id, r.seconds_since_start)
          for r in labels.interval_match(df, "ts", iv, row_key=["event_id"]).collect()}
-    assert m[0] == (1, 0.0) and m[1] == (1, 43305.0) and m[2] == (None, None)
+    assert m[0] == (1, 0.0) and m[1] == (1, 23400.0) and m[2] == (None, None)
 
 
 def test_scoreboard_delay_zero_is_unset_and_no_detection_gives_null_average(spark):
     iv = labels.interval_table(spark)
     # alarm exactly at interval 2's start (delay 0, not recorded), later one 30 s in,
     # one alarm on a normal row
-    al = _alarms(spark, [("2024-01-10 07:15:00", "attack"), ("2024-01-10 07:15:30", "attack"),
-                         ("2024-01-11 00:00:00", "normal")])
+    al = _alarms(spark, [("2024-01-07 09:15:00", "attack"), ("2024-01-07 09:15:30", "attack"),
+                         ("2024-01-09 00:00:00", "normal")])
     b = score.scoreboard(al, "ts", "attack_label", iv, "x", row_key=["event_id"]).first()
     assert (b["detections"], b["false-alarms"]) == (2, 1)
     assert b["attack2-detected"] == 1 and b["attack2-delay"] == 30.0

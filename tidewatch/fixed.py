@@ -3,29 +3,18 @@
 # --- Fixed values: labelled time intervals for the `events` stand-in table -----------
 # Closed on both ends, disjoint, timezone-free (interval_id, start, end).
 EVENT_INTERVALS = [
-    (1, "2024-01-08 07:08:46", "2024-01-08 19:10:31"),
-    (2, "2024-01-10 07:15:00", "2024-01-10 23:19:32"),
-    (3, "2024-01-13 07:26:57", "2024-01-14 07:30:48"),
-    (4, "2024-01-17 07:38:50", "2024-01-18 17:46:20"),
-    (5, "2024-01-21 07:54:00", "2024-01-21 17:56:00"),
-    (6, "2024-01-24 08:02:56", "2024-01-26 08:16:18"),
+    (1, "2024-01-03 06:00:00", "2024-01-03 12:30:00"),
+    (2, "2024-01-07 09:15:00", "2024-01-07 21:45:00"),
+    (3, "2024-01-11 00:00:00", "2024-01-12 03:20:00"),
+    (4, "2024-01-16 13:05:10", "2024-01-17 01:00:00"),
+    (5, "2024-01-22 17:40:00", "2024-01-23 08:00:00"),
+    (6, "2024-01-27 02:30:30", "2024-01-29 10:10:10"),
 ]
 
 # --- Fixed values: label words -----------------------------------------------------
 HIT_LABEL = "attack"
 MISS_LABEL = "normal"
 
-# --- Fixed values: the six published detector result rows ---------------------------
-# (algorithm, detections, false-alarms, then attack1..6 detected flag and delay in s)
-PUBLISHED_RESULTS = [
-    ("kdq-tree", 1, 6, [0, 0, 0, 0, 1, 0], [0.0, 0.0, 0.0, 0.0, 63.0, 0.0]),
-    ("pca-cd", 4, 11, [0, 1, 1, 1, 0, 1], [0.0, 140.0, 25.0, 196.0, 0.0, 422.0]),
-    ("ks-win", 11, 56, [1, 1, 1, 1, 0, 1], [23.0, 49.0, 132.0, 19.0, 0.0, 29.0]),
-    ("one-class-svm", 177, 603, [0, 0, 0, 0, 0, 1], [0.0, 0.0, 0.0, 0.0, 0.0, 585.0]),
-    ("cusum", 2, 54, [0, 0, 0, 1, 0, 0], [0.0, 0.0, 0.0, 118.0, 0.0, 0.0]),
-    ("cvm", 9, 9, [0, 1, 0, 0, 0, 0], [0.0, 168.0, 0.0, 0.0, 0.0, 0.0]),
-]
-
 # --- Fixed values: Cramer-von Mises, fully specified null distribution ----------------
 # Upper-tail critical values of Stephens' modified statistic
 # W* = (W2 - 0.4/n + 0.6/n^2) * (1 + 1/n), keyed by significance level.

@@ -3,7 +3,7 @@
 Per key the series is cut into tumbling blocks of ``window`` records (W5); block 0 is
 the reference. The reference block's bounding box is split at midpoints, cycling the
 axes, while a cell holds more than ``max_count`` reference rows (up to ``max_depth``
-levels). Leaf counts of every later block are compared with the reference by KL
+levels; by default 60, where the cells that are still too full hold all but equal rows). Leaf counts of every later block are compared with the reference by KL
 divergence with +0.5 smoothing; the critical value is the (1 - alpha) quantile of the
 same divergence between bootstrap resamples of the reference leaf distribution.
 
@@ -34,6 +34,7 @@ from tidewatch.operators.history import full_blocks
 from tidewatch.operators.position import BROADCAST_ROWS
 
 COARSE_LEVELS = 8
+MAX_LEVELS = 60  # of a cell code in one 64-bit number
 
 
 def levels(dims: int, max_depth: int) -> list[tuple[int, int, int]]:
@@ -191,7 +192,7 @@ def kdq_tree(df: DataFrame, keys: Sequence[str], order: Sequence[str], xs: Seque
     drift, which becomes the next reference. Rounds = the most drifts of any key + 1.
     """
     keys = list(keys)
-    depth = max_depth or min(60, 10 * len(xs))
+    depth = max_depth or MAX_LEVELS
     blk = full_blocks(df.select(*keys, *order, *[c for c in xs if c not in order]), keys, order, window)
     refs = blk.select(*keys).distinct().withColumn("_ref", F.lit(0).cast("long"))
     if not reset or not with_threshold:

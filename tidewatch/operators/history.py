@@ -82,6 +82,15 @@ def count_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: in
     return pos.withColumn(block_col, F.floor((F.col(pos_col) - 1) / n))
 
 
+def block_ends(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
+               block_col: str = "block") -> DataFrame:
+    """The last row of every block of ``n`` records: gives a detector's blocks their time."""
+    blk = count_blocks(df, keys, order, n, "_bpos", block_col)
+    last = F.max(F.struct("_bpos", *[F.col(f"`{c}`") for c in df.columns if c not in keys])).alias("_r")
+    return (blk.groupBy(*keys, block_col).agg(last)
+            .select(*keys, block_col, *[F.col(f"_r.`{c}`").alias(c) for c in df.columns if c not in keys]))
+
+
 def full_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
                 block_col: str = "block") -> DataFrame:
     """W5 restricted to complete blocks of exactly ``n`` records (the trailing partial

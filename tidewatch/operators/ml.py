@@ -83,15 +83,16 @@ def confusion_matrix(df: DataFrame, label: str, pred: str, classes: Sequence | N
 
 
 def decision_tree(train: DataFrame, test: DataFrame, features: Sequence[str], label: str,
-                  max_depth: int = 30, seed: int = 0, max_bins: int = 64) -> DataFrame:
+                  max_depth: int = 10, seed: int = 0, max_bins: int = 64) -> DataFrame:
     """M2: label indexed in alphabetical order, features assembled, Gini decision tree
-    (Spark trains it as distributed histogram aggregation). ``max_depth`` is Spark's limit
-    of 30 levels; ``max_bins`` is the number of split candidates per feature. Returns test
+    (Spark trains it as distributed histogram aggregation). ``max_depth`` (at most 30,
+    Spark's limit) costs one pass over the rows per level; ``max_bins`` is the number of
+    split candidates per feature. Returns test
     rows with ``label``, ``prediction`` (original label values)."""
     idx = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="keep")
     vec = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep")
     tree = DecisionTreeClassifier(featuresCol="_x", labelCol="_y", impurity="gini", maxDepth=max_depth,
-                                  seed=seed, maxBins=max_bins)
+                                  seed=seed, maxBins=max_bins, maxMemoryInMB=1024, cacheNodeIds=True)
     model = Pipeline(stages=[idx, vec, tree]).fit(train)
     labels = model.stages[0].labels
     pred = model.transform(test)

@@ -89,6 +89,20 @@ def publish_table_q(spark, sf):
     return rounded(back.select(F.to_timestamp_ntz("key").alias("ts"), "value", "k"))
 
 
+@register("publish_files", f"""
+SELECT CAST(ts AS TIMESTAMP) AS ts, value, k FROM ({S.SENSOR})""")
+def publish_files_q(spark, sf):
+    """The published records written to a target (JSON files) and read back from it."""
+    import uuid
+
+    from tidewatch.sources.points import shared_path
+    from tidewatch.sources.records import decode_json, key_time, publish_table
+    path = shared_path(spark, f"published-{uuid.uuid4().hex[:12]}")
+    publish_table(sensor_events(spark, sf), "ts", ["value", "k"]).write.json(path)
+    back = decode_json(spark.read.schema("key STRING, value STRING").json(path), "value", "value DOUBLE, k INT", keep=["key"])
+    return rounded(back.select(key_time(F.col("key")).alias("ts"), "value", "k"))
+
+
 # --- S6 - S9: ranges, points, upserts -------------------------------------------------
 
 RANGE = ("2024-01-10 00:00:00", "2024-01-20 00:00:00")
@@ -261,6 +275,20 @@ def infer_numeric_q(spark, sf):
     return infer_numeric_report(txt)
 
 
+@register("cast_numeric", """
+SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+       CAST(l_quantity AS DOUBLE) AS l_quantity, CAST(l_extendedprice AS DOUBLE) AS l_extendedprice,
+       CAST(l_discount AS DOUBLE) AS l_discount, l_returnflag, l_linestatus,
+       strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate FROM lineitem""")
+def cast_numeric_q(spark, sf):
+    """The text columns cast to the types that their values allow."""
+    from tidewatch.operators.encode import infer_numeric
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    txt = li.select(*[(F.date_format(c, "yyyy-MM-dd") if c == "l_shipdate" else F.col(c).cast("string")).alias(c)
+                      for c in _LINE_TEXT])
+    return rounded(infer_numeric(txt))
+
+
 @register("one_hot", """
 SELECT l_orderkey, l_linenumber, l_partkey,
   CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS "l_returnflag-A",

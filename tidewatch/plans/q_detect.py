@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewatch import fixed
@@ -149,7 +150,7 @@ def cusum_nulls_q(spark, sf):
 def cvm_sql(standardise: bool, alpha: float = 0.05, min_shift: float = 10.0, n: int = 10) -> str:
     frame = _rows(W_USER, -(n - 1), 0)
     z = "coalesce(CASE WHEN sd = 0 THEN NULL ELSE (v - m) / sd END, 0.0)" if standardise else "v"
-    crit = fixed.CVM_CRITICAL[alpha]
+    crit = {0.05: 0.461}[alpha]  # on purpose not read from the operator's table
     return f"""
 SELECT event_id, user_id, value, round(w2, 6) AS cvm_w2, round(abs(value - m), 6) AS shift,
        (w2 - {0.4 / n!r} + {0.6 / (n * n)!r}) * {1.0 + 1.0 / n!r} > {crit} AS rejected,
@@ -178,7 +179,7 @@ def cvm_std_q(spark, sf):
 # --- D3 KSWIN (no reset) -------------------------------------------------------------------
 
 def kswin_sql(src: str, alpha: float = 1e-4, window: int = 200, stat: int = 100) -> str:
-    k = U.ks_critical_count(stat, alpha)
+    k = {(100, 0.01): 23, (100, 1e-4): 32}[stat, alpha]  # on purpose not computed by the operator
     older = _rows(W_TYPE, -(window - 1), -stat)
     recent = _rows(W_TYPE, -(stat - 1), 0)
     return f"""
@@ -347,6 +348,36 @@ def score_summary_q(spark, sf):
     return rounded(score.rank_scores(score.summarise_scores(boards)))
 
 
+@register("rank_by_delay", f"""
+SELECT *, row_number() OVER (ORDER BY "average-delay" DESC NULLS LAST, algorithm) AS rank FROM ({_SUMMARY_SQL})""")
+def rank_by_delay_q(spark, sf):
+    """O1: the detectors by falling average delay, with their rank."""
+    boards = _cusum_board(spark, sf).unionByName(_cvm_board(spark, sf)).unionByName(_kswin_board(spark, sf))
+    by = Window.orderBy(F.col("`average-delay`").desc_nulls_last(), "algorithm")  # one row per detector
+    return rounded(score.summarise_scores(boards)).withColumn("rank", F.row_number().over(by))
+
+
+@register("score_all")
+def score_all_q(spark, sf):
+    """A8 + A9: scoreboards of all six detectors on the sensor events (value, k) by event
+    type. An alarm of a block detector has the time and label of its block's last row."""
+    from tidewatch.operators.detect.kdq import kdq_tree
+    from tidewatch.operators.detect.ocsvm import one_class_svm
+    from tidewatch.operators.detect.pca import pca_cd
+    keys, xs, iv = ["event_type"], ["value", "k"], labels.interval_table(spark)
+    ev = labels.truncate_time(sensor_events(spark, sf), "ts", out="ts_s")
+    ev = labels.label_intervals(ev, "ts_s", iv)
+    kdq = kdq_tree(ev, keys, ORDER, xs, window=200, boot=200, max_count=40, reset=True).filter("drift")
+    pca = pca_cd(ev, keys, ORDER, xs, window=100, delta=0.1, reset=True).filter("state = 'drift'")
+    svm = one_class_svm(ev, keys, xs).filter("alarm")
+    boards = _cusum_board(spark, sf).unionByName(_cvm_board(spark, sf)).unionByName(_kswin_board(spark, sf))
+    for name, alarms in (("kdq-tree", kdq.join(history.block_ends(ev, keys, ORDER, 200), [*keys, "block"])),
+                         ("pca-cd", pca.join(history.block_ends(ev, keys, ORDER, 100), [*keys, "block"])),
+                         ("one-class-svm", svm)):
+        boards = boards.unionByName(score.scoreboard(alarms, "ts_s", "attack_label", iv, name, row_key=["event_id"]))
+    return rounded(score.rank_scores(score.summarise_scores(boards)))
+
+
 # --- D3 with reset, D6 quantile filter --------------------------------------------------------
 
 def kswin_reset_sql(alpha: float = 0.01, window: int = 200, stat: int = 100) -> str:
@@ -397,14 +428,15 @@ KDQ = dict(window=100, max_count=20, max_depth=40)
 
 def _kdq_sql(window: int, max_count: int, max_depth: int) -> str:
     depth = max_depth
-    from tidewatch.operators.detect.kdq import levels, splits_per_axis
     xs = LINE_VECTOR
-    m = splits_per_axis(len(xs), depth)
+    # axis and split number of a level, written out here on purpose (not the operator's code)
+    d = len(xs)
+    m = [len(range(ax, depth, d)) for ax in range(d)]
     qs = ", ".join(
         f"CAST(CASE WHEN hi{i} - lo{i} <= 0 THEN 0 ELSE least(greatest(floor((CAST({c} AS DOUBLE) - lo{i}) / "
         f"(hi{i} - lo{i}) * {float(2 ** m[i])!r}), 0), {2 ** m[i] - 1}) END AS BIGINT) AS q{i}"
         for i, c in enumerate(xs))
-    code = " + ".join(f"(((q{ax} >> {m[ax] - 1 - k}) & 1) << {depth - 1 - lev})" for lev, ax, k in levels(len(xs), depth))
+    code = " + ".join(f"(((q{lev % d} >> {m[lev % d] - 1 - lev // d}) & 1) << {depth - 1 - lev})" for lev in range(depth))
     box = ", ".join(f"min(CAST({c} AS DOUBLE)) AS lo{i}, max(CAST({c} AS DOUBLE)) AS hi{i}" for i, c in enumerate(xs))
     return f"""
 WITH b AS (SELECT l_suppkey, {', '.join(xs)}, row_number() OVER ({_LW}) AS pos,
