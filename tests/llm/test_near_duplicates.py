@@ -116,6 +116,20 @@ def test_embeddings_recall_and_precision(spark, monkeypatch):
     assert all(got[i].component_id == want[i] and got[i].kept == (want[i] == i) for i in n)
 
 
+def test_embeddings_match_sql(spark):
+    import duckdb
+
+    from scripts.check_oracle import rows_of
+    rnd = np.random.default_rng(3)
+    base = rnd.normal(size=(12, 16))
+    rows = [(i, [float(np.float32(x)) for x in base[i % 12] + rnd.normal(size=16) * 0.01 * (i % 4)], i % 2) for i in range(90)]
+    df = spark.createDataFrame([*rows, (90, None, 1), (91, [0.0] * 16, 1), (92, rows[0][1], None)], VECTORS)
+    got = embeddings.near_duplicates(df).toPandas()
+    con = duckdb.connect()
+    con.register("embeddings", df.toArrow())
+    assert rows_of(got) == rows_of(con.execute(embeddings.ORACLE_SQL).df())
+
+
 def test_embedding_edges(spark):
     nan, inf = float("nan"), float("inf")
     v = [1.0, 2.0, 3.0]

@@ -17,4 +17,8 @@ QUERIES = {
     "op10_suffix_dedup": substrings.op10_suffix_dedup,
 }
 
-ORACLE_SQL = {"op1_topk_search": topk.ORACLE_SQL, "op2_mix_sources": mixing.ORACLE_SQL}
+ORACLE_SQL = {
+    "op1_topk_search": topk.ORACLE_SQL,
+    "op2_mix_sources": mixing.ORACLE_SQL,
+    "op5_embeddings": embeddings.ORACLE_SQL,
+}
