@@ -217,3 +217,38 @@ def test_passage_edges(spark):
     assert by_id[7].class_id == by_id[8].class_id == 7 and by_id[8].n_words == 60_000
     assert by_id[5].class_id == 5 and by_id[None].class_id is None and by_id[1].n_links == 0
     assert passages.dedup(empty(spark)).count() == 0
+
+
+def one_edit_copies(n=100):
+    """A passage in a document of middling doc_id, and ``n`` copies with one other word edited."""
+    rnd = random.Random(11)
+    passage = [f"p{k}" for k in range(50)]
+    docs = []
+    for i in range(n + 1):
+        words = list(passage)
+        if i != n // 2:
+            words[4 + i % 42] = f"edit{i}"
+        docs.append((i, " ".join([*(f"u{rnd.randint(0, 10**9)}" for _ in range(70)), *words,
+                                  *(f"v{rnd.randint(0, 10**9)}" for _ in range(70))])))
+    return docs
+
+
+def brute_links(docs, first=70, words=50):
+    """Pairs whose passages (words from ``first`` on) reach a Jaccard similarity of 0.8."""
+    sets = {}
+    for i, text in docs:
+        w = text.split()[first:first + words]
+        sets[i] = {tuple(w[k:k + 5]) for k in range(len(w) - 4)}
+    return [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+
+def test_passages_of_a_full_key_are_compared_all_with_all(spark, monkeypatch):
+    monkeypatch.setattr(passages, "CHUNK", 16)
+    docs = one_edit_copies()
+    pairs = brute_links(docs)
+    want = classes([i for i, _ in docs], pairs)
+    n = {i: sum(i in p for p in pairs) for i, _ in docs}
+    assert n[50] == 100 and set(want.values()) == {0}
+    out = {r.doc_id: r for r in passages.dedup(spark.createDataFrame(docs, "doc_id BIGINT, text STRING")).collect()}
+    assert {i: out[i].class_id for i in want} == want
+    assert {i: out[i].n_links for i in n} == n
