@@ -252,3 +252,18 @@ def test_passages_of_a_full_key_are_compared_all_with_all(spark, monkeypatch):
     out = {r.doc_id: r for r in passages.dedup(spark.createDataFrame(docs, "doc_id BIGINT, text STRING")).collect()}
     assert {i: out[i].class_id for i in want} == want
     assert {i: out[i].n_links for i in n} == n
+
+
+def test_passages_do_not_depend_on_the_layout(spark, monkeypatch):
+    docs = one_edit_copies(60) + [(100 + i, text) for i, (_, text) in enumerate(planted()[0][:60])]
+    docs += [(200 + i, docs[i][1]) for i in range(0, 60, 7)]  # exact copies
+    want = None
+    for parts, tokens in ((1, 1 << 20), (7, 1_000), (3, 300)):
+        monkeypatch.setattr(passages, "TASK_TOKENS", tokens)
+        random.Random(parts).shuffle(docs)
+        df = spark.createDataFrame(docs, "doc_id BIGINT, text STRING").repartition(parts, "text")
+        got = sorted(map(tuple, passages.dedup(df).collect()))
+        want = want or got
+        assert got == want
+    by_id = {r[0]: r for r in want}
+    assert by_id[30][2] == 60 + sum(1 for i in range(0, 60, 7))
