@@ -267,3 +267,17 @@ def test_passages_do_not_depend_on_the_layout(spark, monkeypatch):
         assert got == want
     by_id = {r[0]: r for r in want}
     assert by_id[30][2] == 60 + sum(1 for i in range(0, 60, 7))
+
+
+def test_every_passage_of_a_pair_is_reported(spark):
+    def words(c, n):
+        return [f"{c}{k}" for k in range(n)]
+
+    one, two = words("one", 60), words("two", 60)
+    edited = [*two[:30], "edited", *two[31:]]
+    docs = [(1, " ".join([*one, *words("a", 60), *two])), (2, " ".join([*one, *words("b", 60), *edited]))]
+    out = {r.doc_id: r for r in passages.dedup(spark.createDataFrame(docs, "doc_id BIGINT, text STRING")).collect()}
+    assert [(r.class_id, r.n_links, r.n_words, r.passages) for r in (out[1], out[2])] == [(1, 1, 120, "0:59,120:179")] * 2
+    x, y = (passages.tokens_of(t) for _, t in docs)
+    spans = passages.verified_passages(x, y, 46, 0.8)
+    assert sorted(spans) == [((0, 55), (0, 55)), ((120, 175), (120, 175))]
