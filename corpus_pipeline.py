@@ -11,7 +11,8 @@ the columns of documents.
 * secrets: every secret is replaced by a mask, n_chars follows; no row goes.
 * mixing: all rows stay; the rows are written in the order of the mixture, so the files
   read one after the other are the mixed stream.
-* pieces: doc_id, n_pieces, piece_ids, round_trip of every row.
+* pieces: doc_id, n_pieces, piece_ids, round_trip of every row, and position, its place in
+  the mixed stream from 0 (null for rows that were not read from files).
 
 Null and empty texts, repeated rows, empty tables and extra columns are handled by the
 operators as their docstrings say; extra columns of the input end with the first stage.
@@ -21,7 +22,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm import mixing, pieces, secretscan, simhash, toxicity
@@ -55,8 +57,24 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.orderBy("slot", "in_block").select(*DOCUMENT_COLUMNS)
 
 
+def stream_positions(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``position``: the place of the row in its files, read one after the other."""
+    try:
+        placed = docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:  # no files
+        return docs.withColumn("position", F.lit(None).cast("long"))
+    number = F.coalesce(F.regexp_extract("__file", r"^part-(\d+)", 1).try_cast("long"), F.lit(0))
+    before = Window.orderBy(number, "__file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    files = placed.groupBy("__file").agg(F.count("*").alias("__n")).select(
+        "__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return placed.join(F.broadcast(files), "__file").withColumn(
+        "position", F.col("__before") + F.col("__row")).select(*docs.columns, "position")
+
+
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode(docs)
+    placed = stream_positions(docs.select("doc_id", "text"))
+    encoded = pieces.encode(placed.select(F.struct("doc_id", "position").alias("doc_id"), "text"))
+    return encoded.select("doc_id.doc_id", "n_pieces", "piece_ids", "round_trip", "doc_id.position")
 
 
 STAGES = [

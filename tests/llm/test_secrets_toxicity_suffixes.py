@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.conftest import SF_SMALL
@@ -203,3 +204,30 @@ def test_pipeline_equals_its_parts(spark):
     assert got == want and 0 < len(got) < docs.count()
     mixed = corpus_pipeline.mix_sources(spark, clean, SF_SMALL)
     assert sorted(r.doc_id for r in mixed.collect()) == sorted(keep)
+
+
+def test_pipeline_carries_the_mixture_into_its_result(spark, tmp_path):
+    from tidewatch.llm import mixing
+
+    rows = [(i, f"text {i}", "en", "hot" if i % 4 else "rare", 8) for i in range(900)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = [r.doc_id for r in mixing.mix(docs).orderBy("slot", "in_block").collect()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        corpus_pipeline.mix_sources(spark, docs, SF_SMALL).write.parquet(str(tmp_path / "mixed"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "mixed").glob("part-*"))) > 1
+    out = corpus_pipeline.encode_pieces(spark, spark.read.parquet(str(tmp_path / "mixed")), SF_SMALL).collect()
+    assert sorted(r.position for r in out) == list(range(900))
+    assert [r.doc_id for r in sorted(out, key=lambda r: r.position)] == want
+
+
+def test_pipeline_result_is_in_the_order_of_the_schedule(spark):
+    from tidewatch.llm import mixing
+    from tidewatch.llm.common import read
+
+    out = {r.doc_id: r.position for r in corpus_pipeline.run(spark, SF_SMALL).collect()}
+    kept = read(spark, SF_SMALL, "documents").where(F.col("doc_id").isin(list(out)))
+    want = [r.doc_id for r in mixing.mix(kept).orderBy("slot", "in_block").collect()]
+    assert sorted(out, key=out.get) == want
