@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
-The patterns give the base spans. The method adds spans of kind ``markov``: long runs of
-key characters that a model of random strings explains better than a model of ordinary
-identifiers, as long as they touch no base span. Both models are first-order character
+The patterns give the base spans. The method adds spans of kind ``markov`` outside of them:
+stretches in long runs of key characters that a model of random strings explains better
+than a model of ordinary identifiers, whether or not they hold digits, out to the next
+joining characters (``JOINTS``). What a base span leaves of a run is judged too. Both models are first-order character
 chains fitted on labelled strings: label 1 are seeded random strings and the values of
 base spans, label 0 the other words of the fitting sample and identifiers made of them.
 
@@ -34,7 +35,9 @@ SIZE = len(ALPHABET) + 1  # the last symbol is the start of a string
 CODE = {c: i for i, c in enumerate(ALPHABET)}
 FIT_DOCUMENTS = 4_000     # about so many documents are the fitting sample
 BACKOFF = 8.0             # weight of the single character in a transition's estimate
-MIN_RATIO = 12.0          # log-likelihood ratio of a reported run, and at least 1 a character
+MIN_RATIO = 12.0          # log-likelihood ratio of a reported stretch, and at least 1 a character
+SHORTEST, CUT_SHORTEST = 16, 6  # characters of a reported span; of one that a base span cuts
+JOINTS = "/_=-"           # characters that join keys to words
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -118,10 +121,44 @@ def fit(docs: DataFrame, text_col: str = "text", fit_documents: int = FIT_DOCUME
     return logs[1] - logs[0]
 
 
-def ratio(run: str, table) -> float:
-    """Log-likelihood ratio of a run of ALPHABET characters."""
+def gains(run: str, table):
+    """Log-likelihood ratio of each character of a run of ALPHABET characters."""
     codes = [SIZE - 1, *map(CODE.__getitem__, run)]
-    return float(table[codes[:-1], codes[1:]].sum())
+    return table[codes[:-1], codes[1:]]
+
+
+def best_stretch(gain) -> tuple[int, int, float]:
+    """(first, end, sum) of the stretch with the largest sum of ratios."""
+    import numpy as np
+
+    total = np.concatenate([[0.0], np.cumsum(gain)])
+    rise = total[1:] - np.minimum.accumulate(total)[:-1]
+    end = int(np.argmax(rise)) + 1
+    first = int(np.argmin(total[:end]))
+    return first, end, float(rise[end - 1])
+
+
+def keys_of(run: str, table, shortest: int = SHORTEST) -> list[tuple[int, int]]:
+    """(start, end) of the random keys in a run: the whole run if it reaches the least ratio,
+    else the stretch of the largest ratio, out to the next joining characters on both sides,
+    if that does; then the same of what is left on both sides."""
+    if len(run) < shortest or len(set(run)) < 6:
+        return []
+    gain = gains(run, table)
+    if gain.sum() >= max(MIN_RATIO, len(run)):
+        return [(0, len(run))]
+    start, stop, total = best_stretch(gain)
+    if total < MIN_RATIO:
+        return []
+    while start and run[start - 1] not in JOINTS:
+        start -= 1
+    while stop < len(run) and run[stop] not in JOINTS:
+        stop += 1
+    out = [(start, stop)]
+    if stop - start < shortest or total < stop - start or len(set(run[start:stop])) < 6:
+        out = []
+    left, right = keys_of(run[:start], table, shortest), keys_of(run[stop:], table, shortest)
+    return [*left, *out, *((stop + s, stop + e) for s, e in right)]
 
 
 def all_spans(text: str | None, table) -> tuple[list, list]:
@@ -131,11 +168,12 @@ def all_spans(text: str | None, table) -> tuple[list, list]:
     base = base_spans(text)
     added = []
     for m in RUNS.finditer(text):
-        run, start, end = m.group(), m.start(), m.end()
-        if len(set(run)) < 6 or not any(map(str.isdigit, run)) or ratio(run, table) < max(MIN_RATIO, len(run)):
-            continue
-        if all(e <= start or s >= end for s, _, e in base):
-            added.append((start, 3, end))
+        at = m.start()
+        shortest = CUT_SHORTEST if any(e > at and s < m.end() for s, _, e in base) else SHORTEST
+        for s, e in [*((s, e) for s, _, e in base if e > m.start() and s < m.end()), (m.end(), m.end())]:
+            if s > at:
+                added += [(at + a, 3, at + b) for a, b in keys_of(text[at:s], table, shortest)]
+            at = max(at, e)
     return base, (sorted(base + added) if added else base)
 
 
