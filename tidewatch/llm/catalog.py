@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import embeddings, mixing, passages, pieces, secretscan, simhash, substrings, tokencount, topk, toxicity
+from tidewatch.llm import (alignment, embeddings, mixing, passages, pieces, resample, secretscan, simhash, substrings,
+                           tokencount, topk, toxicity, zipquality)
 
 QUERIES = {
     "op1_topk_search": topk.op1_topk_search,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_secrets": secretscan.op8_secrets,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_suffix_dedup": substrings.op10_suffix_dedup,
+    "op11_token_alignment": alignment.op11_token_alignment,
+    "op12_importance_resample": resample.op12_importance_resample,
+    "op13_compression_quality": zipquality.op13_compression_quality,
 }
 
 ORACLE_SQL = {
