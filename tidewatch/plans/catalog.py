@@ -24,6 +24,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def oracle(name: str) -> str:
+    """The SQL of a query that is already registered (a second query with the same result)."""
+    return REGISTRY[name][1]
+
+
 def _load_all() -> None:
     # Importing the modules fills REGISTRY.
     from tidewatch.plans import q_core, q_detect, q_ml, q_profile, q_stream  # noqa: F401

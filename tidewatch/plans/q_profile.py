@@ -98,3 +98,14 @@ def top_users_q(spark, sf):
     ev = table(spark, sf, "events")
     g = ev.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return rounded(g.orderBy(F.desc("n"), "user_id").limit(10))
+
+
+@register("daily_sketches")
+def daily_sketches_q(spark, sf):
+    """A2 + A5, approximate: quantile and distinct sketches of the sensors per day, and (day
+    NULL) the same merged over all days."""
+    from tidewatch.operators import sketches
+    ev = sensor_events(spark, sf).withColumn("day", F.to_date("ts"))
+    daily = sketches.sketch_table(ev, ["day"], ["value", "k"]).checkpoint(eager=True)
+    whole = sketches.approximate_profile(sketches.merge_sketches(daily))
+    return rounded(sketches.approximate_profile(daily).unionByName(whole.withColumn("day", F.lit(None).cast("date"))))

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import labels, stats
 from tidewatch.plans import sqlparts as S
-from tidewatch.plans.catalog import register
+from tidewatch.plans.catalog import oracle, register
 from tidewatch.plans.inputs import SENSOR_COLS, rounded
 from tidewatch.plans.q_core import _WINDOW_SQL, ENCODE_SQL
 from tidewatch.plans.q_detect import W_USER, cusum_sql, cvm_sql, kswin_reset_sql
 from tidewatch.sources.records import decode_json
 from tidewatch.streaming import io as SIO
+from tidewatch.streaming import ordered
 from tidewatch.streaming import stateful as ST
 
 
@@ -188,3 +189,49 @@ def one_class_svm_stream_q(spark, sf):
     SIO.await_all([SIO.write_stream(det.select("l_orderkey", "l_linenumber", "l_suppkey", "score", "threshold",
                                                 "alarm"), "parquet", f"{run}/out", f"{run}/ckpt")])
     return rounded(spark.read.parquet(f"{run}/out"))
+
+
+def _displaced_events(spark, sf):
+    """(event stream whose rows arrive up to a quarter of the whole time late, that delay)."""
+    src, delay = SIO.displaced_copy(spark, spark.read.parquet(f"{sf}/events.parquet"), "events", "ts", "event_id", 4)
+    raw = SIO.read_stream(spark, "parquet", src, spark.read.parquet(src).schema, max_per_trigger=1)
+    return decode_json(raw, "props", "k INT", keep=["event_id", "ts", "user_id", "event_type", "value"]), delay
+
+
+def _ordered_run(spark, name: str, det):
+    run = SIO.new_run(spark, name)
+    with SIO.rocksdb_state(spark):
+        q = SIO.write_stream(det, "parquet", f"{run}/out", f"{run}/ckpt")
+    SIO.await_all([q])
+    return rounded(spark.read.parquet(f"{run}/out"))
+
+
+@register("cusum_event_order", f"""
+SELECT user_id, event_id, value, cusum, alarm FROM ({cusum_sql(W_USER)})""")
+def cusum_event_order_q(spark, sf):
+    """CUSUM per user over a stream whose rows arrive out of order, in event-time order:
+    rows wait in keyed state until the watermark passes them. Same rows as the batch SQL."""
+    ev, delay = _displaced_events(spark, sf)
+    return _ordered_run(spark, "cusum-ordered", ordered.cusum_in_order(
+        ev, ["user_id"], "ts", "value", "event_id", delay, 10, 1.0, 5.0))
+
+
+@register("density_ratio_stream", oracle("density_ratio"))
+def density_ratio_stream_q(spark, sf):
+    """T6 + D7: density ratio of consecutive records per user over a stream whose rows arrive
+    out of order; state: previous vector, queue of the running maximum, waiting rows."""
+    ev, delay = _displaced_events(spark, sf)
+    return _ordered_run(spark, "density-ordered", ordered.density_ratio_stream(
+        ev, ["user_id"], "ts", ["value", "k"], "event_id", delay, 0.2, 10, 1.5))
+
+
+@register("one_class_svm_online")
+def one_class_svm_online_q(spark, sf):
+    """D6 as it is run live: per event type every micro-batch is scored with the model before
+    it, compared with the running 0.995 quantile of earlier scores, then learned."""
+    from tidewatch.operators.detect.online_svm import score_then_learn
+    ev = _event_stream(spark, sf, max_files=1, n_files=4)
+    run = SIO.new_run(spark, "ocsvm-online")
+    SIO.await_all([score_then_learn(ev, ["event_type"], ["value", "k"], f"{run}/out", f"{run}/model", f"{run}/ckpt")])
+    out = spark.read.parquet(f"{run}/out")
+    return rounded(out.select("event_type", "event_id", "score", "threshold", "alarm", F.col("epoch").cast("long").alias("epoch")))

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,6 +140,39 @@ def staged_copy(spark: SparkSession, src: DataFrame, name: str, time_col: str, n
     return path
 
 
+def displaced_copy(spark: SparkSession, src: DataFrame, name: str, time_col: str, id_col: str, n_files: int) -> tuple[str, str]:
+    """A source whose rows arrive out of order: (folder, delay). Time is cut into ``n_files``
+    ranges; half of a range's rows (by a hash of the id) are in its own file, the others in the
+    next one, so no row is later than ``delay``, one range. The last file ends with a heartbeat,
+    a row with nothing but a time, more than ``delay`` after all others."""
+    path = new_run(spark, f"source-{name}-displaced")
+    t = F.unix_micros(F.col(time_col).cast("timestamp"))
+    lo, hi = src.select(F.min(t), F.max(t)).first()
+    step = ((hi or 0) - (lo or 0)) // n_files + 1
+    arrives = F.floor((t - F.lit(lo or 0)) / F.lit(step)) + F.pmod(F.xxhash64(id_col), F.lit(2))
+    placed = src.withColumn("__file", F.coalesce(arrives, F.lit(0)))
+    for i in range(n_files + 1):
+        placed.where(F.col("__file") == i).drop("__file").coalesce(1).write.mode("append").parquet(path)
+    types = dict(src.dtypes)
+    end = F.timestamp_micros(F.lit((hi or 0) + step + 10_000_000)).cast(types[time_col])
+    spark.range(1).select(*[(end if c == time_col else F.lit(None).cast(types[c])).alias(c) for c in src.columns]).coalesce(
+        1).write.mode("append").parquet(path)
+    return path, f"{step // 1000 + 1} milliseconds"
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Streams that are started inside keep their state in RocksDB (state that outgrows the
+    heap, lists and timers); others of the session are left as they are."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def upsert_stream(df: DataFrame, keys: Sequence[str], version_col: str, target: str, checkpoint: str,
                   partition_col: str, available_now: bool = True) -> StreamingQuery:
     """S9 over a stream: last write (largest ``version_col``) per key wins in a Parquet

@@ -36,7 +36,7 @@ def _values(pdf: pd.DataFrame, x: str, id_col: str):
     return v[known], ids[known], ids[~known]
 
 
-def _histories(hist: list[float], vals: np.ndarray, n: int) -> np.ndarray:
+def histories(hist: list[float], vals: np.ndarray, n: int) -> np.ndarray:
     """The last ``n`` values at each new value that has so many (one row each)."""
     both = np.concatenate([np.array(hist, dtype=float), vals])
     if len(both) < n:
@@ -44,6 +44,14 @@ def _histories(hist: list[float], vals: np.ndarray, n: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(both, n)[-min(len(vals), len(both) - n + 1):]
 
 
+def cusum_of_histories(w: np.ndarray, k: float) -> np.ndarray:
+    """D1's statistic of each row of ``w`` (a history), all folds at once."""
+    m, s = w.mean(axis=1), np.zeros(len(w))
+    for j in range(w.shape[1]):
+        s = np.maximum(0.0, s + w[:, j] - m - k)
+    return s
+
+
 def _run(df: DataFrame, keys: Sequence[str], fn, out_schema: str, state_schema: str) -> DataFrame:
     return df.groupBy(*keys).applyInPandasWithState(fn, out_schema, state_schema, "append",
                                                     GroupStateTimeout.NoTimeout)
@@ -62,10 +70,8 @@ def cusum_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: st
         out = []
         if len(pdf):
             vals, ids, without = _values(pdf, x, id_col)
-            w = _histories(hist, vals, n)
-            m, s = w.mean(axis=1), np.zeros(len(w))
-            for j in range(n):  # the fold of all histories at once
-                s = np.maximum(0.0, s + w[:, j] - m - k)
+            w = histories(hist, vals, n)
+            s = cusum_of_histories(w, k)
             first = len(vals) - len(w)
             out = [(*key, i, float(v), float(c), bool(c > h)) for i, v, c in zip(ids[first:], vals[first:], s)]
             out += [(*key, i, None, None, None) for i in without]
@@ -168,7 +174,7 @@ def cvm_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str,
         rows = []
         if len(pdf):
             vals, ids, without = _values(pdf, x, id_col)
-            w = _histories(hist, vals, n)
+            w = histories(hist, vals, n)
             first = len(vals) - len(w)
             cdf = dict(zip(np.unique(w), map(normal_cdf_py, np.unique(w).tolist())))
             p = np.array([cdf[u] for u in np.sort(w, axis=1).ravel().tolist()]).reshape(w.shape)
