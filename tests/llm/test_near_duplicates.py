@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import EDGES, classes, edges, empty
 from tidewatch.llm import embeddings, passages, simhash
@@ -281,3 +282,17 @@ def test_every_passage_of_a_pair_is_reported(spark):
     x, y = (passages.tokens_of(t) for _, t in docs)
     spans = passages.verified_passages(x, y, 46, 0.8)
     assert sorted(spans) == [((0, 55), (0, 55)), ((120, 175), (120, 175))]
+
+
+def test_embeddings_of_one_id_with_several_vectors(spark):
+    from tidewatch.llm import embeddings
+
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, a, 1), (1, b, 2), (1, c, 1), (2, a, 1), (3, b, 2), (2, [1.0, 0.01, 0.0], 1), (None, a, 1)]
+    df = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT")
+    for name in ("rep", "m", "v", "valid", "links", "component", "node", "root"):
+        df = df.withColumn(name, F.lit("x"))  # clashing names
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect()), key=repr)
+    want = [(1, 2, 1, True), (1, 1, 1, True), (1, 0, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 1, 1, False),
+            (None, 0, None, True)]
+    assert got == sorted(want, key=repr)

@@ -6,7 +6,8 @@ projections of a table meet in a bucket. Cosines are computed there in double pr
 With the default parameters a pair at cosine 0.98 meets in some table with probability
 about 0.95, closer pairs almost surely, unrelated ones with less than 1e-6.
 
-Identical vectors of a label are one node with a weight, so copies are never paired up.
+Identical vectors of a label are one node with a weight and the smallest of their ids, so
+copies are never paired up (nodes have numbers of their own: a vec_id may stand in several).
 A full bucket is dealt out in pairs of chunks: each task compares one chunk with one other
 (or with itself) and returns a row per vector, never a row per pair. A pair that meets in
 several tables is counted in the first of them.
@@ -71,7 +72,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = T
     valid = (F.col("label").isNotNull() & F.col("v").isNotNull() & F.col("vec_id").isNotNull() & ~bad
              & F.exists("v", lambda x: x != 0))
     rows = rows.withColumn("valid", F.coalesce(valid, F.lit(False)))
-    nodes = rows.where("valid").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"))
+    nodes = cut(rows.where("valid").groupBy("label", "v").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("m")))
+    nodes = nodes.withColumn("rep", F.monotonically_increasing_id())  # the same at every reading of the written table
 
     def sign(batches):
         import numpy as np
@@ -86,7 +88,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = T
                                     "sig": list(signatures(x, tables, bits, width))})
 
     label_type = vectors.schema[label_col].dataType.simpleString()
-    signed = cut(nodes.mapInPandas(sign, f"label {label_type}, rep long, m long, unit array<double>, sig array<int>"))
+    signed = cut(nodes.select("label", "v", "rep", "m").mapInPandas(sign, f"label {label_type}, rep long, m long, unit array<double>, sig array<int>"))
     met = signed.select("label", F.size("unit").alias("dim"), "rep", F.posexplode("sig").alias("t", "h"))
     bucket = ["label", "dim", "t", "h"]
     sizes = met.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1")
@@ -129,11 +131,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = T
     found = cut(work.groupBy(*bucket, "i", "j").applyInPandas(compare, "rep long, links long, root long"))
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    named = (signed.select("rep", "m").join(counted, "rep", "left").join(classes, F.col("rep") == F.col("node"), "left")
-             .select("rep", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"),
-                     F.coalesce("component", "rep").alias("component")))
-    nodes_named = nodes.select("label", "v", "rep").join(named, "rep")
-    out = rows.join(nodes_named.select("label", "v", F.lit(True).alias("valid"), "links", "component"),
+    named = (nodes.join(counted, "rep", "left").join(classes, F.col("rep") == F.col("node"), "left")
+             .select("label", "v", "first_id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"),
+                     F.coalesce("component", "rep").alias("root")))
+    lowest = named.groupBy("root").agg(F.min("first_id").alias("component"))
+    out = rows.join(named.join(lowest, "root").select("label", "v", F.lit(True).alias("valid"), "links", "component"),
                     ["label", "v", "valid"], "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
