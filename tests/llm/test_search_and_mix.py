@@ -104,3 +104,24 @@ def test_mix_with_more_sources_than_slots(spark):
     rows = [(i, "t", "en", f"s{i}", 1) for i in range(50)]
     out = mixing.mix(spark.createDataFrame(rows, SCHEMA), period=10).collect()
     assert sorted(r.slot for r in out) == list(range(50))
+
+
+def test_mix_meets_the_given_weights_not_rounded_ones(spark):
+    weights = {"a": 0.9991, "b": 0.0005, "c": 0.0004}
+    assert mixing.whole_slots(weights) == {"a": 9991, "b": 5, "c": 4}
+    rows = [(i, "t", "en", s, 1) for i, s in enumerate(["a"] * 19_982 + ["b"] * 10 + ["c"] * 8)]
+    out = mixing.mix(spark.createDataFrame(rows, SCHEMA), weights, block_rows=1).select("source", "slot").collect()
+    assert sorted(r.slot for r in out) == list(range(20_000))
+    for name, w in weights.items():
+        slots = sorted(r.slot for r in out if r.source == name)
+        for k, slot in enumerate(slots):  # the k-th block: k served before it, k + 1 after it
+            assert abs(k - w * slot) < 1 and abs(k + 1 - w * (slot + 1)) < 1, (name, k)
+
+
+def test_whole_slots_rounds_only_beyond_the_longest_period():
+    assert mixing.whole_slots({"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05, "e": 0}) == {"a": 10, "b": 6, "c": 3, "d": 1}
+    assert mixing.whole_slots({}) == {} and mixing.whole_slots({"a": 3}) == {"a": 1}
+    many = {f"s{i}": 1 / 7 + i * 1e-7 for i in range(7)}
+    got = mixing.whole_slots(many)
+    assert sum(got.values()) == mixing.LONGEST_PERIOD
+    assert all(abs(got[k] - w / sum(many.values()) * mixing.LONGEST_PERIOD) < 1 for k, w in many.items())

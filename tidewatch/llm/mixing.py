@@ -12,6 +12,11 @@ Rules for special rows: a null source counts as the source ''; within a source r
 taken in the order of md5(doc_id), then doc_id and the other columns, a null doc_id as '';
 identical rows are interchangeable; an empty table gives an empty result; the text is
 never read. More sources than ``period`` get one slot each, which makes the period longer.
+
+Given weights are met exactly where they have a common period of at most ``LONGEST_PERIOD``
+slots (any weights in ten-thousandths do); others are rounded to that period by largest
+remainders, so a share is off by less than one slot of it. Sources that no weight names, or
+with weight 0, get one slot of a period beside it, so that their rows are not lost.
 """
 
 from __future__ import annotations
@@ -23,23 +28,47 @@ from tidewatch.llm.common import read
 
 BLOCK_ROWS = 16
 PERIOD = 1000
+LONGEST_PERIOD = 20_000   # slots of a period of given weights
 RUN_ROWS = 4096           # rows that are numbered together
 BROADCAST_SOURCES = 10_000
 
 
+def whole_slots(weights: dict[str, float]) -> dict[str, int]:
+    """Slots of each source of positive weight, in the ratio of the weights (see the module)."""
+    from fractions import Fraction
+    from math import gcd, lcm
+
+    shares = {name: Fraction(str(w)) for name, w in weights.items() if w > 0}
+    if not shares:
+        return {}
+    unit = lcm(*(f.denominator for f in shares.values()))
+    slots = {name: int(f * unit) for name, f in shares.items()}
+    common = gcd(*slots.values())
+    slots = {name: w // common for name, w in slots.items()}
+    total = sum(slots.values())
+    if total <= LONGEST_PERIOD:
+        return slots
+    floors = {name: w * LONGEST_PERIOD // total for name, w in slots.items()}
+    by_rest = sorted(slots, key=lambda name: (-(slots[name] * LONGEST_PERIOD % total), name))
+    for name in by_rest[:LONGEST_PERIOD - sum(floors.values())]:
+        floors[name] += 1
+    return floors
+
+
 def source_slots(docs: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD) -> DataFrame:
     """One row per source: src, n (rows), w (slots in a period), p (period), idx (from 1, by
-    name). Without ``weights`` a source's target is the square root of its row count;
-    with them, sources that are not named get the smallest share, one slot."""
+    name). Without ``weights`` a source's target is the square root of its row count, in
+    slots of ``period``; with them, sources that are not named get one slot."""
     n = docs.groupBy(F.coalesce("source", F.lit("")).alias("src")).agg(F.count("*").alias("n"))
     if weights is None:
-        want = F.sqrt("n")
+        total = n.agg(F.sum(F.sqrt("n")).alias("total"))
+        want = F.floor(F.lit(period) * F.sqrt("n") / F.col("total"))
+        slots = n.join(F.broadcast(total))  # the total is one row
     else:
-        named = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]) if weights else F.create_map()
-        want = F.coalesce(named[F.col("src")].cast("double"), F.lit(0.0))
-    total = n.agg(F.sum(want).alias("total"))
-    slots = n.join(F.broadcast(total)).withColumn(  # the total is one row
-        "w", F.greatest(F.lit(1), F.coalesce(F.floor(F.lit(period) * want / F.col("total")), F.lit(1))).cast("long"))
+        pairs = [F.lit(x) for pair in whole_slots(weights).items() for x in pair]
+        want = F.create_map(*pairs)[F.col("src")] if pairs else F.lit(None)
+        slots = n
+    slots = slots.withColumn("w", F.greatest(F.lit(1), F.coalesce(want.cast("long"), F.lit(1))).cast("long"))
     listed = slots.agg(F.array_sort(F.collect_list(F.struct("src", "n", "w"))).alias("all"))
     return (listed.withColumn("p", F.aggregate("all", F.lit(0).cast("long"), lambda a, s: a + s["w"]))
             .select("p", F.posexplode("all").alias("at", "s"))
