@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +41,7 @@ FAN_IN = 16                # tables or vectors that one task of a tree sums
 SEGMENT = 1 << 16          # counts of a piece of a dense vector
 TABLE_PAIRS = 1 << 20      # gathered pairs after which a task sorts them into its table
 TOGETHER = 1 << 20         # characters that are aligned together
-REMEMBERED = 120_000       # words of a generation of a worker's memory
+REMEMBERED = 250_000       # words of a generation of a worker's memory
 LONGEST_REMEMBERED = 48
 SALTS = 16
 
@@ -258,6 +259,17 @@ def worker_tokenizers(files: tuple[str, bytes]) -> Tokenizers:
     return _WORKER[key]
 
 
+_MEMORY: dict[str, Memory] = {}
+
+
+def worker_memory(key: str, files: tuple[str, bytes], value) -> Memory:
+    """The memory of a pass over the documents, kept from task to task of a worker."""
+    if key not in _MEMORY:
+        _MEMORY.clear()
+        _MEMORY[key] = Memory(worker_tokenizers(files), value)
+    return _MEMORY[key]
+
+
 def word_pairs(x: Aligned) -> list[bytes]:
     """The link keys of every word, as bytes."""
     data, ends = x.pairs.tobytes(), (x.pair_end * 8).tolist()
@@ -277,13 +289,13 @@ def summed(keys, counts):
 def pair_tables(docs: DataFrame, files, text_col: str) -> DataFrame:
     """(keys, counts) as bytes: the linked pairs of each task's documents and in how many of
     them they are. A table has at most ``TABLE_PAIRS`` new pairs; a task may return several."""
-    shipped = docs.sparkSession.sparkContext.broadcast(files)
+    shipped, key = docs.sparkSession.sparkContext.broadcast(files), uuid.uuid4().hex
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        memory = Memory(worker_tokenizers(shipped.value), word_pairs)
+        memory = worker_memory(key, shipped.value, word_pairs)
         keys, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         held, size = [], 0
 
@@ -452,7 +464,7 @@ def looked_up(docs: DataFrame, files, hashed: PerfectHash, counts, text_col: str
     a_of = (hashed.keys // np.uint64(b_size)).astype(np.int64)
     best = np.zeros(int(a_of.max()) + 1 if len(a_of) else 0, dtype=np.int64)
     np.maximum.at(best, a_of, counts)
-    shipped = docs.sparkSession.sparkContext.broadcast((files, hashed, counts, best))
+    shipped, key = docs.sparkSession.sparkContext.broadcast((files, hashed, counts, best)), uuid.uuid4().hex
 
     def run(batches):
         import pyarrow as pa
@@ -471,7 +483,7 @@ def looked_up(docs: DataFrame, files, hashed: PerfectHash, counts, text_col: str
             first = np.concatenate([[0], x.pair_end[:-1]])
             return word_numbers(x, [np.add.reduceat(top, first), np.add.reduceat(n, first)])
 
-        memory = Memory(worker_tokenizers(files), value)
+        memory = worker_memory(key, files, value)
         for b in batches:
             rows = [digested(v, 6) for texts in portions(b.column(1).to_pylist()) for v in memory.texts(texts)]
             columns = list(zip(*(r[0] for r in rows))) if rows else [()] * 6
