@@ -249,3 +249,27 @@ def test_pipeline_result_is_in_the_order_of_the_schedule(spark):
     kept = read(spark, SF_SMALL, "documents").where(F.col("doc_id").isin(list(out)))
     want = [r.doc_id for r in mixing.mix(kept).orderBy("slot", "in_block").collect()]
     assert sorted(out, key=out.get) == want
+
+
+def test_decimal_numbers_are_no_secrets(spark):
+    from tests.conftest import SF_MID
+    from tidewatch.llm.common import read
+
+    docs = read(spark, SF_MID, "documents")
+    table = secretscan.fit(docs)
+    for n in ("2024010306000012", "12345678901234567", "2024-01-03-06-00-00-12", "000000123456789012", "4407620926593142"):
+        assert secretscan.all_spans(f"see {n} for it", table)[1] == [], n
+    for r in docs.where("text is not null").collect():
+        for s, kind, e in secretscan.all_spans(r.text, table)[1]:
+            assert kind != 3 or not r.text[s:e].isdigit()
+
+
+def test_pipeline_keeps_a_unique_text_of_a_repeated_id(spark):
+    import corpus_pipeline
+
+    a, b = " ".join(f"alpha{i}" for i in range(60)), " ".join(f"beta{i}" for i in range(60))
+    rows = [(1, a, "en", "s", 1), (2, a, "en", "s", 2), (2, b, "en", "s", 3), (3, b, "en", "s", 4), (3, b, "de", "s", 5),
+            (None, a, "en", "s", 6), (None, a, "en", "s", 7)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = sorted(r.n_chars for r in corpus_pipeline.drop_near_duplicates(spark, df, SF_SMALL).collect())
+    assert got == [1, 3, 6, 7]

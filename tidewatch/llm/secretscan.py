@@ -5,7 +5,8 @@ stretches in long runs of key characters that a model of random strings explains
 than a model of ordinary identifiers, whether or not they hold digits, out to the next
 joining characters (``JOINTS``). What a base span leaves of a run is judged too. Both models are first-order character
 chains fitted on labelled strings: label 1 are seeded random strings and the values of
-base spans, label 0 the other words of the fitting sample and identifiers made of them.
+base spans, label 0 the other words and numbers of the fitting sample, identifiers made of
+them, and decimal numbers, dates and versions (a run of decimal digits is no secret).
 
 Rules for special rows: a null or empty text has no spans; repeated rows and rows with a
 null doc_id are returned like any other; extra columns are ignored by the scan and kept
@@ -30,6 +31,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "markov")
 
 RUNS = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+NUMBER = re.compile(r"[0-9]+(?:[+/_=-]+[0-9]+)*")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = len(ALPHABET) + 1  # the last symbol is the start of a string
 CODE = {c: i for i, c in enumerate(ALPHABET)}
@@ -58,6 +60,23 @@ def random_strings(count: int = 4_000, seed: int = 7) -> list[str]:
     return ["".join(r.choices(kinds[k % len(kinds)], k=r.randint(16, 48))) for k in range(count)]
 
 
+def numbers(count: int = 4_000, seed: int = 9) -> list[str]:
+    """Decimal numbers, times, dates and numbered parts."""
+    import random
+
+    r = random.Random(seed)
+
+    def digits(low, high):
+        return "".join(r.choices("0123456789", k=r.randint(low, high)))
+
+    out = [digits(1, 24) for _ in range(count)]
+    for _ in range(count // 4):
+        day = f"{r.randint(1970, 2069)}{r.randint(1, 12):02}{r.randint(1, 28):02}"
+        out += [day + digits(6, 8), f"{day[:4]}-{day[4:6]}-{day[6:]}", f"{digits(3, 4)}-{digits(3, 4)}-{digits(4, 6)}",
+                f"{digits(1, 3)}_{digits(1, 3)}_{digits(1, 4)}"]
+    return out
+
+
 def add_transitions(counts, strings) -> None:
     """Add the character transitions of the strings (of ALPHABET) to a SIZE x SIZE table."""
     import numpy as np
@@ -72,8 +91,9 @@ def add_transitions(counts, strings) -> None:
 
 def identifiers(words: list[str]) -> list[str]:
     """The words, and the usual identifiers that are made of them: camel case, snake case,
-    paths, numbered names. Long words with digits are what the scan judges: they have no label."""
-    words = [w for w in words if len(w) < 16 or not any(map(str.isdigit, w))]
+    paths, numbered names. Long words with digits are what the scan judges: they have no label,
+    unless they are numbers (decimal digits, joined or not)."""
+    words = [w for w in words if len(w) < 16 or not any(map(str.isdigit, w)) or NUMBER.fullmatch(w)]
     pairs = list(zip(words[::2], words[1::2]))
     return [*words, *(f"{a}{b.capitalize()}" for a, b in pairs), *(f"{a}_{b}" for a, b in pairs),
             *(f"{a}-{b}/{a}{len(b)}" for a, b in pairs)]
@@ -114,6 +134,7 @@ def fit(docs: DataFrame, text_col: str = "text", fit_documents: int = FIT_DOCUME
     tables = np.zeros((2, SIZE, SIZE))
     for r in counted:
         tables[r.label, r.a, r.b] = r.n
+    add_transitions(tables[0], numbers())
     add_transitions(tables[1], random_strings())
     single = tables.sum(axis=1, keepdims=True) + 0.5  # rarely seen contexts fall back on the character alone
     single /= single.sum(axis=2, keepdims=True)

@@ -51,8 +51,10 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 3, id_col: str = "doc
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([f - (1 << 64) if f >> 63 else f for f in fps], pa.int64())], ["doc_id", "fp"])
 
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, "doc_id long, fp long"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    kind = "bigint" if kind in ("tinyint", "smallint", "int") else kind
+    return (docs.select(F.col(id_col).cast(kind).alias("doc_id"), F.col(text_col).alias("text"))
+            .mapInArrow(run, f"doc_id {kind}, fp long"))
 
 
 def links(nodes: DataFrame, max_bits: int = 2, blocks: int = 4, bucket_rows: int = 64) -> DataFrame:
