@@ -6,8 +6,10 @@ DataFrame that is written as Parquet and reread for the next one. All but the la
 the columns of documents.
 
 * toxicity: rows whose score reaches the threshold go; clean rows stay as they are.
-* simhash: of each group of near-duplicates the row with the smallest doc_id stays. Rows
-  with a null doc_id belong to no group and stay; of rows that repeat a doc_id one stays.
+* simhash: of each group of near-duplicates the row with the smallest doc_id stays (of several
+  texts of that doc_id the one with the smallest md5, of equal ones the first by the other
+  columns). Rows with a null doc_id belong to no group and stay. A row is judged by its own
+  text: a unique text stays even if another row repeats its doc_id.
 * secrets: every secret is replaced by a mask, n_chars follows; no row goes.
 * mixing: all rows stay; the rows are written in the order of the mixture, so the files
   read one after the other are the mixed stream.
@@ -40,12 +42,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*DOCUMENT_COLUMNS)
-    found = cut(simhash.near_duplicates(docs).groupBy("doc_id").agg(
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    keyed = docs.select(*DOCUMENT_COLUMNS, F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", digest.alias("md5")))
+                        .alias("__row"))
+    found = cut(simhash.near_duplicates(keyed.select(F.col("__row").alias("doc_id"), "text")).groupBy("doc_id").agg(
         F.min("component_id").alias("component_id"), F.count("*").alias("n")).where("doc_id is not null"))
-    kept = docs.join(found.where("doc_id <> component_id or n > 1").select("doc_id"), "doc_id", "left_anti")
-    repeated = docs.join(found.where("doc_id = component_id and n > 1").select("doc_id"), "doc_id", "left_semi")
-    return kept.unionByName(repeated.dropDuplicates(["doc_id"])).select(*DOCUMENT_COLUMNS)
+    kept = keyed.join(found.where("doc_id <> component_id or n > 1").select(F.col("doc_id").alias("__row")), "__row", "left_anti")
+    repeated = keyed.join(found.where("doc_id = component_id and n > 1").select(F.col("doc_id").alias("__row")), "__row",
+                          "left_semi")
+    whole = F.struct("lang", "source", "n_chars", "text")  # equal ids and texts: one row, the first by the other columns
+    one = repeated.groupBy("__row").agg(F.min(whole).alias("first"), F.first("doc_id").alias("doc_id"))
+    return kept.select(*DOCUMENT_COLUMNS).unionByName(one.select("doc_id", "first.*").select(*DOCUMENT_COLUMNS))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
