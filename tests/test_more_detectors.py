@@ -116,3 +116,54 @@ def test_pca_reset_restarts_after_drift(spark):
             if r.state == "drift":
                 last = r.block
     assert any(r.state == "drift" for r in by_key["a"])
+
+
+def midpoint_leaves(rows, max_count):
+    """A plain kdq-tree: a function from a point to its leaf, and the reference counts."""
+    dims = len(rows[0])
+    low, high = [min(c) for c in zip(*rows)], [max(c) for c in zip(*rows)]
+    leaves = []
+
+    def build(members, lo, hi, axis):
+        if len(members) <= max_count:
+            leaves.append(len(members))
+            number = len(leaves) - 1
+            return lambda x: number
+        mid = (lo[axis] + hi[axis]) / 2
+        below, above = [m for m in members if m[axis] < mid], [m for m in members if m[axis] >= mid]
+        left = build(below, lo, [*hi[:axis], mid, *hi[axis + 1:]], (axis + 1) % dims)
+        right = build(above, [*lo[:axis], mid, *lo[axis + 1:]], hi, (axis + 1) % dims)
+        return lambda x: left(x) if x[axis] < mid else right(x)
+
+    return build(rows, low, high, 0), leaves
+
+
+def test_sliding_kdq_equals_a_loop_and_needs_persistence(spark):
+    from tidewatch.operators.detect.kdq import kdq_sliding
+
+    window, df = 40, planted(spark, n=700, change_at=450, dims=2)
+    got = {(r.key, r.pos): r for r in kdq_sliding(df, ["key"], ["t"], ["x0", "x1"], window=window, max_count=8, boot=200,
+                                                  persistence=0.2).collect()}
+    assert len(got) == 2 * (700 - 2 * window + 1)
+    for key in ("a", "b"):
+        rows = [(r.x0, r.x1) for r in df.where(F.col("key") == key).orderBy("t").collect()]
+        leaf_of, ref = midpoint_leaves(rows[:window], 8)
+        run = 0
+        for pos in range(2 * window, 701):
+            counts = [0] * len(ref)
+            for x in rows[pos - window:pos]:
+                counts[leaf_of(x)] += 1
+            r = got[(key, pos)]
+            assert np.isclose(r.kl, _kl_rows(np.array([ref], dtype=float), np.array([counts], dtype=float))[0]), (key, pos)
+            run = run + 1 if r.kl > r.threshold else 0
+            assert (r.t, r.exceeds, r.run, r.state) == (pos - 1, run > 0, run, "drift" if run > 8 else "none")
+    drifts = [p for (k, p), r in got.items() if k == "a" and r.state == "drift" and p > 450]
+    assert drifts and min(drifts) <= 450 + window  # within one window of the change
+
+
+def test_sliding_kdq_of_short_series(spark):
+    from tidewatch.operators.detect.kdq import kdq_sliding
+
+    df = planted(spark, n=60, change_at=50, dims=2)
+    assert kdq_sliding(df, ["key"], ["t"], ["x0", "x1"], window=31, max_count=8).count() == 0
+    assert kdq_sliding(df, ["key"], ["t"], ["x0", "x1"], window=30, max_count=8).count() == 2

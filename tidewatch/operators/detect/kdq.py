@@ -101,23 +101,20 @@ def bootstrap_thresholds(leaf_ref: DataFrame, keys: Sequence[str], window: int,
     return leaf_ref.groupBy(*keys).applyInPandas(fn, schema)
 
 
-def _score_against(blk: DataFrame, refs: DataFrame, keys: list[str], xs: Sequence[str], window: int,
-                   alpha: float, boot: int, max_count: int, depth: int, seed: int,
-                   with_threshold: bool) -> DataFrame:
-    """KL of every block after each key's reference block ``_ref`` (one tree per key)."""
+def _reference_tree(rel: DataFrame, keys: list[str], xs: Sequence[str], max_count: int, depth: int,
+                    few_keys: bool, carry: list[str]):
+    """The tree of each key's reference rows (column ``_isref``): (rows, leaves). ``rows`` are the
+    other rows, (keys, carry, _l, _p) with their leaf; ``leaves`` is (keys, _l, _p, ref_count, _pr,
+    _nleaves), the smoothed reference share of every leaf, empty ones included."""
     coarse = min(COARSE_LEVELS, depth)
-    nkeys = refs.count()
-    refs = F.broadcast(refs) if nkeys <= BROADCAST_ROWS else refs
-    rel = blk.join(refs, keys).filter(F.col("block") >= F.col("_ref"))
-    is_ref = F.col("block") == F.col("_ref")
-    box = (rel.filter(is_ref).groupBy(*keys)
+    box = (rel.filter("_isref").groupBy(*keys)
            .agg(*[F.min(F.col(f"`{c}`").cast("double")).alias(f"_lo{i}") for i, c in enumerate(xs)],
                 *[F.max(F.col(f"`{c}`").cast("double")).alias(f"_hi{i}") for i, c in enumerate(xs)]))
-    boxb = F.broadcast(box) if nkeys <= BROADCAST_ROWS else box
-    coded = with_cell_code(rel.join(boxb, keys), xs, depth).select(*keys, "block", "_ref", "_code")
+    boxb = F.broadcast(box) if few_keys else box
+    coded = with_cell_code(rel.join(boxb, keys), xs, depth).select(*keys, *carry, "_isref", "_code")
 
     # split nodes from the reference block: cells at level l < depth holding > max_count rows
-    ref = coded.filter(is_ref)
+    ref = coded.filter("_isref")
     # reference counts of every prefix cell, levels 0..depth (the leaves' reference counts
     # are read from here, so the reference rows are never joined to the leaves)
     lv = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("_l")
@@ -149,9 +146,8 @@ def _score_against(blk: DataFrame, refs: DataFrame, keys: list[str], xs: Sequenc
     rows = coded.withColumn("_b", F.shiftright(F.col("_code"), depth - coarse))
     cond = [F.col(k) == F.col(f"_k_{k}") for k in keys] + [
         F.col("_b") == F.col("_lb"), F.col("_code") >= F.col("_lo"), F.col("_code") < F.col("_hi")]
-    assigned = rows.filter(~is_ref).join(lbj, cond).select(*keys, "block", "_ref", F.col("_ll").alias("_l"),
-                                                           F.col("_lp").alias("_p"))
-    counts = assigned.groupBy(*keys, "block", "_ref", "_l", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    assigned = rows.filter("not _isref").join(lbj, cond).select(*keys, *carry, F.col("_ll").alias("_l"),
+                                                                F.col("_lp").alias("_p"))
 
     # reference distribution over all leaves (empty leaves included, +0.5 smoothing)
     ref_counts = pref.select(*keys, "_l", "_p", F.col("_c").alias("ref_count"))
@@ -159,14 +155,31 @@ def _score_against(blk: DataFrame, refs: DataFrame, keys: list[str], xs: Sequenc
         0, ["ref_count"])
     nl = leaf_ref.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nleaves"), F.sum("ref_count").alias("_nref"))
     pr = leaf_ref.join(nl, keys).withColumn(
-        "_pr", (F.col("ref_count") + 0.5) / (F.col("_nref") + F.col("_nleaves") / 2.0)).checkpoint(eager=True)
-    h_ref = pr.groupBy(*keys).agg(F.sum(F.col("_pr") * F.log(F.col("_pr"))).alias("_href"))
-    test = counts.filter(~is_ref).join(pr.select(*keys, "_l", "_p", "_pr"), [*keys, "_l", "_p"])
+        "_pr", (F.col("ref_count") + 0.5) / (F.col("_nref") + F.col("_nleaves") / 2.0)).drop("_nref").checkpoint(eager=True)
+    return assigned, pr
+
+
+def _reference_terms(pr: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _href, _nleaves): sum of p ln p over a key's leaves, and their number."""
+    return pr.groupBy(*keys).agg(F.sum(F.col("_pr") * F.log(F.col("_pr"))).alias("_href"),
+                                 F.max("_nleaves").alias("_nleaves"))
+
+
+def _score_against(blk: DataFrame, refs: DataFrame, keys: list[str], xs: Sequence[str], window: int,
+                   alpha: float, boot: int, max_count: int, depth: int, seed: int,
+                   with_threshold: bool) -> DataFrame:
+    """KL of every block after each key's reference block ``_ref`` (one tree per key)."""
+    few = refs.count() <= BROADCAST_ROWS
+    rel = (blk.join(F.broadcast(refs) if few else refs, keys).filter(F.col("block") >= F.col("_ref"))
+           .withColumn("_isref", F.col("block") == F.col("_ref")))
+    assigned, pr = _reference_tree(rel, keys, xs, max_count, depth, few, ["block", "_ref"])
+    counts = assigned.groupBy(*keys, "block", "_ref", "_l", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    test = counts.join(pr.select(*keys, "_l", "_p", "_pr"), [*keys, "_l", "_p"])
     log_half = math.log(0.5)
     part = test.groupBy(*keys, "block", "_ref").agg(
         F.sum(F.col("_pr") * (F.log(F.col("_n") + 0.5) - F.lit(log_half))).alias("_s"),
         F.sum("_n").alias("_nt"))
-    kl = (part.join(h_ref, keys).join(nl, keys)
+    kl = (part.join(_reference_terms(pr, keys), keys)
           .withColumn("kl", F.col("_href") - (F.col("_s") + F.lit(log_half)
                                              - F.log(F.col("_nt") + F.col("_nleaves") / 2.0)))
           .select(*keys, "block", F.col("_ref").alias("ref_block"), "kl"))
@@ -211,3 +224,65 @@ def kdq_tree(df: DataFrame, keys: Sequence[str], order: Sequence[str], xs: Seque
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def kdq_sliding(df: DataFrame, keys: Sequence[str], order: Sequence[str], xs: Sequence[str], window: int = 1000,
+                alpha: float = 0.05, boot: int = 500, max_count: int = 100, max_depth: int | None = None,
+                seed: int = 1, persistence: float = 0.05, with_threshold: bool = True) -> DataFrame:
+    """D4 record by record: the first ``window`` rows of a series are the reference, the last
+    ``window`` rows (all after the reference) the test window, which slides by one row. One
+    output row per record from position 2 * window on: (keys, order, pos, kl, threshold,
+    exceeds, run, state); ``run`` counts the consecutive records above the threshold up to this
+    one, ``state`` is 'drift' once it is more than ``persistence * window``. Series shorter than
+    two windows have no output; the reference stays.
+
+    A step of the window changes the counts of two leaves only, so the divergence is a running
+    sum of differences: a row adds p (ln(c + 1.5) - ln(c + 0.5)) when it enters a leaf that
+    holds c rows of the window, and takes the like away ``window`` rows later. The counts c are
+    windows over (key, leaf) cut into position blocks, the sum and the runs are blocked scans:
+    no task gets a whole series.
+    """
+    from pyspark.sql import Window
+
+    from tidewatch.operators.history import running
+    from tidewatch.operators.position import with_position
+
+    keys, depth = list(keys), max_depth or MAX_LEVELS
+    cols = list(dict.fromkeys([*keys, *order, *xs]))
+    long_enough = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= 2 * window)
+    few = long_enough.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    sized = long_enough.select(*keys)
+    pos = with_position(df.select(*cols).join(F.broadcast(sized) if few else sized, keys), keys, order, "_pos").checkpoint(eager=True)
+    rel = pos.select(*keys, *xs, "_pos", (F.col("_pos") <= window).alias("_isref"))
+    assigned, pr = _reference_tree(rel, keys, xs, max_count, depth, few, ["_pos"])
+    leaf = [*keys, "_l", "_p"]
+    rows = assigned.join(pr.select(*leaf, "_pr"), leaf)
+
+    # how many rows of the leaf are in the window before this one enters, and before it leaves
+    block = 4 * window
+    home = F.expr(f"_pos div {block}")
+    copies = F.array_compact(F.array(home, F.when(F.col("_pos") % block >= block - window, home + 1),
+                                     F.when(F.col("_pos") % block < window, home - 1)))
+    by_leaf = Window.partitionBy(*leaf, "_blk").orderBy("_pos")
+    counted = (rows.withColumn("_home", home).withColumn("_blk", F.explode(copies))
+               .withColumn("_before", F.count(F.lit(1)).over(by_leaf.rangeBetween(-(window - 1), -1)))
+               .withColumn("_after", F.count(F.lit(1)).over(by_leaf.rangeBetween(0, window - 1)))
+               .filter(F.col("_blk") == F.col("_home")))
+    enters = F.col("_pr") * (F.log(F.col("_before") + 1.5) - F.log(F.col("_before") + 0.5))
+    leaves = F.col("_pr") * (F.log(F.col("_after") - 0.5) - F.log(F.col("_after") + 0.5))
+    steps = (counted.select(*keys, F.explode(F.array(
+        F.struct(F.col("_pos").alias("_at"), enters.alias("_d"), F.lit(1).alias("_row")),
+        F.struct((F.col("_pos") + window).alias("_at"), leaves.alias("_d"), F.lit(0).alias("_row")))).alias("_e"))
+        .select(*keys, "_e.*").groupBy(*keys, "_at").agg(F.sum("_d").alias("_d"), F.max("_row").alias("_row")))
+    summed = running(steps, keys, ["_at"], {"_s": ("sum", F.col("_d"))})
+    out = (summed.filter((F.col("_row") == 1) & (F.col("_at") >= 2 * window)).join(_reference_terms(pr, keys), keys)
+           .select(*keys, F.col("_at").alias("pos"), (
+               F.col("_href") - F.lit(math.log(0.5)) - F.col("_s") + F.log(F.lit(window) + F.col("_nleaves") / 2.0)).alias("kl")))
+    if with_threshold:
+        thr = bootstrap_thresholds(pr.select(*leaf, "ref_count"), keys, window, boot, alpha, seed)
+        out = out.join(thr, keys).withColumn("exceeds", F.col("kl") > F.col("threshold")).checkpoint(eager=True)
+        calm = F.when(F.col("exceeds"), F.lit(2 * window - 1)).otherwise(F.col("pos"))
+        out = (running(out, keys, ["pos"], {"_calm": ("max", calm)}).withColumn("run", F.col("pos") - F.col("_calm")).drop("_calm")
+               .withColumn("state", F.when(F.col("run") > persistence * window, "drift").otherwise("none")))
+    extra = [c for c in order if c not in keys]
+    return out.join(pos.select(*keys, *extra, F.col("_pos").alias("pos")), [*keys, "pos"])

@@ -478,6 +478,47 @@ def kdq_divergence_q(spark, sf):
     return rounded(out.select("l_suppkey", F.col("block").cast("long").alias("block"), "kl"))
 
 
+def _kdq_sliding_sql(window: int, max_count: int, max_depth: int) -> str:
+    """The same tree; all rows of series of two windows or more, every window counted anew."""
+    tree = _kdq_sql(window, max_count, max_depth).split(",\ngrid AS")[0].replace(
+        f"HAVING count(*) = {window}", "").replace(
+        "bf AS (SELECT b.* FROM b JOIN fb USING (l_suppkey, block))",
+        f"bf AS (SELECT * FROM b WHERE l_suppkey IN (SELECT l_suppkey FROM b GROUP BY 1 HAVING count(*) >= {2 * window}))")
+    return tree + f""",
+lr AS (SELECT l_suppkey, pos, depth AS l, code >> ({max_depth} - depth) AS p FROM lv),
+pr AS (SELECT lf.l_suppkey, lf.l, lf.p, nleaf, (coalesce(r.n, 0) + 0.5) / ({window} + nleaf / 2.0) AS pr
+       FROM leaves lf JOIN nl USING (l_suppkey)
+       LEFT JOIN (SELECT l_suppkey, l, p, count(*) AS n FROM lr WHERE pos <= {window} GROUP BY 1, 2, 3) r
+         ON r.l_suppkey = lf.l_suppkey AND r.l = lf.l AND r.p = lf.p),
+h AS (SELECT l_suppkey, sum(pr * ln(pr)) AS h, max(nleaf) AS nleaf FROM pr GROUP BY 1),
+win AS (SELECT a.l_suppkey, a.pos, r.l, r.p, count(*) AS n
+        FROM lr a JOIN lr r ON r.l_suppkey = a.l_suppkey AND r.pos BETWEEN a.pos - {window - 1} AND a.pos
+        WHERE a.pos >= {2 * window} GROUP BY 1, 2, 3, 4)
+SELECT l_suppkey, CAST(pos AS BIGINT) AS pos, round(any_value(h) - sum(pr * (ln(n + 0.5) - ln(0.5))) - ln(0.5)
+       + ln({window} + any_value(h.nleaf) / 2.0), 6) AS kl
+FROM win JOIN pr USING (l_suppkey, l, p) JOIN h USING (l_suppkey) GROUP BY 1, 2"""
+
+
+@register("kdq_sliding_divergence", _kdq_sliding_sql(**KDQ))
+def kdq_sliding_divergence_q(spark, sf):
+    """D4 record by record: KL divergence of the last 100 rows of a supplier from its first 100,
+    at every row, as a running sum of leaf count changes."""
+    from tidewatch.operators.detect.kdq import kdq_sliding
+    li = table(spark, sf, "lineitem")
+    out = kdq_sliding(li, ["l_suppkey"], LINE_ORDER, LINE_VECTOR, with_threshold=False, **KDQ)
+    return rounded(out.select("l_suppkey", "pos", "kl"))
+
+
+@register("kdq_sliding")
+def kdq_sliding_q(spark, sf):
+    """D4 as a record-by-record detector: bootstrap threshold, and drift once more than 5 % of a
+    window's records in a row exceed it."""
+    from tidewatch.operators.detect.kdq import kdq_sliding
+    li = table(spark, sf, "lineitem")
+    out = kdq_sliding(li, ["l_suppkey"], LINE_ORDER, LINE_VECTOR, alpha=0.05, boot=500, seed=1, persistence=0.05, **KDQ)
+    return rounded(out.select("l_suppkey", "l_orderkey", "l_linenumber", "pos", "kl", "threshold", "exceeds", "run", "state"))
+
+
 @register("kdq_tree")
 def kdq_tree_q(spark, sf):
     """Kdq-tree divergence with a 500-resample bootstrap threshold (alpha 0.05, seed 1),
