@@ -146,8 +146,19 @@ def test_svm_over_all_tasks_agrees_with_one_task(spark, monkeypatch):
     df = spark.createDataFrame([("a", *map(float, r)) for r in x], "key STRING, p DOUBLE, q DOUBLE")
     one = fit_one_class_svm(df, ["key"], ["p", "q"]).first()
     monkeypatch.setattr(ocsvm_fit, "GROUP_ROWS", 100)
-    many = fit_one_class_svm(df, ["key"], ["p", "q"], steps=12).first()
-    assert many["w_0"] == pytest.approx(one["w_0"], rel=0.05) and many["rho"] == pytest.approx(one["rho"], rel=0.05)
+    many = fit_one_class_svm(df, ["key"], ["p", "q"]).first()  # the same limit and tolerance
+    assert max(one["gap"], many["gap"]) <= ocsvm_fit.TOLERANCE
+    assert all(many[c] == pytest.approx(one[c], rel=1e-6) for c in ("w_0", "w_1"))
+    assert many["rho"] == pytest.approx(one["rho"], rel=1e-2)  # the values at the share's two sides
+
+
+def test_svm_that_does_not_converge_is_an_error(spark):
+    rnd = np.random.default_rng(4)
+    df = spark.createDataFrame([("a", *map(float, r)) for r in rnd.normal([1.0, 0.5], [2.0, 2.0], (300, 2))],
+                               "key STRING, p DOUBLE, q DOUBLE")
+    with pytest.raises(RuntimeError, match="duality gap"):
+        fit_one_class_svm(df, ["key"], ["p", "q"], steps=1)
+    assert fit_one_class_svm(df, ["key"], ["p", "q"], steps=1, take_gap=True).first()["gap"] > 1e-3
 
 
 def test_pca_axes_do_not_depend_on_the_offset(spark):

@@ -11,7 +11,9 @@ data from the origin, so centred data have no solution but w = 0. Score = rho -
 = unusual); about a ``nu`` share of the training rows scores above 0.
 
 Keys of up to ``GROUP_ROWS`` rows are fitted each in one task; larger ones by the same
-steps as grouped aggregates over all tasks, with the parameter table checkpointed.
+steps as grouped aggregates over all tasks, with the parameter table checkpointed: the same
+start, share of rows, line search, tolerance and step limit. A fit that is not within the
+tolerance after the last step is an error, unless the caller takes the gap it left.
 """
 
 from __future__ import annotations
@@ -27,9 +29,9 @@ from pyspark.sql import functions as F
 from tidewatch.operators.position import BROADCAST_ROWS
 
 GROUP_ROWS = 500_000
-STEPS = 2_000           # no fit needed as many so far; the gap that is left is returned
+STEPS = 2_000           # no fit needed as many so far
 TOLERANCE = 1e-3
-SPREAD_STEPS = 60       # steps of a key that is fitted over all tasks
+RANKS = 1_000_000       # a spread key's quantile is off by at most a row in so many
 
 
 def worst_mean(x: np.ndarray, w: np.ndarray, share: float) -> tuple[np.ndarray, float]:
@@ -90,11 +92,22 @@ def _fit_spread(train: DataFrame, keys: list[str], xs: Sequence[str], nu: float,
     def joined(p):
         return train.join(F.broadcast(p), keys) if keys else train.join(F.broadcast(p))  # one row per large key
 
-    for _ in range(min(steps, SPREAD_STEPS)):
-        rho = joined(params).groupBy(*keys).agg(F.percentile_approx(dot, nu, 100_000).alias("rho"))
+    def quantile(p):
+        return joined(p).groupBy(*keys).agg(F.percentile_approx(dot, nu, RANKS).alias("rho"), F.count(F.lit(1)).alias("_n"))
+
+    for _ in range(steps):
+        rho = quantile(params)
         with_rho = (params.join(rho, keys) if keys else params.join(F.broadcast(rho)))
-        v = (joined(with_rho).where(dot <= F.col("rho")).groupBy(*keys)
-             .agg(*[F.avg(col[i] / F.col(f"s_{i}")).alias(f"v_{i}") for i in range(d)]))
+        # the nu share of rows with the smallest w.x: those below rho whole, those at rho in part
+        below, at = dot < F.col("rho"), dot == F.col("rho")
+        sums = joined(with_rho).where(dot <= F.col("rho")).groupBy(*keys).agg(
+            F.count_if(below).alias("_below"), F.count_if(at).alias("_at"), F.max("_n").alias("_rows"),
+            *[F.sum(F.when(below, col[i] / F.col(f"s_{i}")).otherwise(0.0)).alias(f"b_{i}") for i in range(d)],
+            *[F.sum(F.when(at, col[i] / F.col(f"s_{i}")).otherwise(0.0)).alias(f"a_{i}") for i in range(d)])
+        share = F.least(F.greatest(F.col("_rows") * nu, F.lit(1.0)), F.col("_rows").cast("double"))
+        part = F.coalesce(F.least(F.greatest(F.try_divide(share - F.col("_below"), F.col("_at")), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+        taken = F.col("_below") + part * F.col("_at")
+        v = sums.select(*keys, *[((F.col(f"b_{i}") + part * F.col(f"a_{i}")) / taken).alias(f"v_{i}") for i in range(d)])
         both = (with_rho.join(v, keys) if keys else with_rho.join(F.broadcast(v)))
         norm = sum(F.col(f"w_{i}") * F.col(f"w_{i}") for i in range(d))
         down = sum(F.col(f"w_{i}") * (F.col(f"w_{i}") - F.col(f"v_{i}")) for i in range(d))
@@ -106,17 +119,26 @@ def _fit_spread(train: DataFrame, keys: list[str], xs: Sequence[str], nu: float,
                                .alias(f"w_{i}") for i in range(d)], "gap").checkpoint(eager=True)
         if params.where(F.col("gap") > tol).limit(1).count() == 0:
             break
-    rho = joined(params).groupBy(*keys).agg(F.percentile_approx(dot, nu, 100_000).alias("rho")).checkpoint(eager=True)
+    rho = quantile(params).drop("_n").checkpoint(eager=True)
     train.unpersist()
     out = params.join(rho, keys) if keys else params.join(F.broadcast(rho))
     return out.select(*keys, *[(F.col(f"w_{i}") / F.col(f"s_{i}")).alias(f"w_{i}") for i in range(d)], "rho", "gap")
 
 
 def fit_one_class_svm(train: DataFrame, keys: Sequence[str], xs: Sequence[str], nu: float = 0.1,
-                      steps: int = STEPS, tol: float = TOLERANCE) -> DataFrame:
+                      steps: int = STEPS, tol: float = TOLERANCE, take_gap: bool = False) -> DataFrame:
     """(keys, w_<i>, rho, gap): one linear model per key in the units of ``xs``; ``gap`` is
-    the relative duality gap that is left (at most ``tol`` where it converged). Rows with a
-    NULL feature are not fitted."""
+    the relative duality gap that is left. A gap above ``tol`` after ``steps`` steps raises,
+    unless ``take_gap``: then it is the caller's to judge. Rows with a NULL feature are not
+    fitted."""
+    fitted = _fit(train, keys, xs, nu, steps, tol).checkpoint(eager=True)  # one row per key
+    worst = fitted.agg(F.max("gap")).first()[0]
+    if not take_gap and worst is not None and worst > tol:
+        raise RuntimeError(f"a one-class SVM has a relative duality gap of {worst:.3g} after {steps} steps (tolerance {tol:g})")
+    return fitted
+
+
+def _fit(train: DataFrame, keys: Sequence[str], xs: Sequence[str], nu: float, steps: int, tol: float) -> DataFrame:
     keys = list(keys)
     whole = train.select(*keys, *[F.col(f"`{c}`").cast("double").alias(c) for c in xs]).dropna(subset=list(xs))
     if not keys:
