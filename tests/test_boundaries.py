@@ -66,7 +66,7 @@ def test_window_stats_by_panes_equal_expanded_rows(spark):
              rnd.choice([None, 1, 5])) for _ in range(400)] + [("c", 1_700_000_000, None, None), ("a", None, 1.0, 1)]
     df = spark.createDataFrame(rows, "g STRING, s BIGINT, v DOUBLE, k INT").select(
         "g", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "v", "k")
-    for size, slide in (("60 minutes", "1 minute"), ("10 minutes", "5 minutes")):
+    for size, slide in (("10 minutes", "5 minutes"), ("20 minutes", "4 minutes"), ("60 minutes", "1 minute")):
         fast = stats.window_stats(df, "ts", ["v", "k"], ["g"], size, slide)
         plain = df.groupBy(F.window("ts", size, slide).alias("window"), "g").agg(*stats.stat_columns(["v", "k"], size))
         plain = plain.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),

@@ -11,6 +11,9 @@ _UNIT_SECONDS = {"second": 1, "seconds": 1, "minute": 60, "minutes": 60, "hour":
                  "day": 86400, "days": 86400}
 
 
+MOST_COPIES = 4  # copies of a row in overlapping windows, beyond which panes are cheaper
+
+
 def duration_seconds(text: str) -> int:
     """'10 minutes' -> 600."""
     num, unit = text.split()
@@ -41,14 +44,15 @@ def window_stats(df: DataFrame, time_col: str, cols: Sequence[str], by: Sequence
                  flatten: bool = True) -> DataFrame:
     """A1: ``groupBy(window(time, size, slide), *by).agg(stats)``.
 
-    Where ``slide`` divides ``size``, a batch is first reduced to panes (one partial state per
-    slide and group), and only the panes are copied into the windows that hold them: rows are
-    never multiplied. Otherwise, and in streams (a second aggregate would need append mode),
-    Catalyst expands each row into size/slide copies before the partial aggregate. Rows with
-    a NULL time fall in no window.
+    Catalyst expands each row into size/slide copies before the partial aggregate, so the
+    shuffle carries one partial row per (window, group, task). Where that is more than
+    ``MOST_COPIES`` copies and ``slide`` divides ``size``, a batch is first reduced to panes (one
+    state per slide and group) and only the panes are copied into their windows: a second,
+    small shuffle instead of multiplied rows, with the same result. Streams always expand (a
+    second aggregate would need append mode). Rows with a NULL time fall in no window.
     """
     long, short = duration_seconds(size), duration_seconds(slide)
-    if not df.isStreaming and long > short and long % short == 0:
+    if not df.isStreaming and long > MOST_COPIES * short and long % short == 0:
         g = _window_stats_by_panes(df, time_col, cols, by, size, slide)
     else:
         g = df.groupBy(F.window(F.col(time_col), size, slide).alias("window"), *by).agg(*stat_columns(cols, size))
