@@ -165,6 +165,7 @@ def test_substring_dedup_equals_brute_force(spark, monkeypatch, frequent):
     monkeypatch.setattr(substrings, "FREQUENT", frequent)  # 2: every shared anchor is split up
     monkeypatch.setattr(substrings, "CHUNK_BYTES", 2_000)
     monkeypatch.setattr(substrings, "SHARD_BYTES", 5_000)
+    monkeypatch.setattr(substrings, "BUCKET_GRAMS", 50)
     rows = overlapping_texts()
     out = substrings.dedup(spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3)).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == slow_dedup(rows)
@@ -186,6 +187,17 @@ def test_anchors_do_not_depend_on_slices(monkeypatch):
     assert set(whole) == {s for a, b in zip(starts.tolist(), ends.tolist()) for s in range(a, b - 49)}
 
 
+def test_buckets_of_anchors_are_even_ranges():
+    data = np.random.default_rng(3).integers(0, 256, 300_000).astype(np.uint8)
+    grams = np.unique(substrings.anchors(data, np.array([len(data)]))[2] >> np.uint64(64 - substrings.HASH_BITS))
+    for buckets in (1, 2, 7, 40):
+        bucket = substrings.bucket_of(grams, substrings.bucket_bounds(buckets, substrings.LENGTH))
+        sizes = np.bincount(bucket, minlength=buckets)
+        assert (np.diff(bucket) >= 0).all() and len(sizes) == buckets
+        assert sizes.max() < 1.3 * len(grams) / buckets
+    assert substrings.bucket_bounds(3, substrings.GRAM)[0] == 0
+
+
 def test_substring_edges(spark):
     rows = substrings.dedup(edges(spark)).collect()
     assert len(rows) == len(EDGES)
