@@ -296,3 +296,54 @@ def test_embeddings_of_one_id_with_several_vectors(spark):
     want = [(1, 2, 1, True), (1, 1, 1, True), (1, 0, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 1, 1, False),
             (None, 0, None, True)]
     assert got == sorted(want, key=repr)
+
+
+def test_compared_pairs_equal_the_pair_by_pair_form():
+    rnd = random.Random(4)
+
+    def words(n):
+        return [rnd.randint(0, 10**9) for _ in range(n)]
+
+    tokens = []
+    for _ in range(40):
+        base = words(rnd.randint(46, 93))
+        tokens.append(base)
+        for _ in range(4):
+            t = list(base)
+            for _ in range(rnd.randint(0, 12)):
+                t[rnd.randrange(len(t))] = rnd.randint(0, 10**9)
+            if rnd.random() < 0.4:
+                at = rnd.randrange(len(t))
+                t[at:at] = words(rnd.randint(1, 20))
+            if rnd.random() < 0.5:
+                t[3:6] = t[10:13]  # repeated shingles
+            if rnd.random() < 0.5:
+                k = rnd.randrange(40)
+                t = words(k) + t
+            tokens.append(t[:93])
+    tokens = [np.array(t, dtype=np.uint32) for t in tokens]
+    x, y = np.array([(5 * g + i, 5 * g + j) for g in range(40) for i in range(5) for j in range(i + 1, 5)]).T
+    matched = 46 * 8 / 9 - 1e-9
+    got = sorted(zip(*(c.tolist() for c in passages.compared(tokens, x, y, 46, 0.8, matched))))
+    want = []
+    for a, b in zip(x.tolist(), y.tolist()):
+        u, v = tokens[a], tokens[b]
+        p, q = np.flatnonzero(np.isin(u, v)), np.flatnonzero(np.isin(v, u))
+        if min(len(p), len(q)) < matched:
+            continue
+        common, both = len(np.intersect1d(u, v)), len(np.union1d(u, v))
+        spans = [((p[0], p[-1]), (q[0], q[-1]))] if common >= 0.8 * both else passages.verified_passages(u, v, 46, 0.8)
+        want += [(a, b, *map(int, one), *map(int, two)) for one, two in spans]
+    assert len(want) > 100 and got == sorted(want)
+
+
+def test_rarest_shared_min_hash_is_indexed_on_both_sides():
+    rnd = np.random.default_rng(2)
+    keys = rnd.integers(0, 40, (6, 400)).astype(np.uint64) + 100 * np.arange(6, dtype=np.uint64)[:, None]
+    counts = (passages.mixed(keys) % np.uint64(50)).astype(np.int64)
+    kept = passages.rare_first(keys, counts, 3)
+    assert kept.sum(axis=0).min() >= 4
+    for a in range(400):
+        same = keys == keys[:, [a]]
+        both = same & kept & kept[:, [a]]
+        assert both.any(axis=0)[same.sum(axis=0) >= 3].all()
