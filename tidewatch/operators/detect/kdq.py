@@ -17,12 +17,15 @@ Everything is expressed on dyadic cell codes, so no tree object exists on the dr
     plus a range test inside the bucket.
 Only non-empty test leaves enter the divergence, so its cost follows the data, not
 blocks x leaves. The bootstrap runs per key on that key's leaf table (bounded by the
-tree size) with numpy inside ``applyInPandas``.
+tree size) with numpy inside ``applyInPandas``. Where a tree serves only rows that a task
+holds anyway (the walk that replaces references, a chunk of the sliding window), the same
+cells and leaves are found there with numpy (``ReferenceTree``).
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Sequence
 
 import numpy as np
@@ -30,6 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.operators.detect.chain import walk_blocks
 from tidewatch.operators.history import full_blocks
 from tidewatch.operators.position import BROADCAST_ROWS
 
@@ -79,6 +83,14 @@ def _kl_rows(ref: np.ndarray, test: np.ndarray) -> np.ndarray:
     return np.sum(pr * np.log(pr / pt), axis=-1)
 
 
+def _threshold(counts: np.ndarray, window: int, boot: int, alpha: float, seed: int) -> float:
+    p = counts / counts.sum()
+    rng = np.random.default_rng(seed)
+    a = rng.multinomial(window, p, size=boot).astype(float)
+    b = rng.multinomial(window, p, size=boot).astype(float)
+    return float(np.quantile(_kl_rows(a, b), 1 - alpha))
+
+
 def bootstrap_thresholds(leaf_ref: DataFrame, keys: Sequence[str], window: int, boot: int, alpha: float,
                          seed: int) -> DataFrame:
     """(keys, threshold): (1-alpha) quantile of KL between two multinomial resamples of
@@ -88,19 +100,56 @@ def bootstrap_thresholds(leaf_ref: DataFrame, keys: Sequence[str], window: int,
     schema = ", ".join([f"`{k}` {key_types[k]}" for k in keys] + ["threshold double"])
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = pdf["ref_count"].to_numpy(dtype=float)
-        p = counts / counts.sum()
-        rng = np.random.default_rng(seed)
-        a = rng.multinomial(window, p, size=boot).astype(float)
-        b = rng.multinomial(window, p, size=boot).astype(float)
-        kls = _kl_rows(a, b)
         row = {k: [pdf[k].iloc[0]] for k in keys}
-        row["threshold"] = [float(np.quantile(kls, 1 - alpha))]
+        row["threshold"] = [_threshold(pdf["ref_count"].to_numpy(dtype=float), window, boot, alpha, seed)]
         return pd.DataFrame(row)
 
     return leaf_ref.groupBy(*keys).applyInPandas(fn, schema)
 
 
+class ReferenceTree:
+    """The tree of one reference block (rows x axes) for rows that are at hand in a task: the
+    cells of ``with_cell_code`` and the leaves of ``_reference_tree``, in the order of their codes."""
+
+    def __init__(self, x: np.ndarray, known: np.ndarray, max_count: int, depth: int):
+        self.depth, self.box = depth, []
+        for ax in range(x.shape[1]):
+            v = x[known[:, ax], ax]
+            self.box.append((v.min(), v.max()) if len(v) else (math.nan, math.nan))
+        codes = np.sort(self.codes(x)).tolist()
+        starts, counts, todo = [], [], [(0, 0, 0, len(codes))]
+        while todo:
+            level, cell, a, b = todo.pop()
+            if level < depth and b - a > max_count:
+                mid = bisect_left(codes, (2 * cell + 1) << (depth - level - 1), a, b)
+                todo += [(level + 1, 2 * cell + 1, mid, b), (level + 1, 2 * cell, a, mid)]
+            else:
+                starts.append(cell << (depth - level))
+                counts.append(b - a)
+        self.starts, self.counts = np.array(starts, dtype=np.int64), np.array(counts, dtype=float)
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        dims = x.shape[-1]
+        m, q = splits_per_axis(dims, self.depth), []
+        for ax, (lo, hi) in enumerate(self.box):
+            top = 2 ** m[ax]
+            if hi - lo <= 0:
+                q.append(np.zeros(x.shape[:-1], dtype=np.int64))
+                continue
+            with np.errstate(invalid="ignore", over="ignore"):
+                raw = np.floor((x[..., ax] - lo) / (hi - lo) * float(top))
+            raw = np.where(np.isnan(raw), 0.0, np.clip(raw, 0.0, float(top)))  # NULL and NaN: the first cell
+            q.append(np.minimum(raw.astype(np.int64), top - 1))
+        code = np.zeros(x.shape[:-1], dtype=np.int64)
+        for lev, ax, k in levels(dims, self.depth):
+            code |= ((q[ax] >> (m[ax] - 1 - k)) & 1) << (self.depth - 1 - lev)
+        return code
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        """Number of the leaf of each row."""
+        return np.searchsorted(self.starts, self.codes(x), side="right") - 1
+
+
 def _reference_tree(rel: DataFrame, keys: list[str], xs: Sequence[str], max_count: int, depth: int,
                     few_keys: bool, carry: list[str]):
     """The tree of each key's reference rows (column ``_isref``): (rows, leaves). ``rows`` are the
@@ -199,31 +248,32 @@ def kdq_tree(df: DataFrame, keys: Sequence[str], order: Sequence[str], xs: Seque
     the bootstrap threshold and the drift flag. Only full blocks are compared.
 
     ``reset=True`` replaces the reference by the drifting block after each drift. That
-    decision is sequential within a key (the next tree depends on it), so it runs in
-    rounds, all keys in parallel: each round scores every later block of every
-    still-active key against its current reference and keeps the blocks up to the first
-    drift, which becomes the next reference. Rounds = the most drifts of any key + 1.
+    decision is sequential within a key (the next tree depends on it): each key's blocks
+    are walked once, in chunks of bounded size (``chain.walk_blocks``).
     """
     keys = list(keys)
     depth = max_depth or MAX_LEVELS
-    blk = full_blocks(df.select(*keys, *order, *[c for c in xs if c not in order]), keys, order, window)
-    refs = blk.select(*keys).distinct().withColumn("_ref", F.lit(0).cast("long"))
+    rows = df.select(*keys, *order, *[c for c in xs if c not in order])
     if not reset or not with_threshold:
+        blk = full_blocks(rows, keys, order, window)
+        refs = blk.select(*keys).distinct().withColumn("_ref", F.lit(0).cast("long"))
         return _score_against(blk, refs, keys, xs, window, alpha, boot, max_count, depth, seed, with_threshold)
-    refs = refs.checkpoint(eager=True)
-    parts = []
-    while refs.count() > 0:
-        scored = _score_against(blk, refs, keys, xs, window, alpha, boot, max_count, depth, seed, True)
-        scored = scored.checkpoint(eager=True)
-        first = scored.filter("drift").groupBy(*keys).agg(F.min("block").alias("_first"))
-        kept = (scored.join(first, keys, "left")
-                .filter(F.col("_first").isNull() | (F.col("block") <= F.col("_first"))).drop("_first"))
-        parts.append(kept.checkpoint(eager=True))
-        refs = first.select(*keys, F.col("_first").cast("long").alias("_ref")).checkpoint(eager=True)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    blk = full_blocks(rows, keys, order, window, values=xs)
+
+    def fit(x, known, _):
+        tree = ReferenceTree(x, known, max_count, depth)
+        threshold, n = _threshold(tree.counts, window, boot, alpha, seed), len(tree.counts)
+
+        def score(blocks, _):
+            cell = tree.leaves(blocks) + n * np.arange(len(blocks))[:, None]
+            kl = _kl_rows(tree.counts, np.bincount(cell.ravel(), minlength=n * len(blocks)).reshape(-1, n))
+            return {"kl": kl, "threshold": np.full(len(kl), threshold), "_drift": kl > threshold}
+        return score
+
+    found = walk_blocks(blk, keys, xs, window, fit, "kl double, threshold double")
+    blk.unpersist()
+    return (found.withColumnRenamed("_drift", "drift")
+            .withColumn("state", F.when(F.col("drift"), "drift").otherwise("none")))
 
 
 def kdq_sliding(df: DataFrame, keys: Sequence[str], order: Sequence[str], xs: Sequence[str], window: int = 1000,

@@ -92,11 +92,12 @@ def block_ends(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
 
 
 def full_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
-                block_col: str = "block") -> DataFrame:
+                block_col: str = "block", values: Sequence[str] | None = None) -> DataFrame:
     """W5 restricted to complete blocks of exactly ``n`` records (the trailing partial
     block of each series is left out). Block completeness comes from the per-key row
     count (a partial aggregate, no sort), joined back; the numbered rows are persisted
-    because detectors read them several times."""
+    because detectors read them several times, with ``values`` only the keys, the block and
+    these columns as doubles."""
     from pyspark import StorageLevel
     keys = list(keys)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")) if keys else None
@@ -107,6 +108,8 @@ def full_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int
     else:
         blk = blk.withColumn("_rows", F.lit(df.count()))
     blk = blk.filter(F.col(block_col) < F.floor(F.col("_rows") / n)).drop("_rows", "_bpos")
+    if values is not None:
+        blk = blk.select(*keys, block_col, *[F.col(f"`{c}`").cast("double").alias(c) for c in values])
     return blk.persist(StorageLevel.MEMORY_AND_DISK)
 
 
