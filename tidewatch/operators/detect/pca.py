@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.operators.detect.chain import walk_blocks
 from tidewatch.operators.detect.univariate import page_hinkley_of_values
 from tidewatch.operators.history import full_blocks
 from tidewatch.operators.position import BROADCAST_ROWS
@@ -28,6 +29,20 @@ def _maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _principal_axes(c: np.ndarray, var_kept: float) -> list[list[np.ndarray]]:
+    """The axes that explain ``var_kept`` of the variance, of each covariance matrix of ``c``."""
+    d = c.shape[-1]
+    vals, vecs = np.linalg.eigh(c)
+    vals, vecs = np.clip(vals[:, ::-1], 0, None), vecs[:, :, ::-1]
+    out = []
+    for at in range(len(c)):
+        total = vals[at].sum()
+        k = d if total <= 0 else int(np.searchsorted(np.cumsum(vals[at]) / total, var_kept - 1e-12) + 1)
+        axes = [vecs[at, :, comp] for comp in range(min(k, d))]
+        out.append([v if v[np.argmax(np.abs(v))] >= 0 else -v for v in axes])  # deterministic sign
+    return out
+
+
 def reference_components(ref: DataFrame, keys: Sequence[str], xs: Sequence[str], var_kept: float = 0.99) -> DataFrame:
     """(keys, comp, mean_<i>, w_<i>) principal axes of each key's reference rows."""
     keys = list(keys)
@@ -47,18 +62,11 @@ def reference_components(ref: DataFrame, keys: Sequence[str], xs: Sequence[str],
             for i in range(d):
                 for j in range(i, d):
                     c[:, i, j] = c[:, j, i] = pdf[f"_c{i}_{j}"]
-            vals, vecs = np.linalg.eigh(c)
-            vals, vecs = np.clip(vals[:, ::-1], 0, None), vecs[:, :, ::-1]
             out = []
             means = pdf[[f"_m{i}" for i in range(d)]].to_numpy()
-            for at in range(len(pdf)):
+            for at, axes in enumerate(_principal_axes(c, var_kept)):
                 key = [pdf[k].iloc[at] for k in keys]
-                total = vals[at].sum()
-                k = d if total <= 0 else int(np.searchsorted(np.cumsum(vals[at]) / total, var_kept - 1e-12) + 1)
-                for comp in range(min(k, d)):
-                    v = vecs[at, :, comp]
-                    v = v if v[np.argmax(np.abs(v))] >= 0 else -v  # deterministic sign
-                    out.append([*key, comp, *means[at].tolist(), *v.tolist()])
+                out += [[*key, comp, *means[at].tolist(), *v.tolist()] for comp, v in enumerate(axes)]
             yield pd.DataFrame(out, columns=cols)
 
     return mom.mapInPandas(eig, schema)
@@ -101,6 +109,47 @@ def _pca_round(blk: DataFrame, refs: DataFrame, keys: list[str], xs: Sequence[st
     return ph.select(*keys, "block", F.col("_ref").alias("ref_block"), "divergence", "ph_stat", "state")
 
 
+class ReferenceDensity:
+    """Components and histograms of one reference block (rows x axes), for blocks that are at
+    hand in a task: the divergence of ``_pca_round``."""
+
+    def __init__(self, x: np.ndarray, known: np.ndarray, bins: int, var_kept: float):
+        d = x.shape[1]
+        self.bins, self.z = bins, len(x) + bins / 2.0
+        # NULLs take no part in a mean or covariance, as in the column form
+        self.means = [x[known[:, i], i].mean() if known[:, i].any() else np.nan for i in range(d)]
+        c = np.zeros((1, d, d))
+        for i in range(d):
+            for j in range(i, d):
+                both = known[:, i] & known[:, j]
+                a, b = x[both, i], x[both, j]
+                c[0, i, j] = c[0, j, i] = ((a - a.mean()) * (b - b.mean())).mean() if len(a) else np.nan
+        self.axes = _principal_axes(c, var_kept)[0]
+        self.ranges, self.prob = [], []
+        for axis in self.axes:
+            z, seen = self._project(x, axis), known.all(axis=1)
+            self.ranges.append((z[seen].min(), z[seen].max()) if seen.any() else (np.nan, np.nan))
+            self.prob.append((np.bincount(self._bin(z, len(self.ranges) - 1), minlength=bins) + 0.5) / self.z)
+
+    def _project(self, x: np.ndarray, axis: np.ndarray) -> np.ndarray:
+        return sum((x[..., i] - m) * axis[i] for i, m in enumerate(self.means))
+
+    def _bin(self, z: np.ndarray, comp: int) -> np.ndarray:
+        lo, hi = self.ranges[comp]
+        if hi - lo <= 0:
+            return np.zeros(z.shape, dtype=np.int64)
+        raw = np.floor((z - lo) / (hi - lo) * self.bins)
+        return np.where(np.isnan(raw), 0, np.clip(raw, 0, self.bins - 1)).astype(np.int64)  # NULL, NaN: the first bin
+
+    def divergence(self, blocks: np.ndarray) -> np.ndarray:
+        n, kl = len(blocks), []
+        for comp, (axis, pr) in enumerate(zip(self.axes, self.prob)):
+            cell = self._bin(self._project(blocks, axis), comp) + self.bins * np.arange(n)[:, None]
+            pt = (np.bincount(cell.ravel(), minlength=n * self.bins).reshape(n, -1) + 0.5) / self.z
+            kl.append((pr * np.log(pr / pt)).sum(axis=1))
+        return np.max(kl, axis=0)
+
+
 def pca_cd(df: DataFrame, keys: Sequence[str], order: Sequence[str], xs: Sequence[str], window: int = 50,
            delta: float = 0.1, lam: float = 1.0, warn: float = 0.5, bins: int = 10,
            var_kept: float = 0.99, reset: bool = False) -> DataFrame:
@@ -108,24 +157,29 @@ def pca_cd(df: DataFrame, keys: Sequence[str], order: Sequence[str], xs: Sequenc
     Page-Hinkley statistic and state. Only full blocks are scored.
 
     ``reset=True``: after a 'drift' state the drifting block becomes the reference and
-    Page-Hinkley restarts; sequential within a key, so it runs in rounds that are
-    parallel across keys (rounds = most drifts of any key + 1).
+    Page-Hinkley restarts; sequential within a key, so each key's blocks are walked once,
+    in chunks of bounded size (``chain.walk_blocks``).
     """
     keys = list(keys)
-    blk = full_blocks(df.select(*keys, *order, *[c for c in xs if c not in order]), keys, order, window)
-    refs = blk.select(*keys).distinct().withColumn("_ref", F.lit(0).cast("long"))
+    blk = full_blocks(df.select(*keys, *order, *[c for c in xs if c not in order]), keys, order, window, values=xs)
     if not reset:
+        refs = blk.select(*keys).distinct().withColumn("_ref", F.lit(0).cast("long"))
         return _pca_round(blk, refs, keys, xs, window, delta, lam, warn, bins, var_kept)
-    refs = refs.checkpoint(eager=True)
-    parts = []
-    while refs.count() > 0:
-        scored = _pca_round(blk, refs, keys, xs, window, delta, lam, warn, bins, var_kept).checkpoint(eager=True)
-        first = scored.filter(F.col("state") == "drift").groupBy(*keys).agg(F.min("block").alias("_first"))
-        kept = (scored.join(first, keys, "left")
-                .filter(F.col("_first").isNull() | (F.col("block") <= F.col("_first"))).drop("_first"))
-        parts.append(kept.checkpoint(eager=True))
-        refs = first.select(*keys, F.col("_first").cast("long").alias("_ref")).checkpoint(eager=True)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+    def fit(x, known, held):
+        density, held = ReferenceDensity(x, known, bins, var_kept), dict(held or {"sum": 0.0, "n": 0.0, "m": 0.0, "low": np.inf})
+
+        def score(blocks, _):  # Page-Hinkley goes on from the blocks before
+            kl = density.divergence(blocks)
+            sums, n = held["sum"] + np.cumsum(kl), held["n"] + np.arange(1.0, len(kl) + 1)
+            m = held["m"] + np.cumsum(kl - sums / n - delta)
+            low = np.minimum(np.minimum.accumulate(m), held["low"])
+            held.update(sum=sums[-1], n=n[-1], m=m[-1], low=low[-1])
+            return {"divergence": kl, "ph_stat": m - low, "sum": sums, "n": n, "m": m, "low": low, "_drift": m - low > lam}
+        return score
+
+    found = walk_blocks(blk, keys, xs, window, fit, "divergence double, ph_stat double, sum double, n double, m double, low double",
+                        ["sum", "n", "m", "low"])
+    blk.unpersist()
+    state = F.when(F.col("_drift"), "drift").when(F.col("ph_stat") > warn * lam, "warning").otherwise("none")
+    return found.select(*keys, "block", "ref_block", "divergence", "ph_stat", state.alias("state"))
