@@ -222,3 +222,22 @@ def test_pca_reset_walks_long_series_in_rounds(spark, monkeypatch):
     got = [r for r in whole if r.key == "a" and r.ref_block == ref]
     assert got and all(abs(plain[r.block].divergence - r.divergence) < 1e-9
                        and abs(plain[r.block].ph_stat - r.ph_stat) < 1e-9 for r in got)
+
+
+def test_sliding_kdq_of_chunks_is_that_of_whole_series(spark, monkeypatch):
+    from tidewatch.operators.detect import kdq
+    df = _stepped(spark)
+    tracker = spark.sparkContext.statusTracker()
+
+    def run(**kw):
+        return sorted(kdq.kdq_sliding(df, ["key"], ["t"], ["x", "y"], window=20, max_count=5, boot=100, **kw).collect())
+    spark.sparkContext.setJobGroup("sliding", "sliding")
+    whole, plain = run(), run(with_threshold=False)
+    assert len(tracker.getJobIdsForGroup("sliding")) < 40  # twenty jobs a run; the joins of leaves took more
+    monkeypatch.setattr(kdq, "SLIDING_ROWS", 90)
+    chunks = run()
+    assert [(r.key, r.pos) for r in whole] == [(k, p) for k, n in (("a", 700), ("b", 165)) for p in range(40, n + 1)]
+    assert [(r.key, r.pos, r.t, r.exceeds, r.run, r.state) for r in chunks] == [
+        (r.key, r.pos, r.t, r.exceeds, r.run, r.state) for r in whole]
+    assert max(r.run for r in whole) > 120 and all(abs(r.kl - s.kl) < 1e-9 for r, s in zip(chunks, whole))
+    assert [(r.key, r.pos, r.kl) for r in plain] == [(r.key, r.pos, r.kl) for r in whole]

@@ -38,6 +38,7 @@ from tidewatch.operators.history import full_blocks
 from tidewatch.operators.position import BROADCAST_ROWS
 
 COARSE_LEVELS = 8
+SLIDING_ROWS = 100_000  # of a series in one grouped call
 MAX_LEVELS = 60  # of a cell code in one 64-bit number
 
 
@@ -288,51 +289,93 @@ def kdq_sliding(df: DataFrame, keys: Sequence[str], order: Sequence[str], xs: Se
 
     A step of the window changes the counts of two leaves only, so the divergence is a running
     sum of differences: a row adds p (ln(c + 1.5) - ln(c + 0.5)) when it enters a leaf that
-    holds c rows of the window, and takes the like away ``window`` rows later. The counts c are
-    windows over (key, leaf) cut into position blocks, the sum and the runs are blocked scans:
-    no task gets a whole series.
+    holds c rows of the window, and takes the like away ``window`` rows later. Series are cut
+    into chunks of ``SLIDING_ROWS`` rows; a chunk also gets the window before it and the
+    reference rows, so each is scored in one grouped call and no task gets a whole series.
     """
+    import pyarrow as pa
     from pyspark.sql import Window
 
-    from tidewatch.operators.history import running
     from tidewatch.operators.position import with_position
 
     keys, depth = list(keys), max_depth or MAX_LEVELS
+    extra = [c for c in order if c not in keys]
     cols = list(dict.fromkeys([*keys, *order, *xs]))
-    long_enough = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= 2 * window)
-    few = long_enough.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    sized = long_enough.select(*keys)
-    pos = with_position(df.select(*cols).join(F.broadcast(sized) if few else sized, keys), keys, order, "_pos").checkpoint(eager=True)
-    rel = pos.select(*keys, *xs, "_pos", (F.col("_pos") <= window).alias("_isref"))
-    assigned, pr = _reference_tree(rel, keys, xs, max_count, depth, few, ["_pos"])
-    leaf = [*keys, "_l", "_p"]
-    rows = assigned.join(pr.select(*leaf, "_pr"), leaf)
-
-    # how many rows of the leaf are in the window before this one enters, and before it leaves
-    block = 4 * window
-    home = F.expr(f"_pos div {block}")
-    copies = F.array_compact(F.array(home, F.when(F.col("_pos") % block >= block - window, home + 1),
-                                     F.when(F.col("_pos") % block < window, home - 1)))
-    by_leaf = Window.partitionBy(*leaf, "_blk").orderBy("_pos")
-    counted = (rows.withColumn("_home", home).withColumn("_blk", F.explode(copies))
-               .withColumn("_before", F.count(F.lit(1)).over(by_leaf.rangeBetween(-(window - 1), -1)))
-               .withColumn("_after", F.count(F.lit(1)).over(by_leaf.rangeBetween(0, window - 1)))
-               .filter(F.col("_blk") == F.col("_home")))
-    enters = F.col("_pr") * (F.log(F.col("_before") + 1.5) - F.log(F.col("_before") + 0.5))
-    leaves = F.col("_pr") * (F.log(F.col("_after") - 0.5) - F.log(F.col("_after") + 0.5))
-    steps = (counted.select(*keys, F.explode(F.array(
-        F.struct(F.col("_pos").alias("_at"), enters.alias("_d"), F.lit(1).alias("_row")),
-        F.struct((F.col("_pos") + window).alias("_at"), leaves.alias("_d"), F.lit(0).alias("_row")))).alias("_e"))
-        .select(*keys, "_e.*").groupBy(*keys, "_at").agg(F.sum("_d").alias("_d"), F.max("_row").alias("_row")))
-    summed = running(steps, keys, ["_at"], {"_s": ("sum", F.col("_d"))})
-    out = (summed.filter((F.col("_row") == 1) & (F.col("_at") >= 2 * window)).join(_reference_terms(pr, keys), keys)
-           .select(*keys, F.col("_at").alias("pos"), (
-               F.col("_href") - F.lit(math.log(0.5)) - F.col("_s") + F.log(F.lit(window) + F.col("_nleaves") / 2.0)).alias("kl")))
+    types = dict(df.dtypes)
+    long_enough = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= 2 * window)
+                   .checkpoint(eager=True))
+    sizes = long_enough.agg(F.count(F.lit(1)), F.max("_n")).first()
+    few, size = sizes[0] <= BROADCAST_ROWS, max(SLIDING_ROWS, 4 * window)
+    split = (sizes[1] or 0) > size
+    rows = df.select(*cols).join(F.broadcast(long_enough) if few else long_enough, keys)
+    rows = with_position(rows, keys, order, "_pos").select(
+        *keys, *extra, "_pos", "_n", *[F.col(f"`{c}`").cast("double").alias(f"_x{i}") for i, c in enumerate(xs)])
+    home = F.expr(f"(_pos - 1) div {size}")
+    if split:
+        copies = F.array(home, F.when((F.col("_pos") % size > size - window) | (F.col("_pos") % size == 0), home + 1))
+        copies = F.when(F.col("_pos") <= window, F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {size}"))).otherwise(copies)
+        rows = rows.withColumn("_blk", F.explode(F.array_compact(copies)))
+    else:
+        rows = rows.withColumn("_blk", home)
+    fields = [("_blk", "bigint", pa.int64()), ("pos", "bigint", pa.int64()), ("kl", "double", pa.float64())]
     if with_threshold:
-        thr = bootstrap_thresholds(pr.select(*leaf, "ref_count"), keys, window, boot, alpha, seed)
-        out = out.join(thr, keys).withColumn("exceeds", F.col("kl") > F.col("threshold")).checkpoint(eager=True)
-        calm = F.when(F.col("exceeds"), F.lit(2 * window - 1)).otherwise(F.col("pos"))
-        out = (running(out, keys, ["pos"], {"_calm": ("max", calm)}).withColumn("run", F.col("pos") - F.col("_calm")).drop("_calm")
-               .withColumn("state", F.when(F.col("run") > persistence * window, "drift").otherwise("none")))
-    extra = [c for c in order if c not in keys]
-    return out.join(pos.select(*keys, *extra, F.col("_pos").alias("pos")), [*keys, "pos"])
+        fields += [("threshold", "double", pa.float64()), ("exceeds", "boolean", pa.bool_()), ("_calm", "bigint", pa.int64())]
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + [f"`{n}` {t}" for n, t, _ in fields]
+                       + [f"`{c}` {types[c]}" for c in extra])
+
+    def fn(key: tuple, part: pa.Table) -> pa.Table:
+        pos = part.column("_pos").to_numpy()
+        order_of = np.argsort(pos)
+        pos = pos[order_of]
+        x = np.stack([part.column(f"_x{i}").to_numpy()[order_of] for i in range(len(xs))], axis=1)
+        known = np.stack([part.column(f"_x{i}").is_valid().to_numpy()[order_of] for i in range(len(xs))], axis=1)
+        tree = ReferenceTree(x[:window], known[:window], max_count, depth)
+        pr = (tree.counts + 0.5) / (window + len(tree.counts) / 2.0)
+        blk = part.column("_blk")[0].as_py()
+        tested = pos[window:]
+        kl = _sliding_divergence(tree.leaves(x[window:]), tested, pr, window)
+        mine = np.nonzero((tested >= 2 * window) & ((tested - 1) // size == blk))[0]
+        at, kl = tested[mine], kl[mine]
+        found = [np.full(len(at), blk), at, kl]
+        if with_threshold:
+            threshold = _threshold(tree.counts, window, boot, alpha, seed)
+            calm = np.maximum.accumulate(np.where(kl > threshold, 2 * window - 1, at)) if len(at) else at
+            found += [np.full(len(at), threshold), kl > threshold, calm]
+        columns = [pa.array([k.as_py()] * len(at), k.type) for k in key]
+        columns += [pa.array(v, t) for v, (_, _, t) in zip(found, fields)]
+        own = part.select(extra).take(pa.array(order_of[window + mine]))
+        return pa.table(columns + own.columns, [*keys, *[n for n, _, _ in fields], *extra])
+
+    out = rows.groupBy(*keys, "_blk").applyInArrow(lambda key, part: fn(key[:len(keys)], part), schema)
+    if not with_threshold:
+        return out.select(*keys, "pos", "kl", *extra)
+    if split:  # the last calm record of the chunks before
+        out = out.checkpoint(eager=True)
+        before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+        ends = out.groupBy(*keys, "_blk").agg(F.max("_calm").alias("_end"))
+        ends = ends.select(*keys, "_blk", F.max("_end").over(before).alias("_end"))
+        small = ends.count() <= BROADCAST_ROWS
+        out = out.join(F.broadcast(ends) if small else ends, [*keys, "_blk"]).withColumn("_calm", F.greatest("_calm", "_end"))
+    out = out.withColumn("run", F.col("pos") - F.col("_calm")).withColumn(
+        "state", F.when(F.col("run") > persistence * window, "drift").otherwise("none"))
+    return out.select(*keys, "pos", "kl", "threshold", "exceeds", "run", "state", *extra)
+
+
+def _sliding_divergence(leaf: np.ndarray, pos: np.ndarray, pr: np.ndarray, window: int) -> np.ndarray:
+    """KL of the last ``window`` rows at each of the rows at consecutive positions ``pos``, right
+    from the ``window``-th on."""
+    if not len(pos):
+        return np.zeros(0)
+    stride = int(pos[-1] - pos[0]) + 2 * window + 2
+    at = leaf * stride + (pos - pos[0]) + window  # places of a leaf stay apart by more than a window
+    order = np.argsort(at)
+    place = np.empty(len(at), dtype=np.int64)
+    place[order] = np.arange(len(at))
+    at_sorted = at[order]
+    # how many rows of the leaf are in the window before this one enters, and before it leaves
+    before = place - np.searchsorted(at_sorted, at - (window - 1))
+    after = np.searchsorted(at_sorted, at + window) - place
+    p = pr[leaf]
+    steps = p * (np.log(before + 1.5) - np.log(before + 0.5))
+    steps[window:] += (p * (np.log(after - 0.5) - np.log(after + 0.5)))[:-window]
+    return (pr * np.log(pr)).sum() - math.log(0.5) - np.cumsum(steps) + math.log(window + len(pr) / 2.0)
