@@ -66,19 +66,20 @@ class EventOrder(StatefulProcessor):
             order = np.lexsort((ids, t))
             t, ids, x = t[order], ids[order], x[order]
             n = int(np.searchsorted(t, passed, side="right"))
+            if n == 0:  # another timer of this batch has run them; the rest has its own
+                return
             if n < len(t):
                 self.waiting.put([(t[n:].tolist(), ids[n:].tolist(), x[n:].ravel().tolist())])
                 self.handle.registerTimer(int(t[n]) // 1000 + 1)
             else:
                 self.waiting.clear()
-            if n:
-                yield from self._run(key, t[:n], ids[:n], x[:n])
+            yield from self._run(key, t[:n], ids[:n], x[:n])
         elif self.idle_ms is not None and self.last.exists() and self.last.get()[0] + self.idle_ms * 1000 <= passed:
             self.kept.clear()
             self.last.clear()
 
     def _run(self, key, t, ids, x):
-        state = self.kept.get() if self.kept.exists() else None
+        state = self.kept.get()  # None at first
         starts = [0]
         if self.idle_ms is not None:  # a row that comes so long after the one before starts a new series
             idle = self.idle_ms * 1000
@@ -92,7 +93,8 @@ class EventOrder(StatefulProcessor):
                 yield pd.DataFrame({**{f"key{c}": [v] * len(out_ids) for c, v in enumerate(key)}, "id": out_ids,
                                     **dict(zip(self.out, columns))})
         self.kept.update(state)
-        self.last.update((int(t[-1]),))
+        if self.idle_ms is not None:
+            self.last.update((int(t[-1]),))
 
     def close(self) -> None:
         pass
