@@ -120,6 +120,15 @@ def await_all(queries: Sequence[StreamingQuery], timeout_s: int | None = None) -
             raise TimeoutError(f"stream {q.name or q.id} has not ended after {timeout_s} s")
 
 
+# A micro-batch is one file: small row groups let many tasks share it.
+ROW_GROUP_BYTES = 8 << 20
+
+
+def _one_file(rows: DataFrame, path: str) -> None:
+    """Add ``rows`` to a folder as one Parquet file; they are read and filtered by all tasks."""
+    rows.repartition(1).write.mode("append").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+
+
 def staged_copy(spark: SparkSession, src: DataFrame, name: str, time_col: str, n_files: int) -> str:
     """Write ``src`` to a new folder as ``n_files`` Parquet files in time order, one job per
     time range so file ages follow event time (a file stream reads oldest first). Rows
@@ -136,7 +145,7 @@ def staged_copy(spark: SparkSession, src: DataFrame, name: str, time_col: str, n
             cond = cond & (t <= F.lit(a + step))
         if i == 0:
             cond = cond | t.isNull()
-        src.filter(cond).coalesce(1).write.mode("append").parquet(path)
+        _one_file(src.filter(cond), path)
     return path
 
 
@@ -152,7 +161,7 @@ def displaced_copy(spark: SparkSession, src: DataFrame, name: str, time_col: str
     arrives = F.floor((t - F.lit(lo or 0)) / F.lit(step)) + F.pmod(F.xxhash64(id_col), F.lit(2))
     placed = src.withColumn("__file", F.coalesce(arrives, F.lit(0)))
     for i in range(n_files + 1):
-        placed.where(F.col("__file") == i).drop("__file").coalesce(1).write.mode("append").parquet(path)
+        _one_file(placed.where(F.col("__file") == i).drop("__file"), path)
     types = dict(src.dtypes)
     end = F.timestamp_micros(F.lit((hi or 0) + step + 10_000_000)).cast(types[time_col])
     spark.range(1).select(*[(end if c == time_col else F.lit(None).cast(types[c])).alias(c) for c in src.columns]).coalesce(
