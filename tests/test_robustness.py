@@ -218,3 +218,65 @@ def test_keyed_ordered_split(spark):
     n = {(r["key"], r["split"]): r["count"] for r in
          ml.ordered_split(df, ["id"], train_fraction=0.5, keys=["key"]).groupBy("key", "split").count().collect()}
     assert n == {("hot", "train"): 45, ("hot", "test"): 45, ("cold", "train"): 5, ("cold", "test"): 5}
+
+
+def test_staged_files_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+    monkeypatch.setattr(SIO, "ROW_GROUP_BYTES", 20_000)
+    src = spark.range(40_000).selectExpr("id", "timestamp_micros(id) AS ts", "hash(id) AS x")
+    moved, _ = SIO.displaced_copy(spark, src, "groups", "ts", "id", 2)
+    for path, files in ((SIO.staged_copy(spark, src, "groups", "ts", 2), 2), (moved, 4)):
+        found = [pq.ParquetFile(f) for f in sorted(glob.glob(f"{path.removeprefix('file:')}/*.parquet"))]
+        assert len(found) == files and sum(f.metadata.num_rows for f in found) == 40_000 + (files == 4)
+        assert max(f.metadata.num_row_groups for f in found) > 1
+
+
+def test_ks_counts_of_all_windows():
+    rng = np.random.default_rng(2)
+    v = rng.integers(0, 6, 90).astype(float)
+    want = [max(abs(int((w[:12] <= g).sum()) - int((w[12:] <= g).sum())) for g in w)
+            for w in (v[i:i + 20] for i in range(71))]
+    assert ST.ks_counts(v, 20, 8).tolist() == want
+
+
+def test_kswin_stream_hands_results_on_in_pieces(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    vals = np.concatenate([rng.normal(m, 1, 90) for m in (0, 4, 0, 5)])
+    df = spark.createDataFrame([("a", i, float(v) if i % 40 else None) for i, v in enumerate(vals)], "key string, t long, x double")
+    held = []
+    monkeypatch.setattr(ST, "_run", lambda df, keys, fn, *schemas: held.append(fn))
+    monkeypatch.setattr(ST, "KSWIN_ROWS", 16)
+    ST.kswin_stream(df, ["key"], ["t"], "x", "t", 40, 20, 0.01)
+
+    class State:
+        exists, got = False, None
+
+        def update(self, new):
+            self.got = new
+
+    state, pdf = State(), df.toPandas()
+    frames = list(held[0](("a",), iter([pdf]), state))
+    assert max(map(len, frames)) <= 16 and sum(f["alarm"].eq(True).sum() for f in frames) >= 3
+    assert state.got[1] == int(pdf["x"].notna().sum()) and len(state.got[0]) <= 40
+
+
+def test_nn_stream_scores_a_batch_at_once(spark, monkeypatch):
+    import pandas as pd
+    held = []
+    monkeypatch.setattr(ST, "_run", lambda df, keys, fn, *schemas: held.append(fn))
+    df = spark.createDataFrame([], "key string, t long, x double, y double")
+    ST.nn_stream(df, ["key"], ["t"], ["x", "y"], "t", "t")
+
+    class State:
+        exists, get = True, [[1.0, 2.0]]
+
+        def update(self, new):
+            self.get = list(new)
+
+    state = State()
+    rows = pd.DataFrame({"key": "a", "t": [2, 1], "x": [5.0, 3.0], "y": [9.0, 2.5]})
+    (out,) = held[0](("a",), iter([rows]), state)
+    assert out["t"].tolist() == [1, 2] and out["avg_nn"].tolist() == [(2.0 + 1.5) / 2, (2.5 + 6.5) / 2]
+    assert state.get[0] == [5.0, 9.0] and not out["drift_detected"].any()

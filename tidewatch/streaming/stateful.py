@@ -81,6 +81,27 @@ def cusum_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: st
     return _run(df, keys, fn, out_schema, "hist array<double>")
 
 
+KSWIN_ROWS = 4_096  # windows compared at once
+
+
+def ks_counts(values: np.ndarray, window: int, stat: int) -> np.ndarray:
+    """D3's statistic of every ``window`` values in a row: the largest difference between the
+    numbers of older and of newest (``stat``) values up to any value."""
+    w = np.lib.stride_tricks.sliding_window_view(values, window)
+    order = np.argsort(w, axis=1, kind="stable")
+    ranked = np.take_along_axis(w, order, axis=1)
+    apart = np.abs(np.cumsum(np.where(order < window - stat, 1, -1), axis=1))
+    apart[:, :-1][ranked[:, :-1] == ranked[:, 1:]] = 0  # equal values count together
+    return apart.max(axis=1)
+
+
+def _with_key(key, keys: Sequence[str], columns: dict) -> pd.DataFrame:
+    out = pd.DataFrame(columns)
+    for at, (name, value) in enumerate(zip(keys, key)):
+        out.insert(at, name, [value] * len(out))
+    return out
+
+
 def kswin_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, id_col: str,
                  window: int = 200, stat: int = 100, alpha: float = 1e-4, warmup: int = 0,
                  min_stat: float = 0.1) -> DataFrame:
@@ -93,36 +114,41 @@ def kswin_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: st
                            [f"`{id_col}` {key_types[id_col]}", f"`{x}` double", "ks_count int", "ks_d double",
                             "alarm boolean"])
 
-    def ks_count(a: np.ndarray, b: np.ndarray) -> int:
-        both = np.concatenate([a, b])
-        grid = np.unique(both)
-        ca = np.searchsorted(np.sort(a), grid, side="right")
-        cb = np.searchsorted(np.sort(b), grid, side="right")
-        return int(np.max(np.abs(ca - cb)))
+    cols = list(dict.fromkeys([*order, x, id_col]))
+    names = [*keys, id_col, x, "ks_count", "ks_d", "alarm"]
 
     def fn(key, pdfs, state):
-        pdf = _sorted_batches(pdfs, order)
+        pdf = _sorted_batches((p[cols] for p in pdfs), order)
         win, seen = (list(state.get[0]), int(state.get[1])) if state.exists else ([], 0)
-        rows = []
-        if len(pdf):
-            vals, ids, without = _values(pdf, x, id_col)
-            rows += [(*key, i, None, None, None, None) for i in without]
-            for rid, v in zip(ids, vals):
-                seen += 1
-                if warmup > 0 and seen == warmup:
-                    continue
-                win.append(float(v))
-                win = win[-window:]
-                if len(win) < window or (warmup > 0 and seen < warmup):
-                    continue
-                older, recent = np.array(win[:window - stat]), np.array(win[window - stat:])
-                c = ks_count(older, recent)
-                alarm = c >= kcrit and c / stat > min_stat
-                rows.append((*key, rid, float(v), c, c / stat, alarm))
-                if alarm:
-                    win = win[window - stat:]
-            state.update((win, seen))
-        yield pd.DataFrame(rows, columns=[*keys, id_col, x, "ks_count", "ks_d", "alarm"])
+        if not len(pdf):
+            yield pd.DataFrame([], columns=names)
+            return
+        vals, ids, without = _values(pdf, x, id_col)
+        del pdf
+        count = seen + 1 + np.arange(len(vals))
+        seen += len(vals)
+        if warmup > 0:
+            vals, ids, count = (v[count != warmup] for v in (vals, ids, count))
+        both = np.concatenate([np.array(win, dtype=float), vals])
+        start, first = 0, len(win)  # of the window's values, of the new ones
+        for at in range(max(first, window - 1), len(both), KSWIN_ROWS):
+            ends = np.arange(at, min(at + KSWIN_ROWS, len(both)))
+            c = ks_counts(both[at - window + 1:ends[-1] + 1], window, stat)
+            ready = count[ends - first] >= warmup
+            fires = (c >= kcrit) & (c / stat > min_stat) & ready
+            tested, real = np.zeros(len(ends), dtype=bool), np.zeros(len(ends), dtype=bool)
+            tested[max(0, start + window - 1 - at):] = True
+            for i in np.nonzero(fires)[0].tolist():
+                if tested[i]:  # the window restarts from its newest values and must refill
+                    real[i], start = True, at + i - stat + 1
+                    tested[i + 1:max(i + 1, start + window - 1 - at)] = False
+            tested &= ready
+            yield _with_key(key, keys, {id_col: ids[ends - first][tested], x: both[ends][tested], "ks_count": c[tested],
+                                        "ks_d": c[tested] / stat, "alarm": real[tested]})
+        if len(without):
+            none = [None] * len(without)
+            yield _with_key(key, keys, {id_col: without, x: none, "ks_count": none, "ks_d": none, "alarm": none})
+        state.update((both[max(start, len(both) - window):].tolist(), seen))
 
     return _run(df, keys, fn, out_schema, "win array<double>, seen bigint")
 
@@ -140,20 +166,19 @@ def nn_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], xs: Sequ
 
     def fn(key, pdfs, state):
         pdf = _sorted_batches(pdfs, order)
-        prev = np.array(state.get[0], dtype=float) if state.exists else None
-        rows = []
-        if len(pdf):
-            mat = pdf[list(xs)].astype(float).to_numpy()
-            for i in range(len(pdf)):
-                cur = mat[i]
-                if prev is not None:
-                    d = np.sort(np.abs(cur[:, None] - prev[None, :]), axis=1)
-                    avg = float(np.mean(d[:, kth - 1])) if d.shape[1] >= kth else float("nan")
-                    kl = 0.0
-                    rows.append((*key, pdf[id_col].iloc[i], pdf[time_col].iloc[i], avg, kl > limit, kl))
-                prev = cur
-            state.update((prev.tolist(),))
-        yield pd.DataFrame(rows, columns=[*keys, id_col, time_col, "avg_nn", "drift_detected", "kl_divergence"])
+        if not len(pdf):
+            yield pd.DataFrame([], columns=[*keys, id_col, time_col, "avg_nn", "drift_detected", "kl_divergence"])
+            return
+        mat = pdf[list(xs)].astype(float).to_numpy()
+        first = 0 if state.exists else 1  # a key's first record has none before it
+        before = np.vstack([state.get[0], mat[:-1]]) if state.exists else mat[:-1]
+        state.update((mat[-1].tolist(),))
+        d = np.sort(np.abs(mat[first:, :, None] - before[:, None, :]), axis=2)
+        avg = d[:, :, kth - 1].mean(axis=1) if d.shape[2] >= kth else np.full(len(d), np.nan)
+        kl = np.zeros(len(d))
+        yield _with_key(key, keys, {id_col: pdf[id_col].iloc[first:].reset_index(drop=True),
+                                    time_col: pdf[time_col].iloc[first:].reset_index(drop=True),
+                                    "avg_nn": avg, "drift_detected": kl > limit, "kl_divergence": kl})
 
     return _run(df, keys, fn, out_schema, "prev array<double>")
 
