@@ -280,3 +280,50 @@ def test_nn_stream_scores_a_batch_at_once(spark, monkeypatch):
     (out,) = held[0](("a",), iter([rows]), state)
     assert out["t"].tolist() == [1, 2] and out["avg_nn"].tolist() == [(2.0 + 1.5) / 2, (2.5 + 6.5) / 2]
     assert state.get[0] == [5.0, 9.0] and not out["drift_detected"].any()
+
+
+def test_walks_of_small_keys_are_not_put_into_one_task(spark):
+    from tidewatch.operators.detect.chain import walk_blocks
+    from pyspark.sql import functions as F
+    blk = spark.range(40 * 100).select((F.col("id") % 40).cast("string").alias("key"), F.expr("id div 400").alias("block"),
+                                       F.col("id").cast("double").alias("x"))
+
+    def fit(x, known, _):
+        return lambda blocks, _: {"v": np.zeros(len(blocks)), "_drift": np.zeros(len(blocks), dtype=bool)}
+
+    found = walk_blocks(blk, ["key"], ["x"], 10, fit, "v double")
+    assert found.count() == 40 * 9
+    assert found.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_kswin_pieces_agree_with_the_array_fold(spark, monkeypatch):
+    from tidewatch.operators.detect import univariate as U
+    monkeypatch.setattr(U, "KS_PIECE", 50)  # pieces of 80 rows
+    rng = np.random.default_rng(3)
+    rows = [(k, t, float(rng.integers(0, 12)) + (6.0 if t > 170 else 0.0)) for k in ("a", "b") for t in range(333)]
+    rows += [("c", t, 1.0) for t in range(19)]
+    df = spark.createDataFrame(rows, "key string, t long, x double")
+    for warmup in (0, 60):
+        one, two = ({(r.key, r.t): (r.ks_count, r.ks_d, r.alarm) for r in U.kswin(
+            df, ["key"], ["t"], "x", 20, 10, 0.05, warmup=warmup, method=m).collect()} for m in ("arrow", "sql"))
+        assert one == two and len(one) == 2 * (333 - (19 if not warmup else 60))
+        assert any(alarm for _, _, alarm in one.values())
+    plan = U.kswin(df, ["key"], ["t"], "x", 20, 10, 0.05)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan  # a row is handed to Python once
+
+
+def test_quantile_of_a_spread_fit_is_the_rows_own(spark, monkeypatch):
+    from tidewatch.operators.detect import ocsvm_fit
+    monkeypatch.setattr(ocsvm_fit, "GROUP_ROWS", 100)
+    monkeypatch.setattr(ocsvm_fit, "BINS", 4)  # several rounds
+    rng = np.random.default_rng(5)
+    x = {k: np.round(rng.lognormal(1.0, 2.0, (n, 2)), 1) for k, n in (("a", 1001), ("b", 400), ("same", 300))}
+    x["same"][:] = 2.5
+    df = spark.createDataFrame([(k, *map(float, r)) for k, v in x.items() for r in v], "key string, p double, q double")
+    found = {r.key: r for r in fit_one_class_svm(df, ["key"], ["p", "q"]).collect()}
+    for k, v in x.items():
+        r = found[k]
+        dots = np.sort(v @ np.array([r.w_0, r.w_1]))
+        assert r.rho == pytest.approx(dots[max(int(np.ceil(len(v) * 0.1)), 1) - 1], rel=1e-9)
+        w, rho, gap = fit_rows(v, 0.1)
+        assert max(gap, r.gap) <= ocsvm_fit.TOLERANCE and (r.w_0, r.w_1) == pytest.approx(tuple(w), rel=1e-6)

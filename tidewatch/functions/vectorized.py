@@ -1,30 +1,26 @@
-"""Arrow-batched pandas UDFs for per-row statistics that are slow as interpreted
-higher-order functions. Each works on a whole Arrow batch at once with numpy."""
+"""Numpy forms of statistics that are slow as interpreted higher-order functions."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 
-def _stack(s: pd.Series) -> np.ndarray:
-    return np.stack(s.to_numpy()).astype(float) if len(s) else np.zeros((0, 0))
+KS_ROWS = 4_096  # windows that are compared at once
 
 
-@F.pandas_udf(IntegerType())
-def ks_count(older: pd.Series, recent: pd.Series) -> pd.Series:
-    """Two-sample KS statistic times n, for equal-size samples (rows of equal length):
-    max over values v of |#(older <= v) - #(recent <= v)|, evaluated after ties."""
-    if len(older) == 0:
-        return pd.Series([], dtype="int32")
-    a, b = _stack(older), _stack(recent)
-    both = np.concatenate([a, b], axis=1)
-    tag = np.concatenate([np.ones_like(a), -np.ones_like(b)], axis=1)
-    idx = np.argsort(both, axis=1, kind="stable")
-    v = np.take_along_axis(both, idx, 1)
-    run = np.cumsum(np.take_along_axis(tag, idx, 1), axis=1)
-    last = np.ones_like(v, dtype=bool)
-    last[:, :-1] = v[:, 1:] > v[:, :-1]
-    return pd.Series(np.max(np.where(last, np.abs(run), 0), axis=1).astype("int32"))
+def ks_counts(values: np.ndarray, window: int, stat: int) -> np.ndarray:
+    """Two-sample KS statistic times n of every ``window`` values in a row, the newest ``stat``
+    against as many older ones: max over values v of |#(older <= v) - #(recent <= v)|,
+    evaluated after ties."""
+    known, rank = np.unique(values, return_inverse=True)  # NaN is one value, the largest
+    nan = len(known) - 1 if len(known) and np.isnan(known[-1]) else -1
+    w = np.lib.stride_tricks.sliding_window_view(rank.astype(np.int32) * 2, window)
+    recent = (np.arange(window) >= window - stat).astype(np.int32)
+    out = [np.zeros(0, dtype=np.int32)]
+    for k in range(0, len(w), KS_ROWS):
+        v = np.sort(w[k:k + KS_ROWS] + recent, axis=1)
+        run = np.abs(np.cumsum(1 - 2 * (v & 1), axis=1, dtype=np.int32))
+        v >>= 1
+        run[:, :-1][(v[:, 1:] == v[:, :-1]) | (v[:, 1:] == nan)] = 0
+        out.append(run.max(axis=1))
+    return np.concatenate(out)

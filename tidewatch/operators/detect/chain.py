@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tidewatch.session import checkpoint_dir
 
 CHUNK_ROWS = 500_000
+TASKS_A_CORE = 16  # few keys seldom meet in one of so many tasks
 FIRST_REACH = 4  # blocks scored at once after a new reference; doubled while none drifts
 
 # score(blocks, known): {column: one value per block}, with a boolean column "_drift"
@@ -69,8 +70,10 @@ def walk_blocks(blk: DataFrame, keys: Sequence[str], xs: Sequence[str], window:
         columns += [pa.array(np.concatenate([p[c] for p in parts]) if parts else [], of[t]) for c, t in fields]
         return pa.table(columns, [*keys, *names])
 
-    checkpoint_dir(blk.sparkSession)
+    spark = blk.sparkSession
+    checkpoint_dir(spark)
     size = max(2, (chunk_rows or CHUNK_ROWS) // window)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_A_CORE * spark.sparkContext.defaultParallelism)
     last = blk.agg(F.max("block")).first()[0] or 0
     none = [F.lit(None).cast("double").alias(f"_held_{c}") for c in carry]
     parts, before = [], None
@@ -80,7 +83,8 @@ def walk_blocks(blk: DataFrame, keys: Sequence[str], xs: Sequence[str], window:
             rows = rows.where((F.col("block") >= r * size) & (F.col("block") < (r + 1) * size))
         if before is not None:
             rows = rows.unionByName(blk.select(*keys, "block", *xs).join(before, [*keys, "block"]))
-        part = rows.groupBy(*keys).applyInArrow(fn, schema).checkpoint(eager=True)
+        # a fixed number: the rows are few bytes, but adaptive plans would put all keys' walks into one task
+        part = rows.repartition(tasks, *keys).groupBy(*keys).applyInArrow(fn, schema).checkpoint(eager=True)
         parts.append(part)
         # keys that go on: their reference, and what its score has come to
         end = part.where(F.col("block") == (r + 1) * size - 1)

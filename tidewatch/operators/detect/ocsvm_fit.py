@@ -12,7 +12,8 @@ data from the origin, so centred data have no solution but w = 0. Score = rho -
 
 Keys of up to ``GROUP_ROWS`` rows are fitted each in one task; larger ones by the same
 steps as grouped aggregates over all tasks, with the parameter table checkpointed: the same
-start, share of rows, line search, tolerance and step limit. A fit that is not within the
+start, share of rows, line search, tolerance and step limit. There the quantile is found by
+counting rows in bins, then in bins of the quantile's bin, until that holds equal rows. A fit that is not within the
 tolerance after the last step is an error, unless the caller takes the gap it left.
 """
 
@@ -23,7 +24,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.position import BROADCAST_ROWS
@@ -31,7 +32,7 @@ from tidewatch.operators.position import BROADCAST_ROWS
 GROUP_ROWS = 500_000
 STEPS = 2_000           # no fit needed as many so far
 TOLERANCE = 1e-3
-RANKS = 1_000_000       # a spread key's quantile is off by at most a row in so many
+BINS = 4_096            # of a spread key's w.x, counted to find its quantile
 
 
 def worst_mean(x: np.ndarray, w: np.ndarray, share: float) -> tuple[np.ndarray, float]:
@@ -77,49 +78,68 @@ def _fit_groups(train: DataFrame, keys: list[str], xs: Sequence[str], nu: float,
 
 
 def _fit_spread(train: DataFrame, keys: list[str], xs: Sequence[str], nu: float, steps: int, tol: float) -> DataFrame:
-    """The same steps for keys too large for one task: two grouped aggregates a step."""
+    """The same steps for keys too large for one task, as grouped aggregates."""
     d = len(xs)
     col = [F.col(f"`{c}`") for c in xs]
+    train = train.persist(StorageLevel.DISK_ONLY)
     params = train.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
         *[F.when(F.stddev_pop(c) > 0, F.stddev_pop(c)).otherwise(F.lit(1.0)).alias(f"s_{i}") for i, c in enumerate(col)],
-        *[F.avg(c).alias(f"w_{i}") for i, c in enumerate(col)])
-    params = params.select(*keys, *[f"s_{i}" for i in range(d)], *[(F.col(f"w_{i}") / F.col(f"s_{i}")).alias(f"w_{i}")
-                                                                   for i in range(d)], F.lit(1.0).alias("gap"))
-    params = params.checkpoint(eager=True)
-    train = train.persist(StorageLevel.DISK_ONLY)
-    dot = sum(col[i] / F.col(f"s_{i}") * F.col(f"w_{i}") for i in range(d))
-
-    def joined(p):
-        return train.join(F.broadcast(p), keys) if keys else train.join(F.broadcast(p))  # one row per large key
-
-    def quantile(p):
-        return joined(p).groupBy(*keys).agg(F.percentile_approx(dot, nu, RANKS).alias("rho"), F.count(F.lit(1)).alias("_n"))
+        *[f(c).alias(f"{n}_{i}") for i, c in enumerate(col) for n, f in (("w", F.avg), ("lo", F.min), ("hi", F.max))])
+    fixed = [*keys, "_n", *[f"{n}_{i}" for i in range(d) for n in ("s", "lo", "hi")]]
+    params = params.select(*fixed, *[(F.col(f"w_{i}") / F.col(f"s_{i}")).alias(f"w_{i}") for i in range(d)],
+                           F.lit(1.0).alias("gap")).checkpoint(eager=True)
+    z = [col[i] / F.col(f"s_{i}") for i in range(d)]
+
+    def lowest(p):
+        """``p`` with rho and, of the rows below rho and of those at rho, the number (_below, _at)
+        and sums (b_<i>, a_<i>)."""
+        ends = [(F.col(f"w_{i}") * F.col(f"lo_{i}") / F.col(f"s_{i}"), F.col(f"w_{i}") * F.col(f"hi_{i}") / F.col(f"s_{i}"))
+                for i in range(d)]
+        held = [*fixed, *[f"w_{i}" for i in range(d)]]
+        at = p.select(*held, sum(F.least(*e) for e in ends).alias("_lo"), sum(F.greatest(*e) for e in ends).alias("_hi"),
+                      F.lit(0).cast("long").alias("_below"), *[F.lit(0.0).alias(f"b_{i}") for i in range(d)])
+        target = F.greatest(F.ceil(F.col("_n") * nu), F.lit(1))
+        inside, going = F.lit(True), True  # at first rows may stand beside the bounds by a rounding
+        upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+        while going:
+            rows = (train.join(F.broadcast(at), keys) if keys else train.join(F.broadcast(at)))  # one row per large key
+            rows = rows.withColumn("_dot", sum(z[i] * F.col(f"w_{i}") for i in range(d))).where(inside)
+            span = F.col("_hi") / 2 - F.col("_lo") / 2
+            place = F.floor(F.when(span > 0, (F.col("_dot") / 2 - F.col("_lo") / 2) / span * BINS).otherwise(0.0))
+            bins = rows.groupBy(*keys, F.least(F.greatest(place, F.lit(0)), F.lit(BINS - 1)).alias("_bin")).agg(
+                F.count(F.lit(1)).alias("_at"), F.min("_dot").alias("_min"), F.max("_dot").alias("_max"),
+                *[F.sum(z[i]).alias(f"a_{i}") for i in range(d)])
+            bins = bins.select("*", F.sum("_at").over(upto).alias("_upto"), *[
+                F.coalesce(F.sum(f"a_{i}").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias(f"u_{i}")
+                for i in range(d)])
+            bins = (bins.join(F.broadcast(at), keys) if keys else bins.join(F.broadcast(at))).withColumn(
+                "_before", F.col("_below") + F.col("_upto") - F.col("_at"))
+            at = (bins.where((F.col("_before") < target) & (F.col("_before") + F.col("_at") >= target))
+                  .select(*held, F.col("_min").alias("_lo"), F.col("_max").alias("_hi"), F.col("_before").alias("_below"), "_at",
+                          *[(F.col(f"b_{i}") + F.col(f"u_{i}")).alias(f"b_{i}") for i in range(d)], *[f"a_{i}" for i in range(d)])
+                  .checkpoint(eager=True))
+            inside = F.col("_dot").between(F.col("_lo"), F.col("_hi"))
+            found, at = at, at.drop("_at", *[f"a_{i}" for i in range(d)])
+            going = at.where(F.col("_lo") < F.col("_hi")).limit(1).count() > 0
+        return found.withColumnRenamed("_lo", "rho").drop("_hi")
 
     for _ in range(steps):
-        rho = quantile(params)
-        with_rho = (params.join(rho, keys) if keys else params.join(F.broadcast(rho)))
         # the nu share of rows with the smallest w.x: those below rho whole, those at rho in part
-        below, at = dot < F.col("rho"), dot == F.col("rho")
-        sums = joined(with_rho).where(dot <= F.col("rho")).groupBy(*keys).agg(
-            F.count_if(below).alias("_below"), F.count_if(at).alias("_at"), F.max("_n").alias("_rows"),
-            *[F.sum(F.when(below, col[i] / F.col(f"s_{i}")).otherwise(0.0)).alias(f"b_{i}") for i in range(d)],
-            *[F.sum(F.when(at, col[i] / F.col(f"s_{i}")).otherwise(0.0)).alias(f"a_{i}") for i in range(d)])
-        share = F.least(F.greatest(F.col("_rows") * nu, F.lit(1.0)), F.col("_rows").cast("double"))
+        share = F.least(F.greatest(F.col("_n") * nu, F.lit(1.0)), F.col("_n").cast("double"))
         part = F.coalesce(F.least(F.greatest(F.try_divide(share - F.col("_below"), F.col("_at")), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
         taken = F.col("_below") + part * F.col("_at")
-        v = sums.select(*keys, *[((F.col(f"b_{i}") + part * F.col(f"a_{i}")) / taken).alias(f"v_{i}") for i in range(d)])
-        both = (with_rho.join(v, keys) if keys else with_rho.join(F.broadcast(v)))
+        both = lowest(params).select("*", *[((F.col(f"b_{i}") + part * F.col(f"a_{i}")) / taken).alias(f"v_{i}") for i in range(d)])
         norm = sum(F.col(f"w_{i}") * F.col(f"w_{i}") for i in range(d))
         down = sum(F.col(f"w_{i}") * (F.col(f"w_{i}") - F.col(f"v_{i}")) for i in range(d))
         size = sum((F.col(f"w_{i}") - F.col(f"v_{i}")) * (F.col(f"w_{i}") - F.col(f"v_{i}")) for i in range(d))
         both = both.withColumn("gap", F.when(norm > 0, down / norm).otherwise(F.lit(0.0))).withColumn(
             "_g", F.when(F.col("gap") <= tol, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.try_divide(down, size))))
-        params = both.select(*keys, *[f"s_{i}" for i in range(d)],
-                             *[(F.col(f"w_{i}") - F.coalesce("_g", F.lit(0.0)) * (F.col(f"w_{i}") - F.col(f"v_{i}")))
-                               .alias(f"w_{i}") for i in range(d)], "gap").checkpoint(eager=True)
+        params = both.select(*fixed, *[(F.col(f"w_{i}") - F.coalesce("_g", F.lit(0.0)) * (F.col(f"w_{i}") - F.col(f"v_{i}")))
+                                       .alias(f"w_{i}") for i in range(d)], "gap").checkpoint(eager=True)
         if params.where(F.col("gap") > tol).limit(1).count() == 0:
             break
-    rho = quantile(params).drop("_n").checkpoint(eager=True)
+    rho = lowest(params).select(*keys, "rho")
     train.unpersist()
     out = params.join(rho, keys) if keys else params.join(F.broadcast(rho))
     return out.select(*keys, *[(F.col(f"w_{i}") / F.col(f"s_{i}")).alias(f"w_{i}") for i in range(d)], "rho", "gap")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -366,7 +367,7 @@ def score_all_q(spark, sf):
     from tidewatch.operators.detect.pca import pca_cd
     keys, xs, iv = ["event_type"], ["value", "k"], labels.interval_table(spark)
     ev = labels.truncate_time(sensor_events(spark, sf), "ts", out="ts_s")
-    ev = labels.label_intervals(ev, "ts_s", iv)
+    ev = labels.label_intervals(ev, "ts_s", iv).persist(StorageLevel.MEMORY_AND_DISK)  # JSON is decoded once for all detectors
     kdq = kdq_tree(ev, keys, ORDER, xs, window=200, boot=200, max_count=40, reset=True).filter("drift")
     pca = pca_cd(ev, keys, ORDER, xs, window=100, delta=0.1, reset=True).filter("state = 'drift'")
     svm = one_class_svm(ev, keys, xs).filter("alarm")
