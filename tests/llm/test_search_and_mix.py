@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import duckdb
+import numpy as np
 
 from scripts.check_oracle import rows_of
 from tests.conftest import SF_SMALL
@@ -44,6 +45,31 @@ def test_search_is_exact_over_shards_and_blocks(spark, monkeypatch):
             assert got.get(q, []) == bm25(docs, text, 7), q
 
 
+def test_search_bounds_queries_in_groups(monkeypatch):
+    """Frequent terms' sums and block maxima of many queries are products of matrices, and the best are exact."""
+    rnd = random.Random(5)
+    words = [f"w{int(rnd.paretovariate(0.5)) % 3000}" for _ in range(20_000)]
+    docs = [(i, " ".join(rnd.choices(words, k=rnd.randint(0, 80)))) for i in range(1500)]
+    monkeypatch.setattr(topk, "GROUP", 7)
+    total = sum(len(topk.terms_of(t)) for _, t in docs)
+    shard = topk.Shard(topk.pack_shard(*zip(*docs)), total / len(docs))
+    assert min(len(shard.rough), len(shard.peak)) > 0 and len(shard.rough) + len(shard.peak) < len(shard.number)
+    df = Counter(w for _, t in docs for w in set(topk.terms_of(t)))
+    asked = [t for _, t in docs[:40]]
+    for share in (None, 0.5, 1.0):  # no k-th score from elsewhere, a low one, the very one
+        queries, want = [], []
+        for text in asked:
+            names = sorted(set(topk.terms_of(text))) + ["nowhere"]
+            best = bm25(docs, text, 6)
+            least = -1.0 if share is None or len(best) < 6 else share * best[-1][1]
+            weights = np.array([math.log1p((len(docs) - df[w] + 0.5) / (df[w] + 0.5)) for w in names])
+            queries.append((shard.numbers(names), weights, least))
+            want.append(best)
+        for (scores, ids), best in zip(shard.search(queries, 6), want):
+            got = sorted(zip(ids.tolist(), scores.tolist()), key=lambda x: (-x[1], x[0]))
+            assert [(i, round(s, 5)) for i, s in got[:6]] == [(i, round(s, 5)) for i, s in best]
+
+
 def test_search_edges(spark):
     docs = edges(spark)
     asked = docs.selectExpr("doc_id AS query_id", "text")
