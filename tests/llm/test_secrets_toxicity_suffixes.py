@@ -139,6 +139,25 @@ def test_suffix_arrays_and_common_prefixes():
             assert shared[b] == n
 
 
+def test_only_names_that_share_a_rank_are_sorted_again(monkeypatch):
+    rng = np.random.default_rng(3)
+    sorted_at_once = []
+    monkeypatch.setattr(suffixes, "by_key", lambda key, most: sorted_at_once.append(len(key)) or np.argsort(key, kind="stable"))
+    names = np.concatenate([rng.permutation(1000), np.tile(rng.permutation(7), 20)])  # few share their rank after one step
+    order = suffixes.ordered(names)
+    want = sorted(range(len(names)), key=lambda i: (tuple(names[i:i + 32]), i))
+    assert order.tolist() == want
+    assert sorted_at_once[0] == len(names) and max(sorted_at_once[1:]) <= 2 * 140
+
+
+def test_orders_by_word_and_by_place_are_the_same():
+    rng = np.random.default_rng(4)
+    for most in (3, 1 << 40, 1 << 60):  # the last doesn't fit into a word with its place
+        key = rng.integers(0, most, 5_000)
+        key[::7] = key[0]
+        assert suffixes.by_key(key, most).tolist() == np.argsort(key, kind="stable").tolist()
+
+
 def slow_dedup(rows, length=50):
     out, seen = {}, {}
     for i, t in sorted(((i, (t or "").encode()) for i, t in rows), key=lambda x: x[0]):
