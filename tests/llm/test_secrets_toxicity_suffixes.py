@@ -139,6 +139,35 @@ def test_suffix_arrays_and_common_prefixes():
             assert shared[b] == n
 
 
+def test_shards_of_a_group_share_rows_and_are_sorted_apart():
+    rnd = random.Random(6)
+    pool = [bytes(rnd.choices(b"abcd", k=rnd.randint(50, 90))) for _ in range(60)]
+    blobs, want = {}, {}
+    for chunk in range(3):
+        texts = rnd.sample(pool, 40)
+        shard = sorted((sum(t) % 12, t) for t in texts)
+        parts = {}
+        for k, (x, _) in enumerate(shard):
+            parts.setdefault(x, k)
+        sent = dict(substrings.group_blobs([t for _, t in shard], parts, np.arange(40) + 100 * chunk, 5))
+        assert set(sent) == {x // 5 for x in parts}  # a row for each group
+        blobs[chunk] = sent
+        for k, (x, t) in enumerate(shard):
+            for at in range(len(t) - 49):
+                s = (x, t[at:at + 50])
+                want[s] = min(want.get(s, 1 << 60), k + 100 * chunk)
+    for group in range(3):
+        mine = [(c, b[group]) for c, b in blobs.items() if group in b]
+        for (c, blob), answer in zip(mine, substrings.answer_group([b for _, b in mine], 50)):
+            shards, counts, sizes, _, data = substrings.expand(blob)
+            found, at = substrings.expand(answer).tolist(), 0
+            for x, size in zip(np.repeat(shards, counts).tolist(), sizes.tolist()):
+                t, at = data[at:at + size], at + size
+                assert found[:size - 49] == [want[x, t[k:k + 50]] for k in range(size - 49)]
+                found = found[size - 49:]
+            assert not found
+
+
 def test_only_names_that_share_a_rank_are_sorted_again(monkeypatch):
     rng = np.random.default_rng(3)
     sorted_at_once = []
@@ -190,6 +219,16 @@ def test_substring_dedup_equals_brute_force(spark, monkeypatch, frequent):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == slow_dedup(rows)
 
 
+def test_substring_dedup_in_groups_of_shards_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 2_000)
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 2_000)
+    monkeypatch.setattr(substrings, "GROUPS", 2)
+    monkeypatch.setattr(substrings, "GROUP_SHARDS", 3)
+    rows = overlapping_texts(seed=9)
+    out = substrings.dedup(spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == slow_dedup(rows)
+
+
 def test_anchors_do_not_depend_on_slices(monkeypatch):
     rnd = random.Random(4)
     data = np.frombuffer("".join(rnd.choices("abc ", k=5_000)).encode(), dtype=np.uint8)
