@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +109,76 @@ def test_rows_wait_for_the_watermark_and_idle_keys_are_forgotten(spark, tmp_path
         i: v for i, v in (first | again).items() if i not in held_back}
 
 
+def test_keys_share_a_bucket_and_large_ids_and_null_keys_stay(spark, tmp_path):
+    rnd = random.Random(3)
+    rows = [(None if k == 0 else f"k{k}", 2 ** 60 + 3 * (25 * k + i), 86_400 + i * 300 + k, rnd.gauss(0, 1), 1.0)
+            for k in range(30) for i in range(25)]
+    df = spark.createDataFrame(rows, "key STRING, id BIGINT, s BIGINT, x DOUBLE, y DOUBLE").select(
+        "key", "id", F.timestamp_seconds("s").alias("at"), "x", "y")
+    parts, delay = displaced(df)
+    arrive(spark, df, tmp_path, [*parts, heartbeat(spark, 200_000)])
+    got = run(spark, tmp_path, lambda s: ordered.cusum_in_order(s, ["key"], "at", "x", "id", delay, 10, 0.5, 3.0, buckets=2))
+    want = as_dict(U.cusum(df, ["key"], ["at", "id"], "x", 10, 0.5, 3.0), "x", "cusum", "alarm")
+    assert len(want) == 30 * 16 and as_dict(got, "x", "cusum", "alarm") == want
+    assert sum(r.key is None for r in got.collect()) == 16
+
+
+@pytest.mark.parametrize("idle", [None, 50])
+def test_a_bucket_in_runs_equals_its_keys_one_by_one(idle):
+    """Runs over the rows of many keys against a loop over one key after the other."""
+    rnd = random.Random(7)
+    rows = sorted((rnd.randint(0, 900), i, rnd.randint(0, 6), math.nan if rnd.random() < 0.2 else rnd.gauss(0, 1))
+                  for i in range(400))
+
+    def frame(part):
+        return pd.DataFrame({"key0": [r[2] for r in part], "key0_null": False, "kind": ordered.NEW, "micros": [r[0] for r in part],
+                             "id": [r[1] for r in part], "id_null": False, "x0": [r[3] for r in part], "x1": 2.0})
+
+    def loop(series, detector):
+        x = np.array([[r[3], 2.0] for r in series])
+        if detector.known_only:
+            series = [r for r in series if r[3] == r[3]]
+            x = x[~np.isnan(x[:, 0])]
+        if not series:
+            return {}
+        columns = detector.run(x, np.arange(len(x)))
+        return {series[i][1]: [None if m[i] else float(v[i]) for v, m in columns] for i in range(detector.first, len(x))}
+
+    for detector in (ordered.cusum_detector(4, 0.1, 1.0), ordered.density_ratio_detector(0.5, 3, 1.1)):
+        want = {}
+        for key in range(7):
+            mine = [r for r in rows if r[2] == key]
+            cuts = [i for i in range(1, len(mine)) if idle and mine[i][0] - mine[i - 1][0] >= idle]
+            for a, b in zip([0, *cuts], [*cuts, len(mine)]):
+                want |= loop(mine[a:b], detector)
+            if detector.known_only:
+                want |= {r[1]: [None] * 3 for r in mine if r[3] != r[3]}
+        got, kept = {}, None
+        for at in range(0, 1000, 130):
+            part = frame([r for r in rows if at <= r[0] < at + 130]).sample(frac=1, random_state=at)
+            part = part if kept is None else pd.concat([kept, part])
+            found, kept = ordered.run_series(part.reset_index(drop=True), ["key0", "key0_null"], 2, detector, idle)
+            for r in found.itertuples():
+                got[r.id] = [None if pd.isna(v) else float(v) for v in (r.out0, r.out1, getattr(r, "out2"))]
+            assert (kept["kind"] == ordered.TAIL).sum() <= 7 * detector.tail
+        assert got.keys() == want.keys()
+        for i, row in want.items():
+            assert [None if v is None else round(v, 9) for v in got[i]] == [None if v is None else round(v, 9) for v in row]
+
+
+def test_sliding_maximum_of_many_series_equals_the_queue():
+    rnd = random.Random(5)
+    values, place, want = [], [], []
+    for size in (1, 2, 40, 5):
+        q = ordered.MaxQueue(4)
+        for i in range(size):
+            values.append(math.nan if rnd.random() < 0.5 else rnd.choice([-math.inf, 1.0, 2.0, 3.0]))
+            place.append(i)
+            want.append(q.push(values[-1]))
+    top, known = ordered.sliding_max(np.array(values), np.array(place), 4)
+    assert [t if k else None for t, k in zip(top, known)] == [None if w != w else w for w in want]
+
+
 def test_max_queue_equals_sliding_maximum():
     rnd = random.Random(4)
     values = [math.nan if rnd.random() < 0.2 else rnd.randint(0, 9) for _ in range(300)]

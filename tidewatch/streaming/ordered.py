@@ -6,9 +6,13 @@ as one run sorted by (time, id), so the results are those of the batch forms wha
 order in which rows arrive, as long as none is later than ``delay`` (later ones are dropped
 by Spark, as in every event-time aggregate).
 
-The state of a key is what its detector keeps (a bounded tail) and the rows of the last
-``delay`` of event time. With ``idle`` a key that has had no row for so long (in event time)
-is forgotten; its next row starts a new series.
+Keys are dealt by hash to ``buckets``, and a bucket is what Spark keeps state for: a call, a
+timer and the state's reads and writes are paid for once a bucket and micro-batch, and a
+bucket's keys are computed in arrays. The state of a bucket is the last few rows of each of its
+keys (as many as the detector's window) and the rows of the last ``delay`` of event time, as
+Arrow tables. The number of buckets bounds the tasks that share a stream and can't change over a
+restart. With ``idle`` a key that has had no row for so long (in event time) is forgotten; its
+next row starts a new series.
 
 Rows without a time cannot be placed and are left out, as are times before 1970 (a watermark
 starts there); of rows that are equal in (time, id)
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -27,127 +32,224 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from tidewatch.streaming.stateful import cusum_of_histories, histories
-
-# step(state or None, ids, features): (new state, ids of the output, one array per output column)
-Step = Callable[[tuple | None, np.ndarray, np.ndarray], tuple[tuple, np.ndarray, list]]
+from tidewatch.streaming.stateful import cusum_of_histories
+
+BUCKETS = 256
+# what stands for NULL in columns that pandas would turn into floats or can't sort
+FILL = {"tinyint": 0, "smallint": 0, "int": 0, "bigint": 0, "boolean": False, "string": ""}
+MARK, TAIL, NEW = 0, 1, 2  # rows of a bucket: time of a key's last row, its last rows, rows to run
+
+
+class Detector(NamedTuple):
+    """``run(x, place)``: output columns (values, missing) of rows in the order of their series, each at
+    ``place`` in its series or in what is left of it; rows at ``first`` and later have an output.
+    ``tail`` rows of a series are kept. With ``known_only`` rows without a value have no place."""
+
+    run: Callable[[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]
+    first: int
+    tail: int
+    known_only: bool
+
+
+def to_blob(p: pd.DataFrame) -> bytes:
+    import pyarrow as pa
+
+    table, sink = pa.Table.from_pandas(p, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def from_blob(blob) -> pd.DataFrame:
+    import pyarrow as pa
+    return pa.ipc.open_stream(pa.py_buffer(bytes(blob))).read_all().to_pandas()
+
+
+def nullable(values, missing) -> pd.Series:
+    """``values`` with NULL where ``missing``; numbers and truth values stay as they are."""
+    values = pd.Series(values).reset_index(drop=True)
+    if not missing.any():
+        return values
+    if values.dtype.kind == "b":
+        return pd.Series(pd.arrays.BooleanArray(values.to_numpy(), missing))
+    if values.dtype.kind == "i":
+        return pd.Series(pd.arrays.IntegerArray(values.to_numpy(), missing))
+    return values.where(~missing) if values.dtype.kind in "fM" else values.astype(object).where(~missing, None)
+
+
+def run_series(rows: pd.DataFrame, key_columns: list[str], n_features: int, detector: Detector, idle: int | None):
+    """A bucket's rows (columns ``key_columns``, kind, micros, id, id_null, x0 ...), those of a key that
+    are kept before its new ones: (output frame of the new rows, rows to keep). ``idle``: microseconds
+    after which a key's next row starts a new series."""
+    rows_code = code = rows.groupby(key_columns, dropna=False, sort=False).ngroup().to_numpy()
+    kind, t, ids = rows["kind"].to_numpy(), rows["micros"].to_numpy(), rows["id"].to_numpy()
+    marked = np.full(code.max() + 1, -1)
+    marked[code[kind == MARK]] = t[kind == MARK]
+    if ids.dtype.kind not in "iufMm":
+        ids = pd.factorize(rows["id"], sort=True)[0]
+    new = kind == NEW
+    order = np.lexsort((np.where(new, ids, ids[:1]), rows["id_null"].to_numpy() & new, np.where(new, t, 0), kind, code))
+    order = order[kind[order] != MARK]
+    code, t, new = code[order], t[order], new[order]
+    x = rows[[f"x{i}" for i in range(n_features)]].to_numpy(dtype=float)[order]
+    starts = np.append(True, code[1:] != code[:-1])
+    if idle is not None:
+        before = np.append(-1, t[:-1])
+        first_new = new & (starts | np.append(True, ~new[:-1]))
+        before[first_new] = marked[code[first_new]]
+        late = new & (t - before >= idle) & (before >= 0)
+        starts |= late
+    series = np.cumsum(starts) - 1
+    last_series = np.zeros(len(marked), dtype=np.int64)
+    last_series[code] = series  # the last one written counts: rows are in order
+
+    known = np.flatnonzero(~np.isnan(x[:, 0])) if detector.known_only else np.arange(len(x))
+    mine = series[known]
+    size = np.bincount(mine, minlength=series[-1] + 1) if len(series) else np.zeros(0, np.int64)
+    place = np.arange(len(known)) - np.repeat(np.cumsum(size) - size, size)
+    columns = detector.run(x[known], place)
+    out = np.flatnonzero(new[known] & (place >= detector.first))
+    blank = np.setdiff1d(np.flatnonzero(new), known, assume_unique=True)
+    at = order[np.concatenate([known[out], blank])]
+    found = rows.iloc[at][[*key_columns, "id", "id_null"]].reset_index(drop=True)
+    for i, (values, missing) in enumerate(columns):
+        found[f"out{i}"] = nullable(np.concatenate([values[out], np.zeros(len(blank), values.dtype)]),
+                                    np.concatenate([missing[out], np.ones(len(blank), dtype=bool)]))
+
+    stays = (mine == last_series[code[known]]) & (np.repeat(size, size) - place <= detector.tail)
+    kept = rows.iloc[order[known[stays]]].assign(kind=TAIL, micros=0, id=rows["id"].iloc[0], id_null=False)
+    if idle is not None:
+        newest = marked.copy()
+        newest[code[new]] = t[new]  # in order: the last one counts
+        one = np.unique(rows_code, return_index=True)[1]
+        kept = pd.concat([rows.iloc[one].assign(kind=MARK, micros=newest, id=rows["id"].iloc[0], id_null=False), kept])
+    return found, kept
 
 
 class EventOrder(StatefulProcessor):
-    """Holds a key's rows back until the watermark has passed them, then runs ``step``."""
+    """Holds a bucket's rows back until the watermark has passed them, then runs the detector on
+    those of all its keys."""
 
-    def __init__(self, n_keys: int, id_type: str, n_features: int, step: Step, state_schema: str, out: list[str],
-                 idle_ms: int | None):
-        self.n_keys, self.id_type, self.n_features = n_keys, id_type, n_features
-        self.step, self.state_schema, self.out, self.idle_ms = step, state_schema, out, idle_ms
+    def __init__(self, key_columns: list[str], n_features: int, detector: Detector, idle_ms: int | None):
+        self.key_columns, self.n_features, self.detector = key_columns, n_features, detector
+        self.idle = None if idle_ms is None else idle_ms * 1000
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"t array<bigint>, id array<{self.id_type}>, x array<double>")
-        self.kept = handle.getValueState("kept", self.state_schema)
-        self.last = handle.getValueState("last", "t bigint")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.kept = handle.getValueState("kept", "rows binary")
+        self.due = handle.getValueState("due", "t bigint")  # when the first row that waits is to be run
 
     def handleInputRows(self, key, rows, timerValues):
         frames = [p for p in rows if len(p)]
         if frames:
             p = pd.concat(frames, ignore_index=True)
-            x = p[[f"x{i}" for i in range(self.n_features)]].astype(float).to_numpy()
-            self.waiting.appendValue((p["micros"].tolist(), p["id"].tolist(), x.ravel().tolist()))
-            self.handle.registerTimer(int(p["micros"].min()) // 1000 + 1)
+            self.waiting.appendValue((to_blob(p[[*self.key_columns, "micros", "id", "id_null",
+                                                 *[f"x{i}" for i in range(self.n_features)]]]),))
+            first, due = int(p["micros"].min()), self.due.get()
+            if due is None or first < due[0]:
+                self._wait(first)
         return iter(())
 
+    def _wait(self, t: int) -> None:
+        self.due.update((t,))
+        self.handle.registerTimer(t // 1000 + 1)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        parts = list(self.waiting.get())
-        t = np.array([v for p in parts for v in p[0]], dtype=np.int64)
-        if len(t):
-            ids = np.array([v for p in parts for v in p[1]])
-            x = np.array([v for p in parts for v in p[2]], dtype=float).reshape(len(t), self.n_features)
-            order = np.lexsort((ids, t))
-            t, ids, x = t[order], ids[order], x[order]
-            n = int(np.searchsorted(t, passed, side="right"))
-            if n == 0:  # another timer of this batch has run them; the rest has its own
-                return
-            if n < len(t):
-                self.waiting.put([(t[n:].tolist(), ids[n:].tolist(), x[n:].ravel().tolist())])
-                self.handle.registerTimer(int(t[n]) // 1000 + 1)
-            else:
-                self.waiting.clear()
-            yield from self._run(key, t[:n], ids[:n], x[:n])
-        elif self.idle_ms is not None and self.last.exists() and self.last.get()[0] + self.idle_ms * 1000 <= passed:
+        due = self.due.get()
+        if due is not None and due[0] <= passed:
+            yield from self._run(passed)
+        elif self.idle is not None:
+            kept = self.kept.get()
+            if kept is not None:
+                self._keep(from_blob(kept[0]), passed)
+
+    def _run(self, passed: int):
+        rows = pd.concat([from_blob(part[0]) for part in self.waiting.get()], ignore_index=True)
+        ready = rows["micros"].to_numpy() <= passed
+        rest = rows[~ready]
+        if len(rest):
+            self.waiting.put([(to_blob(rest),)])
+            self._wait(int(rest["micros"].min()))
+        else:
+            self.waiting.clear()
+            self.due.clear()
+        rows, kept = rows[ready].assign(kind=NEW), self.kept.get()
+        if kept is not None:
+            rows = pd.concat([from_blob(kept[0]), rows])
+        found, kept = run_series(rows.reset_index(drop=True), self.key_columns, self.n_features, self.detector, self.idle)
+        self._keep(kept, passed)
+        if len(found):
+            yield pd.DataFrame({**{k: nullable(found[k], found[f"{k}_null"].to_numpy())
+                                   for k in self.key_columns if not k.endswith("_null")},
+                                "id": nullable(found["id"], found["id_null"].to_numpy()),
+                                **{c: found[c] for c in found.columns if c.startswith("out")}})
+
+    def _keep(self, kept: pd.DataFrame, passed: int) -> None:
+        """Write the rows to keep, without those of keys that have been idle for too long."""
+        if self.idle is not None and len(kept):
+            marks = (kept["kind"] == MARK).to_numpy()
+            code = kept.groupby(self.key_columns, dropna=False, sort=False).ngroup().to_numpy()
+            last = np.zeros(code.max() + 1, dtype=np.int64)
+            last[code[marks]] = kept["micros"].to_numpy()[marks]
+            kept = kept[last[code] + self.idle > passed]
+            if len(kept):
+                self.handle.registerTimer(int((last[last + self.idle > passed].min() + self.idle) // 1000 + 1))
+        if len(kept):
+            self.kept.update((to_blob(kept),))
+        else:
             self.kept.clear()
-            self.last.clear()
-
-    def _run(self, key, t, ids, x):
-        state = self.kept.get()  # None at first
-        starts = [0]
-        if self.idle_ms is not None:  # a row that comes so long after the one before starts a new series
-            idle = self.idle_ms * 1000
-            if self.last.exists() and t[0] - self.last.get()[0] >= idle:
-                state = None
-            starts += (np.nonzero(np.diff(t) >= idle)[0] + 1).tolist()
-            self.handle.registerTimer(int(t[-1]) // 1000 + self.idle_ms + 1)
-        for i, j in zip(starts, [*starts[1:], len(t)]):
-            state, out_ids, columns = self.step(state if i == 0 else None, ids[i:j], x[i:j])
-            if len(out_ids):
-                yield pd.DataFrame({**{f"key{c}": [v] * len(out_ids) for c, v in enumerate(key)}, "id": out_ids,
-                                    **dict(zip(self.out, columns))})
-        self.kept.update(state)
-        if self.idle_ms is not None:
-            self.last.update((int(t[-1]),))
 
     def close(self) -> None:
         pass
 
 
 def in_event_order(df: DataFrame, keys: Sequence[str], time_col: str, id_col: str, xs: Sequence[str], delay: str,
-                   step: Step, out: str, state: str, idle_ms: int | None = None) -> DataFrame:
-    """Rows (keys, id, columns ``out``) of ``step`` over each key's rows in event-time order.
-    ``out`` and ``state`` are DDL schemas of flat columns, ``delay`` the watermark's delay."""
+                   detector: Detector, out: str, idle_ms: int | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Rows (keys, id, columns ``out``) of ``detector`` over each key's rows in event-time order.
+    ``out`` is the DDL schema of flat columns, ``delay`` the watermark's delay."""
     types = dict(df.dtypes)
+
+    def filled(c):
+        return F.coalesce(F.col(c), F.lit(FILL[types[c]]).cast(types[c])) if types[c] in FILL else F.col(c)
+
     # names of its own: the processor's frames rename columns that begin with an underscore
     key_names, feature_names = [f"key{i}" for i in range(len(keys))], [f"x{i}" for i in range(len(xs))]
     at = F.col(time_col).cast("timestamp")
     rows = (df.where(F.col(time_col).isNotNull())
-            .select(*[F.col(k).alias(n) for k, n in zip(keys, key_names)], F.col(id_col).alias("id"), at.alias("at"),
+            .select(F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket"),
+                    *[filled(k).alias(n) for k, n in zip(keys, key_names)],
+                    *[F.col(k).isNull().alias(f"{n}_null") for k, n in zip(keys, key_names)],
+                    filled(id_col).alias("id"), F.col(id_col).isNull().alias("id_null"), at.alias("at"),
                     F.unix_micros(at).alias("micros"), *[F.col(x).cast("double").alias(n) for x, n in zip(xs, feature_names)])
             .withWatermark("at", delay))
     fields = [c.strip().split(" ", 1) for c in out.split(",")]
     schema = ", ".join([f"{n} {types[k]}" for k, n in zip(keys, key_names)] + [f"id {types[id_col]}"]
                        + [f"out{i} {kind}" for i, (_, kind) in enumerate(fields)])
-    processor = EventOrder(len(keys), types[id_col], len(xs), step, state, [f"out{i}" for i in range(len(fields))], idle_ms)
-    found = rows.groupBy(*key_names).transformWithStateInPandas(processor, schema, "append", "eventTime")
+    processor = EventOrder([*key_names, *[f"{n}_null" for n in key_names]], len(xs), detector, idle_ms)
+    found = rows.groupBy("bucket").transformWithStateInPandas(processor, schema, "append", "eventTime")
     return found.select(*[F.col(n).alias(k) for k, n in zip(keys, key_names)], F.col("id").alias(id_col),
                         *[F.col(f"out{i}").alias(name.strip("`")) for i, (name, _) in enumerate(fields)])
 
 
-def _nullable(values: np.ndarray, missing: np.ndarray) -> pd.Series:
-    return pd.Series(values, dtype=object).where(~missing, None)
-
-
-def cusum_step(n: int, k: float, h: float) -> Step:
-    """D1 on a run of rows; the state is the last n - 1 values."""
-    def step(state, ids, x):
-        hist = list(state[0]) if state else []
-        known = ~np.isnan(x[:, 0])
-        v = x[known, 0]
-        w = histories(hist, v, n)
-        s = cusum_of_histories(w, k)
-        first, rest = len(v) - len(w), int((~known).sum())
-        blank = np.zeros(rest)
-        missing = np.arange(len(w) + rest) >= len(w)  # rows without a value come out without results
-        return (((hist + v.tolist())[-(n - 1):] if n > 1 else [],),
-                np.concatenate([ids[known][first:], ids[~known]]),
-                [_nullable(np.concatenate([v[first:], blank]), missing), _nullable(np.concatenate([s, blank]), missing),
-                 _nullable(np.concatenate([s > h, blank > 0]), missing)])
-    return step
+def cusum_detector(n: int, k: float, h: float) -> Detector:
+    """D1; the last n - 1 values of a series are kept, rows without a value come out without results."""
+    def run(x, place):
+        v, s = x[:, 0], np.full(len(x), np.nan)
+        at = np.flatnonzero(place >= n - 1)
+        if len(at):
+            s[at] = cusum_of_histories(np.lib.stride_tricks.sliding_window_view(v, n)[at - n + 1], k)
+        none = np.zeros(len(x), dtype=bool)
+        return [(v, none), (s, none), (s > h, none)]
+    return Detector(run, n - 1, n - 1, True)
 
 
 def cusum_in_order(df: DataFrame, keys: Sequence[str], time_col: str, x: str, id_col: str, delay: str, n: int = 10,
-                   k: float = 1.0, h: float = 5.0, idle_ms: int | None = None) -> DataFrame:
+                   k: float = 1.0, h: float = 5.0, idle_ms: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """D1 over a stream in event-time order: the rows of the batch form."""
-    return in_event_order(df, keys, time_col, id_col, [x], delay, cusum_step(n, k, h),
-                          f"`{x}` double, cusum double, alarm boolean", "hist array<double>", idle_ms)
+    return in_event_order(df, keys, time_col, id_col, [x], delay, cusum_detector(n, k, h),
+                          f"`{x}` double, cusum double, alarm boolean", idle_ms, buckets)
 
 
 def log_density_ratios(rows: np.ndarray, h: float) -> np.ndarray:
@@ -183,24 +285,33 @@ class MaxQueue:
         return q[0][1] if q else math.nan
 
 
-def density_ratio_step(h: float, n: int, limit: float) -> Step:
-    """D7 on a run of rows; the state is the last row and the queue of the running maximum."""
-    def step(state, ids, x):
-        rows, queue = x, MaxQueue(n)
-        if state:
-            prev, places, numbers, at = state
-            rows, queue = np.vstack([np.array(prev, dtype=float), x]), MaxQueue(n, places, numbers, at)
-        r = log_density_ratios(rows, h)
-        top = np.array([queue.push(v) for v in r.tolist()], dtype=float)
-        kept = (rows[-1].tolist(), [p for p, _ in queue.queue], [v for _, v in queue.queue], queue.at)
-        return kept, ids[len(ids) - len(r):], [
-            _nullable(r, np.isnan(r)), _nullable(top, np.isnan(top)), _nullable(top > math.log(limit), np.isnan(top))]
-    return step
+def sliding_max(values: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``MaxQueue`` over many series at once: of each value and those before it in its series, n in
+    all, the maximum, and whether there is one (NaN takes a place but is no maximum)."""
+    known = ~np.isnan(values)
+    values = np.where(known, values, -np.inf)
+    top, any_known = values.copy(), known.copy()
+    for j in range(1, min(n, len(values))):
+        inside = place[j:] >= j
+        top[j:] = np.maximum(top[j:], np.where(inside, values[:-j], -np.inf))
+        any_known[j:] |= inside & known[:-j]
+    return top, any_known
+
+
+def density_ratio_detector(h: float, n: int, limit: float) -> Detector:
+    """D7; the last n rows of a series are kept: n ratios with the next row's."""
+    def run(x, place):
+        r = np.full(len(x), np.nan)
+        r[1:] = log_density_ratios(x, h)
+        r[place == 0] = np.nan
+        top, known = sliding_max(r, place, n)
+        return [(r, np.isnan(r)), (top, ~known), (top > math.log(limit), ~known)]
+    return Detector(run, 1, n, False)
 
 
 def density_ratio_stream(df: DataFrame, keys: Sequence[str], time_col: str, xs: Sequence[str], id_col: str, delay: str,
-                         h: float = 0.2, n: int = 10, limit: float = 1.5, idle_ms: int | None = None) -> DataFrame:
+                         h: float = 0.2, n: int = 10, limit: float = 1.5, idle_ms: int | None = None,
+                         buckets: int = BUCKETS) -> DataFrame:
     """D7 over a stream in event-time order: the rows of the batch form."""
-    return in_event_order(df, keys, time_col, id_col, xs, delay, density_ratio_step(h, n, limit),
-                          "log_rdr double, log_rdr_max double, alarm boolean",
-                          "prev array<double>, places array<bigint>, numbers array<double>, at bigint", idle_ms)
+    return in_event_order(df, keys, time_col, id_col, xs, delay, density_ratio_detector(h, n, limit),
+                          "log_rdr double, log_rdr_max double, alarm boolean", idle_ms, buckets)
